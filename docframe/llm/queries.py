@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality, simhash
+from . import counts, decontaminate, embeddings, language, mixing, quality, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
     "op2_simhash": simhash.query,
     "op3_language": language.query,
+    "op4_decontaminate": decontaminate.query,
+    "op5_token_counts": counts.query,
+    "op6_token_ids": tokens.query,
+    "op8_embeddings": embeddings.query,
+    "op9_mixing": mixing.query,
     "op10_quality": quality.query,
 }
 
