@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, decontaminate, embeddings, language, mixing, quality, simhash, tokens, toxicity
+from . import counts, decontaminate, embeddings, language, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontaminate.query,
     "op5_token_counts": counts.query,
     "op6_token_ids": tokens.query,
+    "op7_sharding": sharding.query,
     "op8_embeddings": embeddings.query,
     "op9_mixing": mixing.query,
     "op10_quality": quality.query,
