@@ -1,12 +1,17 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 A fingerprint holds, bit by bit, the majority of the XXH64 values (seed 42) of a text's word shingles. Fingerprints are
-stored as vertical bit planes; distances of 64 pairs at a time are summed by carry-save counters of two bits and a flag
-for "over the radius", and a block of pairs is left as soon as the flag holds everywhere in it.
+stored as vertical bit planes; distances of 64 pairs at a time are summed by carry-save bitwise counters, which start so
+high that they overflow into a flag just beyond the radius, and a block of pairs is left as soon as all are flagged.
 
-Candidates: 64 bits are cut into five blocks. Two fingerprints at most three bits apart agree in two blocks at least, so
-each of the ten pairs of blocks gives a key of 25 or 26 bits, and equal keys meet. This loses no pair. A key with very
-many fingerprints is cut into chunks and each pair of chunks meets in a cell of its own.
+Two plans share this. CONTRACT: 64 bits of three-word shingles, radius 3. The bits are cut into five blocks; fingerprints at
+most three bits apart agree in two blocks at least, so each of the ten pairs of blocks gives a key, equal keys meet, and no
+pair is lost. SIMILAR, for dropping copies: 256 bits of distinct five-word shingles, radius 46. Sets of Jaccard similarity
+0.8 differ in 0.15 of the bits, about 38; keys are sampled bits, in as many tables as bring such pairs together with a
+chance of SURE or more. Keys get longer, and tables more, with the logarithm of the number of fingerprints.
+
+A key with very many fingerprints is cut into chunks and each pair of chunks meets in a cell of its own. A cell gives a
+spanning forest of its links, never its pairs: rows of the largest component so far need no queries of their own.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and link like any others; texts of
 fewer words than a shingle hash as one shingle; equal texts have equal fingerprints; extra columns are not read; rows of
@@ -15,7 +20,9 @@ equal doc_id each give a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -27,58 +34,113 @@ from pyspark.sql import functions as F
 from .common import components, free_name, map_text, materialize, row_hash, table, unite
 
 SEED = 42
-SHINGLE_WORDS = 3
-RADIUS = 3
-#: (first bit, bits) of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key with more fingerprints than this is compared chunk by chunk.
 CELL_ROWS = 8192
 #: Groups up to this size are compared by shifts over many groups at once, larger ones query block by query block.
 SMALL_GROUP = 48
+#: Chance that a pair at similarity 0.8 meets in some table of sampled bits, and the share of bits in which it differs.
+SURE, DIFFERING = 0.985, 0.1476
+#: (first bit, bits) of the five blocks of 64 bits.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_BYTE_BASE = (np.arange(8) * 256).astype(np.int64)
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """shingle: words; parts: 64-bit parts of a fingerprint; distinct: whether a shingle counts once; radius: most differing bits."""
+
+    shingle: int
+    parts: int
+    distinct: bool
+    radius: int
 
 
-def fingerprint(data: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint of a UTF-8 text."""
+CONTRACT = Plan(3, 1, False, 3)
+SIMILAR = Plan(5, 4, True, 46)
+
+
+def fingerprint(data: bytes | None, plan: Plan = CONTRACT) -> np.ndarray:
+    """The fingerprint of a UTF-8 text, as plan.parts uint64 numbers. The first part is of the hash values themselves."""
     tokens = (data or b"").lower().split()  # bytes: A-Z only, and exactly 0x20 and 0x09 to 0x0D
     if not tokens:
-        return 0
+        return np.zeros(plan.parts, dtype=np.uint64)
     joined = b" ".join(tokens)
+    hashed, words = xxhash.xxh64_intdigest, plan.shingle
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    starts = [0, *accumulate(len(t) + 1 for t in tokens)]
-    hashed = xxhash.xxh64_intdigest
-    n = len(tokens) - words + 1
-    values = np.fromiter([hashed(joined[s : e - 1], SEED) for s, e in zip(starts[:n], starts[words:])], dtype="<u8", count=n)
-    counts = np.bincount((values.view(np.uint8).reshape(n, 8) + _BYTE_BASE).ravel(), minlength=2048).reshape(8, 256)
-    ones = (counts @ _BITS_OF_BYTE).ravel()
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        values = np.array([hashed(joined, SEED)], dtype="<u8")
+    else:
+        starts = [0, *accumulate(len(t) + 1 for t in tokens)]
+        n = len(tokens) - words + 1
+        values = np.fromiter([hashed(joined[s : e - 1], SEED) for s, e in zip(starts[:n], starts[words:])], dtype="<u8", count=n)
+    if plan.distinct:
+        values = np.unique(values)
+    n = len(values)
+    out = np.empty(plan.parts, dtype=np.uint64)
+    for k in range(plan.parts):
+        x = values
+        if k:
+            x = (x + np.uint64(_MIX[0] * k % (1 << 64))) * np.uint64(_MIX[1])
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(_MIX[2])
+            x = x ^ (x >> np.uint64(32))
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, n, 1 << 18):
+            part = x[at : at + (1 << 18)].astype("<u8")
+            counts = np.bincount((part.view(np.uint8).reshape(len(part), 8) + _BYTE_BASE).ravel(), minlength=2048).reshape(8, 256)
+            ones += (counts @ _BITS_OF_BYTE).ravel()
+        out[k] = int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return out
+
+
+_BYTE_BASE = (np.arange(8) * 256).astype(np.int64)
+
+
+def _names(plan: Plan) -> list[str]:
+    return [f"fp{k}" for k in range(plan.parts)]
 
 
-def fingerprints(docs: DataFrame, columns: list[str], words: int = SHINGLE_WORDS) -> DataFrame:
-    """columns of docs beside fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, columns: list[str], plan: Plan = CONTRACT) -> DataFrame:
+    """columns of docs beside fp0, fp1 and so on, the fingerprint's parts as signed longs."""
+    names = _names(plan)
 
     def make():
-        return lambda texts: {"fp": np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)}
+        def work(texts: list[bytes | None]) -> dict[str, object]:
+            found = np.array([fingerprint(t, plan) for t in texts], dtype=np.uint64).reshape(len(texts), plan.parts).view(np.int64)
+            return {c: np.ascontiguousarray(found[:, k]) for k, c in enumerate(names)}
 
-    return map_text(docs, columns, "fp long", make)
+        return work
 
+    return map_text(docs, columns, ", ".join(f"{c} long" for c in names), make)
 
-def keys(fp: Column) -> Column:
-    """The ten keys of a fingerprint: number of the block pair, then its bits."""
+
+def block_keys(fp: Column) -> list[Column]:
+    """The ten keys of 64 bits: number of the block pair, then its bits."""
     parts = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1).cast("long")) for at, n in BLOCKS]
-    return F.array(*[F.lit(t << 26).cast("long") + F.shiftleft(parts[i], BLOCKS[j][1]) + parts[j] for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+    return [F.lit(t << 26).cast("long") + F.shiftleft(parts[i], BLOCKS[j][1]) + parts[j] for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+
+
+def sampled_keys(plan: Plan, n: int) -> list[Column]:
+    """Keys of sampled bits, in as many tables as SURE asks for."""
+    bits = max(13, math.ceil(math.log2(max(n, 2))) - 11)
+    tables = math.ceil(math.log(1 - SURE) / math.log(1 - (1 - DIFFERING) ** bits))
+    rng, out = np.random.default_rng(SEED), []
+    for t in range(tables):
+        key = F.lit(t << 40).cast("long")
+        for k, bit in enumerate(rng.choice(64 * plan.parts, bits, replace=False).tolist()):
+            one = F.shiftrightunsigned(F.col(f"fp{bit // 64}"), bit % 64).bitwiseAND(F.lit(1).cast("long"))
+            key = key + F.shiftleft(one, k)
+        out.append(key)
+    return out
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of all fingerprints, 64 to a word, with a spare word at the end."""
+    """Bit planes of (n, parts) fingerprints: row b holds bit b of all, 64 to a word, with a spare word at the end."""
     n = len(fp)
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     packed = np.packbits(bits, axis=1, bitorder="little")
     words = (n + 63) // 64 + 1
-    out = np.zeros((64, words * 8), dtype=np.uint8)
+    out = np.zeros((bits.shape[0], words * 8), dtype=np.uint8)
     out[:, : packed.shape[1]] = packed
     return out.view("<u8")
 
@@ -90,25 +152,29 @@ def _flags(mask: np.ndarray, words: int) -> np.ndarray:
     return out.view("<u8")
 
 
-def carry_save(over: np.ndarray, bit_pair) -> np.ndarray:
-    """Adds difference planes two at a time into counters of two bits; over gets the pairs beyond three differing bits.
+def carry_save(over: np.ndarray, n_planes: int, radius: int, bit_pair) -> np.ndarray:
+    """Adds difference planes two at a time into bitwise counters; over gets the pairs of more than radius differing bits.
 
     bit_pair(b) gives the difference planes b and b + 1. The block is left early once every pair is over.
     """
-    low, high = np.zeros_like(over), np.zeros_like(over)
-    for b in range(0, 64, 2):
+    width = max(2, (radius + 1).bit_length() if (radius + 1) & radius else radius.bit_length())
+    start = (1 << width) - 1 - radius  # counters overflow at radius + 1
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    counter = [np.full_like(over, full if start >> k & 1 else np.uint64(0)) for k in range(width)]
+    for b in range(0, n_planes, 2):
         x, y = bit_pair(b)
         u = x ^ y
-        carry = (x & y) | (u & low)
-        low ^= u
-        over |= high & carry
-        high ^= carry
-        if b % 8 == 6 and not (~over).any():
+        carry = (x & y) | (u & counter[0])
+        counter[0] ^= u
+        for k in range(1, width):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
+        if b % 8 == 6 and b > radius and not (~over).any():
             break
     return over
 
 
-def link_small(fp: np.ndarray, group: np.ndarray, most: int, lab: np.ndarray) -> np.ndarray:
+def link_small(fp: np.ndarray, group: np.ndarray, most: int, radius: int, lab: np.ndarray) -> np.ndarray:
     """Links rows of equal group (adjacent, at most `most` each): row k meets row k + d for every shift d."""
     p, n = planes(fp), len(fp)
     words = p.shape[1] - 1
@@ -126,106 +192,131 @@ def link_small(fp: np.ndarray, group: np.ndarray, most: int, lab: np.ndarray) ->
             out[: words - skip] = (near >> right) | ((far << left) << np.uint64(1))
             return out
 
-        over = carry_save(~_flags(same, words), lambda b: (p[b, :words] ^ moved(b), p[b + 1, :words] ^ moved(b + 1)))
+        over = carry_save(~_flags(same, words), len(p), radius, lambda b: (p[b, :words] ^ moved(b), p[b + 1, :words] ^ moved(b + 1)))
         hit = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little"))
         if len(hit):
             lab = unite(lab, hit, hit + d)
     return lab
 
 
-def link_large(fp: np.ndarray, lab: np.ndarray, base: int) -> np.ndarray:
-    """Links the rows of one large group: 64 queries at a time against all planes."""
+def link_large(fp: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of one large group: 64 queries at a time against all planes.
+
+    Any pair is either in the largest component or has a row outside, and all rows outside are queried.
+    """
     p, n = planes(fp)[:, :-1], len(fp)
     tail = ~_flags(np.ones(n, dtype=bool), p.shape[1])
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in range(0, n, 64):
-        part = fp[at : at + 64]
-        spread = [((part >> np.uint64(b)) & np.uint64(1)) * full for b in range(64)]
-        first = at // 64  # pairs with earlier rows were met before
-        over = np.repeat(tail[None, first:], len(part), axis=0)
-        over = carry_save(over, lambda b: (p[b, first:] ^ spread[b][:, None], p[b + 1, first:] ^ spread[b + 1][:, None]))
-        q, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
-        if len(q) > len(part):  # each meets itself
-            lab = unite(lab, q + (at + base), lane + (first * 64 + base))
-    return lab
-
-
-def link_sorted(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fp, fp) of whole groups; rows of a group are adjacent."""
+    lab, asked = np.arange(n), np.zeros(n, dtype=bool)
+    while True:
+        size = np.bincount(lab, minlength=n)
+        largest = size.argmax()
+        open_ = np.flatnonzero(~asked & ((lab != largest) | (size[largest] == 1)))
+        if not len(open_):
+            return lab
+        q = open_[:: max(1, len(open_) // 64)][:64]
+        asked[q] = True
+        part = fp[q]
+        spread = [((part[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1))[:, None] * full for b in range(len(p))]
+        over = carry_save(np.repeat(tail[None, :], len(q), axis=0), len(p), radius, lambda b: (p[b] ^ spread[b], p[b + 1] ^ spread[b + 1]))
+        row, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
+        lab = unite(lab, q[row], lane)
+
+
+def link_sorted(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row, row) of whole groups; rows of a group are adjacent."""
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[cut, len(group)])
     lab = np.arange(len(fp))
     few = np.repeat((size > 1) & (size <= SMALL_GROUP), size)
     if few.any():
         own = np.flatnonzero(few)
-        part = link_small(fp[own], group[own], SMALL_GROUP, np.arange(len(own)))
+        part = link_small(fp[own], group[own], SMALL_GROUP, radius, np.arange(len(own)))
         lab[own] = own[part]
     for at, n in zip(cut[size > SMALL_GROUP], size[size > SMALL_GROUP]):
-        lab = link_large(fp[at : at + n], lab, at)
+        lab[at : at + n] = at + link_large(fp[at : at + n], radius)
     child = np.flatnonzero(lab != np.arange(len(fp)))
-    return fp[child], fp[lab[child]]
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-
-    def out(key: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
-        a, b = link_sorted(np.cumsum(new), fp)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    for batch in batches:
-        rest = [np.concatenate([r, batch.column(k).to_numpy().view(r.dtype)]) for k, r in enumerate(rest)]
-        key, cell, _ = rest
-        if len(key) < 200_000:
-            continue
-        last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
-        cut = last[-1] + 1 if len(last) else 0
-        if cut:
-            yield out(*[r[:cut] for r in rest])
-            rest = [r[cut:] for r in rest]
-    if len(rest[0]):
-        yield out(*rest)
-
-
-def links(nodes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) of distinct fingerprints fp: they connect what links of at most RADIUS bits connect."""
-    keyed = nodes.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > CELL_ROWS).select("key", F.ceil(F.col("count") / (CELL_ROWS // 2)).cast("int").alias("parts"))
-    chunk = F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int")
-    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk).cast("long") * F.lit(1 << 20) + F.greatest(j, chunk))
-    dealt = keyed.join(hot, "key", "left").select("key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(met)).alias("cell"), "fp")
+    return child, lab[child]
+
+
+def _compare(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * (3 + plan.parts)
+
+        def out(key: np.ndarray, cell: np.ndarray, node: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch:
+            new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
+            a, b = link_sorted(np.cumsum(new), np.stack(parts, axis=1).view(np.uint64), plan.radius)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(len(rest))])
+            rows += batch.num_rows
+            if rows < 100_000:
+                continue
+            rest = [np.concatenate([r, *(h[k] for h in held)]) for k, r in enumerate(rest)]
+            held, rows = [], 0
+            key, cell = rest[:2]
+            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield out(*[r[:cut] for r in rest])
+                rest = [r[cut:] for r in rest]
+        rest = [np.concatenate([r, *(h[k] for h in held)]) for k, r in enumerate(rest)]
+        if len(rest[0]):
+            yield out(*rest)
+
+    return run
+
+
+def links(nodes: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
+    """Spanning links (a, b) of distinct fingerprints (node, fp0, ...): they connect what links within the radius connect."""
+    keys = block_keys(F.col("fp0")) if plan == CONTRACT else sampled_keys(plan, nodes.count())
+    keyed = nodes.select("node", *_names(plan), F.explode(F.array(*keys)).alias("key"))
+    hot = keyed.groupBy("key").count().where(F.col("count") > CELL_ROWS).select("key", F.ceil(F.col("count") / (CELL_ROWS // 2)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
+    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk).cast("long") * F.lit(1 << 20) + F.greatest(j, chunk))
+    dealt = keyed.join(hot, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(met)).alias("cell"), "node", *_names(plan))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare, "a long, b long")
+    return dealt.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(plan), "a long, b long")
+
 
+def classes(prints: DataFrame, first: Column, plan: Plan = CONTRACT) -> DataFrame:
+    """(node, root, component) for each distinct fingerprint; component is the smallest `first` among all it reaches.
 
-def classes(prints: DataFrame, first: Column) -> DataFrame:
-    """(fp, root, component) for each distinct fingerprint; component is the smallest `first` among all it reaches."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min(first).alias("least")), "fingerprints")
-    found = components(links(nodes)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    A node is the fingerprint itself, or a 64-bit hash of a longer one.
+    """
+    names = _names(plan)
+    least = prints.groupBy(*names).agg(F.min(first).alias("least"))
+    nodes = materialize(least.select(node_of(plan).alias("node"), *names, "least"), "fingerprints")
+    found = components(links(nodes.drop("least"), plan))
+    rooted = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return materialize(rooted.join(least, "root").select("fp", "root", "component"), "classes")
+    return materialize(rooted.join(least, "root").select("node", "root", "component"), "classes")
+
+
+def node_of(plan: Plan) -> Column:
+    return F.col("fp0") if plan.parts == 1 else F.xxhash64(*_names(plan))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     prints = materialize(fingerprints(docs, ["doc_id"]), "prints")
-    found = classes(prints, F.col("doc_id")).withColumnRenamed("fp", "known")
-    joined = prints.join(found, F.col("fp") == F.col("known"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    joined = prints.join(classes(prints, F.col("doc_id")), F.col("fp0") == F.col("node"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """One row of docs for each group that links connect: the one of the smallest doc_id, by row hash among equals.
 
     Rows that are equal in every column are one document.
     """
-    mark, fp = free_name(docs, "row_mark"), free_name(docs, "fp")
+    mark = free_name(docs, "row_mark")
     marked = docs.select("*", row_hash(docs).alias(mark))
-    prints = materialize(fingerprints(marked.withColumnRenamed(mark, "row_mark") if mark != "row_mark" else marked, ["doc_id", "row_mark"], words), "prints")
+    prints = materialize(fingerprints(marked.select("doc_id", "text", F.col(mark).alias("row_mark")), ["doc_id", "row_mark"], plan), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
-    keep = classes(prints, order).select(F.col("component.doc_id").alias("keep_id"), F.col("component.row_mark").alias("keep_mark")).distinct()
+    keep = classes(prints, order, plan).select(F.col("component.doc_id").alias("keep_id"), F.col("component.row_mark").alias("keep_mark")).distinct()
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(mark) == F.col("keep_mark")), "left_semi")
     return kept.dropDuplicates(["doc_id", mark]).drop(mark)
 
