@@ -160,7 +160,7 @@ def _as_sheets(h: _Held, fmt: str) -> structured.Sheets:
         return h.sheets
     if h.blocks is None and h.slides is None:
         return structured.sheets_of(h.value)
-    found = structured.markdown_sheets(_as_markdown(h, fmt))
+    found = structured.markdown_sheets(h.value if isinstance(h.value, str) else _as_markdown(h, fmt))
     if not found:
         raise ConversionError("NotImplemented", "there is no table in the document")
     return found

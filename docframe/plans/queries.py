@@ -10,8 +10,11 @@ from pyspark.sql.window import Window
 
 from ..functions import cells as C
 from ..functions import text as X
+from ..operators import html as H
+from ..operators import nodes as N
 from ..operators import relational as R
 from ..operators import tables as T
+from . import convert as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,5 +236,106 @@ def part_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "nation").select("n_nationkey", R.resolve_part(F.concat(F.lit("/ppt/slides/./../media/"), "n_name")).alias("path"))
 
 
+@query("html_to_markdown")
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"])
+
+
+@query("markdown_nodes")
+def markdown_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by kind of every page's tree."""
+    nodes = N.of_markdown(H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
+    return nodes.groupBy("page_id", "scope", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query("markdown_plain_text")
+def markdown_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.plain_text(N.of_markdown(H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"]), ["page_id"]), ["page_id"])
+
+
+@query("tables_only", "SELECT n_regionkey AS doc, 6 + 3 * count(*) * 2 + count(*) AS nodes, count(*) + 1 AS rows FROM nation GROUP BY n_regionkey")
+def tables_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of a heading, a paragraph and a quoted table for each region, cut down to the table and its quote."""
+    tables = T.markdown_tables(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
+    text = F.concat(F.lit("# Head\n\nText.\n\n> "), F.replace("markdown", F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
+    nodes = N.of_markdown(tables.select(F.col("n_regionkey").alias("doc"), text.alias("markdown")), ["doc"])
+    kept = N.tables_only(nodes, ["doc"])
+    return kept.groupBy("doc").agg((F.count("*") - 3).alias("nodes"), F.sum((F.col("kind") == "table_row").cast("int")).alias("rows"))
+
+
+def _converted(name: str, *steps: str, lossless: bool = True) -> None:
+    """A query that takes every page's canonical Markdown through formats and back, and says whether nothing was lost."""
+
+    @query(name, "SELECT page_id, true AS same FROM pages" if lossless else None)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("now"))
+        first = ("html", "json", "markdown")
+        for k, (a, b) in enumerate([*zip(first, first[1:]), *zip(steps, steps[1:])]):
+            if k == len(first) - 1:
+                df = df.withColumn("first", F.col("now"))
+            df = V.convert_column(df, "now", a, b, output="next").drop("now", "error").withColumnRenamed("next", "now")
+        return df.select("page_id", F.col("now").eqNullSafe(F.col("first")).alias("same"))
+
+
+for _f in ("json", "yaml", "toml", "docx"):
+    _converted(f"markdown_{_f}_roundtrip", "markdown", _f, "markdown")
+_converted("markdown_odt_roundtrip", "markdown", "odt", "markdown")
+_converted("markdown_html_roundtrip", "markdown", "html", "markdown", lossless=False)
+_converted("document_chain", "markdown", "docx", "json", "toml", "yaml", "markdown")
+_converted("slides_pptx", "markdown", "pptx", "markdown", lossless=False)
+_converted("slides_odp", "markdown", "odp", "markdown", lossless=False)
+
+
+def _workbook(name: str, *steps: str) -> None:
+    @query(name, "SELECT r_name, count(*) + 1 AS rows FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A JSON document for each region, through workbooks and back to the rows it was made of."""
+        both = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", (F.col("n_nationkey") % 2 == 0).alias("even"), (F.col("n_nationkey") / 4).alias("quarter"))))
+        df = both.groupBy("r_name").agg(F.to_json(rows).alias("now"))
+        for a, b in zip(steps, steps[1:]):
+            df = V.convert_column(df, "now", a, b, output="next").drop("now", "error").withColumnRenamed("next", "now")
+        parsed = F.from_json("now", "array<struct<n_nationkey bigint, n_name string, even boolean, quarter double>>")
+        return df.where(F.exists(parsed, lambda x: x["even"] == (x["n_nationkey"] % 2 == 0))).select("r_name", (F.size(parsed) + 1).cast("bigint").alias("rows"))
+
+
+_workbook("workbook_xlsx", "json", "xlsx", "json")
+_workbook("workbook_ods", "json", "ods", "json")
+_workbook("workbook_chain", "json", "xlsx", "ods", "xlsx", "json", "toml", "yaml", "ods", "json")
+
+
+@query("csv_to_markdown", "SELECT n_regionkey, '| id | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name")
+    text = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("id;name\n"), T.ordered_lines(line, ["n_nationkey"])).alias("csv"))
+    return V.convert_column(text, "csv", "csv", "markdown", V.Options(delimiter=";"), "markdown").select("n_regionkey", "markdown")
+
+
+@query("sheets_of_text", "SELECT r_name, count(*) + 1 AS rows FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def sheets_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of one text with a section for each region: lines to sections by a running last heading."""
+    sheets = sheet_text(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list("sheet")), "\n\n").alias("text")).withColumn("doc", F.lit(0))
+    lines = R.lines_of(sheets, ["doc"], "text")
+    name = R.running_last(F.when(F.startswith("line", F.lit("## ")), F.substring("line", 4, 1000)), ["doc"], "line_no")
+    rows = lines.select("doc", "line", name.alias("r_name")).where(F.col("line").contains("|") & ~T.is_separator(F.col("line")))
+    return rows.groupBy("r_name").agg(F.count("*").alias("rows"))
+
+
+@query("routing_matrix", "SELECT 240 AS pairs, 132 AS runs")
+def routing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of formats that have a plan, and pairs that run without libraries beyond Spark's."""
+    pairs = [(a, b, int(V.supported(a, b))) for a in V.DIRECT for b in V.DIRECT if a != b and V.plan(a, b)]
+    df = spark.createDataFrame(pairs, "a string, b string, runs int")
+    return df.agg(F.count("*").cast("int").alias("pairs"), F.sum("runs").cast("int").alias("runs"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", "url")
+    """One row per page: its title, Markdown, and what its tree holds."""
+    made = H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"])
+    nodes = N.of_markdown(made, ["page_id"])
+    n = lambda kind: F.sum((F.col("kind") == kind).cast("int"))
+    counted = nodes.groupBy("page_id").agg(n("heading").alias("n_headings"), n("link").alias("n_links"), n("list_item").alias("n_list_items"), n("table").alias("n_tables"), F.sum(F.when(F.col("kind").isin("text", "code", "math"), F.length("text"))).alias("plain_text_chars"))
+    return made.join(counted, "page_id", "left").select("page_id", F.regexp_extract("markdown", r"(?m)^# (.*)$", 1).alias("title"), "n_headings", "n_links", "n_list_items", "n_tables", "plain_text_chars", "markdown")
+
+
+query("flagship")(flagship)

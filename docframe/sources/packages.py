@@ -61,6 +61,10 @@ def child(e: ET.Element | None, *names: str) -> ET.Element | None:
     return e
 
 
+def inside(e: ET.Element | None) -> list[ET.Element]:
+    return [] if e is None else list(e)
+
+
 def resolve(base: str, target: str) -> str:
     """A part's name from a relationship target."""
     steps = [] if target.startswith("/") else base.split("/")[:-1]
@@ -155,11 +159,11 @@ def read_xlsx(data: bytes) -> Sheets:
     if "xl/styles.xml" in files:
         styles = _xml(files["xl/styles.xml"])
         own = {f.get("numFmtId") for f in styles.iter() if local(f) == "numFmt" and re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")), re.I)}
-        dates = {str(k) for k, x in enumerate(child(styles, "cellXfs") or ()) if x.get("numFmtId") in own or x.get("numFmtId", "").isdigit() and (14 <= int(x.get("numFmtId")) <= 22 or 45 <= int(x.get("numFmtId")) <= 47)}
+        dates = {str(k) for k, x in enumerate(inside(child(styles, "cellXfs"))) if x.get("numFmtId") in own or x.get("numFmtId", "").isdigit() and (14 <= int(x.get("numFmtId")) <= 22 or 45 <= int(x.get("numFmtId")) <= 47)}
     out: Sheets = {}
-    for s in child(_xml(files["xl/workbook.xml"]), "sheets") or ():
+    for s in inside(child(_xml(files["xl/workbook.xml"]), "sheets")):
         rows: list[list] = []
-        for row in child(_xml(files[rels[attr(s, "id")]]), "sheetData") or ():
+        for row in inside(child(_xml(files[rels[attr(s, "id")]]), "sheetData")):
             y = int(row.get("r", len(rows) + 1))
             while len(rows) < y:
                 rows.append([])
@@ -278,6 +282,7 @@ _ODT_MARKS = {"strong": ("B", 'fo:font-weight="bold"'), "emphasis": ("I", 'fo:fo
 def write_odt(blocks: list[dict]) -> bytes:
     styles = "".join(f'<style:style style:name="{n}" style:family="text"><style:text-properties {p}/></style:style>' for n, p in _ODT_MARKS.values())
     styles += "".join(f'<style:style style:name="{n}" style:family="paragraph"/>' for n in ("Code_20_Block", "Quote", "Rule", "Math"))
+    styles += "".join(f'<style:style style:name="{n}" style:family="text"/>' for n in ("Math", "Note"))
     styles += '<text:list-style style:name="Bullet"><text:list-level-style-bullet text:level="1" text:bullet-char="-"/></text:list-style><text:list-style style:name="Number"><text:list-level-style-number text:level="1"/></text:list-style>'
 
     def inline(items: list[dict]) -> str:
@@ -286,7 +291,9 @@ def write_odt(blocks: list[dict]) -> bytes:
             kind = i["type"]
             if kind in ("text", "code", "math"):
                 t = _odf_string(i["text"] if kind != "math" else M.render_inline(i))
-                out.append(f'<text:span text:style-name="Code">{t}</text:span>' if kind == "code" else t)
+                out.append(f'<text:span text:style-name="{kind.title()}">{t}</text:span>' if kind != "text" else t)
+            elif kind == "footnote_reference":
+                out.append(f'<text:span text:style-name="Note">{_odf_string(i["label"])}</text:span>')
             elif kind in _ODT_MARKS:
                 out.append(f'<text:span text:style-name="{_ODT_MARKS[kind][0]}">{inline(i["content"])}</text:span>')
             elif kind == "link":
@@ -347,7 +354,13 @@ def read_odt(data: bytes) -> list[dict]:
             if n == "span":
                 inner = inline(c)
                 own = marks.get(attr(c, "style-name"), [])
-                if own == ["code"]:
+                name, whole = attr(c, "style-name"), odf_text(c)
+                if name == "Math" and whole.startswith("$"):
+                    k = 2 if whole.startswith("$$") else 1
+                    inner = [{"type": "math", "text": whole[k:-k], "display": k == 2}]
+                elif name == "Note":
+                    inner = [{"type": "footnote_reference", "label": whole}]
+                elif own == ["code"]:
                     inner = [{"type": "code", "text": odf_text(c)}]
                 else:
                     for m in reversed(own):

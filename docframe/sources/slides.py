@@ -11,7 +11,7 @@ from xml.sax.saxutils import escape, quoteattr
 
 from ..operators import markdown as M
 from ..operators.html import table_text
-from .packages import _A, _P, _R, _XML, _rels, _types, _xml, attr, child, local, odf_body, odf_package, odf_text, package, parts, relationships
+from .packages import _A, _P, _R, _XML, _rels, _types, _xml, attr, child, inside, local, odf_body, odf_package, odf_text, package, parts, relationships
 from .structured import DataError, parse_table
 
 
@@ -101,7 +101,7 @@ def read_pptx(data: bytes) -> list[dict]:
         raise DataError("the presentation part is missing")
     rels = relationships(files, "ppt/presentation.xml")
     out = []
-    for s in child(_xml(files["ppt/presentation.xml"]), "sldIdLst") or ():
+    for s in inside(child(_xml(files["ppt/presentation.xml"]), "sldIdLst")):
         ref = next((v for k, v in s.attrib.items() if k == f"{{{_R}}}id"), "")
         if rels.get(ref) not in files:
             raise DataError(f"slide {ref} has no part")

@@ -34,6 +34,8 @@ class _Writer:
                 out.append(self.run(i["text"], props))
             elif kind == "code":
                 out.append(self.run(i["text"], props + _RUN["code"]))
+            elif kind == "math":
+                out.append(f'<w:r><w:rPr><w:rStyle w:val="Math"/></w:rPr><w:t xml:space="preserve">{escape(M.render_inline(i))}</w:t></w:r>')
             elif kind in _RUN:
                 out.append(self.inline(i["content"], props + _RUN[kind]))
             elif kind == "link":
@@ -131,7 +133,7 @@ def write(blocks: list[dict]) -> bytes:
     levels = lambda ordered, start: "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="{start if not k else 1}"/><w:numFmt w:val="{"decimal" if ordered else "bullet"}"/></w:lvl>' for k in range(DEEPEST_LIST))
     files["word/numbering.xml"] = f"{_XML}<w:numbering {ns}>" + "".join(f'<w:abstractNum w:abstractNumId="{k}">{"".join(f"""<w:lvl w:ilvl="{l}"><w:start w:val="{s}"/><w:numFmt w:val="{"decimal" if o else "bullet"}"/></w:lvl>""" for l in range(DEEPEST_LIST))}</w:abstractNum>' for k, (o, s) in enumerate(w.lists, 1)) + "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="{k}"/></w:num>' for k in range(1, len(w.lists) + 1)) + "</w:numbering>"
     styles = [f"Heading{k}" for k in range(1, 7)] + ["Quote", "CodeBlock", "Rule", "MathBlock"]
-    files["word/styles.xml"] = f"{_XML}<w:styles {ns}>" + "".join(f'<w:style w:type="paragraph" w:styleId="{s}"><w:name w:val="{re.sub(r"(?<=g)(?=[0-9])", " ", s)}"/></w:style>' for s in styles) + '<w:style w:type="character" w:styleId="Code"><w:name w:val="Code"/><w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr></w:style></w:styles>'
+    files["word/styles.xml"] = f"{_XML}<w:styles {ns}>" + "".join(f'<w:style w:type="paragraph" w:styleId="{s}"><w:name w:val="{re.sub(r"(?<=g)(?=[0-9])", " ", s)}"/></w:style>' for s in styles) + '<w:style w:type="character" w:styleId="Code"><w:name w:val="Code"/><w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr></w:style><w:style w:type="character" w:styleId="Math"><w:name w:val="Math"/></w:style></w:styles>'
     files["word/document.xml"] = f"{_XML}<w:document {ns}><w:body>{body}</w:body></w:document>"
     files["word/_rels/document.xml.rels"] = _rels(rels)
     files["_rels/.rels"] = _rels([("rId1", "officeDocument", "word/document.xml", False)])
@@ -171,6 +173,10 @@ class _Reader:
             pending = ((), "")
             if not text:
                 return
+            if marks == ("math",):
+                n = 2 if text.startswith("$$") else 1
+                M._add(out, {"type": "math", "text": text[n:-n], "display": n == 2})
+                return
             lead, core, trail = re.fullmatch(r"(\s*)(.*?)(\s*)", text, re.S).groups() if marks else ("", text, "")
             M._add(out, {"type": "text", "text": lead})
             if core:
@@ -199,11 +205,11 @@ class _Reader:
                 p = child(r, "rPr")
                 style = attr(child(p, "rStyle"), "val") or ""
                 script = attr(child(p, "vertAlign"), "val")
-                marks = tuple(m for m, ok in (("code", style == "Code"), ("superscript", script == "superscript"), ("subscript", script == "subscript"), ("emphasis", self.on(p, "i")), ("strong", self.on(p, "b")), ("strikethrough", self.on(p, "strike")), ("underline", self.on(p, "u"))) if ok)
+                marks = ("math",) if style == "Math" else tuple(m for m, ok in (("code", style == "Code"), ("superscript", script == "superscript"), ("subscript", script == "subscript"), ("emphasis", self.on(p, "i")), ("strong", self.on(p, "b")), ("strikethrough", self.on(p, "strike")), ("underline", self.on(p, "u"))) if ok)
                 for c in r:
                     k = local(c)
                     if k in ("t", "tab", "noBreakHyphen"):
-                        if pending[0] != marks:
+                        if pending[0] != marks or marks == ("math",):
                             flush()
                         pending = (marks, pending[1] + {"t": c.text or "", "tab": "\t", "noBreakHyphen": "-"}[k])
                     elif k in ("br", "cr"):
