@@ -162,11 +162,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """Rows of docs, each as often as the mix has it. Rows that are equal in every column share their copies."""
-    mark, number, n = free_name(docs, "row_mark"), free_name(docs, "copy_number"), free_name(docs, "copies")
-    copies = mix(docs).groupBy(F.col("doc_id").alias("mixed_id"), F.col("row_mark").alias("mixed_mark")).agg(F.sum("copies").cast("int").alias("mixed_copies")).where("mixed_copies > 0")
+    mark, number, n, mixed_id, mixed_mark = (free_name(docs, x) for x in ("row_mark", "copy_number", "copies", "mixed_id", "mixed_mark"))
+    copies = mix(docs).groupBy(F.col("doc_id").alias(mixed_id), F.col("row_mark").alias(mixed_mark)).agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
     marked = docs.select("*", row_hash(docs).alias(mark))
-    joined = marked.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (F.col(mark) == F.col("mixed_mark")))
-    unit = joined.drop("mixed_id", "mixed_mark").withColumnRenamed("mixed_copies", n).dropDuplicates(["doc_id", mark])
+    joined = marked.join(copies, F.col("doc_id").eqNullSafe(F.col(mixed_id)) & (F.col(mark) == F.col(mixed_mark)))
+    unit = joined.drop(mixed_id, mixed_mark).dropDuplicates(["doc_id", mark])
     return unit.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

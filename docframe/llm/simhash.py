@@ -316,8 +316,9 @@ def deduplicate(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     marked = docs.select("*", row_hash(docs).alias(mark))
     prints = materialize(fingerprints(marked.select("doc_id", "text", F.col(mark).alias("row_mark")), ["doc_id", "row_mark"], plan), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
-    keep = classes(prints, order, plan).select(F.col("component.doc_id").alias("keep_id"), F.col("component.row_mark").alias("keep_mark")).distinct()
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(mark) == F.col("keep_mark")), "left_semi")
+    keep_id, keep_mark = free_name(docs, "keep_id"), free_name(docs, "keep_mark")
+    keep = classes(prints, order, plan).select(F.col("component.doc_id").alias(keep_id), F.col("component.row_mark").alias(keep_mark)).distinct()
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(mark) == F.col(keep_mark)), "left_semi")
     return kept.dropDuplicates(["doc_id", mark]).drop(mark)
 
 
