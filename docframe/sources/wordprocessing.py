@@ -7,6 +7,7 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 from ..operators import markdown as M
+from ..operators.equations import latex
 from .packages import _R, _W, _XML, _rels, _types, _xml, attr, child, local, package, parts, relationships
 from .structured import DataError
 
@@ -197,6 +198,9 @@ class _Reader:
             elif n == "bookmarkStart" and not (attr(r, "name") or "_").startswith("_"):
                 flush()
                 M._add(out, {"type": "bookmark", "name": attr(r, "name")})
+            elif n in ("oMath", "oMathPara"):
+                flush()
+                M._add(out, {"type": "math", "text": latex(r), "display": n == "oMathPara"})
             elif n in ("ins", "smartTag", "sdt", "sdtContent"):
                 flush()
                 for i in self.runs(r):
