@@ -238,7 +238,43 @@ class _Reader:
             self.labels[kind, note] = own or (note if kind == "footnote" else f"endnote-{note}")
         return self.labels[kind, note]
 
+    def merged(self, e: ET.Element) -> dict | None:
+        """A table with merged cells, as HTML; None for others."""
+        spans: dict[tuple[int, int], list[int]] = {}  # by place of the first cell: columns and rows
+        text: dict[tuple[int, int], str] = {}
+        above: dict[int, tuple[int, int]] = {}  # by column: the first cell of a vertical merge that goes on
+        for y, r in enumerate(r for r in e if local(r) == "tr"):
+            x = 0
+            for c in (c for c in r if local(c) == "tc"):
+                width = int(attr(child(c, "tcPr", "gridSpan"), "val") or 1)
+                merge = child(c, "tcPr", "vMerge")
+                goes_on = merge is not None and attr(merge, "val") != "restart"
+                if goes_on and x in above:
+                    spans[above[x]][1] += 1
+                else:
+                    spans[y, x] = [width, 1]
+                    text[y, x] = "<br>".join(M.render_inlines(self.runs(p)) for p in c if local(p) == "p")
+                for k in range(x, x + width):
+                    if merge is None:
+                        above.pop(k, None)
+                    elif not goes_on:
+                        above[k] = (y, x)
+                x += width
+        if all(s == [1, 1] for s in spans.values()) and not any(local(c) == "vMerge" for c in e.iter()):
+            return None
+        out = ["<table>"]
+        for y in sorted({y for y, _ in spans}):
+            out.append("  <tr>")
+            for at in sorted(k for k in spans if k[0] == y):
+                more = "".join(f' {n}="{v}"' for n, v in zip(("colspan", "rowspan"), spans[at]) if v > 1)
+                out.append(f"    <td{more}>{escape(text[at])}</td>")
+            out.append("  </tr>")
+        return {"type": "html", "html": "\n".join([*out, "</table>"])}
+
     def table(self, e: ET.Element) -> dict:
+        whole = self.merged(e)
+        if whole:
+            return whole
         rows, sides = [], []
         for r in (r for r in e if local(r) == "tr"):
             row = []
@@ -308,13 +344,64 @@ class _Reader:
         block["items"].append(item)
 
 
+_TEXT_NOTE = re.compile(r"\s*\[([0-9]+|[ivxlcdm]+)\] ")
+
+
+def textual_notes(blocks: list[dict]) -> list[dict]:
+    """Notes written by hand: paragraphs `[1] text`, and `[1]` where other text refers to them.
+
+    All such paragraphs leave the text; those that something refers to become footnotes at the end.
+    """
+
+    def label(b: dict) -> str | None:
+        first = b.get("content") or [{}] if b["type"] == "paragraph" else [{}]
+        m = _TEXT_NOTE.match(first[0].get("text", "")) if first[0].get("type") == "text" else None
+        return m and m[1]
+
+    def texts(x: object) -> str:
+        if isinstance(x, dict):
+            return x["text"] if x.get("type") == "text" else "".join(map(texts, x.values()))
+        return "\0".join(map(texts, x)) if isinstance(x, list) else ""
+
+    definitions = {}
+    for b in blocks:
+        if label(b):
+            definitions.setdefault(label(b), b)
+    if not definitions:
+        return blocks
+    body = [b for b in blocks if not label(b)]
+    used = [n for n in definitions if f"[{n}]" in texts([b for b in blocks if label(b) != n])]
+
+    def linked(x: object) -> object:
+        if isinstance(x, list):
+            out: list = []
+            for i in x:
+                if isinstance(i, dict) and i.get("type") == "text":
+                    for k, part in enumerate(re.split(r"\[([^\[\]]+)\]", i["text"])):
+                        if k % 2 and part in used:
+                            out.append({"type": "footnote_reference", "label": part})
+                        else:
+                            M._add(out, {"type": "text", "text": f"[{part}]" if k % 2 else part})
+                else:
+                    out.append(linked(i))
+            return out
+        return {k: linked(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    notes = []
+    for n in used:
+        content = [dict(i) for i in definitions[n]["content"]]
+        content[0]["text"] = _TEXT_NOTE.sub("", content[0]["text"], count=1)
+        notes.append({"type": "footnote_definition", "label": n, "blocks": [{"type": "paragraph", "content": [i for i in content if i.get("text") != ""]}]})
+    return [*linked(body), *notes]
+
+
 def read(data: bytes) -> list[dict]:
     files = parts(data)
     if "word/document.xml" not in files:
         raise DataError("the document part is missing")
     r = _Reader(files)
     body = child(_xml(files["word/document.xml"]), "body")
-    blocks = r.blocks(body if body is not None else ET.Element("body"))
+    blocks = textual_notes(r.blocks(body if body is not None else ET.Element("body")))
     for (kind, note), label in list(r.labels.items()):  # only notes that something refers to
         part = f"word/{kind}s.xml"
         own = next((x for x in (_xml(files[part]) if part in files else ()) if attr(x, "id") == note), None)
