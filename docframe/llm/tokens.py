@@ -9,8 +9,8 @@ come before them. No rule crosses the end of a document, so a document is decode
 expansion lengths lead to any position in it without decoding what comes before.
 
 Re-Pair: the frequent pairs of adjacent symbols are replaced by new symbols, again and again, until no pair is frequent.
-Each pass replaces all pairs that occur LEAST times or more (where two of them overlap, the left one), which needs a few
-sorts of a block in place of one pass for each rule.
+Each pass replaces all pairs that occur LEAST times or more (where two of them overlap, the left one), so a block takes a
+few passes in place of one for each rule.
 
 Defined results: null and empty texts are the end id alone; texts are encoded whole; documents are written in ascending
 doc_id order, null first, equal ids by text; rows of equal doc_id are documents of their own; extra columns are not read;
@@ -19,6 +19,7 @@ an empty table gives an empty dataset.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -36,58 +37,127 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MAGIC = b"RPG1"
 #: Ids of a block, about; a longer document is a block of its own.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 #: A pair is replaced while it occurs so often in a block; passes at most.
 LEAST, PASSES = 24, 8
-#: Words whose ids a Python worker remembers, over its tasks, before it starts anew.
-REMEMBERED = 800_000
+#: Bits of the hash by which pairs are counted.
+COUNT_BITS = 18
+_MIX = 0x9E3779B97F4A7C15
+#: Words, and runs of letters or signs, whose ids a Python worker remembers, over its tasks, before it starts anew.
+WORDS, RUNS = 300_000, 600_000
 #: Python splits words at these too, the tokenizer does not: such texts go to it whole.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters below U+0250 without marks that combine: their lower case is the tokenizer's, and normal form C leaves them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:|%&$#*]*)")
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, n_tokens array<int>, starts array<int>, payload binary"
 
 
+class _Numbers(dict):
+    """Numbers of words; a word that is asked for and not there gets the next one, and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word once.
+    """Ids of texts by the tokenizers library, which sees each distinct run of letters once.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order. It also parts
+    letters from signs: a word of plain letters with signs behind is its letters, in lower case, and its signs.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-case runs of letters, which need no normal form and part at blanks alone; as each run
+        # comes once, the model's own memory of words would only cost time
+        letters = Tokenizer.from_file(path)
+        letters.normalizer = normalizers.Sequence([])
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if hasattr(letters.model, "_resize_cache"):
+            letters.model._resize_cache(0)
+        self.letters = getattr(letters, "encode_batch_fast", letters.encode_batch)
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.ends = np.zeros(self.terminals, dtype=bool)  # ids of tokens that end a run of letters
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[k] = token.endswith("</w>")
+        self.runs: dict[str, bytes] = {}  # ids as they lie in memory
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.flat, self.at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.batch(words, add_special_tokens=False)]
+        if len(self.runs) > RUNS:
+            self.runs = {}
+        runs, match = self.runs, _PLAIN.fullmatch
+        first: list[str] = []
+        signs: list[str] = []
+        letters: dict[str, None] = {}
+        other: dict[str, None] = {}
         for w in words:
-            self.number[w] = len(self.number)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=int(size.sum()))])
+            if w.isascii() and w.isalpha():
+                run, sign = w.lower(), ""
+            elif m := match(w):
+                run, sign = m[1].lower(), m[2]
+                if sign and sign not in runs:
+                    other[sign] = None
+            else:
+                run, sign = w, ""
+                if run not in runs:
+                    other[run] = None
+                first.append(run)
+                signs.append(sign)
+                continue
+            if run not in runs:
+                letters[run] = None
+            first.append(run)
+            signs.append(sign)
+        letters, other = list(letters), list(other)
+        for at in range(0, len(letters), 128):
+            part = letters[at : at + 128]
+            ids = np.array(self.letters([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # not as the tokenizer's pattern has it: one by one
+                ids_of = [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.batch(part, add_special_tokens=False)]
+            else:
+                data = ids.tobytes()
+                ids_of = [data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+            self.runs.update(zip(part, ids_of))
+        self.runs.update(zip(other, (np.array(e.ids, dtype=np.uint32).tobytes() for e in self.batch(other, add_special_tokens=False))) if other else ())
+        pieces = [runs[a] + runs[b] if b else runs[a] for a, b in zip(first, signs)]
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(pieces), dtype=np.uint32)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > WORDS:
             self._forget()
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        new = {w for words in split if words for w in words} - self.number.keys()
+        gc.disable()  # nothing here has cycles, and collections would go through millions of words
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        number, rows = self.number.__getitem__, []
+        for t in texts:
+            rows.append(None if _ODD.search(t) else np.array(list(map(number, t.split())), dtype=np.int64))
+        new, self.number.new = self.number.new, []
         if new:
-            self._learn(sorted(new))
-        get, out = self.number.__getitem__, []
-        for t, words in zip(texts, split):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
-            else:
-                out.append(gather(self.flat, self.at, np.fromiter(map(get, words), dtype=np.int64, count=len(words))))
-        return out
+            self._learn(new)
+        return [gather(self.flat, self.at, r) if r is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t, r in zip(texts, rows)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -109,37 +179,40 @@ def gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def repair(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, sequence, last) of a grammar for ids; last marks the symbols that end a document."""
-    seq, rules = ids.astype(np.uint64), []
-    count = 0
-    for _ in range(PASSES):
+    """(rules, sequence, last) of a grammar for ids; last marks the symbols that end a document.
+
+    Pairs are counted in cells of a hash table. A cell stands for one pair in a pass; a pair that shares its cell with
+    another meets it in another cell in the next pass, whose hash differs.
+    """
+    seq, rules, count = ids.astype(np.uint64), [], 0
+    stands = np.zeros(1 << COUNT_BITS, dtype=np.uint64)
+    for turn in range(PASSES):
         if len(seq) < 2:
             break
         pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        own = np.flatnonzero(~last[:-1])
-        ordered = np.sort(pair[own])
-        cut = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        often = np.diff(np.r_[cut, len(ordered)]) >= LEAST
-        if not len(ordered) or not often.any():
-            break
-        chosen = ordered[cut[often]]
-        k = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = (chosen[k] == pair) & ~last[:-1]
-        places = np.flatnonzero(hit)
+        cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+        many = np.bincount(cell, minlength=1 << COUNT_BITS) >= LEAST
+        own = np.flatnonzero(many[cell] & ~last[:-1])
+        pair, cell = pair[own], cell[own]
+        stands[cell] = pair
+        same = stands[cell] == pair
+        own, cell = own[same], cell[same]
+        often = (np.bincount(cell, minlength=1 << COUNT_BITS) >= LEAST)[cell]
+        places, cell = own[often], cell[often]
         run = np.r_[True, np.diff(places) > 1]  # overlapping hits are runs; every second one is taken
-        first = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - first) % 2 == 0]
-        used = np.bincount(k[places], minlength=len(chosen))
-        places = places[used[k[places]] >= 4]
+        first = np.maximum.accumulate(np.where(run[: len(places)], np.arange(len(places)), 0))
+        second = (np.arange(len(places)) - first) % 2 == 0
+        places, cell = places[second], cell[second]
+        used = np.bincount(cell, minlength=1 << COUNT_BITS)
+        places, cell = places[used[cell] >= 4], cell[used[cell] >= 4]
         if not len(places):
             break
-        kept = np.unique(k[places])
-        number = np.full(len(chosen), -1, dtype=np.int64)
-        number[kept] = np.arange(len(kept)) + terminals + count
-        rules.append(chosen[kept])
+        kept = np.flatnonzero(used >= 4)
+        number = np.zeros(1 << COUNT_BITS, dtype=np.uint64)
+        number[kept] = np.arange(len(kept), dtype=np.uint64) + np.uint64(terminals + count)
+        rules.append(stands[kept])
         count += len(kept)
-        seq = seq.copy()
-        seq[places] = number[k[places]].astype(np.uint64)
+        seq[places] = number[cell]
         last = last.copy()
         last[places] = last[places + 1]
         stay = np.ones(len(seq), dtype=bool)
