@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import FORMATS, TEXT_FORMATS
 from ..operators import html, to_html
 from ..operators import markdown as M
-from ..sources import packages, slides, structured, wordprocessing
+from ..sources import packages, payload, slides, structured, wordprocessing
 
 STRUCTURED = ("json", "yaml", "toml")
 #: Need libraries that do not come with Spark: page layout and recognition, and the binary office formats.
@@ -78,6 +78,8 @@ class Options:
     tables_only: bool = False
     overwrite: bool = False
     css: str = ""
+    #: OpenDocument to Markdown: the package goes along in a comment, for lossless edits.
+    keep_package: bool = False
 
 
 def parse_delimiter(text: str) -> str:
@@ -198,7 +200,15 @@ def convert_bytes(data: bytes, source: str, target: str, options: Options = Opti
         raise ConversionError("NotImplemented", f"{source} to {target} needs a library that is not there")
     try:
         for a, b in zip(stages, stages[1:]):
-            data = _write(_read(data, a, options), a, b, options)
+            held = None
+            if a == "markdown":
+                text, held = payload.split(_text(data))
+                data = text.encode() if held else data
+            if held and b in packages.ODF_TYPE:
+                data = payload.apply(text, held, b)
+                continue
+            made = _write(_read(data, a, options), a, b, options)
+            data = payload.attach(made.decode(), data, a).encode() if options.keep_package and b == "markdown" and a in packages.ODF_TYPE else made
     except ConversionError:
         raise
     except (ValueError, KeyError, RecursionError) as e:
