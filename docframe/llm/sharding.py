@@ -4,7 +4,8 @@ Documents of equal text are linked. All start in a shard by hash; then, in round
 that most of its group is in, and moves there under quotas: linked documents alone may fill a shard up to its capacity,
 and the share of those that may go from one shard to another is set so that no shard goes beyond it. What hangs on nothing
 then evens the sizes: shards over the mean give documents, those without links first and small ones before large ones, to
-shards under it, at exact running sums, so a shard ends within about the size of one small document of the mean.
+shards under it, at exact running sums, so a shard ends within about the size of one small document of the mean. A document larger than the mean has a shard
+nearly to itself, and the others share the rest evenly.
 
 A group of any size is met as sums by shard only. Running sums and slots come from range partitions: a running sum in
 each, and the sums of all partitions before it.
@@ -79,6 +80,15 @@ def quotas(demand: np.ndarray, linked: np.ndarray, capacity: float) -> np.ndarra
     return share
 
 
+def goals(total: int, largest: np.ndarray) -> np.ndarray:
+    """Sizes that shards should end with: all alike, but for a document larger than that, which fills a shard by itself."""
+    level, alone = total / len(largest), np.zeros(len(largest), dtype=bool)
+    while (new := ~alone & (largest > level)).any() and not (alone | new).all():
+        alone |= new
+        level = (total - largest[alone].sum()) / (~alone).sum()
+    return np.where(alone, largest, level)
+
+
 def _lookup(values: np.ndarray, *keys: Column) -> Column:
     """An entry of a small matrix by column values."""
     if not keys:
@@ -107,10 +117,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         go = F.col("wanted").isNotNull() & (fraction(F.lit(turn), "doc_id", "h") < _lookup(share, F.col("shard"), F.coalesce("wanted", F.lit(0))))
         rows = linked.withColumn("shard", F.when(go, F.col("wanted")).otherwise(F.col("shard")))
     rows = materialize(rows, "propagated")
-    load = np.zeros(shards)
-    for s, b in rows.groupBy("shard").agg(F.sum("size")).collect():
-        load[s] = b
-    over, under = np.maximum(load - mean, 0.0), np.maximum(mean - load, 0.0)
+    load, largest = np.zeros(shards), np.zeros(shards)
+    for s, b, n in rows.groupBy("shard").agg(F.sum("size"), F.max("size")).collect():
+        load[s], largest[s] = b, n
+    goal = goals(total, largest)
+    over, under = np.maximum(load - goal, 0.0), np.maximum(goal - load, 0.0)
     start, room = np.cumsum(over) - over, np.r_[0.0, np.cumsum(under)]
     # documents without links first, then those of the largest groups, which are in many shards anyway
     rank = F.when(F.col("wanted").isNull(), F.lit(0)).when(F.col("group_bytes") > mean / 2, F.lit(1)).otherwise(F.lit(2))
