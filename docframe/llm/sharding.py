@@ -106,7 +106,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for turn in range(ROUNDS):
         here = [F.sum((F.col("shard") == k).cast("long")) for k in range(shards)]
         groups = rows.groupBy(F.col("h").alias("group_h")).agg(F.count("*").alias("copies"), F.array(*here).alias("here"), F.max("size").alias("each")).where("copies > 1")
-        wanted = groups.select("group_h", (F.array_position("here", F.array_max("here")) - 1).cast("int").alias("wanted"), (F.col("copies") * F.col("each")).alias("group_bytes"))
+        found = groups.select("group_h", (F.array_position("here", F.array_max("here")) - 1).cast("int").alias("wanted"), (F.col("copies") * F.col("each")).alias("group_bytes"))
+        wanted = materialize(found, f"groups{turn}")  # as a table it leaves a hot group's rows free to be split in the join
         base = rows.select("doc_id", "size", "text_crc32", "h", "shard")
         linked = materialize(base.join(wanted, F.col("h") == F.col("group_h"), "left").drop("group_h"), f"linked{turn}")
         demand, load = np.zeros((shards, shards)), np.zeros(shards)
