@@ -153,7 +153,11 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         number, rows = self.number.__getitem__, []
         for t in texts:
-            rows.append(None if _ODD.search(t) else np.array(list(map(number, t.split())), dtype=np.int64))
+            if _ODD.search(t):
+                rows.append(None)
+            else:
+                words = t.split()
+                rows.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
         new, self.number.new = self.number.new, []
         if new:
             self._learn(new)
@@ -256,6 +260,7 @@ class Grammar:
         raw = np.zeros((n, 4), dtype=np.uint8)
         raw[:, :3] = np.frombuffer(payload, np.uint8, 3 * n, at).reshape(n, 3)
         self.seq = raw.view("<u4").ravel()
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
 
     def size(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol stands for."""
@@ -265,6 +270,14 @@ class Grammar:
         return np.where(s < self.terminals, 1, self.lengths[np.maximum(s - self.terminals, 0)])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a run of symbols, from a table of what each symbol stands for."""
+        if self.table is None:
+            flat = np.concatenate([np.arange(self.terminals, dtype="<u4"), self._opened(np.arange(len(self.rules), dtype="<u4") + np.uint32(self.terminals))])
+            size = np.concatenate([np.ones(self.terminals, dtype=np.int64), self.lengths])
+            self.table = flat, np.r_[0, np.cumsum(size)]
+        return gather(*self.table, symbols.astype(np.int64))
+
+    def _opened(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of a run of symbols: rules are opened in place, level by level."""
         s = symbols
         while len(s):
