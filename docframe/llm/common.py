@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,10 @@ from pyspark.sql import types as T
 FALLBACK_SHARED = "/tmp/checkpoints"
 #: Arrow batches are cut to about so many bytes of text before a step works on them.
 CHUNK_BYTES = 8 << 20
+#: Rows that Spark hands to Python at once: texts may be long, and batches are held on both sides.
+BATCH_ROWS = 1000
+#: What a worker keeps from task to task. Steps that have no use for it drop it.
+CACHES: list[dict] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +92,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             start = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to BATCH_ROWS, if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def drop_caches() -> None:
+    """Drops what earlier steps have left in this Python worker."""
+    if any(CACHES):
+        for c in CACHES:
+            c.clear()
+        trim()
+
+
 def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[bytes | None]], dict[str, object]]]) -> DataFrame:
     """columns of df beside what a function makes of the text, batch by batch.
 
@@ -96,7 +126,10 @@ def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     out = T.StructType([*kept, *T._parse_datatype_string(schema)])
     names = [f.name for f in out]
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         work = make()
         for batch in chunks(batches):
             made = work(binary_values(batch.column(batch.schema.get_field_index("text"))))
@@ -112,8 +145,10 @@ def as_array(values: object) -> pa.Array:
 def filter_text(docs: DataFrame, make: Callable[[], Callable[[list[bytes | None]], np.ndarray]], column: str = "text") -> DataFrame:
     """The rows of docs whose text a function keeps, with all their columns."""
     k = docs.columns.index(column)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         keep = make()
         for batch in batches:
             for part in chunks(iter([batch]), column):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, chunks, filter_text, table
+from .common import binary_values, chunks, filter_text, small_batches, table
 
 Q = 6
 RATE = 0.12
@@ -242,6 +242,7 @@ def slices(benchmark: DataFrame) -> list[list[tuple[object, bytes]]]:
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, stop, distance): each item in each row of docs where it matches best, in normal text."""
     schema = "doc_id long, item_id long, start long, stop long, distance int"
+    small_batches(docs.sparkSession)
     found = docs.sparkSession.createDataFrame([], schema)
     for k, items in enumerate(slices(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_text, held_out, map_text, table
+from .common import filter_text, held_out, map_text, table, trim
 from .samples import MOST_PER_LABEL, labelled, platt, prior_weights, sigmoid
 
 BITS = 17
@@ -82,7 +82,7 @@ def features(data: bytes | None) -> np.ndarray:
     seen = np.zeros(1 << BITS, dtype=bool)
     if data:
         mark(data, seen)
-    return np.flatnonzero(seen)
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -102,7 +102,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], value: np.ndarray, y: np.nda
     xs = []
     for r in rows:
         v = value[r]
-        xs.append(v / max(np.sqrt((v * v).sum()), 1e-12))
+        xs.append((v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32))
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(passes):
         moved = 0.0
@@ -161,7 +161,9 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int]) -> Model:
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_LABEL) -> Model:
-    return fit(*labelled(docs, labels, "quality", most))
+    model = fit(*labelled(docs, labels, "quality", most))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

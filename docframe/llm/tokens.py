@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, table
+from .common import CACHES, chunks, materialize, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -44,7 +44,7 @@ LEAST, PASSES = 24, 8
 COUNT_BITS = 18
 _MIX = 0x9E3779B97F4A7C15
 #: Words, and runs of letters or signs, whose ids a Python worker remembers, over its tasks, before it starts anew.
-WORDS, RUNS = 300_000, 600_000
+WORDS, RUNS = 250_000, 500_000
 #: Python splits words at these too, the tokenizer does not: such texts go to it whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters below U+0250 without marks that combine: their lower case is the tokenizer's, and normal form C leaves them.
@@ -165,6 +165,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder_of(path: str) -> Encoder:
@@ -336,6 +337,7 @@ _arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.i
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Blocks of the token ids of docs, in ascending doc_id order by (part, block)."""
+    small_batches(docs.sparkSession)
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(_write_blocks(path, end_id), BLOCK_SCHEMA)
 
