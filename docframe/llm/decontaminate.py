@@ -118,29 +118,47 @@ class Index:
         item = found >> 40
         return item, (found & ((1 << 40) - 1)) - (1 << 20)
 
-    def search(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, stop, distance) of matches in a piece of text."""
+    def search(self, c: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, stop, distance) of matches in a piece of the texts begins[j] to ends[j], each in its own text.
+
+        A region that reaches over several texts is aligned in each that could hold its item.
+        """
         item, band = self.candidates(c)
         out = []
+        if not len(item):
+            return out
+        size = np.array([len(t) for t in self.texts], dtype=np.int64)[item]
+        low = band * (self.budget[item] + 1) - self.budget[item]  # lowest diagonal of the region
+        high = low + 4 * self.budget[item] + 3 + size
+        first = np.searchsorted(ends, low, side="right")
+        n = np.maximum(np.searchsorted(begins, high) - first, 0)
+        row = np.repeat(np.arange(len(item)), n)
+        home = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        room = np.minimum(ends[home], high[row]) - np.maximum(begins[home], low[row])
+        fits = room >= (size - self.budget[item])[row]
+        row, home = row[fits], home[fits]
+        item, low = item[row], low[row]
         order = np.argsort([len(self.texts[k]) for k in item], kind="stable")[::-1]  # regions of like length go together
         for part in np.array_split(item[order], -(-len(order) // REGIONS)) if len(order) else []:
-            low = band[order[: len(part)]] * (self.budget[part] + 1) - self.budget[part]  # lowest diagonal of the region
+            own_low, text_of = low[order[: len(part)]], home[order[: len(part)]]
             order = order[len(part) :]
-            budget = self.budget[part]
-            distance, stop = align([self.texts[k] for k in part], c, low, int(4 * budget.max() + 3), budget)
+            budget, begin = self.budget[part], begins[text_of]
+            distance, stop = align([self.texts[k] for k in part], c, own_low, int(4 * budget.max() + 3), budget, begin, ends[text_of])
             good = np.flatnonzero(distance <= budget)
             if len(good):
-                back = [c[max(0, stop[g] - len(self.texts[part[g]]) - budget[g]) : stop[g]][::-1] for g in good]
+                back = [c[max(begin[g], stop[g] - len(self.texts[part[g]]) - budget[g]) : stop[g]][::-1] for g in good]
                 for g, text in zip(good, back):
                     own = self.texts[part[g]][::-1]
                     _, n = align([own], text, np.array([-budget[g]]), int(2 * budget[g] + 1), budget[g : g + 1]) if distance[g] else (0, [len(own)])
-                    out.append((int(part[g]), int(stop[g] - n[0]), int(stop[g]), int(distance[g])))
+                    out.append((int(text_of[g]), int(part[g]), int(stop[g] - n[0]), int(stop[g]), int(distance[g])))
         return out
 
 
-def align(items: list[np.ndarray], c: np.ndarray, low: np.ndarray, width: int, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(items: list[np.ndarray], c: np.ndarray, low: np.ndarray, width: int, budget: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each region: least edit distance of its item to a part of c on diagonals low to low + width - 1, and the part's end.
 
+    The part lies within begin to end of its region, which are those of c where none are given.
+
     The part may start anywhere on these diagonals (row 0 is free) and end anywhere. Rows are item characters, columns
     diagonals; all regions go through the rows together, and one whose row is over its budget is left.
     """
@@ -156,16 +174,18 @@ def align(items: list[np.ndarray], c: np.ndarray, low: np.ndarray, width: int, b
     window = low[:, None] + np.arange(reach)
     text = np.r_[c, [_END]][np.where((window >= 0) & (window < n), window, n)].astype(np.uint32)
     live = np.arange(len(items))
+    begin = np.zeros((len(items), 1), dtype=np.int64) if begin is None else begin[:, None]
+    end = np.full((len(items), 1), n, dtype=np.int64) if end is None else end[:, None]
     pos = low[:, None] + lane
-    row = np.where((pos >= 0) & (pos <= n), np.int32(0), far)
+    row = np.where((pos >= begin) & (pos <= end), np.int32(0), far)
     for i in range(longest):
         change = (text[:, i : i + width] != chars[:, i, None]).astype(np.int32)
         at = low[:, None] + (lane + i)
-        change[(at < 0) | (at >= n)] = far
+        change[(at < begin) | (at >= end)] = far
         new = row + change
         new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # item character without a partner
         row = np.minimum(np.minimum.accumulate(new - lane, axis=1) + lane, far)  # text characters without a partner
-        row[(at + 1 < 0) | (at + 1 > n)] = far
+        row[(at + 1 < begin) | (at + 1 > end)] = far
         done = size[live] == i + 1
         if done.any():
             best = row[done].argmin(axis=1)
@@ -176,7 +196,7 @@ def align(items: list[np.ndarray], c: np.ndarray, low: np.ndarray, width: int, b
             if not stay.any():
                 break
             if not stay.all():
-                live, row, low, text, chars = live[stay], row[stay], low[stay], text[stay], chars[stay]
+                live, row, low, text, chars, begin, end = live[stay], row[stay], low[stay], text[stay], chars[stay], begin[stay], end[stay]
     return distance, stop
 
 
@@ -211,10 +231,7 @@ def matches(index: Index, texts: list[bytes | None]) -> list[tuple[int, object,
     for c, spans in pieces(texts, reach):
         begin = np.array([s for _, s, _ in spans])
         stops = np.r_[begin[1:] - 1, len(c) - 1]
-        for item, start, stop, distance in index.search(c):
-            j = int(np.searchsorted(begin, max(start, 0), side="right")) - 1
-            if stop > stops[j]:  # it would run over a text's end
-                continue
+        for j, item, start, stop, distance in index.search(c, begin, stops):
             k, s, at = spans[j]
             found = (distance, start - s + at, stop - s + at)
             key = (k, item)

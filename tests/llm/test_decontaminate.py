@@ -89,6 +89,24 @@ def test_texts_do_not_run_into_each_other(items):
     assert D.matches(index, [t[: len(t) // 2].encode(), t[len(t) // 2 :].encode()]) == []
 
 
+def test_items_cut_at_a_texts_ends(items):
+    rng = random.Random(6)
+    index = D.Index([(k, t.encode()) for k, t in items])
+    seen = 0
+    for k, t in items[::3]:
+        n = int(index.budget[index.ids.index(k)])
+        cut = [words(rng, 20) + " " + t[:-n], t[n:] + " " + words(rng, 20), t[n // 2 : len(t) - (n - n // 2)]]
+        for own in cut:
+            # neighbours that go on with the missing characters or nearly so, and neighbours that do not
+            for before, after in [(t[:n], t[-n:]), ("x" + t[: n - 1], t[-n + 1 :] + "x"), (words(rng, 9), words(rng, 9)), ("", "z")]:
+                texts = [before, own, after, t[-n:]]
+                got = {(j, i) for j, i, *_ in D.matches(index, [x.encode() for x in texts])}
+                want = {(j, i) for j, x in enumerate(texts) for i, y in items if distance(y, " ".join(x.split())) <= index.budget[index.ids.index(i)]}
+                assert got == want
+                seen += (1, k) in got
+    assert seen > 30  # of 60; a cut beside a blank takes the blank too
+
+
 def test_short_and_empty_items():
     index = D.Index([(1, b"abc"), (2, b""), (3, None), (4, b"  ")])
     assert [(k, i) for k, i, *_ in D.matches(index, [b"x ABC y", b"ab c"])] == [(0, 1)]
