@@ -38,6 +38,8 @@ SLICE_BYTES = 32 << 20
 #: Characters that are searched at once, about.
 PIECE = 1 << 21
 FILTER_BITS = 22
+#: q-grams of a piece that are looked up at once.
+BLOCK = 1 << 16
 _END = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0x9E3779B97F4A7C15 * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -92,13 +94,17 @@ class Index:
 
     def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, band) of the bands of c that reach the bound."""
-        codes = gram_codes(c)
-        pos = np.flatnonzero(self.filter[(codes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-        if not len(pos) or not len(self.codes):
+        where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(c) - Q + 1 if len(self.codes) else 0, BLOCK):  # block by block, so that codes stay in the cache
+            codes = gram_codes(c[at : at + BLOCK + Q - 1])
+            pos = np.flatnonzero(self.filter[(codes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+            hit = np.minimum(np.searchsorted(self.codes, codes[pos]), len(self.codes) - 1)
+            ok = self.codes[hit] == codes[pos]
+            where.append(pos[ok] + at)
+            what.append(hit[ok])
+        pos, hit = np.concatenate(where), np.concatenate(what)
+        if not len(pos):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hit = np.minimum(np.searchsorted(self.codes, codes[pos]), len(self.codes) - 1)
-        ok = self.codes[hit] == codes[pos]
-        pos, hit = pos[ok], hit[ok]
         n = self.n[hit]
         end = np.cumsum(n)
         at = np.repeat(self.first[hit] - end + n, n) + np.arange(end[-1] if len(end) else 0)

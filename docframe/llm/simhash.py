@@ -4,11 +4,9 @@ A fingerprint holds, bit by bit, the majority of the XXH64 values (seed 42) of a
 stored as vertical bit planes; distances of 64 pairs at a time are summed by carry-save bitwise counters, which start so
 high that they overflow into a flag just beyond the radius, and a block of pairs is left as soon as all are flagged.
 
-Two plans share this. CONTRACT: 64 bits of three-word shingles, radius 3. The bits are cut into five blocks; fingerprints at
-most three bits apart agree in two blocks at least, so each of the ten pairs of blocks gives a key, equal keys meet, and no
-pair is lost. SIMILAR, for dropping copies: 256 bits of distinct five-word shingles, radius 46. Sets of Jaccard similarity
-0.8 differ in 0.15 of the bits, about 38; keys are sampled bits, in as many tables as bring such pairs together with a
-chance of SURE or more. Keys get longer, and tables more, with the logarithm of the number of fingerprints.
+The plan is CONTRACT: 64 bits of three-word shingles, radius 3. The bits are cut into five blocks; fingerprints at most three
+bits apart agree in two blocks at least, so each of the ten pairs of blocks gives a key, equal keys meet, and no pair is
+lost. Dropping copies asks for a similarity that fingerprints only estimate, so deduplicate() decides by shingle sets.
 
 A key with very many fingerprints is cut into chunks and each pair of chunks meets in a cell of its own. A cell gives a
 spanning forest of its links, never its pairs: rows of the largest component so far need no queries of their own.
@@ -20,26 +18,23 @@ equal doc_id each give a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, free_name, map_text, materialize, row_hash, table, unite
+from .jaccard import shingle_values
 
-SEED = 42
 #: A key with more fingerprints than this is compared chunk by chunk.
 CELL_ROWS = 8192
 #: Groups up to this size are compared by shifts over many groups at once, larger ones query block by query block.
 SMALL_GROUP = 48
-#: Chance that a pair at similarity 0.8 meets in some table of sampled bits, and the share of bits in which it differs.
-SURE, DIFFERING = 0.985, 0.1476
 #: (first bit, bits) of the five blocks of 64 bits.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -58,22 +53,13 @@ class Plan:
 
 
 CONTRACT = Plan(3, 1, False, 3)
-SIMILAR = Plan(5, 4, True, 46)
 
 
 def fingerprint(data: bytes | None, plan: Plan = CONTRACT) -> np.ndarray:
     """The fingerprint of a UTF-8 text, as plan.parts uint64 numbers. The first part is of the hash values themselves."""
-    tokens = (data or b"").lower().split()  # bytes: A-Z only, and exactly 0x20 and 0x09 to 0x0D
-    if not tokens:
+    values = shingle_values(data, plan.shingle)
+    if not len(values):
         return np.zeros(plan.parts, dtype=np.uint64)
-    joined = b" ".join(tokens)
-    hashed, words = xxhash.xxh64_intdigest, plan.shingle
-    if len(tokens) <= words:
-        values = np.array([hashed(joined, SEED)], dtype="<u8")
-    else:
-        starts = [0, *accumulate(len(t) + 1 for t in tokens)]
-        n = len(tokens) - words + 1
-        values = np.fromiter([hashed(joined[s : e - 1], SEED) for s, e in zip(starts[:n], starts[words:])], dtype="<u8", count=n)
     if plan.distinct:
         values = np.unique(values)
     n = len(values)
@@ -120,20 +106,6 @@ def block_keys(fp: Column) -> list[Column]:
     return [F.lit(t << 26).cast("long") + F.shiftleft(parts[i], BLOCKS[j][1]) + parts[j] for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
 
 
-def sampled_keys(plan: Plan, n: int) -> list[Column]:
-    """Keys of sampled bits, in as many tables as SURE asks for."""
-    bits = max(13, math.ceil(math.log2(max(n, 2))) - 11)
-    tables = math.ceil(math.log(1 - SURE) / math.log(1 - (1 - DIFFERING) ** bits))
-    rng, out = np.random.default_rng(SEED), []
-    for t in range(tables):
-        key = F.lit(t << 40).cast("long")
-        for k, bit in enumerate(rng.choice(64 * plan.parts, bits, replace=False).tolist()):
-            one = F.shiftrightunsigned(F.col(f"fp{bit // 64}"), bit % 64).bitwiseAND(F.lit(1).cast("long"))
-            key = key + F.shiftleft(one, k)
-        out.append(key)
-    return out
-
-
 def planes(fp: np.ndarray) -> np.ndarray:
     """Bit planes of (n, parts) fingerprints: row b holds bit b of all, 64 to a word, with a spare word at the end."""
     n = len(fp)
@@ -272,8 +244,7 @@ def _compare(plan: Plan):
 
 def links(nodes: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints (node, fp0, ...): they connect what links within the radius connect."""
-    keys = block_keys(F.col("fp0")) if plan == CONTRACT else sampled_keys(plan, nodes.count())
-    keyed = nodes.select("node", *_names(plan), F.explode(F.array(*keys)).alias("key"))
+    keyed = nodes.select("node", *_names(plan), F.explode(F.array(*block_keys(F.col("fp0")))).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > CELL_ROWS).select("key", F.ceil(F.col("count") / (CELL_ROWS // 2)).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
     met = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk).cast("long") * F.lit(1 << 20) + F.greatest(j, chunk))
@@ -307,17 +278,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
-    """One row of docs for each group that links connect: the one of the smallest doc_id, by row hash among equals.
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group that near copies connect: the one of the smallest doc_id, by row hash among equals.
 
-    Rows that are equal in every column are one document.
+    Near copies are of similarity 0.8 or more in their five-word shingles. Rows that are equal in every column are one document.
     """
     mark = free_name(docs, "row_mark")
     marked = docs.select("*", row_hash(docs).alias(mark))
-    prints = materialize(fingerprints(marked.select("doc_id", "text", F.col(mark).alias("row_mark")), ["doc_id", "row_mark"], plan), "prints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
     keep_id, keep_mark = free_name(docs, "keep_id"), free_name(docs, "keep_mark")
-    keep = classes(prints, order, plan).select(F.col("component.doc_id").alias(keep_id), F.col("component.row_mark").alias(keep_mark)).distinct()
+    keep = jaccard.representatives(marked.select("doc_id", F.col(mark).alias("row_mark"), "text")).select(F.col("doc_id").alias(keep_id), F.col("row_mark").alias(keep_mark))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(mark) == F.col(keep_mark)), "left_semi")
     return kept.dropDuplicates(["doc_id", mark]).drop(mark)
 
