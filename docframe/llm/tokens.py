@@ -8,7 +8,8 @@ three bytes a symbol. A symbol below the number of terminals is a token id; othe
 come before them. No rule crosses the end of a document, so a document is decoded from its own slice of the sequence; the
 expansion lengths lead to any position in it without decoding what comes before.
 
-Re-Pair: the frequent pairs of adjacent symbols are replaced by new symbols, again and again, until no pair is frequent.
+Re-Pair: the frequent pairs of adjacent symbols are replaced by new symbols, again and again, until no pair is frequent or
+PASSES are done.
 Each pass replaces all pairs that occur LEAST times or more (where two of them overlap, the left one), so a block takes a
 few passes in place of one for each rule.
 
