@@ -16,9 +16,13 @@ from pyspark.sql import types as T
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_SHARED = "/tmp/checkpoints"
 #: Arrow batches are cut to about so many bytes of text before a step works on them.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Rows that Spark hands to Python at once: texts may be long, and batches are held on both sides.
 BATCH_ROWS = 1000
+#: Rows of ids, of some tens of bytes each, that are broadcast at most.
+BROADCAST_ROWS = 500_000
+#: Edges, of 16 bytes each, that one task joins at most.
+ONE_TASK_EDGES = 1 << 18
 #: What a worker keeps from task to task. Steps that have no use for it drop it.
 CACHES: list[dict] = []
 
@@ -44,6 +48,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """df, a written table of ids, marked for broadcast if its rows weigh at most BROADCAST_ROWS; a larger one is shuffled."""
+    return F.broadcast(df) if (df.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents that no label may be learned from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -93,10 +102,12 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch to BATCH_ROWS, if it is larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to BATCH_ROWS rows and CHUNK_BYTES bytes, where they are larger."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size) != f"{CHUNK_BYTES}b":
+        spark.conf.set(size, f"{CHUNK_BYTES}b")
 
 
 def trim() -> None:
@@ -134,6 +145,7 @@ def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
         for batch in chunks(batches):
             made = work(binary_values(batch.column(batch.schema.get_field_index("text"))))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) if c in columns else as_array(made[c]) for c in names], names=names)
+        trim()  # the worker lives on
 
     return given.mapInArrow(run, out)
 
@@ -153,6 +165,7 @@ def filter_text(docs: DataFrame, make: Callable[[], Callable[[list[bytes | None]
         for batch in batches:
             for part in chunks(iter([batch]), column):
                 yield part.filter(pa.array(keep(binary_values(part.column(k)))))
+        trim()  # the worker lives on
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -177,11 +190,20 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces edges (a, b) by one edge per node to the smallest node of its part, among each batch's edges."""
     for batch in batches:
         if batch.num_rows:
-            nodes, at = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
-            n = batch.num_rows
-            lab = unite(np.arange(len(nodes)), at[:n], at[n:])
-            own = np.flatnonzero(lab != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[lab[own]])], names=["a", "b"])
+            yield _forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    lab = unite(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    own = np.flatnonzero(lab != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[lab[own]])], names=["a", "b"])
+
+
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+    if held:
+        yield _forest(*map(np.concatenate, zip(*held)))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -189,11 +211,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each node of a pair points to the smallest neighbour, until only stars
     are left. A node with very many neighbours is met by aggregates with a partial step and by joins that adaptive
-    execution may split, never by one task that holds its neighbourhood.
+    execution may split, never by one task that holds its neighbourhood. Up to ONE_TASK_EDGES are joined in one task.
     """
     forest = edges.where("a <> b").select("a", "b").mapInArrow(local_forest, "a long, b long")
     pairs = materialize(forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most_rounds):
+    few = pairs.count() <= ONE_TASK_EDGES
+    if few:
+        pairs = materialize(pairs.coalesce(1).mapInArrow(_whole_forest, "a long, b long"), "edges")
+    for _ in range(0 if few else most_rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
         large = pairs.join(least, pairs.b == least.node).select("a", F.least("b", "m").alias("b")).distinct()
@@ -205,5 +230,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if total == distinct and again.isEmpty():
             break
     else:
-        raise RuntimeError(f"components: not settled after {most_rounds} rounds")
+        if not few:
+            raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

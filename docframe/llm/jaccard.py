@@ -1,13 +1,13 @@
-"""Near copies by the Jaccard similarity of distinct five-word shingles, decided exactly.
+"""Near copies by the Jaccard similarity of distinct five-word shingles: keys that make candidates, and the exact decision.
 
 Texts of equal shingle sets are one node. Sets of up to SMALL shingles meet by prefix filter: with the shingles in order of
 their hash, two sets of similarity LEAST or more share one of the first n - ceil(LEAST n) + 1, so no pair is lost. Larger
 sets meet by minima of ROWS hash functions in BANDS bands: a pair at 0.8 is missed with a chance of 7 in a million, a closer
-one less often. Keys only make candidates: they are joined in stars to components, the shingle sets of each component are
-brought together, and sets are linked when their similarity, counted on the sets, is LEAST or more.
+one less often; sets that only share a line or a passage rarely meet. simhash.deduplicate() compares the fingerprints of
+sets that meet, and brings the sets of what its links connect together here, where a pair is linked when its similarity,
+counted on the sets, is LEAST or more.
 
-A component of very many sets or shingles is cut into chunks and each pair of chunks meets in a cell of its own. A cell
-gives a spanning forest of its links: rows of the largest group so far need no queries of their own.
+A cell gives a spanning forest of its links: rows of the largest group so far need no queries of their own.
 
 Defined results: null and empty texts, and texts of white space, have the empty set and are copies of each other; texts of
 fewer words than a shingle are one shingle; an empty table gives an empty result.
@@ -21,20 +21,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import components, drop_caches, map_text, materialize, small_batches, trim, unite
+from .common import unite
 
 SEED = 42
 WORDS = 5
 #: Similarity of near copies, as a fraction.
 LEAST = (4, 5)
 #: Sets of so many shingles meet by prefix filter alone.
-SMALL = 128
+SMALL = 16
 BANDS, ROWS = 30, 5
-#: A component of more rows or shingles than this is compared chunk by chunk.
-CELL_ROWS, CELL_SHINGLES = 1024, 1 << 20
 
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,13 +81,14 @@ def alike(a: int | np.ndarray, b: int | np.ndarray, common: int | np.ndarray) ->
     return (p + q) * common >= p * (a + b)
 
 
-def link(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first one that links lead to."""
+def link(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """For each set the first one that links lead to; sets of equal numbers in `known` are linked from the start."""
     n = len(sets)
-    lab = np.arange(n)
+    _, first, back = np.unique(known, return_index=True, return_inverse=True)
+    lab = first[back]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     if n == 2:
-        if alike(size[0], size[1], min(size)) and alike(size[0], size[1], len(np.intersect1d(*sets, assume_unique=True))):
+        if lab[1] and alike(size[0], size[1], min(size)) and alike(size[0], size[1], len(np.intersect1d(*sets, assume_unique=True))):
             lab[1] = 0
         return lab
     flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -120,16 +117,16 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
             lab = unite(lab, np.full(len(hit), k), hit)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of cells; rows (root, cell, node, shingles) come in this order."""
-    drop_caches()
-    cell, nodes, sets = None, [], []
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of cells; rows (group, cell, known, node, shingles) come in order of group, cell and node."""
+    cell, nodes, known, sets = None, [], [], []
     links: list[tuple[int, int]] = []
 
     def settle() -> None:
         if len(nodes) > 1:
-            lab = link(sets)
-            links.extend((nodes[k], nodes[j]) for k, j in enumerate(lab.tolist()) if k != j)
+            lab = link(sets, np.array(known))
+            first = np.unique(known, return_index=True)[1]
+            links.extend((nodes[k], nodes[lab[k]]) for k in first.tolist() if k != lab[k])
 
     def out() -> pa.RecordBatch:
         a, b = zip(*links) if links else ((), ())
@@ -137,64 +134,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for root, part, node, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-            if (root, part) != cell:
+        for group, part, before, node, data in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+            if (group, part) != cell:
                 settle()
-                cell, nodes, sets = (root, part), [], []
+                cell, nodes, known, sets = (group, part), [], [], []
             if not nodes or nodes[-1] != node:  # rows that are equal in every column come more than once
                 nodes.append(node)
+                known.append(before)
                 sets.append(np.frombuffer(data.as_py(), dtype="<u8"))
         yield out()
     settle()
     yield out()
-    nodes, sets = [], []
-    trim()  # the worker lives on in later stages
-
-
-def _sketch():
-    def work(texts: list[bytes | None]) -> dict[str, object]:
-        sets = [shingles(t) for t in texts]
-        found = [keys(s) for s in sets]
-        ends = np.r_[0, np.cumsum([len(k) for k in found])].astype(np.int32)
-        flat = pa.array(np.concatenate(found).view(np.int64))
-        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-        return {"node": node, "size": np.array([len(s) for s in sets], dtype=np.int64), "keys": pa.ListArray.from_arrays(pa.array(ends), flat)}
-
-    return work
-
-
-def _sets():
-    return lambda texts: {"shingles": pa.array([shingles(t).tobytes() for t in texts], pa.binary())}
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, root) of nodes that keys connect with others."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b")
-    return components(keyed.join(shared, "key").where("node <> b").select(F.col("node").alias("a"), "b"))
-
-
-def cells(found: DataFrame) -> DataFrame:
-    """found (node, root, size and others) with the cells of its component in which each node is compared."""
-    half = F.greatest(F.sum("size") / (CELL_SHINGLES // 2), F.count("*") / (CELL_ROWS // 2))
-    hot = found.groupBy("root").agg(F.ceil(half).cast("int").alias("chunks")).where(F.col("chunks") > 2)
-    chunk = F.pmod(F.xxhash64("node", "root"), F.col("chunks")).cast("int")
-    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk).cast("long") * F.lit(1 << 20) + F.greatest(j, chunk))
-    return found.join(hot, "root", "left").withColumn("cells", F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(met)).drop("chunks")
-
-
-def representatives(rows: DataFrame) -> DataFrame:
-    """(none, doc_id, row_mark) of one of rows (doc_id, row_mark, text) for each group that near copies connect: the least."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
-    prints = map_text(rows, ["doc_id", "row_mark"], "node long, size long, keys array<long>", _sketch)
-    nodes = materialize(prints.groupBy("node").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    found = materialize(nodes.select("node", "size", "least").join(candidates(nodes), "node"), "candidates")
-    dealt = cells(found).select("node", "root", "cells", F.col("least.doc_id").alias("own_id"), F.col("least.row_mark").alias("own_mark"))
-    texts = rows.join(dealt, (F.col("row_mark") == F.col("own_mark")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    small_batches(rows.sparkSession)
-    sets = map_text(texts, ["node", "root", "cells"], "shingles binary", _sets)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = sets.select("root", F.explode("cells").alias("cell"), "node", "shingles").repartition(n, "root", "cell").sortWithinPartitions("root", "cell", "node")
-    joined = components(met.mapInArrow(_compare, "a long, b long"))
-    rooted = nodes.select("node", "least").join(joined, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
-    return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*")

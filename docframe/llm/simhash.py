@@ -6,10 +6,12 @@ high that they overflow into a flag just beyond the radius, and a block of pairs
 
 The plan is CONTRACT: 64 bits of three-word shingles, radius 3. The bits are cut into five blocks; fingerprints at most three
 bits apart agree in two blocks at least, so each of the ten pairs of blocks gives a key, equal keys meet, and no pair is
-lost. Dropping copies asks for a similarity that fingerprints only estimate, so deduplicate() decides by shingle sets.
+lost. A key with very many fingerprints is cut (see cells); a cell gives a spanning forest of its links, never its pairs.
 
-A key with very many fingerprints is cut into chunks and each pair of chunks meets in a cell of its own. A cell gives a
-spanning forest of its links, never its pairs: rows of the largest component so far need no queries of their own.
+Dropping copies asks for a similarity that fingerprints only estimate. There, texts that share a key of their shingle sets
+meet, fingerprints of 256 bits (NEAR) leave those that are far apart, and the sets of what is left decide (see jaccard). The
+radius is wide: pairs of similarity 0.8 differ in 30 to 50 bits, by 7 deviations less than it at 100 shingles and by 4.6 at
+four against five, the worst case; texts that share under 0.4 of their shingles are left apart.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and link like any others; texts of
 fewer words than a shingle hash as one shingle; equal texts have equal fingerprints; extra columns are not read; rows of
@@ -28,11 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import components, free_name, map_text, materialize, row_hash, table, unite
+from .cells import connect, cut_groups
+from .common import free_name, map_text, materialize, row_hash, small, table, unite
 from .jaccard import shingle_values
 
 #: A key with more fingerprints than this is compared chunk by chunk.
 CELL_ROWS = 8192
+#: Connected texts with more rows or shingles than this are compared chunk by chunk.
+SET_ROWS, SET_SHINGLES = 1024, 1 << 20
 #: Groups up to this size are compared by shifts over many groups at once, larger ones query block by query block.
 SMALL_GROUP = 48
 #: (first bit, bits) of the five blocks of 64 bits.
@@ -53,18 +58,23 @@ class Plan:
 
 
 CONTRACT = Plan(3, 1, False, 3)
+#: For candidates of near copies.
+NEAR = Plan(jaccard.WORDS, 4, True, 76)
 
 
 def fingerprint(data: bytes | None, plan: Plan = CONTRACT) -> np.ndarray:
     """The fingerprint of a UTF-8 text, as plan.parts uint64 numbers. The first part is of the hash values themselves."""
     values = shingle_values(data, plan.shingle)
-    if not len(values):
-        return np.zeros(plan.parts, dtype=np.uint64)
-    if plan.distinct:
-        values = np.unique(values)
+    return majority(np.unique(values) if plan.distinct else values, plan.parts)
+
+
+def majority(values: np.ndarray, parts: int) -> np.ndarray:
+    """The fingerprint of hash values: bit by bit 1 if over half have it."""
     n = len(values)
-    out = np.empty(plan.parts, dtype=np.uint64)
-    for k in range(plan.parts):
+    if not n:
+        return np.zeros(parts, dtype=np.uint64)
+    out = np.empty(parts, dtype=np.uint64)
+    for k in range(parts):
         x = values
         if k:
             x = (x + np.uint64(_MIX[0] * k % (1 << 64))) * np.uint64(_MIX[1])
@@ -171,15 +181,15 @@ def link_small(fp: np.ndarray, group: np.ndarray, most: int, radius: int, lab: n
     return lab
 
 
-def link_large(fp: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of one large group: 64 queries at a time against all planes.
+def link_large(fp: np.ndarray, radius: int, lab: np.ndarray) -> np.ndarray:
+    """Labels of one large group, from those that are known: 64 queries at a time against all planes.
 
     Any pair is either in the largest component or has a row outside, and all rows outside are queried.
     """
     p, n = planes(fp)[:, :-1], len(fp)
     tail = ~_flags(np.ones(n, dtype=bool), p.shape[1])
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    lab, asked = np.arange(n), np.zeros(n, dtype=bool)
+    asked = np.zeros(n, dtype=bool)
     while True:
         size = np.bincount(lab, minlength=n)
         largest = size.argmax()
@@ -195,29 +205,36 @@ def link_large(fp: np.ndarray, radius: int) -> np.ndarray:
         lab = unite(lab, q[row], lane)
 
 
-def link_sorted(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (row, row) of whole groups; rows of a group are adjacent."""
+def link_sorted(group: np.ndarray, known: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that, with what is known, span what belongs together in each group; rows of a group are adjacent."""
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[cut, len(group)])
-    lab = np.arange(len(fp))
+    order = np.lexsort((known, group))
+    new = np.r_[True, (group[order][1:] != group[order][:-1]) | (known[order][1:] != known[order][:-1])]
+    begun = np.empty(len(fp), dtype=np.int64)
+    begun[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    lab = begun.copy()
     few = np.repeat((size > 1) & (size <= SMALL_GROUP), size)
     if few.any():
         own = np.flatnonzero(few)
-        part = link_small(fp[own], group[own], SMALL_GROUP, radius, np.arange(len(own)))
+        part = link_small(fp[own], group[own], SMALL_GROUP, radius, np.searchsorted(own, lab[own]))
         lab[own] = own[part]
     for at, n in zip(cut[size > SMALL_GROUP], size[size > SMALL_GROUP]):
-        lab[at : at + n] = at + link_large(fp[at : at + n], radius)
-    child = np.flatnonzero(lab != np.arange(len(fp)))
+        lab[at : at + n] = at + link_large(fp[at : at + n], radius, lab[at : at + n] - at)
+    rows = np.arange(len(fp))
+    child = np.flatnonzero((begun == rows) & (lab != rows))
     return child, lab[child]
 
 
 def _compare(plan: Plan):
+    """Links of cells; rows (group, cell, known, node, fingerprint) come in order of group and cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * (3 + plan.parts)
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * (4 + plan.parts)
 
-        def out(key: np.ndarray, cell: np.ndarray, node: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
-            a, b = link_sorted(np.cumsum(new), np.stack(parts, axis=1).view(np.uint64), plan.radius)
+        def out(group: np.ndarray, cell: np.ndarray, known: np.ndarray, node: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch:
+            new = np.r_[True, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])]
+            a, b = link_sorted(np.cumsum(new), known, np.stack(parts, axis=1).view(np.uint64), plan.radius)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         held: list[list[np.ndarray]] = []
@@ -229,8 +246,8 @@ def _compare(plan: Plan):
                 continue
             rest = [np.concatenate([r, *(h[k] for h in held)]) for k, r in enumerate(rest)]
             held, rows = [], 0
-            key, cell = rest[:2]
-            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            group, cell = rest[:2]
+            last = np.flatnonzero((group != group[-1]) | (cell != cell[-1]))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield out(*[r[:cut] for r in rest])
@@ -242,33 +259,33 @@ def _compare(plan: Plan):
     return run
 
 
-def links(nodes: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
-    """Spanning links (a, b) of distinct fingerprints (node, fp0, ...): they connect what links within the radius connect."""
-    keyed = nodes.select("node", *_names(plan), F.explode(F.array(*block_keys(F.col("fp0")))).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > CELL_ROWS).select("key", F.ceil(F.col("count") / (CELL_ROWS // 2)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
-    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk).cast("long") * F.lit(1 << 20) + F.greatest(j, chunk))
-    dealt = keyed.join(hot, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(met)).alias("cell"), "node", *_names(plan))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(plan), "a long, b long")
+def linked(nodes: DataFrame, keyed: DataFrame, plan: Plan) -> DataFrame:
+    """(node, root) of what links within the radius connect, among distinct nodes (node, fp0, ...) that share a key.
 
+    keyed: (group, node), where a group is a key; rows may repeat.
+    """
+    spark, names = nodes.sparkSession, _names(plan)
+    met = keyed.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    shared = materialize(met.select("group", "n"), "shared")
+    members = materialize(keyed.join(shared, "group", "left_semi").distinct(), "members")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def classes(prints: DataFrame, first: Column, plan: Plan = CONTRACT) -> DataFrame:
-    """(node, root, component) for each distinct fingerprint; component is the smallest `first` among all it reaches.
+    def compared(dealt: DataFrame) -> DataFrame:
+        met = dealt.select("group", F.explode("cells").alias("cell"), "known", "node")
+        met = met.withColumn("fp0", F.col("node")) if plan.parts == 1 else met.join(nodes.select("node", *names), "node").select("group", "cell", "known", "node", *names)
+        return met.repartition(parts, "group", "cell").sortWithinPartitions("group", "cell").mapInArrow(_compare(plan), "a long, b long")
 
-    A node is the fingerprint itself, or a 64-bit hash of a longer one.
-    """
-    names = _names(plan)
-    least = prints.groupBy(*names).agg(F.min(first).alias("least"))
-    nodes = materialize(least.select(node_of(plan).alias("node"), *names, "least"), "fingerprints")
-    found = components(links(nodes.drop("least"), plan))
-    rooted = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return materialize(rooted.join(least, "root").select("node", "root", "component"), "classes")
+    return connect(members, cut_groups(shared, F.col("n") / CELL_ROWS), CELL_ROWS, compared)
 
 
-def node_of(plan: Plan) -> Column:
-    return F.col("fp0") if plan.parts == 1 else F.xxhash64(*_names(plan))
+def classes(prints: DataFrame, first: Column) -> DataFrame:
+    """(node, component) for each distinct fingerprint of CONTRACT, which is its own node; component is the smallest
+    `first` among all it reaches."""
+    nodes = materialize(prints.groupBy(F.col("fp0").alias("node")).agg(F.min(first).alias("least")), "fingerprints")
+    found = linked(nodes, nodes.select(F.explode(F.array(*block_keys(F.col("node")))).alias("group"), "node"), CONTRACT)
+    rooted = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return materialize(rooted.join(least, "root").select("node", "component"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -278,17 +295,73 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _sketch():
+    import xxhash
+
+    def work(texts: list[bytes | None]) -> dict[str, object]:
+        sets = [jaccard.shingles(t) for t in texts]
+        found = [jaccard.keys(s) for s in sets]
+        ends = np.r_[0, np.cumsum([len(k) for k in found])].astype(np.int32)
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), jaccard.SEED) for s in sets], dtype=np.uint64).view(np.int64)
+        prints = np.array([majority(s, NEAR.parts) for s in sets], dtype=np.uint64).reshape(len(sets), NEAR.parts).view(np.int64)
+        columns = {c: np.ascontiguousarray(prints[:, k]) for k, c in enumerate(_names(NEAR))}
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+        return {"node": node, "items": np.array([len(s) for s in sets], dtype=np.int64), "keys": keys} | columns
+
+    return work
+
+
+def _sets():
+    return lambda texts: {"shingles": pa.array([jaccard.shingles(t).tobytes() for t in texts], pa.binary())}
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, row_mark, times, kept) of distinct rows (doc_id, row_mark, text): how often each is there, and whether it is
+    the one that stays of what near copies connect: the one of the smallest doc_id, null last, then of the least mark."""
+    spark, names = rows.sparkSession, _names(NEAR)
+    sketched = map_text(rows, ["doc_id", "row_mark"], f"node long, items long, keys array<long>, {', '.join(f'{c} long' for c in names)}", _sketch)
+    prints = materialize(sketched, "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
+    nodes = materialize(prints.groupBy("node").agg(F.min(order).alias("least"), *[F.min(c).alias(c) for c in ("items", *names)]), "nodes")
+    found = linked(nodes, prints.select(F.explode("keys").alias("group"), "node"), NEAR)
+    near = materialize(found.join(nodes, "node").select(F.col("root").alias("group"), "node", "items", F.col("least.doc_id").alias("own_id"), F.col("least.row_mark").alias("own_mark")), "near")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        dealt = small(materialize(dealt.select("group", "known", "node", "cells", "own_id", "own_mark"), "dealt"), F.size("cells"))
+        texts = rows.join(dealt, (F.col("row_mark") == F.col("own_mark")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+        sets = map_text(texts, ["group", "cells", "known", "node"], "shingles binary", _sets)
+        met = sets.select("group", F.explode("cells").alias("cell"), "known", "node", "shingles").repartition(parts, "group", "cell")
+        return met.sortWithinPartitions("group", "cell", "node").mapInArrow(jaccard.compare, "a long, b long")
+
+    totals = near.groupBy("group").agg(F.count("*").alias("n"), F.greatest(F.count("*") / SET_ROWS, F.sum("items") / SET_SHINGLES).alias("chunks"))
+    joined = connect(near, cut_groups(totals, F.col("chunks")), SET_ROWS, compared)
+    rooted = nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    of_node = rooted.join(first, "root").select("node", "first")
+    distinct = prints.groupBy("node", "doc_id", "row_mark").agg(F.count("*").alias("times"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_mark") == F.col("first.row_mark"))
+    return materialize(distinct.join(of_node, "node").select("doc_id", "row_mark", "times", kept.alias("kept")), "near_copies")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each group that near copies connect: the one of the smallest doc_id, by row hash among equals.
 
-    Near copies are of similarity 0.8 or more in their five-word shingles. Rows that are equal in every column are one document.
+    Near copies are of similarity 0.8 or more in their five-word shingles. Rows that are equal in every column are one
+    document. Texts stay where they are as long as the ids to drop can be broadcast, and are shuffled once beyond that.
     """
-    mark = free_name(docs, "row_mark")
+    mark, gone_id, gone_mark = (free_name(docs, x) for x in ("row_mark", "gone_id", "gone_mark"))
     marked = docs.select("*", row_hash(docs).alias(mark))
-    keep_id, keep_mark = free_name(docs, "keep_id"), free_name(docs, "keep_mark")
-    keep = jaccard.representatives(marked.select("doc_id", F.col(mark).alias("row_mark"), "text")).select(F.col("doc_id").alias(keep_id), F.col("row_mark").alias(keep_mark))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(mark) == F.col(keep_mark)), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).drop(mark)
+    found = near_copies(marked.select("doc_id", F.col(mark).alias("row_mark"), "text"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+
+    def of(which: str) -> DataFrame:
+        return small(found.where(which).select(F.col("doc_id").alias(gone_id), F.col("row_mark").alias(gone_mark)))
+
+    kept = marked.join(of("not kept or times > 1"), same, "left_anti")
+    if not found.where("kept and times > 1").isEmpty():
+        kept = kept.union(marked.join(of("kept and times > 1"), same, "left_semi").dropDuplicates(["doc_id", mark]))
+    return kept.drop(mark)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from docframe.llm import cells
 from docframe.llm import jaccard as J
 from docframe.llm import simhash as S
 from tests.llm.helpers import row, SCHEMA, words
@@ -51,7 +52,9 @@ def test_deduplicate_by_definition(spark):
 
 
 def test_deduplicate_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(J, "CELL_ROWS", 8)
+    monkeypatch.setattr(S, "CELL_ROWS", 4)
+    monkeypatch.setattr(S, "SET_ROWS", 8)
+    monkeypatch.setattr(cells, "TIES", 1)
     rows = corpus(random.Random(2))
     df = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA)
     assert sorted(r["doc_id"] for r in S.deduplicate(df).collect()) == kept_by_definition(rows)
@@ -73,9 +76,11 @@ def test_links_of_a_large_group():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
     sets = [np.unique(np.r_[base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for _ in range(150)] + [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))]
-    lab, want = J.link(sets), np.arange(len(sets))
+    lab, want = J.link(sets, np.arange(len(sets))), np.arange(len(sets))
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if J.alike(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))]
     for _ in range(len(sets)):
         for a, b in pairs:
             want[a] = want[b] = min(want[a], want[b])
     assert (lab == want).all() and lab[-1] == len(sets) - 1
+    apart = np.r_[np.arange(len(sets) - 1), 0]  # the first and the last are connected already
+    assert (J.link(sets, apart) == np.r_[want[:-1], want[0]]).all()

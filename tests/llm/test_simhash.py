@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from docframe.llm import cells
 from docframe.llm import simhash as S
 from tests.llm.helpers import none, odd, row, SCHEMA, words
 
@@ -68,17 +70,34 @@ def test_pairs_at_every_distance_are_found(spark):
         for b in rng.choice(64, n, replace=False):
             other[k] ^= np.uint64(1 << int(b))
     fps = np.unique(np.concatenate([base, other])).view(np.int64)
-    nodes = spark.createDataFrame([(int(x), int(x)) for x in fps], "node long, fp0 long")
-    linked = {tuple(sorted((r["a"], r["b"]))) for r in S.links(nodes).collect()}
-    want = {tuple(sorted((int(a), int(b)))) for a, b, n in zip(base.view(np.int64), other.view(np.int64), flips) if 0 < n <= 3}
-    assert linked == want
+    prints = spark.createDataFrame([(int(x),) for x in fps], "fp0 long")
+    found = {r["node"]: r["component"] for r in S.classes(prints, F.col("fp0")).collect()}
+    assert all((found[int(a)] == found[int(b)]) == (n <= 3) for a, b, n in zip(base.view(np.int64), other.view(np.int64), flips))
+
+
+def test_cut_keys_lose_nothing(spark, monkeypatch):
+    """Groups of many fingerprints, tight ones and loose ones, cut into many chunks."""
+    monkeypatch.setattr(S, "CELL_ROWS", 8)
+    monkeypatch.setattr(cells, "TIES", 1)
+    rng = np.random.default_rng(8)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, size=3, dtype=np.uint64)}
+    for x in list(fps):
+        for _ in range(60):
+            y = x
+            for b in rng.choice(64, int(rng.integers(1, 7)), replace=False):
+                y ^= 1 << int(b)
+            fps.add(y)
+    ids = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    want = brute_components(ids, [x & ((1 << 64) - 1) for x in ids])
+    found = {r["node"]: r["component"] for r in S.classes(spark.createDataFrame([(x,) for x in ids], "fp0 long"), F.col("fp0")).collect()}
+    assert [found[x] for x in ids] == want
 
 
 def test_large_groups_give_components_not_pairs():
     rng = np.random.default_rng(4)
     center = rng.integers(0, 1 << 63, size=3, dtype=np.uint64)
     fp = np.array([center[k % 3] ^ np.uint64(1 << int(rng.integers(64))) for k in range(900)], dtype=np.uint64)
-    lab = S.link_large(np.unique(fp)[:, None], 3)
+    lab = S.link_large(np.unique(fp)[:, None], 3, np.arange(len(np.unique(fp))))
     assert len(np.unique(lab)) == 3
 
 
