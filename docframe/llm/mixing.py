@@ -6,11 +6,11 @@ other, by chance in either direction so that each keeps its mean, until one frac
 one document with a fraction; these meet again in wider buckets, in a tree, until a source has one, which chance decides.
 A source's words so differ from its target by less than the size of one document.
 
-Buckets and chances hang on hashes of rows, not on how Spark deals them, so reruns agree.
+Buckets and chances hang on hashes of doc_id, source and text, not on how Spark deals rows, so reruns agree.
 
 Defined results: null and empty texts have size 0, take no words, and their copies are rounded each by itself (once each in
-a source without words); null is a source of its own, after all others; rows of equal doc_id are rows of their own; extra
-columns are not read; an empty table gives an empty result.
+a source without words); null is a source of its own, after all others; rows of equal doc_id are rows of their own; mix()
+does not read extra columns, apply() tells rows apart by them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, row_hash, table
+from .common import free_name, materialize, row_hash, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -132,16 +132,21 @@ def _round(level: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_mark, source, size, source_size, target, copies) for each row of docs."""
+def mix(docs: DataFrame, mark: Column | None = None) -> DataFrame:
+    """(doc_id, row_mark, source, size, source_size, target, copies) for each row of docs.
+
+    mark: tells rows of equal doc_id, source and text apart, where that matters.
+    """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", row_hash(docs).alias("row_mark"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    own = F.xxhash64("doc_id", "source", "text")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", (own if mark is None else mark).alias("row_mark"), own.alias("own"), "source", size.alias("size"))
     rows = materialize(sized, "sized")
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "name")
     buckets = max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    known = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "row_mark"), F.lit(buckets)).cast("long"))
-    known = known.withColumn("chance", F.xxhash64(F.lit("chance"), "doc_id", "row_mark")).withColumn("mean", mean)
+    known = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "own"), F.lit(buckets)).cast("long"))
+    known = known.withColumn("chance", F.xxhash64(F.lit("chance"), "own")).withColumn("mean", mean)
     now = known.select(*_COLUMNS, F.floor("mean").cast("long").alias("base"), (F.col("mean") - F.floor("mean")).alias("p"))
     n, level, finished = int(spark.conf.get("spark.sql.shuffle.partitions")), 0, []
     while True:
@@ -161,12 +166,18 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """Rows of docs, each as often as the mix has it. Rows that are equal in every column share their copies."""
+    """Rows of docs, each as often as the mix has it. Rows that are equal in every column share their copies.
+
+    Texts stay where they are as long as the copies' numbers can be broadcast, and are shuffled once beyond that.
+    """
     mark, number, n, mixed_id, mixed_mark = (free_name(docs, x) for x in ("row_mark", "copy_number", "copies", "mixed_id", "mixed_mark"))
-    copies = mix(docs).groupBy(F.col("doc_id").alias(mixed_id), F.col("row_mark").alias(mixed_mark)).agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    mixed = mix(docs, row_hash(docs)).groupBy(F.col("doc_id").alias(mixed_id), F.col("row_mark").alias(mixed_mark))
+    copies = materialize(mixed.agg(F.sum("copies").cast("int").alias(n), F.count("*").alias("times")).where(F.col(n) > 0), "copies")
     marked = docs.select("*", row_hash(docs).alias(mark))
-    joined = marked.join(copies, F.col("doc_id").eqNullSafe(F.col(mixed_id)) & (F.col(mark) == F.col(mixed_mark)))
-    unit = joined.drop(mixed_id, mixed_mark).dropDuplicates(["doc_id", mark])
+    same = F.col("doc_id").eqNullSafe(F.col(mixed_id)) & (F.col(mark) == F.col(mixed_mark))
+    unit = marked.join(small(copies.where("times = 1").drop("times")), same)
+    if not copies.where("times > 1").isEmpty():
+        unit = unit.union(marked.join(small(copies.where("times > 1").drop("times")), same).dropDuplicates(["doc_id", mark]))
     return unit.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
