@@ -180,5 +180,43 @@ def test_embeddings_against_brute_force(spark, cap, monkeypatch):
     assert sum(find(r["vec_id"]) == r["component_id"] for r in got.values()) >= 0.98 * len(got)
 
 
+def pairs_at(rng, n, dim, cosine):
+    u, w = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(axis=1)[:, None] * u
+    return u, cosine * u + math.sqrt(1 - cosine * cosine) * w / np.linalg.norm(w, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("rows,dim", [(5000, 64), (50_000, 64), (50_000, 768), (1_000_000, 256), (1 << 40, 64)])
+def test_recall_of_pairs_at_the_threshold(rows, dim):
+    u, v = pairs_at(np.random.default_rng(4), 400, dim, embeddings.COSINE)
+    label, plan = np.zeros((400, 2), np.int64), embeddings.plan_for(rows)
+    (a, at_home), (b, b_home) = embeddings.cell_keys(u, label, plan), embeddings.cell_keys(v, label, plan)
+    keys, own = np.concatenate([a, b]), np.concatenate([at_home, b_home])
+    met = embeddings.smallest_common(keys, own, np.arange(400), np.arange(400, 800)) < np.iinfo(np.int64).max
+    brute = [bool(set(a[k][at_home[k]]) & set(b[k])) or bool(set(b[k][b_home[k]]) & set(a[k])) for k in range(400)]
+    assert met.tolist() == brute and met.mean() >= 0.93
+
+
+@pytest.mark.parametrize("rows", [5000, 20_000, 1_000_000])
+def test_random_vectors_seldom_meet(rows):
+    """Others that a vector meets by chance: under 1 % of 5,000 and about 100 at most of any number."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64))
+    keys, own = embeddings.cell_keys(x / np.linalg.norm(x, axis=1)[:, None], np.zeros((4000, 2), np.int64), embeddings.plan_for(rows))
+    home, visits = Counter(keys[own].tolist()), Counter(keys.ravel().tolist())
+    met = sum(n * (visits[k] - 1) for k, n in home.items()) * 2 / 4000**2
+    assert met < 0.01 and met * rows < 150
+
+
+def test_labels_and_scales_as_they_are(spark):
+    near = [1.0, 2.0, 3.0]
+    for kind, labels in (("string", ["a", "a", "b", "01", "1", None]), ("double", [1.2, 1.2, 1.7, 0.0, -0.0, None])):
+        rows = [(k, [c * f for c in near], v) for k, (v, f) in enumerate(zip(labels, (1.0, 1e200, 1.0, 1e-200, 1.0, 1.0)))]
+        got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+        zeros = int(kind == "double")
+        assert got == {0: 1, 1: 1, 2: 0, 3: zeros, 4: zeros, 5: 0}
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
