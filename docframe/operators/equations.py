@@ -6,7 +6,7 @@ from xml.etree import ElementTree as ET
 
 #: Symbols and their commands.
 SYMBOLS = {"±": "\\pm", "≤": "\\le", "≥": "\\ge", "≠": "\\neq", "≈": "\\approx", "∞": "\\infty", "∑": "\\sum", "∏": "\\prod", "∫": "\\int", "×": "\\times", "÷": "\\div", "⇒": "\\Rightarrow", "⇔": "\\Leftrightarrow", "→": "\\rightarrow", "←": "\\leftarrow", "↔": "\\leftrightarrow"}
-#: Shapes of elements by the names of their parts.
+#: Shapes of elements by the names of their parts.
 SHAPES = {
     "sSup": "{e}^{{{sup}}}", "sSub": "{e}_{{{sub}}}", "sSubSup": "{e}_{{{sub}}}^{{{sup}}}", "sPre": "_{{{sub}}}^{{{sup}}}{e}", "limLow": "{e}_{{{lim}}}", "limUpp": "{e}^{{{lim}}}",
     "f": "\\frac{{{num}}}{{{den}}}", "acc": "\\hat{{{e}}}", "bar": "\\overline{{{e}}}",

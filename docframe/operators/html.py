@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import pieces
+
 #: Named entities.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "mdash": "\u2014", "ndash": "\u2013", "hellip": "\u2026", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "laquo": "\u00ab", "raquo": "\u00bb"}
 _ENTITY = re.compile(r"&(?:#?[xX]([0-9a-fA-F]+)|#([0-9]+)|(\w+));")
@@ -344,7 +346,7 @@ def markdown_of(df: DataFrame, keys: list[str], html: str = "html", failfast: bo
     fields = [f for f in df.select(*keys).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, -1):
             made, errors = [], []
             for source in batch.column(batch.num_columns - 1).to_pylist():
                 text = error = None

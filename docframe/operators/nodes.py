@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import markdown as M
+from .batches import pieces
 
 _FIELDS = [("node_id", pa.int32()), ("parent_id", pa.int32()), ("path", pa.list_(pa.int32())), ("depth", pa.int32()), ("scope", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("ordered", pa.bool_()), ("number", pa.int64()), ("checked", pa.bool_()), ("text", pa.string()), ("destination", pa.string()), ("label", pa.string()), ("alignment", pa.string()), ("row_idx", pa.int32()), ("col_idx", pa.int32())]
 _SCHEMA = "node_id int, parent_id int, path array<int>, depth int, scope string, kind string, level int, ordered boolean, number long, checked boolean, text string, destination string, label string, alignment string, row_idx int, col_idx int"
@@ -56,17 +58,35 @@ def of_markdown(df: DataFrame, keys: list[str], markdown: str = "markdown") -> D
     schema = T.StructType([*df.select(*keys).schema, *T._parse_datatype_string(_SCHEMA)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                trees = [flat(M.parse(t)) for t in part.column(part.num_columns - 1).to_pylist()]
-                owner = pa.array([k for k, t in enumerate(trees) for _ in t], pa.int64())
-                nodes = [n for t in trees for n in t]
-                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in part.columns[:-1]], *[pa.array([n.get(f) for n in nodes], t) for f, t in _FIELDS]], names=schema.names)
+        for part in pieces(batches, -1):
+            trees = [flat(M.parse(t)) for t in part.column(part.num_columns - 1).to_pylist()]
+            owner = pa.array([k for k, t in enumerate(trees) for _ in t], pa.int64())
+            nodes = [n for t in trees for n in t]
+            yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in part.columns[:-1]], *[pa.array([n.get(f) for n in nodes], t) for f, t in _FIELDS]], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
+def with_counts(df: DataFrame, kinds: list[str], markdown: str = "markdown") -> DataFrame:
+    """df with n_<kind> for each of kinds and plain_text_chars, counted in the row's own tree: no rows meet."""
+    schema = T.StructType([*df.schema, *[T.StructField(f"n_{k}", T.LongType()) for k in kinds], T.StructField("plain_text_chars", T.LongType())])
+    at = df.columns.index(markdown)
+
+    def counted(text: str | None) -> list[int | None]:
+        if text is None:
+            return [None] * (len(kinds) + 1)
+        nodes = flat(M.parse(text))
+        own = Counter(n["kind"] for n in nodes)
+        return [*[own[k] for k in kinds], sum(len(n.get("text") or "") for n in nodes if n["kind"] in ("text", "code", "math"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, at):
+            made = [counted(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[k] for m in made], pa.int64()) for k in range(len(kinds) + 1)]], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def tables_only(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Tables with all below them, and the lists, items, quotes and footnotes above them.
 

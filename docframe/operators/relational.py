@@ -7,13 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Ranges that rows are cut into, at most.
+MOST_RANGES = 256
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with `__part`: the number of the range of the first order column, a number, date or time, in which a row lies.
+
+    Borders are approximate quantiles, taken once, so that every use of the result sees the same ranges. A large group
+    spreads over as many tasks as there are ranges.
+    """
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    borders = df.agg(F.percentile_approx(order[0], [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0]
+    borders = sorted(set(borders or []))
+    return df.withColumn("__part", F.size(F.filter(F.lit(borders), lambda b: b < F.col(order[0]))) if borders else F.lit(0))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """df with the place of each row in its group, from 1.
+
+    Rows are numbered inside ranges; a range starts after the group's rows in ranges before, of which there is one count each.
+    """
+    parts = ranged(df, order)
+    before = F.sum("count").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy(*by, "__part").count().select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = parts.withColumn(name, F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__part") == F.col("__of")]
+    return inside.join(starts, same).select(*df.columns, (F.col(name) + F.col("__before")).alias(name))
+
+
 def merge_runs(df: DataFrame, by: list[str], order: list[str], style: str, text: str) -> DataFrame:
-    """Adjacent rows of equal style as one: (by, run, style, text, n), text joined in order."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Adjacent rows of equal style as one: (by, run, style, text, n), text joined in order.
+
+    Runs are made inside ranges of rows. The borders of a group's ranges, one row for each, then say which run goes on in
+    the next range, and pieces of it are joined: no task holds a group, only a run.
+    """
+    parts = ranged(df, order)
+    w = Window.partitionBy(*by, "__part").orderBy(*order)
     new = (~F.col(style).eqNullSafe(F.lag(style).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    runs = df.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("piece")))), lambda p: p["piece"]), "")
-    return runs.groupBy(*by, "run").agg(F.first(style).alias(style), joined.alias(text), F.count("*").alias("n"))
+    runs = parts.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = lambda key, piece: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, piece))), lambda p: p["piece"]), "")
+    pieces = runs.groupBy(*by, "__part", "run").agg(F.first(style).alias(style), ordered(order, F.col(text).alias("piece")).alias("piece"), F.count("*").alias("n"))
+    borders = pieces.groupBy(*by, "__part").agg(F.max("run").alias("runs"), F.min_by(style, "run").alias("head"), F.max_by(style, "run").alias("tail"))
+    row = Window.partitionBy(*by).orderBy("__part")
+    goes_on = (F.lag(F.lit(1)).over(row).isNotNull() & F.col("head").eqNullSafe(F.lag("tail").over(row))).cast("int")
+    borders = borders.withColumn("on", goes_on).withColumn("own", F.col("runs") - F.col("on"))
+    shift = F.coalesce(F.sum("own").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("on")
+    shifts = borders.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), shift.alias("shift"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__part") == F.col("__of")]
+    placed = pieces.join(shifts, same).withColumn("run", F.col("run") + F.col("shift"))
+    return placed.groupBy(*by, "run").agg(F.first(style).alias(style), ordered(["__part"], "piece").alias(text), F.sum("n").alias("n"))
 
 
 def suffix_duplicates(df: DataFrame, by: list[str], order: list[str], slug: str) -> DataFrame:
@@ -62,8 +105,10 @@ def dominant(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def first_of(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each group: an aggregate with a partial step, so that nothing is sorted."""
+    rest = [c for c in df.columns if c not in by]
+    found = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return found.select(*[F.col(c) if c in by else F.col(f"__first.{c}").alias(c) for c in df.columns])
 
 
 def referenced(definitions: DataFrame, references: DataFrame, on: list[str]) -> DataFrame:
@@ -83,20 +128,22 @@ def chart_table(points: DataFrame, index: str, series: str, value: str, names: l
     return frame.join(points.groupBy(index).pivot(series, names).agg(F.first(value)), index, "left")
 
 
-def inherited(styles: DataFrame, view: str, columns: list[str], most: int = 64) -> DataFrame:
+def inherited(styles: DataFrame, view: str, columns: list[str]) -> DataFrame:
     """(style, columns): each value from the style itself or its nearest ancestor that has one.
 
-    styles has (style, parent, columns). A chain that comes back to itself, or is longer than most, ends there.
+    styles has (style, parent, columns). A chain that comes back to itself ends there. A chain of more levels than
+    spark.sql.cteRecursionLevelLimit is an error, never cut.
     """
     styles.createOrReplaceTempView(view)
     own = ", ".join(f"s.{c}" for c in columns)
     up = ", ".join(f"coalesce(c.{c}, s.{c})" for c in columns)
     spark = styles.sparkSession
     chain = spark.sql(
-        f"""WITH RECURSIVE chain(style, up, depth, {", ".join(columns)}) AS (
-              SELECT s.style, s.parent, 0, {own} FROM {view} s
+        f"""WITH RECURSIVE chain(style, up, depth, seen, {", ".join(columns)}) AS (
+              SELECT s.style, s.parent, 0, array(s.style), {own} FROM {view} s
               UNION ALL
-              SELECT c.style, s.parent, c.depth + 1, {up} FROM chain c JOIN {view} s ON c.up = s.style WHERE c.depth < {most} AND c.up <> c.style)
+              SELECT c.style, s.parent, c.depth + 1, array_append(c.seen, s.style), {up}
+              FROM chain c JOIN {view} s ON c.up = s.style WHERE NOT array_contains(c.seen, s.style))
             SELECT * FROM chain"""
     )
     return chain.groupBy("style").agg(*[F.max_by(c, "depth").alias(c) for c in columns], F.max("depth").alias("depth"))
@@ -112,6 +159,17 @@ def lines_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n")).alias("line_no", "line"))
 
 
+def relationship_targets(references: DataFrame, relationships: DataFrame, by: list[str]) -> DataFrame:
+    """references (by, part, rel_id) with `target`: the part or address that the relationship leads to; null without one.
+
+    relationships: (by, rel_id, target, external). Targets start from the part's folder; external ones stay as they are.
+    """
+    found = references.join(relationships, [*by, "rel_id"], "left")
+    folder = F.regexp_replace("part", "[^/]*$", "")
+    path = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat(folder, "target"))
+    return found.select(*references.columns, F.when(F.col("external"), F.col("target")).otherwise(resolve_part(path)).alias("target"))
+
+
 def resolve_part(path: Column) -> Column:
     """A package part's path without `.` and `..` steps."""
     steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))

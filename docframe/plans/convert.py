@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions.text import FORMATS, TEXT_FORMATS
 from ..operators import html, to_html
 from ..operators import markdown as M
-from ..sources import packages, payload, slides, structured, wordprocessing
+from ..operators.batches import pieces
+from ..sources import images, packages, payload, slides, structured, wordprocessing
 
 STRUCTURED = ("json", "yaml", "toml")
 #: Need libraries that do not come with Spark: page layout and recognition, and the binary office formats.
@@ -78,6 +79,8 @@ class Options:
     tables_only: bool = False
     overwrite: bool = False
     css: str = ""
+    #: Bytes of images by the path that a document names; formats that hold images take them in.
+    assets: Mapping[str, bytes] | None = None
     #: OpenDocument to Markdown: the package goes along in a comment, for lossless edits.
     keep_package: bool = False
 
@@ -168,6 +171,19 @@ def _as_sheets(h: _Held, fmt: str) -> structured.Sheets:
     return found
 
 
+def _inlined(x: object, assets: Mapping[str, bytes] | None) -> object:
+    """A tree whose images with known bytes are data URIs."""
+    if not assets:
+        return x
+    if isinstance(x, list):
+        return [_inlined(i, assets) for i in x]
+    if not isinstance(x, dict):
+        return x
+    if x.get("type") == "image" and (data := images.bytes_of(x.get("destination") or "", assets)):
+        return x | {"destination": images.data_uri(data)}
+    return {k: _inlined(v, assets) for k, v in x.items()}
+
+
 def _write(h: _Held, source: str, target: str, o: Options) -> bytes:
     if target in ("csv", "xlsx", "ods"):
         sheets = _as_sheets(h, source)
@@ -182,14 +198,14 @@ def _write(h: _Held, source: str, target: str, o: Options) -> bytes:
         return (M.render(_as_blocks(h, source, o)) if o.tables_only else h.value if source == "html" else _as_markdown(h, source)).encode()
     if target in ("pptx", "odp"):
         made = h.slides if h.slides is not None else slides.of_markdown(h.value if source == "markdown" else _as_markdown(h, source))
-        return slides.write_pptx(made) if target == "pptx" else slides.write_odp(made)
+        return slides.write_pptx(made, o.assets) if target == "pptx" else slides.write_odp(made, o.assets)
     blocks = _as_blocks(h, source, o)
     if target == "html":
-        return to_html.page(blocks, o.css).encode()
+        return to_html.page(_inlined(blocks, o.assets), o.css).encode()
     if target == "docx":
-        return wordprocessing.write(blocks)
+        return wordprocessing.write(blocks, o.assets)
     if target == "odt":
-        return packages.write_odt(blocks)
+        return packages.write_odt(blocks, o.assets)
     raise ConversionError("NotImplemented", f"{target} needs a library that is not there")
 
 
@@ -230,7 +246,7 @@ def convert_column(df: DataFrame, content: str, source: str, target: str, option
     at = df.columns.index(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             out, errors = [], []
             for data in batch.column(at).to_pylist():
                 made = failed = None
@@ -268,12 +284,40 @@ def convert_file(path: str, output: str, options: Options = Options(), source: s
             raise ConversionError("InvalidOption", "the output is the input")
         if not options.overwrite:
             raise ConversionError("OutputExists", f"{output} exists")
+    folder, target = os.path.dirname(os.path.abspath(path)), target or detect(output)
     with open(path, "rb") as f:
-        made = convert_bytes(f.read(), source or detect(path), target or detect(output), options)
-    os.makedirs(os.path.dirname(os.path.abspath(output)), exist_ok=True)
-    with open(output + ".part", "wb") as f:
-        f.write(made)
-    os.replace(output + ".part", output)
+        data = f.read()
+    made = convert_bytes(data, source or detect(path), target, replace(options, assets=options.assets or LocalImages(folder)))
+    pictures: dict[str, bytes] = {}
+    if target in ("markdown", *STRUCTURED):  # images go to files beside the output
+        text, pictures = images.to_files(made.decode())
+        made = text.encode()
+    for name, content in [*pictures.items(), (os.path.basename(output), made)]:
+        place = os.path.join(os.path.dirname(os.path.abspath(output)), name)
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        with open(place + ".part", "wb") as f:
+            f.write(content)
+        os.replace(place + ".part", place)
+
+
+class LocalImages(Mapping):
+    """Image files inside a folder, by their path from there."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = os.path.realpath(folder)
+
+    def __getitem__(self, name: str) -> bytes:
+        place = os.path.realpath(os.path.join(self.folder, name))
+        if "://" in name or not place.startswith(self.folder + os.sep) or not os.path.isfile(place):
+            raise KeyError(name)
+        with open(place, "rb") as f:
+            return f.read()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(())
+
+    def __len__(self) -> int:
+        return 1
 
 
 def tree_json(text: str) -> str:

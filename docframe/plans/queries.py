@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import cells as C
 from ..functions import text as X
@@ -14,6 +13,7 @@ from ..operators import html as H
 from ..operators import nodes as N
 from ..operators import relational as R
 from ..operators import tables as T
+from ..sources import slides as S
 from . import convert as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,10 +191,15 @@ def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dominant(_read(spark, sf_dir, "events"), ["user_id"], "event_type")
 
 
-@query("first_rows_style", "SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 6 GROUP BY ALL")
+@query(
+    "first_rows_style",
+    """SELECT user_id, event_type, count(*) AS n
+    FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+    WHERE k <= 6 GROUP BY ALL""",
+)
 def first_rows_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return _read(spark, sf_dir, "events").select("user_id", "event_type", k.alias("k")).where("k <= 6").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    rows = R.numbered(_read(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id"], ["event_id"])
+    return rows.where("number <= 6").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("image_dedupe", "SELECT source, n_chars, min(doc_id) AS doc_id FROM documents GROUP BY source, n_chars")
@@ -204,24 +209,47 @@ def image_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("image_numbers", "SELECT source, doc_id, 'image' || row_number() OVER (PARTITION BY source ORDER BY doc_id) || '.png' AS file FROM documents")
 def image_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return _read(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("image"), n.cast("string"), F.lit(".png")).alias("file"))
+    rows = R.numbered(_read(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+    return rows.select("source", "doc_id", F.concat(F.lit("image"), F.col("number").cast("string"), F.lit(".png")).alias("file"))
 
 
-@query("relationship_targets", "SELECT o_orderkey, coalesce(c_name, 'missing') AS target FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query(
+    "relationship_targets",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'https://example.org/' || c_name
+      ELSE 'ppt/media/' || c_name || '.png' END AS target
+    FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
 def relationship_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(parts, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("missing")).alias("target"))
-
-
-@query("slide_split", """SELECT doc_id, slide, count(*) AS lines, sum(length(line)) AS chars FROM (SELECT doc_id, line, sum(CASE WHEN line_no = 0 OR ends_with(prev, '.') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS slide
-    FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents))) GROUP BY doc_id, slide""")
+    """Orders as references in slides, customers as relationships of packages: every fifth is missing, every second external."""
+    external = F.col("c_custkey") % 2 == 0
+    inner = F.concat(F.lit("../media/./x/../"), "c_name", F.lit(".png"))
+    target = F.when(external, F.concat(F.lit("https://example.org/"), "c_name")).otherwise(inner)
+    customers = _read(spark, sf_dir, "customer").where(F.col("c_custkey") % 5 != 0)
+    package = (F.col("c_custkey") % 7).alias("package")
+    rels = customers.select(package, F.col("c_custkey").alias("rel_id"), target.alias("target"), external.alias("external"))
+    part = F.lit("ppt/slides/slide1.xml").alias("part")
+    references = _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("package"), F.col("o_custkey").alias("rel_id"), part)
+    return R.relationship_targets(references, rels, ["package"]).select("o_orderkey", "target")
+
+
+@query(
+    "slide_split",
+    """SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS slide, role || ' ' || turn AS title,
+      unnest([1, 2, 3])::INT AS block, unnest(['text', 'text', 'table']) AS kind,
+      unnest([length(text) || ' characters', 'from ' || role, 'turn|size' || chr(10) || turn || '|' || length(text)]) AS text
+    FROM conversations""",
+)
 def slide_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    starts = ((F.col("line_no") == 0) | F.coalesce(F.endswith(F.lag("line").over(w), F.lit(".")), F.lit(False))).cast("int")
-    slides = lines.withColumn("starts", starts).withColumn("slide", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return slides.groupBy("doc_id", "slide").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    """A slide for each turn of a conversation: a line, a bullet and a table."""
+    turn, size = F.col("turn").cast("string"), F.length("text").cast("string")
+    lines = [
+        F.concat(F.lit("## "), "role", F.lit(" "), turn),
+        F.concat(size, F.lit(" characters")),
+        F.concat(F.lit("- from "), "role"),
+        F.concat(F.lit("| turn | size |\n| --- | --- |\n| "), turn, F.lit(" | "), size, F.lit(" |\n")),
+    ]
+    decks = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(T.ordered_lines(F.concat_ws("\n\n", *lines), ["turn"]).alias("markdown"))
+    return S.rows_of_markdown(decks, ["conv_id"])
 
 
 @query("table_row_parse", "SELECT p_partkey, p_name AS first, p_brand || '|' || p_size AS second, 3 AS n FROM part")
@@ -236,6 +264,27 @@ def part_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "nation").select("n_nationkey", R.resolve_part(F.concat(F.lit("/ppt/slides/./../media/"), "n_name")).alias("path"))
 
 
+@query(
+    "html_structure",
+    """SELECT page_id, len(regexp_extract_all(html, '<h[1-6]>')) AS n_heading, len(regexp_extract_all(html, '<li>')) AS n_list_item,
+      len(regexp_extract_all(html, '<ul>')) AS n_list, len(regexp_extract_all(html, '<table')) AS n_table,
+      len(regexp_extract_all(html, '<a href="[^"]')) AS n_link,
+      regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&(amp|quot|copy|lt);', ' ', 'g'), '_', ''), '[^\\p{L}\\p{N}]+', '', 'g') AS title,
+      list_transform(regexp_extract_all(html, '<a href="([^"]+)"', 1), lambda t: replace(t, '&amp;', '&')) AS targets
+    FROM pages""",
+)
+def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tree of each page's Markdown holds, with the letters of its title, against what its HTML says."""
+    nodes = N.of_markdown(H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
+    n = lambda kind: F.sum((F.col("kind") == kind).cast("long")).alias(f"n_{kind}")
+    links = F.array_sort(F.collect_list(F.when(F.col("kind") == "link", F.struct("node_id", "destination"))))
+    counted = nodes.groupBy("page_id").agg(*map(n, ("heading", "list_item", "list", "table", "link")), F.transform(links, lambda x: x["destination"]).alias("targets"))
+    heading = nodes.where("kind = 'heading' and level = 1").select("page_id", F.col("path")[0].alias("at"))
+    titles = N.plain_text(nodes.join(heading, "page_id").where("path[0] = at"), ["page_id"]).withColumnRenamed("plain", "title")
+    letters = F.regexp_replace("title", r"[^\p{L}\p{N}]+", "").alias("title")
+    return counted.join(titles, "page_id").select("page_id", "n_heading", "n_list_item", "n_list", "n_table", "n_link", letters, "targets")
+
+
 @query("html_to_markdown")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"])
@@ -321,21 +370,64 @@ def sheets_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("r_name").agg(F.count("*").alias("rows"))
 
 
-@query("routing_matrix", "SELECT 240 AS pairs, 132 AS runs")
+@query(
+    "routing_matrix",
+    """WITH direct AS (SELECT a, unnest(string_split(targets, ' ')) AS b FROM (VALUES
+        ('markdown', 'docx odt pdf json yaml toml csv xlsx ods pptx odp html'), ('docx', 'markdown html csv xlsx json yaml toml pdf'),
+        ('odt', 'markdown html pdf csv xlsx ods json yaml toml'), ('pdf', 'markdown json yaml toml'),
+        ('csv', 'json yaml toml markdown docx odt xlsx ods'), ('xlsx', 'markdown docx ods json csv yaml toml'),
+        ('ods', 'markdown docx odt html pdf csv xlsx json yaml toml'), ('json', 'csv markdown docx odt xlsx ods pptx odp pdf html yaml toml'),
+        ('yaml', 'csv markdown docx odt xlsx ods pptx odp pdf html json toml'), ('toml', 'csv markdown docx odt xlsx ods pptx odp pdf html json yaml'),
+        ('pptx', 'markdown json yaml toml'), ('odp', 'markdown json yaml toml'), ('html', 'markdown json yaml toml')) t(a, targets)),
+      modern AS (FROM (VALUES ('doc', 'docx'), ('xls', 'xlsx'), ('ppt', 'pptx')) t(old, new)),
+      name AS (SELECT DISTINCT a AS f FROM direct UNION SELECT old FROM modern),
+      pair AS (SELECT x.f AS a, y.f AS b, coalesce(m.new, x.f) AS p, coalesce(n.new, y.f) AS q
+        FROM name x JOIN name y ON x.f <> y.f LEFT JOIN modern m ON m.old = x.f LEFT JOIN modern n ON n.old = y.f)
+    SELECT a, b, CASE WHEN a <> p THEN a || '>' ELSE '' END
+        || CASE WHEN p = q THEN p WHEN EXISTS (SELECT 1 FROM direct d WHERE d.a = p AND d.b = q) THEN p || '>' || q ELSE p || '>markdown>' || q END
+        || CASE WHEN b <> q THEN '>' || b ELSE '' END AS route,
+      NOT (a IN ('pdf', 'doc', 'xls', 'ppt') OR b IN ('pdf', 'doc', 'xls', 'ppt')) AS runs
+    FROM pair""",
+)
 def routing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of formats that have a plan, and pairs that run without libraries beyond Spark's."""
-    pairs = [(a, b, int(V.supported(a, b))) for a in V.DIRECT for b in V.DIRECT if a != b and V.plan(a, b)]
-    df = spark.createDataFrame(pairs, "a string, b string, runs int")
-    return df.agg(F.count("*").cast("int").alias("pairs"), F.sum("runs").cast("int").alias("runs"))
+    """The route of every pair of formats, and whether it runs without libraries beyond Spark's."""
+    pairs = [(a, b, ">".join(V.plan(a, b)), V.supported(a, b)) for a in V.DIRECT for b in V.DIRECT if a != b]
+    return spark.createDataFrame(pairs, "a string, b string, route string, runs boolean")
+
+
+def _cells_through(target: str) -> None:
+    """A query that takes a table of customers for each nation, inside a document, through a format, and returns its cells."""
+
+    @query(
+        f"cells_through_{target}",
+        """SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::INT AS row_idx, c_custkey::VARCHAR AS id,
+          c_name AS name, c_mktsegment || '|a b' AS segment, 'Nation ' || c_nationkey AS title FROM customer""",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.concat("c_mktsegment", F.lit(r"\|a b")))
+        line = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+        head = F.concat(F.lit("# Nation "), F.col("c_nationkey").cast("string"), F.lit("\n\nIts customers:\n\n| id | name | segment |\n| --- | --- | --- |\n"))
+        grouped = _read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(T.ordered_lines(line, ["c_custkey"]).alias("lines"))
+        df = grouped.select("c_nationkey", F.concat(head, "lines", F.lit("\n")).alias("now"))
+        for a, b in (("markdown", target), (target, "markdown")):
+            df = V.convert_column(df, "now", a, b, output="next").drop("now", "error").withColumnRenamed("next", "now")
+        nodes = N.of_markdown(df, ["c_nationkey"], "now")
+        column = lambda k, name: F.max(F.when(F.col("col_idx") == k, F.col("text"))).alias(name)
+        rows = nodes.where("kind = 'table_cell' and row_idx > 0").groupBy("c_nationkey", "row_idx").agg(column(0, "id"), column(1, "name"), column(2, "segment"))
+        titles = N.plain_text(nodes.where("path[0] = 0"), ["c_nationkey"]).withColumnRenamed("plain", "title")
+        return rows.join(titles, "c_nationkey").select("c_nationkey", "row_idx", "id", "name", "segment", "title")
+
+
+for _f in ("docx", "odt", "pptx", "odp", "html", "json", "yaml", "toml"):
+    _cells_through(_f)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: its title, Markdown, and what its tree holds."""
-    made = H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"])
-    nodes = N.of_markdown(made, ["page_id"])
-    n = lambda kind: F.sum((F.col("kind") == kind).cast("int"))
-    counted = nodes.groupBy("page_id").agg(n("heading").alias("n_headings"), n("link").alias("n_links"), n("list_item").alias("n_list_items"), n("table").alias("n_tables"), F.sum(F.when(F.col("kind").isin("text", "code", "math"), F.length("text"))).alias("plain_text_chars"))
-    return made.join(counted, "page_id", "left").select("page_id", F.regexp_extract("markdown", r"(?m)^# (.*)$", 1).alias("title"), "n_headings", "n_links", "n_list_items", "n_tables", "plain_text_chars", "markdown")
+    made = N.with_counts(H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"]), ["heading", "link", "list_item", "table"])
+    title = F.regexp_extract("markdown", r"(?m)^# (.*)$", 1).alias("title")
+    counts = [F.col(f"n_{k}").alias(f"n_{k}s") for k in ("heading", "link", "list_item", "table")]
+    return made.select("page_id", title, *counts, "plain_text_chars", "markdown")
 
 
 query("flagship")(flagship)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Mapping
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 from ..operators import markdown as M
+from .images import MIME, Parts, data_uri, extension, size
 from .structured import DataError, Sheets, cell_text, number
 
 MAX_ROWS, MAX_COLUMNS = (1 << 32) - 1, (1 << 16) - 1
@@ -89,8 +91,9 @@ def _rels(items: list[tuple[str, str, str, bool]]) -> str:
 
 
 def _types(overrides: dict[str, str]) -> str:
+    images = "".join(f'<Default Extension="{e}" ContentType="{m}"/>' for e, m in MIME.items())
     body = "".join(f'<Override PartName="/{n}" ContentType="application/vnd.openxmlformats-officedocument.{t}+xml"/>' for n, t in overrides.items())
-    return f'{_XML}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/>{body}</Types>'
+    return f'{_XML}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{images}{body}</Types>'
 
 
 # ---- spreadsheets
@@ -198,10 +201,11 @@ _ODF_NS = {"office": "office", "text": "text", "table": "table", "draw": "drawin
 _ODF_XMLNS = " ".join(f'xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{v}:1.0"' for k, v in _ODF_NS.items()) + ' xmlns:xlink="http://www.w3.org/1999/xlink"'
 
 
-def odf_package(kind: str, body: str, styles: str = "") -> bytes:
+def odf_package(kind: str, body: str, styles: str = "", files: dict[str, bytes] | None = None) -> bytes:
+    pictures = "".join(f'<manifest:file-entry manifest:full-path="{n}" manifest:media-type="{MIME[extension(d)]}"/>' for n, d in (files or {}).items())
     content = f'{_XML}<office:document-content {_ODF_XMLNS} office:version="1.2"><office:automatic-styles>{styles}</office:automatic-styles><office:body>{body}</office:body></office:document-content>'
-    manifest = f'{_XML}<manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0" manifest:version="1.2"><manifest:file-entry manifest:full-path="/" manifest:media-type="{ODF_TYPE[kind]}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>'
-    return package({"mimetype": ODF_TYPE[kind], "content.xml": content, "META-INF/manifest.xml": manifest}, first="mimetype")
+    manifest = f'{_XML}<manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0" manifest:version="1.2"><manifest:file-entry manifest:full-path="/" manifest:media-type="{ODF_TYPE[kind]}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/>{pictures}</manifest:manifest>'
+    return package({"mimetype": ODF_TYPE[kind], "content.xml": content, "META-INF/manifest.xml": manifest, **(files or {})}, first="mimetype")
 
 
 def odf_body(data: bytes, kind: str) -> tuple[ET.Element, ET.Element]:
@@ -216,6 +220,25 @@ def odf_body(data: bytes, kind: str) -> tuple[ET.Element, ET.Element]:
     return body[0], root
 
 
+def odf_image(destination: str, alt: str, pictures: Parts, title: str | None = None) -> str:
+    """A frame with an image: a part of the package if its bytes are there, else a link."""
+    found = pictures.add(destination)
+    pixels = (size(found[1]) if found else None) or (640, 480)
+    extent = " ".join(f'svg:{n}="{min(v, 640) / 96:.4f}in"' for n, v in zip(("width", "height"), pixels))
+    name = f" draw:name={quoteattr(title)}" if title is not None else ""
+    return f'<draw:frame text:anchor-type="as-char"{name} {extent}><draw:image xlink:type="simple" xlink:href={quoteattr(found[0] if found else destination)}/><svg:title>{escape(alt)}</svg:title></draw:frame>'
+
+
+def odf_picture(frame: ET.Element, files: dict[str, bytes]) -> tuple[str, str] | None:
+    """(alternative text, destination) of a frame's image."""
+    image, title = child(frame, "image"), child(frame, "title")
+    if image is None:
+        return None
+    target = attr(image, "href") or ""
+    part = target.removeprefix("./")
+    return (title.text if title is not None else "") or "", data_uri(files[part]) if part in files else target
+
+
 def odf_text(e: ET.Element) -> str:
     """Text of a paragraph with its tabs, blanks and breaks."""
     out = [e.text or ""]
@@ -279,9 +302,14 @@ def read_ods(data: bytes) -> Sheets:
 _ODT_MARKS = {"strong": ("B", 'fo:font-weight="bold"'), "emphasis": ("I", 'fo:font-style="italic"'), "strikethrough": ("S", 'style:text-line-through-style="solid"'), "underline": ("U", 'style:text-underline-style="solid"'), "superscript": ("Sup", 'style:text-position="super 58%"'), "subscript": ("Sub", 'style:text-position="sub 58%"'), "code": ("Code", 'style:font-name="Courier New"')}
 
 
-def write_odt(blocks: list[dict]) -> bytes:
+_ODT_ALIGN = {"left": "start", "right": "end", "center": "center"}
+
+
+def write_odt(blocks: list[dict], assets: Mapping[str, bytes] | None = None) -> bytes:
+    pictures = Parts("Pictures", assets)
     styles = "".join(f'<style:style style:name="{n}" style:family="text"><style:text-properties {p}/></style:style>' for n, p in _ODT_MARKS.values())
-    styles += "".join(f'<style:style style:name="{n}" style:family="paragraph"/>' for n in ("Code_20_Block", "Quote", "Rule", "Math"))
+    styles += "".join(f'<style:style style:name="{n}" style:family="paragraph"/>' for n in ("Code_20_Block", "Quote", "Rule", "Math", "Note_20_Continued"))
+    styles += "".join(f'<style:style style:name="Cell_{n}" style:family="paragraph"><style:paragraph-properties fo:text-align="{p}"/></style:style>' for n, p in _ODT_ALIGN.items())
     styles += "".join(f'<style:style style:name="{n}" style:family="text"/>' for n in ("Math", "Note"))
     styles += '<text:list-style style:name="Bullet"><text:list-level-style-bullet text:level="1" text:bullet-char="-"/></text:list-style><text:list-style style:name="Number"><text:list-level-style-number text:level="1"/></text:list-style>'
 
@@ -297,11 +325,14 @@ def write_odt(blocks: list[dict]) -> bytes:
             elif kind in _ODT_MARKS:
                 out.append(f'<text:span text:style-name="{_ODT_MARKS[kind][0]}">{inline(i["content"])}</text:span>')
             elif kind == "link":
-                out.append(f'<text:a xlink:type="simple" xlink:href={quoteattr(i["destination"])}>{inline(i["content"])}</text:a>')
+                title = f" office:title={quoteattr(i['title'])}" if i.get("title") is not None else ""
+                out.append(f'<text:a xlink:type="simple" xlink:href={quoteattr(i["destination"])}{title}>{inline(i["content"])}</text:a>')
             elif kind == "bookmark":
                 out.append(f"<text:bookmark text:name={quoteattr(i['name'])}/>")
             elif kind == "hard_break":
                 out.append("<text:line-break/>")
+            elif kind == "image":
+                out.append(odf_image(i.get("destination", ""), i.get("alt", ""), pictures, i.get("title")))
             else:
                 out.append(_odf_string(" " if kind == "soft_break" else M.render_inline(i)))
         return "".join(out)
@@ -319,9 +350,13 @@ def write_odt(blocks: list[dict]) -> bytes:
             return f'<text:list text:style-name="{"Number" if b["ordered"] else "Bullet"}">{items}</text:list>'
         if kind == "table":
             rows = b.get("cells") or [[[{"type": "text", "text": c}] for c in r] for r in b.get("rows", [])]
-            return "<table:table>" + "".join("<table:table-row>" + "".join(f'<table:table-cell office:value-type="string"><text:p>{inline(c)}</text:p></table:table-cell>' for c in r) + "</table:table-row>" for r in rows) + "</table:table>"
+            sides = b.get("alignments", [])
+            side = lambda k: f' text:style-name="Cell_{sides[k]}"' if k < len(sides) and sides[k] in _ODT_ALIGN else ""
+            cell = lambda k, c: f'<table:table-cell office:value-type="string"><text:p{side(k)}>{inline(c)}</text:p></table:table-cell>'
+            return "<table:table>" + "".join("<table:table-row>" + "".join(cell(k, c) for k, c in enumerate(r)) + "</table:table-row>" for r in rows) + "</table:table>"
         if kind == "code_block":
-            return f'<text:p text:style-name="Code_20_Block">{_odf_string(b["code"])}</text:p>'
+            info = "_" + _style_name(b["info"]) if b.get("info") else ""
+            return f'<text:p text:style-name="Code_20_Block{info}">{_odf_string(b["code"])}</text:p>'
         if kind == "quote":
             return many(b.get("blocks", []), "Quote") if b.get("blocks") else f'<text:p text:style-name="Quote">{_odf_string(b.get("text") or "")}</text:p>'
         if kind == "horizontal_rule":
@@ -329,16 +364,31 @@ def write_odt(blocks: list[dict]) -> bytes:
         if kind == "math":
             return f'<text:p text:style-name="Math">{_odf_string(b["text"])}</text:p>'
         if kind == "footnote_definition":
-            return f"<text:p>{_odf_string('[^' + b['label'] + ']: ')}{inline([x for p in b['blocks'] for x in p.get('content', [])])}</text:p>"
+            first, *more = [p for p in b["blocks"] if "content" in p] or [{"content": []}]
+            rest = "".join(f'<text:p text:style-name="Note_20_Continued">{inline(p["content"])}</text:p>' for p in more)
+            return f"<text:p>{_odf_string('[^' + b['label'] + ']: ')}{inline(first['content'])}</text:p>{rest}"
         if kind in ("paragraph", "list_item"):
             return f"<text:p{name}>{content()}</text:p>"
+        if kind == "image":
+            return f"<text:p>{odf_image(f'data:image/{b['format']};base64,{b['data']}', b.get('alt', ''), pictures)}</text:p>"
         return f"<text:p>{_odf_string(M.render_block(b))}</text:p>"
 
-    return odf_package("odt", f"<office:text>{many(blocks)}</office:text>", styles)
+    body = many(blocks)
+    return odf_package("odt", f"<office:text>{body}</office:text>", styles, pictures.files)
+
+
+def _style_name(text: str) -> str:
+    """A style's name, in which other signs than letters and digits are written as _xx_."""
+    return "".join(c if c.isalnum() else f"_{ord(c):x}_" for c in text)
+
+
+def _style_text(name: str) -> str:
+    return re.sub("_([0-9a-f]+)_", lambda m: chr(int(m[1], 16)), name)
 
 
 def read_odt(data: bytes) -> list[dict]:
     body, root = odf_body(data, "odt")
+    files = parts(data)
     marks: dict[str, list[str]] = {}
     for s in (s for s in root.iter() if local(s) == "style" and attr(s, "family") == "text"):
         p = child(s, "text-properties")
@@ -368,11 +418,13 @@ def read_odt(data: bytes) -> list[dict]:
                 for i in inner:
                     put(i)
             elif n == "a":
-                put({"type": "link", "destination": attr(c, "href") or "", "content": inline(c)})
+                put({"type": "link", "destination": attr(c, "href") or "", "content": inline(c)} | ({"title": attr(c, "title")} if attr(c, "title") is not None else {}))
             elif n in ("bookmark", "bookmark-start"):
                 put({"type": "bookmark", "name": attr(c, "name") or ""})
             elif n == "line-break":
                 put({"type": "hard_break"})
+            elif n == "frame" and (found := odf_picture(c, files)):
+                put({"type": "image", "alt": found[0], "destination": found[1]} | ({"title": attr(c, "name")} if attr(c, "name") else {}))
             elif n in ("s", "tab"):
                 put({"type": "text", "text": " " * int(attr(c, "c") or 1) if n == "s" else "\t"})
             elif n not in ("note", "annotation", "bookmark-end"):
@@ -381,6 +433,8 @@ def read_odt(data: bytes) -> list[dict]:
             put({"type": "text", "text": c.tail or ""})
         return out
 
+    by_side = {"start": "left", "left": "left", "end": "right", "right": "right", "center": "center"}
+    aligned = {attr(s, "name"): by_side[side] for s in root.iter() if local(s) == "style" and (side := attr(child(s, "paragraph-properties"), "text-align")) in by_side}
     ordered = {attr(s, "name") for s in root.iter() if local(s) == "list-style" and any(local(c) == "list-level-style-number" for c in s)}
 
     def blocks(e: ET.Element, style: str = "") -> list[dict]:
@@ -394,8 +448,11 @@ def read_odt(data: bytes) -> list[dict]:
             elif n == "p" and name == "Math":
                 out.append({"type": "math", "text": odf_text(c)})
             elif n == "p" and name.startswith("Code"):
-                out.append({"type": "code_block", "code": odf_text(c)})
-            elif n == "p" and odf_text(c).strip():
+                info = _style_text(name.removeprefix("Code_20_Block").removeprefix("_"))
+                out.append({"type": "code_block", "code": odf_text(c)} | ({"info": info} if info and name.startswith("Code_20_Block") else {}))
+            elif n == "p" and name == "Note_20_Continued" and out and out[-1]["type"] == "footnote_definition":
+                out[-1]["blocks"].append({"type": "paragraph", "content": inline(c)})
+            elif n == "p" and (odf_text(c).strip() or any(local(x) == "image" for x in c.iter())):
                 content = inline(c)
                 note = re.match(r"\[\^([^\]\s]+)\]: ?", content[0].get("text", "")) if content else None
                 if note:
@@ -415,7 +472,11 @@ def read_odt(data: bytes) -> list[dict]:
                         first.insert(0, {"type": "task_list_marker", "checked": t[1] == "x"})
                 out.append({"type": "list", "ordered": number_of, **({"start": items[0]["number"]} if number_of and items else {}), "items": items})
             elif n == "table":
-                out.append({"type": "table", "cells": [[[x for p in cell if local(p) == "p" for x in inline(p)] for cell in r if local(cell) == "table-cell"] for r in c.iter() if local(r) == "table-row"]})
+                rows = [[cell for cell in r if local(cell) == "table-cell"] for r in c.iter() if local(r) == "table-row"]
+                first = [next((attr(p, "style-name") or "" for p in cell if local(p) == "p"), "") for cell in rows[0]] if rows else []
+                sides = [aligned.get(f, "none") for f in first]
+                block = {"type": "table", "cells": [[[x for p in cell if local(p) == "p" for x in inline(p)] for cell in r] for r in rows]}
+                out.append(block | ({"alignments": sides} if any(x != "none" for x in sides) else {}))
             elif n in ("section", "list-header"):
                 out += blocks(c)
         return out

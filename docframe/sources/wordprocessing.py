@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 from ..operators import markdown as M
 from ..operators.equations import latex
-from .packages import _R, _W, _XML, _rels, _types, _xml, attr, child, local, package, parts, relationships
+from .images import Parts, data_uri, extent
+from .packages import _A, _R, _W, _XML, _rels, _types, _xml, attr, child, local, package, parts, relationships
 from .structured import DataError
 
 _RUN = {"strong": "<w:b/>", "emphasis": "<w:i/>", "strikethrough": "<w:strike/>", "underline": '<w:u w:val="single"/>', "superscript": '<w:vertAlign w:val="superscript"/>', "subscript": '<w:vertAlign w:val="subscript"/>', "code": '<w:rStyle w:val="Code"/>'}
 DEEPEST_LIST = 9
+#: Room for an image on a page, in EMU.
+PAGE_WIDTH, PAGE_HEIGHT = 5_486_400, 7_315_200
+_PIC = "http://schemas.openxmlformats.org/drawingml/2006/picture"
+_WP = "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
 
 
 class _Writer:
-    def __init__(self) -> None:
+    def __init__(self, assets: Mapping[str, bytes] | None = None) -> None:
+        self.pictures, self.drawn = Parts("word/media", assets), 0
         self.rels: list[tuple[str, str, str, bool]] = []
         self.notes: dict[str, list[dict]] = {}
         self.number: dict[str, int] = {}
         self.lists: list[tuple[bool, int]] = []
         self.marks = 0
+        self.code_styles: dict[str, None] = {"CodeBlock": None}  # one for each language that code names
 
     def run(self, text: str, props: str) -> str:
         body = "".join('<w:br/>' if p == "\n" else "<w:tab/>" if p == "\t" else f'<w:t xml:space="preserve">{escape(p)}</w:t>' for p in re.split("([\n\t])", text) if p)
@@ -40,12 +48,12 @@ class _Writer:
             elif kind in _RUN:
                 out.append(self.inline(i["content"], props + _RUN[kind]))
             elif kind == "link":
-                inner = self.inline(i["content"], props)
+                inner, tip = self.inline(i["content"], props), f" w:tooltip={quoteattr(i['title'])}" if i.get("title") is not None else ""
                 if i["destination"].startswith("#"):
-                    out.append(f"<w:hyperlink w:anchor={quoteattr(i['destination'][1:])}>{inner}</w:hyperlink>")
+                    out.append(f"<w:hyperlink w:anchor={quoteattr(i['destination'][1:])}{tip}>{inner}</w:hyperlink>")
                 else:
                     self.rels.append((f"rIdL{len(self.rels)}", "hyperlink", i["destination"], True))
-                    out.append(f'<w:hyperlink r:id="{self.rels[-1][0]}">{inner}</w:hyperlink>')
+                    out.append(f'<w:hyperlink r:id="{self.rels[-1][0]}"{tip}>{inner}</w:hyperlink>')
             elif kind == "bookmark":
                 self.marks += 1
                 out.append(f'<w:bookmarkStart w:id="{self.marks}" w:name={quoteattr(i["name"])}/><w:bookmarkEnd w:id="{self.marks}"/>')
@@ -58,10 +66,25 @@ class _Writer:
                 out.append(f'<w:r><w:{kind}Reference w:id="{n}"/></w:r>')
             elif kind == "hard_break":
                 out.append("<w:r><w:br/></w:r>")
+            elif kind == "image":
+                out.append(self.image(i.get("destination", ""), i.get("alt", ""), i.get("title")))
             else:
                 out.append(self.run(" " if kind == "soft_break" else M.render_inline(i), props))
         return "".join(out)
 
+    def image(self, destination: str, alt: str, title: str | None = None) -> str:
+        """A drawing in a run: a part of the package if the image's bytes are there, else a link."""
+        found = self.pictures.add(destination)
+        self.drawn += 1
+        self.rels.append((f"rIdI{len(self.rels)}", "image", found[0].removeprefix("word/") if found else destination, not found))
+        x, y = extent(found and found[1], PAGE_WIDTH, PAGE_HEIGHT)
+        named = f'id="{self.drawn}" name="Picture {self.drawn}" descr={quoteattr(alt)}' + (f" title={quoteattr(title)}" if title is not None else "")
+        fill = f'<pic:blipFill><a:blip r:{"embed" if found else "link"}="{self.rels[-1][0]}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+        shape = f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{x}" cy="{y}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr>'
+        picture = f'<pic:pic xmlns:pic="{_PIC}"><pic:nvPicPr><pic:cNvPr {named}/><pic:cNvPicPr/></pic:nvPicPr>{fill}{shape}</pic:pic>'
+        graphic = f'<a:graphic xmlns:a="{_A}"><a:graphicData uri="{_PIC}">{picture}</a:graphicData></a:graphic>'
+        return f'<w:r><w:drawing><wp:inline xmlns:wp="{_WP}"><wp:extent cx="{x}" cy="{y}"/><wp:docPr {named}/>{graphic}</wp:inline></w:drawing></w:r>'
+
     def paragraph(self, body: str, style: str = "", extra: str = "") -> str:
         props = (f'<w:pStyle w:val="{style}"/>' if style else "") + extra
         return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{body}</w:p>"
@@ -85,7 +108,9 @@ class _Writer:
             cell = lambda k, c: f"<w:tc>{self.paragraph(self.inline(c), extra=f'<w:jc w:val={chr(34)}{sides[k]}{chr(34)}/>' if k < len(sides) and sides[k] else '')}</w:tc>"
             return "<w:tbl>" + "".join("<w:tr>" + "".join(cell(k, c) for k, c in enumerate(r)) + "</w:tr>" for r in rows) + "</w:tbl>"
         if kind == "code_block":
-            return self.paragraph(self.run(b["code"], ""), "CodeBlock")
+            style = "CodeBlock" + (f"-{b['info']}" if b.get("info") else "")
+            self.code_styles.setdefault(style)
+            return self.paragraph(self.run(b["code"], ""), escape(style, {'"': "&quot;"}))
         if kind == "quote":
             return self.blocks(b["blocks"], "Quote") if b.get("blocks") else self.paragraph(self.run(b.get("text") or "", ""), "Quote")
         if kind == "horizontal_rule":
@@ -95,6 +120,8 @@ class _Writer:
         if kind == "footnote_definition":
             self.notes[b["label"]] = b["blocks"]
             return ""
+        if kind == "image":
+            return self.paragraph(self.image(f"data:image/{b['format']};base64,{b['data']}", b.get("alt", "")))
         return self.paragraph(self.run(M.render_block(b), ""))
 
     def list(self, b: dict, level: int, number: int | None = None) -> str:
@@ -115,8 +142,8 @@ class _Writer:
         return "".join(out)
 
 
-def write(blocks: list[dict]) -> bytes:
-    w = _Writer()
+def write(blocks: list[dict], assets: Mapping[str, bytes] | None = None) -> bytes:
+    w = _Writer(assets)
     body = w.blocks(blocks)
     ns = f'xmlns:w="{_W}" xmlns:r="{_R}"'
     files: dict[str, str | bytes] = {}
@@ -133,13 +160,13 @@ def write(blocks: list[dict]) -> bytes:
             types[f"word/{kind}s.xml"] = f"wordprocessingml.{kind}s"
     levels = lambda ordered, start: "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="{start if not k else 1}"/><w:numFmt w:val="{"decimal" if ordered else "bullet"}"/></w:lvl>' for k in range(DEEPEST_LIST))
     files["word/numbering.xml"] = f"{_XML}<w:numbering {ns}>" + "".join(f'<w:abstractNum w:abstractNumId="{k}">{"".join(f"""<w:lvl w:ilvl="{l}"><w:start w:val="{s}"/><w:numFmt w:val="{"decimal" if o else "bullet"}"/></w:lvl>""" for l in range(DEEPEST_LIST))}</w:abstractNum>' for k, (o, s) in enumerate(w.lists, 1)) + "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="{k}"/></w:num>' for k in range(1, len(w.lists) + 1)) + "</w:numbering>"
-    styles = [f"Heading{k}" for k in range(1, 7)] + ["Quote", "CodeBlock", "Rule", "MathBlock"]
+    styles = [f"Heading{k}" for k in range(1, 7)] + ["Quote", *(escape(c, {'"': "&quot;"}) for c in w.code_styles), "Rule", "MathBlock"]
     files["word/styles.xml"] = f"{_XML}<w:styles {ns}>" + "".join(f'<w:style w:type="paragraph" w:styleId="{s}"><w:name w:val="{re.sub(r"(?<=g)(?=[0-9])", " ", s)}"/></w:style>' for s in styles) + '<w:style w:type="character" w:styleId="Code"><w:name w:val="Code"/><w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr></w:style><w:style w:type="character" w:styleId="Math"><w:name w:val="Math"/></w:style></w:styles>'
     files["word/document.xml"] = f"{_XML}<w:document {ns}><w:body>{body}</w:body></w:document>"
     files["word/_rels/document.xml.rels"] = _rels(rels)
     files["_rels/.rels"] = _rels([("rId1", "officeDocument", "word/document.xml", False)])
     files["[Content_Types].xml"] = _types(types)
-    return package(files)
+    return package(files | w.pictures.files)
 
 
 class _Reader:
@@ -193,7 +220,8 @@ class _Reader:
                 flush()
                 target = "#" + attr(r, "anchor") if attr(r, "anchor") else self.rels.get(attr(r, "id") or "", "")
                 inner = self.runs(r)
-                for i in [{"type": "link", "destination": target, "content": inner}] if target else inner:
+                title = {"title": attr(r, "tooltip")} if attr(r, "tooltip") is not None else {}
+                for i in [{"type": "link", "destination": target, "content": inner} | title] if target else inner:
                     M._add(out, i)
             elif n == "bookmarkStart" and not (attr(r, "name") or "_").startswith("_"):
                 flush()
@@ -224,10 +252,13 @@ class _Reader:
                         M._add(out, {"type": "footnote_reference", "label": self.label(k[:-9], attr(c, "id") or "")})
                     elif k in ("drawing", "pict"):
                         flush()
-                        embed = next((attr(x, "embed") for x in c.iter() if local(x) == "blip"), None)
-                        if embed:
-                            alt = next((attr(x, "descr") for x in c.iter() if local(x) == "docPr"), None)
-                            M._add(out, {"type": "image", "alt": alt or "", "destination": self.rels.get(embed, "")})
+                        blip = next((x for x in c.iter() if local(x) == "blip"), None)
+                        part = self.rels.get(attr(blip, "embed") or attr(blip, "link") or "")
+                        if part:
+                            named = next((x for x in c.iter() if local(x) == "docPr"), None)
+                            target = data_uri(self.files[part]) if part in self.files else part
+                            title = {"title": attr(named, "title")} if attr(named, "title") is not None else {}
+                            M._add(out, {"type": "image", "alt": attr(named, "descr") or "", "destination": target} | title)
         flush()
         return out
 
@@ -318,9 +349,9 @@ class _Reader:
                 out.append({"type": "heading", "level": 1, "content": content})
             elif style == "Rule":
                 out.append({"type": "horizontal_rule"})
-            elif style in ("CodeBlock", "MathBlock"):
-                text = "".join("\n" if i["type"] == "hard_break" else M.plain([i]) for i in content)
-                out.append({"type": "code_block", "code": text} if style == "CodeBlock" else {"type": "math", "text": text})
+            elif style.partition("-")[0] in ("CodeBlock", "MathBlock"):
+                text, info = "".join("\n" if i["type"] == "hard_break" else M.plain([i]) for i in content), style.partition("-")[2]
+                out.append({"type": "code_block", "code": text} | ({"info": info} if info else {}) if style != "MathBlock" else {"type": "math", "text": text})
             elif content:
                 paragraph = {"type": "paragraph", "content": content}
                 out.append({"type": "quote", "blocks": [paragraph]} if style == "Quote" else paragraph)

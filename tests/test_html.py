@@ -15,6 +15,37 @@ CASES = [
     ("<blockquote><p>a<br>b</p></blockquote>", "> a  \n> b\n"),
     ('<p>x<sup class="footnote-reference"><a href="#n">1</a></sup></p><div class="footnote-definition" id="n"><p>note</p></div>', "x[^n]\n\n[^n]: note"),
     ("", ""),
+    ("<h1>One</h1><h6>Six</h6>", "# One\n\n###### Six\n"),
+    ("<p>a<em>b</em><strong>c</strong><i>d</i><b>e</b></p>", "a*b***c***d***e**\n"),
+    ("<p><del>x</del> <s>y</s> <u>z</u></p>", "~~x~~ ~~y~~ <u>z</u>\n"),
+    ("<p>H<sub>2</sub>O x<sup>2</sup></p>", "H$_{2}$O x$^{2}$\n"),
+    ("<ul><li>a</li><li>b<ul><li>c</li></ul></li></ul>", "- a\n    - c\n- b\n"),
+    ("<ol><li>a</li><li>b</li></ol>", "1. a\n2. b\n"),
+    ("<ul><li>a<ol start='5'><li>n</li></ol></li></ul>", "    5. n\n- a\n"),
+    ("<ul><li><p>x</p><p>y</p></li></ul>", "- xy\n"),
+    ('<ul><li><input type="checkbox"/>t</li></ul>', "- [ ] t\n"),
+    ("<p>a<br/>b<br>c</p>", "a  \nb  \nc\n"),
+    ("<p>a   b\n c</p>", "a b c\n"),
+    ("<p>  lead</p>", "lead\n"),
+    ("<hr/><p>x</p>", "---\n\nx\n"),
+    ("<pre>a\n  b</pre>", "```\na\n  b\n```\n"),
+    ("<pre><code>x &lt; y</code></pre>", "```\nx < y\n```\n"),
+    ("<blockquote><p>q1</p><p>q2</p></blockquote>", "> q1\n\n> q2\n"),
+    ("<blockquote><blockquote><p>deep</p></blockquote></blockquote>", "> > deep\n"),
+    ("<table><tr><th>h|1</th><th>h2</th></tr><tr><td>a</td><td></td></tr></table>", "| h\\|1 | h2 |\n| --- | --- |\n| a |  |\n"),
+    ("<table><thead><tr><th>a</th></tr></thead><tbody><tr><td>1</td></tr><tr><td>2</td></tr></tbody></table>", "| a |\n| --- |\n| 1 |\n| 2 |\n"),
+    ("<p><img src='a b.png' alt='x'></p>", "![x](<a b.png>)\n"),
+    ("<p><a name='n'>t</a></p>", '<a id="n"></a>t\n'),
+    ("<p>&copy;&mdash;&hellip;&unknown;</p>", "\u00a9\u2014\u2026&unknown;\n"),
+    ("<!-- c --><p>x<!-- d -->y</p>", "xy\n"),
+    ("<!DOCTYPE html><p>x</p>", "x\n"),
+    ("<p>a*b_c[d]</p>", "a\\*b\\_c\\[d\\]\n"),
+    ("<h2>a <em>b</em></h2>", "## a *b*\n"),
+    ("<ul><li></li><li>x</li></ul>", "- x\n"),
+    ("<P>UPPER</P><p>x</P>", "UPPER\n\nx\n"),
+    ("<div>lost<p>in div</p>lost</div>", "in div\n"),
+    ("<style>p{}</style><p>s</p>", "s\n"),
+    ('<p><span class="math math-inline">x^2</span></p>', "$x^2$\n"),
 ]
 
 
