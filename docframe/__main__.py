@@ -1,4 +1,4 @@
-"""Command line: convert one file, convert the files of a glob with Spark, or write the standard theme."""
+"""Command line: convert one file or standard input, convert the files of a glob with Spark, or write the standard theme."""
 
 from __future__ import annotations
 
@@ -9,19 +9,62 @@ from .functions import themes
 from .plans import convert as V
 
 
+def _format(text: str | None) -> str | None:
+    return V.FORMATS.get(text.strip().lower(), text.strip().lower()) if text else None
+
+
+def _piped(a: argparse.Namespace, options: V.Options) -> None:
+    """Standard input or output in place of a file: text formats only, and both formats must be clear."""
+    source = _format(a.source) if a.input == "-" else _format(a.source) or V.detect(a.input)
+    target = _format(a.target) if a.output == "-" else _format(a.target) or V.detect(a.output)
+    if not source or not target:
+        raise V.ConversionError("InvalidOption", "standard input needs --from, standard output needs --to")
+    for way, used, fmt in (("input", a.input, source), ("output", a.output, target)):
+        if used == "-" and fmt not in V.TEXT_FORMATS:
+            raise V.ConversionError("InvalidOption", f"standard {way} takes text formats only, not {fmt}")
+    if a.keep_intermediate:
+        raise V.ConversionError("InvalidOption", "--keep-intermediate needs files")
+    if a.input == "-":
+        data = sys.stdin.buffer.read()
+    else:
+        with open(a.input, "rb") as f:
+            data = f.read()
+    made = V.convert_bytes(data, source, target, options)
+    if a.output == "-":
+        sys.stdout.buffer.write(made)
+        sys.stdout.buffer.flush()
+    else:
+        V.save(a.output, made, options.overwrite)
+
+
+def _batch(a: argparse.Namespace, options: V.Options) -> int:
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    if not a.source or not a.target:
+        raise V.ConversionError("InvalidOption", "batch needs --from and --to")
+    spark = SparkSession.builder.appName("docframe").getOrCreate()
+    done = V.save_files(V.convert_files(spark, a.input, _format(a.source), _format(a.target), options), a.output, a.overwrite)
+    written, failed, first = done.agg(F.count("bytes"), F.count("error"), F.min(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "name", "error.message")))).first()
+    print(f"{written} files written, {failed} failed" + (f", first {first}" if first else ""), file=sys.stderr)
+    return int(failed > 0)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="docframe")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("convert", "batch"):
         c = commands.add_parser(name)
-        c.add_argument("input")
-        c.add_argument("output")
+        c.add_argument("input", help="a file, or - for standard input" if name == "convert" else "a glob")
+        c.add_argument("output", help="a file, or - for standard output" if name == "convert" else "a folder")
         c.add_argument("--from", dest="source")
         c.add_argument("--to", dest="target")
         c.add_argument("--delimiter", default=",")
         c.add_argument("--tables-only", action="store_true")
         c.add_argument("--overwrite", action="store_true")
         c.add_argument("--style")
+        if name == "convert":
+            c.add_argument("--keep-intermediate", action="store_true", help="keep the document as JSON beside the output")
     commands.add_parser("style-template").add_argument("output")
     a = parser.parse_args(argv)
     try:
@@ -34,18 +77,14 @@ def main(argv: list[str] | None = None) -> int:
             with open(a.style, encoding="utf-8") as f:
                 css = themes.css(themes.load(f.read()))
         options = V.Options(V.parse_delimiter(a.delimiter), a.tables_only, a.overwrite, css)
-        if a.command == "convert":
-            V.convert_file(a.input, a.output, options, a.source, a.target)
-            return 0
-        from pyspark.sql import SparkSession
-
-        spark = SparkSession.builder.appName("docframe").getOrCreate()
-        if not a.source or not a.target:
-            raise V.ConversionError("InvalidOption", "batch needs --from and --to")
-        done = V.convert_files(spark, a.input, V.FORMATS.get(a.source, a.source), V.FORMATS.get(a.target, a.target), options)
-        done.write.mode("overwrite" if a.overwrite else "errorifexists").parquet(a.output)
+        if a.command == "batch":
+            return _batch(a, options)
+        if "-" in (a.input, a.output):
+            _piped(a, options)
+        else:
+            V.convert_file(a.input, a.output, options, _format(a.source), _format(a.target), a.keep_intermediate)
         return 0
-    except (V.ConversionError, themes.ThemeError, FileExistsError) as e:
+    except (V.ConversionError, themes.ThemeError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
 

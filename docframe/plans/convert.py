@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +83,8 @@ class Options:
     css: str = ""
     #: Bytes of images by the path that a document names; formats that hold images take them in.
     assets: Mapping[str, bytes] | None = None
+    #: Trees as JSON, YAML and TOML hold their images' bytes.
+    embed: bool = False
     #: OpenDocument to Markdown: the package goes along in a comment, for lossless edits.
     keep_package: bool = False
 
@@ -193,7 +197,8 @@ def _write(h: _Held, source: str, target: str, o: Options) -> bytes:
             return structured.dump(structured.value_of(h.sheets, target), target).encode()
         if h.blocks is None and h.slides is None:
             return structured.dump(h.value, target).encode()
-        return structured.dump({"blocks": _as_blocks(h, source, o)}, target).encode()
+        blocks = _as_blocks(h, source, o)
+        return structured.dump({"blocks": _inlined(blocks, o.assets) if o.embed else blocks}, target).encode()
     if target == "markdown":
         return (M.render(_as_blocks(h, source, o)) if o.tables_only else h.value if source == "html" else _as_markdown(h, source)).encode()
     if target in ("pptx", "odp"):
@@ -269,35 +274,105 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def convert_files(spark: SparkSession, path: str, source: str, target: str, options: Options = Options(), failfast: bool = False) -> DataFrame:
-    """(path, name, converted, error) for each file; name is the output's, flat and with the target's extension."""
+def _name(path: Column, base: str, target: str) -> Column:
+    """A file's name below base, with the target's extension."""
     extension = {"markdown": "md"}.get(target, target)
+    inside = F.regexp_replace(path, "^.*?" + re.escape(base.rstrip("/")).replace("\\/", "/") + "/", "") if base else F.element_at(F.split(path, "/"), -1)
+    return F.concat(F.regexp_replace(inside, r"\.[^./]*$", ""), F.lit("." + extension))
+
+
+def _base(pattern: str) -> str:
+    """The folder of a glob above its first wildcard, without scheme and host."""
+    plain = re.split(r"[*?\[{]", re.sub(r"^\w+://[^/]*|^file:", "", pattern))[0]
+    return plain.rpartition("/")[0]
+
+
+def convert_files(spark: SparkSession, path: str, source: str, target: str, options: Options = Options(), failfast: bool = False) -> DataFrame:
+    """(path, name, converted, error) for each file; name is the output's, from the glob's fixed folder on.
+
+    Two files that would have one output are an error: names are compared before any file is read.
+    """
+    names = spark.read.format("binaryFile").load(path).select(_name(F.col("path"), _base(path), target).alias("name"))
+    twice = names.groupBy("name").count().where("count > 1").select(F.min("name")).first()[0]
+    if twice is not None:
+        raise ConversionError("InvalidInput", f"several files would be written to {twice}")
     done = convert_column(read_files(spark, path), "content", source, target, options, failfast=failfast)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return done.select("path", F.concat(stem, F.lit("." + extension)).alias("name"), "converted", "error")
-
-
-def convert_file(path: str, output: str, options: Options = Options(), source: str | None = None, target: str | None = None) -> None:
-    """One local file on the driver. The output may not be the input, and is only replaced if options say so."""
-    if os.path.exists(output):
-        if os.path.samefile(path, output):
-            raise ConversionError("InvalidOption", "the output is the input")
-        if not options.overwrite:
-            raise ConversionError("OutputExists", f"{output} exists")
-    folder, target = os.path.dirname(os.path.abspath(path)), target or detect(output)
+    return done.select("path", _name(F.col("path"), _base(path), target).alias("name"), "converted", "error")
+
+
+def save_files(converted: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """(name, bytes, error): what convert_files gave, each document written below a folder that all executors share.
+
+    Files appear whole under their names, so a task that runs again does no harm. Unless overwrite is set, nothing is
+    written if one of the outputs is there.
+    """
+    schema = "name string, bytes long, error struct<code string, message string>"
+    kind = pa.struct([("code", pa.string()), ("message", pa.string())])
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [n for n in batch.column(0).to_pylist() if os.path.exists(os.path.join(folder, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            size = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size.append(None if data is None else _save(os.path.join(folder, name), data.encode() if isinstance(data, str) else bytes(data)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), batch.column(2).cast(kind)], names=["name", "bytes", "error"])
+
+    if not overwrite and (found := converted.select("name").mapInArrow(there, "name string").select(F.min("name")).first()[0]) is not None:
+        raise ConversionError("OutputExists", f"{found} exists")
+    return converted.select("name", "converted", "error").mapInArrow(run, schema)
+
+
+def save(place: str, data: bytes, overwrite: bool = False) -> None:
+    """Writes one output, which must not be there unless overwrite is set."""
+    if os.path.exists(place) and not overwrite:
+        raise ConversionError("OutputExists", f"{place} exists")
+    _save(place, data)
+
+
+def _save(place: str, data: bytes) -> int:
+    """Writes a file that appears whole under its name."""
+    os.makedirs(os.path.dirname(os.path.abspath(place)), exist_ok=True)
+    part = f"{place}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as f:
+        f.write(data)
+    os.replace(part, place)
+    return len(data)
+
+
+def convert_file(path: str, output: str, options: Options = Options(), source: str | None = None, target: str | None = None, keep_intermediate: bool = False) -> None:
+    """One local file on the driver. The output may not be the input, and is only replaced if options say so.
+
+    keep_intermediate: the document goes through JSON in `<output>.intermediate.json`, which holds its images and stays,
+    whatever becomes of the last step.
+    """
+    source, target = source or detect(path), target or detect(output)
+    between = [f"{output}.intermediate.json"] if keep_intermediate else []
+    for place in (output, *between):
+        if os.path.exists(place):
+            if os.path.samefile(path, place):
+                raise ConversionError("InvalidOption", "the output is the input")
+            if not options.overwrite:
+                raise ConversionError("OutputExists", f"{place} exists")
     with open(path, "rb") as f:
         data = f.read()
-    made = convert_bytes(data, source or detect(path), target, replace(options, assets=options.assets or LocalImages(folder)))
-    pictures: dict[str, bytes] = {}
-    if target in ("markdown", *STRUCTURED):  # images go to files beside the output
+    options = replace(options, assets=options.assets or LocalImages(os.path.dirname(os.path.abspath(path))))
+    for place in between:
+        if source != "json":
+            data = convert_bytes(data, source, "json", replace(options, embed=True))
+        data = structured.dump(structured.load(_text(data), "json"), "json").encode()
+        _save(place, data)
+        source = "json"
+    made = data if between and target == "json" else convert_bytes(data, source, target, options)
+    if target in ("markdown", *STRUCTURED) and not between:  # images go to files beside the output
         text, pictures = images.to_files(made.decode())
         made = text.encode()
-    for name, content in [*pictures.items(), (os.path.basename(output), made)]:
-        place = os.path.join(os.path.dirname(os.path.abspath(output)), name)
-        os.makedirs(os.path.dirname(place), exist_ok=True)
-        with open(place + ".part", "wb") as f:
-            f.write(content)
-        os.replace(place + ".part", place)
+        for name, content in pictures.items():
+            _save(os.path.join(os.path.dirname(os.path.abspath(output)), name), content)
+    _save(output, made)
 
 
 class LocalImages(Mapping):
