@@ -202,4 +202,31 @@ def page_fields(x: Column, page: Column, pages: Column) -> Column:
 
 def css_string(x: Column) -> Column:
     """x as a quoted CSS string."""
-    return F.concat(F.lit('"'), replaced(x, ("\\", "\\\\"), ('"', '\\"'), ("\n", "\\a "), ("\r", "\\d ")), F.lit('"'))
+    return F.concat(F.lit('"'), replaced(x, ("\\", "\\\\"), ('"', '\\"'), ("\n", "\\a "), ("\r", "\\d "), ("<", "\\3C "), (">", "\\3E "), ("&", "\\26 ")), F.lit('"'))
+
+
+def css_font_family(x: Column) -> Column:
+    """x as a quoted CSS font name; signs that could end it are left out."""
+    return F.concat(F.lit('"'), F.translate(x, '\\"<>&', ""), F.lit('"'))
+
+
+def css_page_content(x: Column) -> Column:
+    """Header or footer text as CSS content: quoted pieces, with counters in place of page number fields."""
+    marked = F.regexp_replace(x, r"(\{pages?\})", "\u0001$1\u0001")
+    pieces = F.filter(F.split(marked, "\u0001"), lambda p: p != "")
+    shown = lambda p: F.when(p == "{page}", "counter(page)").when(p == "{pages}", "counter(pages)").otherwise(css_string(p))
+    return F.array_join(F.transform(pieces, shown), " ")
+
+
+def twips(points: Column) -> Column:
+    """Points as twentieths of a point."""
+    return F.round(points * 20).cast("long")
+
+
+def half_points(points: Column) -> Column:
+    return F.round(points * 2).cast("long")
+
+
+def border_eighths(points: Column) -> Column:
+    """Points as eighths of a point, the unit of border widths."""
+    return F.round(points * 8).cast("long")

@@ -149,6 +149,19 @@ def inherited(styles: DataFrame, view: str, columns: list[str]) -> DataFrame:
     return chain.groupBy("style").agg(*[F.max_by(c, "depth").alias(c) for c in columns], F.max("depth").alias("depth"))
 
 
+def padded(rows: DataFrame, by: list[str], cells: str, fill: str = "") -> DataFrame:
+    """rows with each list of cells filled up to the longest of its group."""
+    widest = rows.groupBy(*by).agg(F.max(F.size(cells)).alias("__width"))
+    missing = F.array_repeat(F.lit(fill), F.col("__width") - F.size(cells))
+    return rows.join(widest, by).select(*[F.concat(cells, missing).alias(c) if c == cells else F.col(c) for c in rows.columns])
+
+
+def share_of_max(points: DataFrame, by: list[str], value: str, name: str = "share", least: float = 1.0) -> DataFrame:
+    """points with each value as a part of its group's largest, which counts as `least` at least: heights of bars."""
+    largest = points.groupBy(*by).agg(F.greatest(F.max(value), F.lit(least)).alias("__max"))
+    return points.join(largest, by).withColumn(name, F.col(value) / F.col("__max")).drop("__max")
+
+
 def running_last(value: Column, by: list[str], order: str) -> Column:
     """The last value that is not null, up to here."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -186,6 +186,45 @@ def referenced_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.referenced(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), _read(spark, sf_dir, "labels"), ["doc_id"])
 
 
+@query(
+    "padded_rows",
+    """WITH r AS (SELECT conv_id, turn, list_transform(range(turn % 3 + 1), lambda i: role || i) AS cells FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_concat(cells, list_transform(range(max(len(cells)) OVER (PARTITION BY conv_id) - len(cells)), lambda i: '')), '|') AS line FROM r""",
+)
+def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("turn") % 3), lambda i: F.concat("role", i.cast("string")))
+    rows = R.padded(_read(spark, sf_dir, "conversations").select("conv_id", "turn", cells.alias("cells")), ["conv_id"], "cells")
+    return rows.select("conv_id", "turn", F.array_join("cells", "|").alias("line"))
+
+
+@query(
+    "share_of_max",
+    """SELECT user_id, event_id, round(value / greatest(max(value) OVER (PARTITION BY user_id), 1.0), 9) AS share FROM events WHERE value IS NOT NULL""",
+)
+def share_of_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _read(spark, sf_dir, "events").where("value is not null").select("user_id", "event_id", "value")
+    return R.share_of_max(points, ["user_id"], "value").select("user_id", "event_id", F.round("share", 9).alias("share"))
+
+
+_of(
+    "unit_conversion",
+    "part",
+    "p_partkey",
+    """SELECT p_partkey, round(p_retailprice * 20)::BIGINT AS twips, round(p_size / 4.0 * 2)::BIGINT AS half_points, round(p_size / 8.0 * 8)::BIGINT AS eighths FROM part""",
+    lambda: {"twips": X.twips(F.col("p_retailprice")), "half_points": X.half_points(F.col("p_size") / 4.0), "eighths": X.border_eighths(F.col("p_size") / 8.0)},
+)
+_of(
+    "css_values",
+    "part",
+    "p_partkey",
+    """SELECT p_partkey, '"' || replace(p_name, 'a', '') || '"' AS family, '"' || p_brand || '\\3C " counter(page) " / \\26 " counter(pages)' AS content FROM part""",
+    lambda: {
+        "family": X.css_font_family(F.translate("p_name", "a", '"')),
+        "content": X.css_page_content(F.concat("p_brand", F.lit("<{page} / &{pages}"))),
+    },
+)
+
+
 @query("dominant_style", "SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE k = 1")
 def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dominant(_read(spark, sf_dir, "events"), ["user_id"], "event_type")

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape, quoteattr
 
 from ..operators import markdown as M
 from ..operators.equations import latex
+from ..operators.formulas import with_formulas
 from .images import Parts, data_uri, extent
 from .packages import _A, _R, _W, _XML, _rels, _types, _xml, attr, child, local, package, parts, relationships
 from .structured import DataError
@@ -169,12 +170,29 @@ def write(blocks: list[dict], assets: Mapping[str, bytes] | None = None) -> byte
     return package(files | w.pictures.files)
 
 
+def roman(n: int) -> str:
+    """A Roman number; numbers outside 1 to 3999 as they are."""
+    if not 0 < n < 4000:
+        return str(n)
+    out = ""
+    for value, sign in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
 class _Reader:
     def __init__(self, files: dict[str, bytes]) -> None:
         self.files = files
         self.rels = relationships(files, "word/document.xml")
         self.labels: dict[tuple[str, str], str] = {}
         self.kinds: dict[tuple[str, int], tuple[bool, int]] = {}
+        self.endnote_format, self.endnotes = "lowerRoman", 1
+        for part in ("word/settings.xml", "word/document.xml"):  # the document's own properties win
+            for p in _xml(files[part]).iter() if part in files else ():
+                if local(p) == "endnotePr":
+                    self.endnote_format = attr(child(p, "numFmt"), "val") or self.endnote_format
+                    self.endnotes = int(attr(child(p, "numStart"), "val") or self.endnotes)
         if "word/numbering.xml" in files:
             root = _xml(files["word/numbering.xml"])
             abstract = {attr(a, "abstractNumId"): {int(attr(l, "ilvl")): (attr(child(l, "numFmt"), "val") != "bullet", int(attr(child(l, "start"), "val") or 1)) for l in a if local(l) == "lvl"} for a in root if local(a) == "abstractNum"}
@@ -266,9 +284,16 @@ class _Reader:
         if (kind, note) not in self.labels:
             part = f"word/{kind}s.xml"
             own = next((attr(x, "label") for x in (_xml(self.files[part]) if part in self.files else ()) if attr(x, "id") == note), None)
-            self.labels[kind, note] = own or (note if kind == "footnote" else f"endnote-{note}")
+            self.labels[kind, note] = own or (note if kind == "footnote" else self.endnote())
         return self.labels[kind, note]
 
+    def endnote(self) -> str:
+        """The label of the next endnote that is used first: numbers, or Roman ones, from the document's start on."""
+        n = self.endnotes
+        self.endnotes += 1
+        number = roman(n) if self.endnote_format.endswith("Roman") else str(n)
+        return "endnote-" + (number.lower() if self.endnote_format == "lowerRoman" else number)
+
     def merged(self, e: ET.Element) -> dict | None:
         """A table with merged cells, as HTML; None for others."""
         spans: dict[tuple[int, int], list[int]] = {}  # by place of the first cell: columns and rows
@@ -432,7 +457,7 @@ def read(data: bytes) -> list[dict]:
         raise DataError("the document part is missing")
     r = _Reader(files)
     body = child(_xml(files["word/document.xml"]), "body")
-    blocks = textual_notes(r.blocks(body if body is not None else ET.Element("body")))
+    blocks = with_formulas(textual_notes(r.blocks(body if body is not None else ET.Element("body"))))
     for (kind, note), label in list(r.labels.items()):  # only notes that something refers to
         part = f"word/{kind}s.xml"
         own = next((x for x in (_xml(files[part]) if part in files else ()) if attr(x, "id") == note), None)
