@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, chunks, filter_text, small_batches, table
+from .common import binary_values, chunks, filter_text, materialize, small_batches, table, trim
 
 Q = 6
 RATE = 0.12
@@ -33,10 +33,11 @@ RATE = 0.12
 SPARED = 0.4
 #: Regions that are aligned together.
 REGIONS = 512
-#: Items are searched in slices of so many bytes: the most that is broadcast at once.
-SLICE_BYTES = 32 << 20
+#: Items are searched in slices of so many bytes, about, whose indexes take about 16 times that. The driver and each Python
+#: worker hold one slice at a time, and texts are read once for all slices.
+SLICE_BYTES = 2 << 20
 #: Characters that are searched at once, about.
-PIECE = 1 << 21
+PIECE = 1 << 19
 FILTER_BITS = 22
 #: q-grams of a piece that are looked up at once.
 BLOCK = 1 << 16
@@ -64,7 +65,7 @@ def gram_codes(c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items ready for search. codes: sorted distinct q-grams in use; first, item, place: where each occurs."""
+    """Items ready for search. codes: sorted distinct q-grams in use; item, place: where they occur, each from first on."""
 
     def __init__(self, items: list[tuple[object, bytes]]) -> None:
         texts = [(i, normal(t)) for i, t in items if t]
@@ -87,8 +88,9 @@ class Index:
         self.bound = bound - spared
         flat, item, place = flat[used], item[used], place[used]
         order = np.argsort(flat, kind="stable")
-        self.codes, self.first, self.n = np.unique(flat[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
+        self.codes, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(order)).astype(np.int32)
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[(self.codes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
@@ -105,10 +107,10 @@ class Index:
         pos, hit = np.concatenate(where), np.concatenate(what)
         if not len(pos):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n = self.n[hit]
+        n = (self.first[hit + 1] - self.first[hit]).astype(np.int64)
         end = np.cumsum(n)
         at = np.repeat(self.first[hit] - end + n, n) + np.arange(end[-1] if len(end) else 0)
-        item = self.item[at]
+        item = self.item[at].astype(np.int64)
         width = self.budget[item] + 1
         band = (np.repeat(pos, n) - self.place[at] + (1 << 20) * width) // width  # never below zero
         key = np.sort((item << 40) | band)
@@ -251,56 +253,70 @@ def matches(index: Index, texts: list[bytes | None]) -> list[tuple[int, object,
     return out
 
 
-def slices(benchmark: DataFrame) -> list[list[tuple[object, bytes]]]:
-    """The benchmark's items in slices of SLICE_BYTES or less; a longer item is a slice of its own."""
+def slices(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the benchmark's items, SLICE_BYTES of them at a time; a longer item is a slice of its own."""
     data = benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("data"))
     total = data.agg(F.sum(F.length("data"))).first()[0] or 0
-    if not total:
-        return []
     n = -(-total // SLICE_BYTES)
-    part = data.withColumn("slice", F.pmod(F.xxhash64("item_id", "data"), F.lit(n)))
-    return [[(r["item_id"], bytes(r["data"])) for r in sorted(part.where(F.col("slice") == k).drop("slice").collect(), key=lambda r: (str(r["item_id"]), bytes(r["data"])))] for k in range(n)]
+    part = data.withColumn("slice", F.pmod(F.xxhash64("item_id", "data"), F.lit(max(n, 1))))
+    part = materialize(part.repartition(n, "slice").sortWithinPartitions("slice"), "items") if n > 1 else part
+    for k in range(n):
+        rows = [(r["item_id"], bytes(r["data"])) for r in part.where(F.col("slice") == k).select("item_id", "data").collect()]
+        if rows:
+            yield Index(sorted(rows, key=lambda r: (str(r[0]), r[1])))
+
+
+class Shared:
+    """Indexes of all slices, broadcast one by one; a worker that goes through several holds one at a time."""
+
+    def __init__(self, benchmark: DataFrame) -> None:
+        context = benchmark.sparkSession.sparkContext
+        self.slices = [context.broadcast(index) for index in slices(benchmark)]
+
+    def __iter__(self) -> Iterator[Index]:
+        for shared in self.slices:
+            yield shared.value
+            if len(self.slices) > 1:
+                vars(shared).pop("_value", None)  # what a worker has loaded; it lies in a local file
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, stop, distance): each item in each row of docs where it matches best, in normal text."""
     schema = "doc_id long, item_id long, start long, stop long, distance int"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
     small_batches(docs.sparkSession)
-    found = docs.sparkSession.createDataFrame([], schema)
-    for k, items in enumerate(slices(benchmark)):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+    shared = Shared(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for part in chunks(iter([batch])):
-                    ids = part.column(part.schema.get_field_index("doc_id"))
-                    got = matches(index, binary_values(part.column(part.schema.get_field_index("text"))))
-                    rows = list(zip(*got)) if got else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0], pa.int64())).cast(pa.int64()), *[pa.array(r, t) for r, t in zip(rows[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]], names=["doc_id", "item_id", "start", "stop", "distance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(iter([batch])):
+                ids, texts = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text"))
+                texts = binary_values(texts)
+                for index in shared:
+                    got = matches(index, texts)
+                    if got:
+                        row, *rest = zip(*got)
+                        found = [ids.take(pa.array(row, pa.int64())).cast(pa.int64()), *map(pa.array, rest, kinds)]
+                        yield pa.RecordBatch.from_arrays(found, names=["doc_id", "item_id", "start", "stop", "distance"])
+        trim()
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        found = part if k == 0 else found.union(part)
-    return found
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item matches, with all their columns."""
-    for items in slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
-
-        def make(shared=shared):
-            index = shared.value
+    shared = Shared(benchmark)
 
-            def keep(texts: list[bytes | None]) -> np.ndarray:
-                out = np.ones(len(texts), dtype=bool)
-                out[[m[0] for m in matches(index, texts)]] = False
-                return out
+    def make():
+        def keep(texts: list[bytes | None]) -> np.ndarray:
+            out = np.ones(len(texts), dtype=bool)
+            for index in shared:
+                out[[m[0] for m in matches(index, [t if ok else None for t, ok in zip(texts, out)])]] = False
+            return out
 
-            return keep
+        return keep
 
-        docs = filter_text(docs, make)
-    return docs
+    return filter_text(docs, make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -128,3 +129,12 @@ def test_benchmark_in_slices(spark, items, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in D.search(df, bench).collect()) == [(50 + k, k) for k, _ in items]
     assert D.clean(df, bench).count() == df.count() - len(items)
+    assert len(D.Shared(bench).slices) > 3
+
+
+def test_bytes_of_an_index():
+    """What a slice takes when it is broadcast: about 16 times its text, and the filter."""
+    rng = random.Random(7)
+    items = [(k, words(rng, 200).encode()) for k in range(400)]
+    size = len(pickle.dumps(D.Index(items)))
+    assert size < 20 * sum(len(t) for _, t in items) + (1 << D.FILTER_BITS) + 10_000
