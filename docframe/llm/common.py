@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,20 +33,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or FALLBACK_SHARED).rstrip("/")
 
 
+#: Folders of the tables that materialize() has written and nothing has deleted.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
-    That cuts the lineage as checkpoint() does, but computes df only once, and files keep column statistics.
+    That cuts the lineage as checkpoint() does, but computes df only once, and files keep column statistics. What reads the
+    table is lazy, so it stays until remove() or remove_since() is told that nothing needs it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    WRITTEN.append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_since(spark: SparkSession, begun: int, keep: int = 0) -> None:
+    """Deletes the tables written since WRITTEN had `begun` entries, but for the last `keep`."""
+    end = len(WRITTEN) - keep
+    for folder in WRITTEN[begun:end]:
+        remove(spark, folder)
+    del WRITTEN[begun:end]
 
 
 def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -213,11 +236,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     are left. A node with very many neighbours is met by aggregates with a partial step and by joins that adaptive
     execution may split, never by one task that holds its neighbourhood. Up to ONE_TASK_EDGES are joined in one task.
     """
+    begun = len(WRITTEN)
     forest = edges.where("a <> b").select("a", "b").mapInArrow(local_forest, "a long, b long")
     pairs = materialize(forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     few = pairs.count() <= ONE_TASK_EDGES
     if few:
         pairs = materialize(pairs.coalesce(1).mapInArrow(_whole_forest, "a long, b long"), "edges")
+        remove_since(edges.sparkSession, begun, keep=1)
     for _ in range(0 if few else most_rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
@@ -226,6 +251,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.join(parent, large.a == parent.node).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = materialize(down.union(parent.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         again = pairs.select(F.col("b").alias("node")).distinct().join(pairs.select(F.col("a").alias("node")), "node", "left_semi")
+        remove_since(edges.sparkSession, begun, keep=1)  # the round before
         total, distinct = pairs.agg(F.count("*"), F.countDistinct("a")).first()
         if total == distinct and again.isEmpty():
             break

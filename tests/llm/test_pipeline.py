@@ -1,7 +1,11 @@
+import glob
 import random
 
+import pytest
+
 import corpus_pipeline
-from tests.llm.helpers import words
+from docframe.llm import common
+from tests.llm.helpers import SCHEMA, row, words
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -36,6 +40,32 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("empty", [("documents",), ("labels",), ("benchmark",), ("documents", "labels", "benchmark")])
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path, empty):
+    rng = random.Random(2)
+    docs = [row(k, words(rng, 30)) for k in range(12)] + [row(12, None), row(12, None), row(None, "")]
+    tables = {"documents": (docs, SCHEMA), "labels": ([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, words(rng, 20))], "item_id long, text string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame([] if name in empty else rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = df.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, str(tmp_path))
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == columns
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        df = spark.read.parquet(f"{tmp_path}/stage{k}") if out.columns == columns else df
+    assert "documents" not in empty or df.count() == 0
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    before = set(glob.glob(f"{common.FALLBACK_SHARED}/docframe-*"))
+    spark.createDataFrame([row(k, words(random.Random(k), 30)) for k in range(8)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert len(set(glob.glob(f"{common.FALLBACK_SHARED}/docframe-*")) - before) == 1
+
+
 def test_registered():
     import __spark_entry__
 
