@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm import decontaminate, mixing, quality, simhash, tokens
-from docframe.llm.common import shared_dir, table
+from docframe.llm.common import WRITTEN, remove, remove_since, shared_dir, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each stage's rows are written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}/stage{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages in order; each stage's rows are written and read again before the next.
+
+    Once a stage's rows are written, the tables it was made of are deleted; the last stage's rows stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        begun, folder = len(WRITTEN), f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage")
+        remove_since(spark, begun)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(f"{folder}/stage"), folder
     return docs
