@@ -10,8 +10,9 @@ from .common import fraction, held_out
 
 #: Rows of each label that a model is fitted on, at most.
 MOST_PER_LABEL = 2500
-#: Longer texts are left out of fitting (never out of scoring), so that the sample has bounded bytes.
-MOST_TRAIN_BYTES = 60_000
+#: Characters of a text that a model is fitted on, at most: a piece, at a place that a hash picks, stands for a longer one.
+#: Scoring reads whole texts.
+MOST_TRAIN_CHARACTERS = 60_000
 
 
 def by_label(rows: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[object, int]]:
@@ -40,62 +41,69 @@ def trimmed(rows: list, most: int) -> list[tuple[bytes, object]]:
 
 
 def _collected(df: DataFrame, most: int) -> list[tuple[bytes, object]]:
-    data = F.col("text").cast("binary")
-    small = df.where(F.length(data) <= MOST_TRAIN_BYTES)
-    return trimmed(small.select("doc_id", "label", data.alias("data"), fraction(F.lit("order"), F.col("doc_id")).alias("order")).collect(), most)
+    over = F.length("text") - MOST_TRAIN_CHARACTERS
+    at = F.floor(fraction(F.lit("piece"), F.col("doc_id"), F.col("text")) * (over + 1)).cast("int") + 1
+    piece = F.when(over > 0, F.substring(F.col("text"), at, F.lit(MOST_TRAIN_CHARACTERS))).otherwise(F.col("text"))
+    rows = df.select("doc_id", "label", piece.cast("binary").alias("data"), fraction(F.lit("order"), F.col("doc_id")).alias("order"))
+    return trimmed(rows.collect(), most)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = MOST_PER_LABEL) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """Texts with labels[column], of rows that are not held out, and how many rows have each label."""
-    rows = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    """Texts with labels[column], of rows that are not held out, and how many rows have each label.
+
+    A doc_id with several labels has the highest.
+    """
+    own = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = own.groupBy("doc_id").agg(F.max("label").alias("label"))
     picked, counts = by_label(rows, "label", most)
     # broadcast: about `most` ids for each of two labels
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id")
-    return _collected(found, most), counts
+    return _collected(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id"), most), counts
 
 
 def own_labelled(docs: DataFrame, column: str, most: int = MOST_PER_LABEL) -> list[tuple[bytes, object]]:
     """Texts with a label of their own row, of rows that are not held out."""
-    rows = docs.select("doc_id", F.col(column).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    _, counts = by_label(rows, "label", most)
-    texts = docs.select("doc_id", "text", F.col(column).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col("label") == F.lit(value), F.lit(min(1.0, 1.1 * most / n))).otherwise(share)
-    return _collected(texts.where(fraction(F.lit("sample"), F.col("doc_id")) < share), most)
+    known = F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    return _collected(by_label(docs.select("doc_id", "text", F.col(column).alias("label")).where(known), "label", most)[0], most)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(a, b) of sigmoid(a * margin + b) for labels y, by Newton's method with smoothed targets."""
+def log_loss(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    return float((weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum())
+
+
+def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
+    """Coefficients of margins (one, or a row for each) and a constant, for scores sigmoid(...) of labels y.
+
+    By Newton's method with smoothed targets.
+    """
+    x = np.append(np.atleast_2d(margin), np.ones((1, len(y))), axis=0)
+    start = np.eye(len(x))[0]
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
-        return 1.0, 0.0
+        return tuple(start)
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    x = np.stack([margin, np.ones_like(margin)])
 
-    def loss(a: float, b: float) -> float:
-        z = a * margin + b
+    def loss(c: np.ndarray) -> float:
+        z = c @ x
         return float((weight * (np.logaddexp(0, z) - target * z)).sum())
 
-    now = loss(a, b)
+    c, now = start, loss(start)
     for _ in range(rounds):
-        p = sigmoid(a * margin + b)
+        p = sigmoid(c @ x)
         g = x @ (weight * (p - target))
-        h = (x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(2)
+        h = (x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(len(x))
         step = np.linalg.solve(h, g)
         scale = 1.0
-        while scale > 1e-6 and loss(a - scale * step[0], b - scale * step[1]) > now:
+        while scale > 1e-6 and loss(c - scale * step) > now:
             scale /= 2
-        a, b = a - scale * step[0], b - scale * step[1]
-        if now - loss(a, b) < 1e-9:
+        c = c - scale * step
+        if now - loss(c) < 1e-9:
             break
-        now = loss(a, b)
-    return float(a), float(b)
+        now = loss(c)
+    return tuple(c.tolist())
 
 
 def prior_weights(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:

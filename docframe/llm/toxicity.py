@@ -2,16 +2,17 @@
 
 Input, per word: a word embedding and a character embedding (the largest value, per dimension, over the embeddings of the
 word's character n-grams with word ends marked). Both tables are hashed; their first dimension starts from the log ratio of
-document frequencies in the two classes. Windows of WINDOW words start every STRIDE words, so that they overlap and each
-word is met away from a window's edge; a text's score comes from its highest window. Fitting takes, in each pass, the
-window that the network finds highest (of toxic texts only that one, of others also some more), and so learns from labels
-of whole texts.
+document frequencies in the two classes, drawn towards zero by SURE standard errors, so that what few texts have tells
+little. Windows of WINDOW words start every STRIDE words, so that they overlap and each word is met away from a window's
+edge; a text's score comes from its highest window, and from how many windows that is the highest of. Fitting takes, in each
+pass, the window that the network finds highest (of toxic texts only that one, of others also some more), and so learns from
+labels of whole texts; the pass whose scores of held-back texts are best gives the network.
 
 Inputs of a word are computed once for each distinct word of a batch, as are their products with the input weights.
 
 Defined results: null and empty texts, and texts of white space, are one empty window; very long texts are scored whole;
-equal texts score alike; extra columns are not read; without labels of both kinds every score is that label's share (0.5
-without labels); an empty table gives an empty result.
+equal texts score alike, but for the rounding of 32-bit sums; extra columns are not read; without labels of both kinds every
+score is that label's share (0.5 without labels); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, map_text, table
-from .samples import MOST_PER_LABEL, labelled, platt, prior_weights, sigmoid
+from .samples import MOST_PER_LABEL, labelled, log_loss, platt, prior_weights, sigmoid
 
-WINDOW, STRIDE = 24, 12
-WORD_BITS, CHAR_BITS = 14, 16
+WINDOW, STRIDE = 24, 8
+WORD_BITS, CHAR_BITS = 14, 18
 DIM, HIDDEN = 4, 8
-CHAR_ORDERS = (3, 4, 5)
+CHAR_ORDERS = (3, 4, 5, 6, 7)
 PASSES, RATE, BATCH = 6, 0.01, 128
-#: Words and n-grams that fewer texts of the sample have get no embedding; texts that shrink the starting ratios.
-LEAST_TEXTS, SHRINK = 4, 10.0
+#: Fitting looks for the highest window of a text among fewer.
+FIT_STRIDE = 16
+#: Words and n-grams that fewer texts of the sample have get no embedding; standard errors off the starting ratios.
+LEAST_TEXTS, SURE = 5, 1.5
 CALIBRATION_SHARE = 0.25
 THRESHOLD = 0.3
 #: Words that are scored at once.
@@ -73,11 +76,11 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return word, np.concatenate(codes)[order], begin
 
 
-def windows_of(n: int) -> np.ndarray:
+def windows_of(n: int, stride: int | None = None) -> np.ndarray:
     """Starts of the windows of n words; the last one ends with the text."""
     if n <= WINDOW:
         return np.zeros(1, dtype=np.int64)
-    starts = np.arange(0, n - WINDOW, STRIDE)
+    starts = np.arange(0, n - WINDOW, stride or STRIDE)
     return np.append(starts, n - WINDOW)
 
 
@@ -94,7 +97,7 @@ class Network:
         self.p = {"word": near_zero(1 << WORD_BITS, DIM, scale=0.05), "char": near_zero(1 << CHAR_BITS, DIM, scale=0.05), "u": near_zero(2 * h), "v": near_zero(2 * h), "c": np.zeros(1, np.float32)}
         for way in "fb":
             self.p |= {f"w{way}": near_zero(d, 3 * h), f"r{way}": near_zero(h, 3 * h), f"z{way}": np.zeros(3 * h, np.float32)}
-        self.a, self.b = 1.0, 0.0
+        self.a, self.c, self.b = 1.0, 0.0, 0.0  # of the highest window's logit, of the logarithm of the windows, and by itself
 
     def inputs(self, word: np.ndarray, char: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of each word and, for fitting, which character rows gave the largest values."""
@@ -177,28 +180,31 @@ class Network:
             d_x += g_rows @ self.p[f"w{way}"].T
         return g, d_x[:-1]
 
-    def logits(self, texts: list[bytes | None]) -> np.ndarray:
-        """The logit of each text's highest window."""
-        return self.best(texts)[0]
+    def features(self, texts: list[bytes | None]) -> np.ndarray:
+        """By text the logit of the highest window and the logarithm of the number of windows."""
+        logit, _, windows = self.best(texts)
+        return np.stack([logit, np.log(windows)])
 
-    def best(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The logit of each text's highest window, and where in the text that starts."""
+    def best(self, texts: list[bytes | None], stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The logit of each text's highest window, where in the text that starts, and how many windows there are."""
         top, where = np.full(len(texts), -np.inf, dtype=np.float64), np.zeros(len(texts), dtype=np.int64)
+        windows = np.ones(len(texts))
         waiting: list[tuple[int, int, list[bytes]]] = []
         held = 0
         for k, t in enumerate(texts):
             words = words_of(t)
+            windows[k] = len(windows_of(len(words)))
             for at in range(0, max(len(words), 1), WORDS_AT_ONCE):  # pieces overlap by a window
                 waiting.append((k, at, words[max(at - WINDOW, 0) if at else 0 : at + WORDS_AT_ONCE]))
                 held += len(waiting[-1][2])
                 if held >= WORDS_AT_ONCE:
-                    self._score(waiting, top, where)
+                    self._score(waiting, top, where, stride)
                     waiting, held = [], 0
         if waiting:
-            self._score(waiting, top, where)
-        return top, where
+            self._score(waiting, top, where, stride)
+        return top, where, windows
 
-    def _score(self, parts: list[tuple[int, int, list[bytes]]], top: np.ndarray, where: np.ndarray) -> None:
+    def _score(self, parts: list[tuple[int, int, list[bytes]]], top: np.ndarray, where: np.ndarray, stride: int | None) -> None:
         number: dict[bytes, int] = {}
         flat = np.fromiter([number.setdefault(w, len(number)) for _, _, words in parts for w in words], dtype=np.int64)
         projected = self.project(self.inputs(*word_inputs(list(number)))[0]) if number else self.project(np.zeros((0, 2 * DIM), np.float32))
@@ -206,7 +212,7 @@ class Network:
         flat = np.append(flat, np.full(WINDOW, blank))
         base, starts, owner, left = 0, [], [], []
         for j, (_, _, words) in enumerate(parts):
-            s = windows_of(len(words))
+            s = windows_of(len(words), stride)
             starts.append(s + base)
             owner.append(np.full(len(s), j))
             left.append(np.minimum(len(words) - s, WINDOW))
@@ -228,7 +234,7 @@ class Network:
                 where[k] = start[first[j] + int(logit[first[j] : stop].argmax())] - begun[j] + max(at - WINDOW, 0)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        return sigmoid(self.a * self.logits(texts) + self.b)
+        return sigmoid(np.array([self.a, self.c]) @ self.features(texts) + self.b)
 
 
 class Adam:
@@ -252,18 +258,19 @@ class Adam:
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """By row of a table: the log ratio of the shares of toxic and other texts that have it, shrunk towards equal shares
-    by SHRINK texts of the sample's mix; and whether LEAST_TEXTS texts have it."""
-    share, texts = [], np.zeros(size)
+    """By row of a table: the log ratio of the shares of toxic and other texts that have it, SURE standard errors nearer to
+    zero or zero; and whether LEAST_TEXTS texts have it."""
+    have, share = [], []
     for label in (1, 0):
         own = np.flatnonzero(y == label)
-        n = np.zeros(size)
+        n = np.full(size, 0.5)
         for k in own:
             n[rows[k]] += 1
-        texts += n
-        share.append((n + SHRINK * len(own) / len(y)) / (len(own) + SHRINK))
-    known = texts >= LEAST_TEXTS
-    return np.where(known, np.log(share[0] / share[1]), 0.0), known
+        have.append(n)
+        share.append(n / (len(own) + 1))
+    ratio, error = np.log(share[0] / share[1]), np.sqrt(1 / have[0] + 1 / have[1])
+    known = have[0] + have[1] >= LEAST_TEXTS + 1
+    return np.where(known, np.sign(ratio) * np.maximum(np.abs(ratio) - SURE * error, 0.0), 0.0), known
 
 
 def fit(sample: list[tuple[bytes, int]], counts: dict[int, int], passes: int = PASSES, seed: int = 7) -> Network:
@@ -289,10 +296,12 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int], passes: int = P
         ratio, learned[name] = log_ratio(rows, labels, 1 << bits)
         net.p[name][~learned[name]] = 0  # what few texts have tells nothing, and stays so
         net.p[name][:, 0] = ratio
-    step = Adam(RATE)
-    place = np.arange(WINDOW)
+    use = [s for s, k in zip(sample, kept) if k] or sample
+    truth = np.array([label for _, label in use])
+    weight = prior_weights(truth, counts)
+    step, best = Adam(RATE), (np.inf, {}, (1.0, 0.0, 0.0))
     for _ in range(passes):
-        _, at = net.best(texts)
+        at = net.best(texts, FIT_STRIDE)[1]
         picks = []
         for k, d in enumerate(docs):
             picks.append((k, at[k]))
@@ -323,9 +332,12 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int], passes: int = P
             own = learned["char"][rows]
             chosen = net.p["char"][rows] == np.repeat(most, size, axis=0)
             step.rows("char", net.p["char"], rows[own], np.where(chosen, np.repeat(d_x[:, DIM:], size, axis=0), np.float32(0))[own])
-    use = [s for s, k in zip(sample, kept) if k] or sample
-    truth = np.array([label for _, label in use])
-    net.a, net.b = platt(net.logits([t for t, _ in use]), truth, prior_weights(truth, counts))
+        x = net.features([t for t, _ in use])
+        scale = platt(x, truth, weight)
+        found = log_loss(np.append(x, np.ones((1, len(truth))), axis=0).T @ scale, truth, weight)
+        if found < best[0]:
+            best = found, {k: v.copy() for k, v in net.p.items()}, scale
+    _, net.p, (net.a, net.c, net.b) = best
     return net
 
 
