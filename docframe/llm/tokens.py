@@ -2,16 +2,17 @@
 
 File format. A dataset is a Parquet table with one row per block, so that Spark's writer and commit protocol place it in
 any store: part, block (order), before (ids of the part before this block), doc_ids, n_tokens, starts (where each document
-begins in the block's sequence) and payload, a little-endian binary: the magic "RPG1", then uint32 counts of terminals,
-rules and sequence symbols, then per rule two uint32 symbols, per rule a uint32 expansion length, then the sequence with
-three bytes a symbol. A symbol below the number of terminals is a token id; others are rules, which only use symbols that
+begins in the block's sequence) and payload, a binary: the magic "RPG2", then, as little-endian uint32, the counts of
+terminals, rules and sequence symbols and four widths in bits; then four runs of numbers of these widths, each filled up to
+whole bytes: differences of the ascending token ids that occur, two symbols for each rule, the rules' expansion lengths, and
+the sequence. A symbol below the number of terminals stands for a token id; others are rules, which only use symbols that
 come before them. No rule crosses the end of a document, so a document is decoded from its own slice of the sequence; the
-expansion lengths lead to any position in it without decoding what comes before.
+expansion lengths lead to any position in it without opening what comes before.
 
-Re-Pair: the frequent pairs of adjacent symbols are replaced by new symbols, again and again, until no pair is frequent or
-PASSES are done.
-Each pass replaces all pairs that occur LEAST times or more (where two of them overlap, the left one), so a block takes a
-few passes in place of one for each rule.
+Re-Pair: frequent pairs of adjacent symbols are replaced by new symbols, again and again, until no pair pays for its rule.
+A pass takes all pairs over a bound, which falls from pass to pass; where they overlap, the more frequent one. A rule pays
+from LEAST uses on. Where more rules would need another bit for every symbol, the grammar so far is noted, and the smallest
+of those noted and the last one is taken. Passes end when one shortens the sequence by less than 1 in WORTH.
 
 Defined results: null and empty texts are the end id alone; texts are encoded whole; documents are written in ascending
 doc_id order, null first, equal ids by text; rows of equal doc_id are documents of their own; extra columns are not read;
@@ -36,20 +37,23 @@ from .common import CACHES, chunks, materialize, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
-#: A pair is replaced while it occurs so often in a block; passes at most.
-LEAST, PASSES = 24, 8
+#: Uses from which a rule pays. The bound of the first pass is the largest count divided by STEP, then the last bound.
+LEAST, STEP = 5, 6
 #: Bits of the hash by which pairs are counted.
 COUNT_BITS = 18
+#: The last pass is the first one at LEAST that shortens the sequence by less than one symbol in so many.
+WORTH = 300
 _MIX = 0x9E3779B97F4A7C15
 #: Words, and runs of letters or signs, whose ids a Python worker remembers, over its tasks, before it starts anew.
-WORDS, RUNS = 250_000, 500_000
+WORDS, RUNS = 300_000, 300_000
 #: Python splits words at these too, the tokenizer does not: such texts go to it whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters below U+0250 without marks that combine: their lower case is the tokenizer's, and normal form C leaves them.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:|%&$#*]*)")
+_SIGNS = ".,!?;:|%&$#*"
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([" + _SIGNS + "]*)")
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, n_tokens array<int>, starts array<int>, payload binary"
 
 
@@ -86,9 +90,8 @@ class Encoder:
         if hasattr(letters.model, "_resize_cache"):
             letters.model._resize_cache(0)
         self.letters = getattr(letters, "encode_batch_fast", letters.encode_batch)
-        self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.ends = np.zeros(self.terminals, dtype=bool)  # ids of tokens that end a run of letters
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)  # ids of tokens that end a run of letters
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[k] = token.endswith("</w>")
         self.runs: dict[str, bytes] = {}  # ids as they lie in memory
@@ -107,8 +110,11 @@ class Encoder:
         letters: dict[str, None] = {}
         other: dict[str, None] = {}
         for w in words:
-            if w.isascii() and w.isalpha():
-                run, sign = w.lower(), ""
+            run = w.rstrip(_SIGNS)
+            if run.isascii() and run.isalpha():  # what the pattern says, for most words and faster
+                sign, run = w[len(run) :], run.lower()
+                if sign and sign not in runs:
+                    other[sign] = None
             elif m := match(w):
                 run, sign = m[1].lower(), m[2]
                 if sign and sign not in runs:
@@ -184,48 +190,94 @@ def gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
 
-def repair(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, sequence, last) of a grammar for ids; last marks the symbols that end a document.
+def _pairs(seq: np.ndarray, free: np.ndarray, turn: int, bound: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(places, cells, representative of each cell, count of each cell, bound).
 
-    Pairs are counted in cells of a hash table. A cell stands for one pair in a pass; a pair that shares its cell with
-    another meets it in another cell in the next pass, whose hash differs.
+    Pairs are counted in cells of a hash table, which differs from turn to turn. A cell stands for one pair; another one
+    that shares the cell waits for a later turn.
     """
-    seq, rules, count = ids.astype(np.uint64), [], 0
-    stands = np.zeros(1 << COUNT_BITS, dtype=np.uint64)
-    for turn in range(PASSES):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-        many = np.bincount(cell, minlength=1 << COUNT_BITS) >= LEAST
-        own = np.flatnonzero(many[cell] & ~last[:-1])
-        pair, cell = pair[own], cell[own]
-        stands[cell] = pair
-        same = stands[cell] == pair
-        own, cell = own[same], cell[same]
-        often = (np.bincount(cell, minlength=1 << COUNT_BITS) >= LEAST)[cell]
-        places, cell = own[often], cell[often]
-        run = np.r_[True, np.diff(places) > 1]  # overlapping hits are runs; every second one is taken
-        first = np.maximum.accumulate(np.where(run[: len(places)], np.arange(len(places)), 0))
-        second = (np.arange(len(places)) - first) % 2 == 0
-        places, cell = places[second], cell[second]
+    size, shift = 1 << COUNT_BITS, np.uint64(64 - COUNT_BITS)
+    places = np.flatnonzero(free[:-1])
+    pair = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+    cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> shift).astype(np.int32)
+    count = np.bincount(cell, minlength=size)
+    bound = max(LEAST, int(count.max(initial=0)) // STEP) if bound is None else bound
+    full = np.flatnonzero((count >= bound)[cell])
+    places, pair, cell = places[full], pair[full], cell[full]
+    stands = np.zeros(size, dtype=np.uint64)
+    stands[cell] = pair
+    same = stands[cell] == pair
+    if not same.all():
+        places, cell = places[same], cell[same]
+        count = np.bincount(cell, minlength=size)
+        full = np.flatnonzero((count >= bound)[cell])
+        places, cell = places[full], cell[full]
+    return places, cell, stands, count, bound
+
+
+def _disjoint(places: np.ndarray, cell: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose pair is the most frequent one of those it overlaps with; of a run of one pair, every second place."""
+    cells = np.flatnonzero(np.bincount(cell, minlength=1 << COUNT_BITS))
+    rank = np.zeros(1 << COUNT_BITS, dtype=np.int32)
+    rank[cells[np.argsort(count[cells], kind="stable")]] = np.arange(1, len(cells) + 1)
+    own, around = rank[cell], np.zeros(n + 2, dtype=np.int32)
+    around[places + 1] = own
+    top = np.flatnonzero((own >= around[places]) & (own >= around[places + 2]))
+    places, cell = places[top], cell[top]
+    run = np.r_[True, np.diff(places) > 1][: len(places)]
+    if run.all():
+        return places, cell
+    first = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
+    second = np.flatnonzero((np.arange(len(places)) - first) % 2 == 0)
+    return places[second], cell[second]
+
+
+def repair(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terminals, rules, sequence, last) of a grammar for ids; last marks the symbols that end a document."""
+    seen = np.zeros(int(ids.max(initial=0)) + 1, dtype=bool)
+    seen[ids] = True
+    terminals = np.flatnonzero(seen).astype(np.uint32)
+    number = np.zeros(len(seen), dtype=np.uint32)
+    number[terminals] = np.arange(len(terminals), dtype=np.uint32)
+    seq, free = number[ids], ~last
+    symbols, rules, bound, turn = len(terminals), [], None, 0
+    bits = max(1, (symbols - 1).bit_length())
+    noted: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # size in bits, passes, sequence and ends of documents
+
+    def note() -> None:
+        n = sum(map(len, rules))
+        noted.append((bits * len(seq) + n * (2 * bits + 8), len(rules), seq.copy(), free.copy()))
+
+    while len(seq) > 1:
+        turn += 1
+        places, cell, stands, count, bound = _pairs(seq, free, turn, bound)
+        places, cell = _disjoint(places, cell, count, len(seq))
         used = np.bincount(cell, minlength=1 << COUNT_BITS)
-        places, cell = places[used[cell] >= 4], cell[used[cell] >= 4]
-        if not len(places):
-            break
-        kept = np.flatnonzero(used >= 4)
-        number = np.zeros(1 << COUNT_BITS, dtype=np.uint64)
-        number[kept] = np.arange(len(kept), dtype=np.uint64) + np.uint64(terminals + count)
+        kept = np.flatnonzero(used >= LEAST)
+        room = (1 << bits) - symbols
+        if not room and len(kept):
+            note()
+            bits, room = bits + 1, symbols
+        if len(kept) > room:  # the best that need no other bit
+            kept = np.sort(kept[np.argsort(-used[kept], kind="stable")[:room]])
+        number = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+        number[kept] = np.arange(symbols, symbols + len(kept), dtype=np.uint32)
+        new = number[cell]
+        places, new = places[new > 0], new[new > 0]
         rules.append(stands[kept])
-        count += len(kept)
-        seq[places] = number[cell]
-        last = last.copy()
-        last[places] = last[places + 1]
+        symbols += len(kept)
+        seq[places], free[places] = new, free[places + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[places + 1] = False
-        seq, last = seq[stay], last[stay]
-    codes = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
-    return np.stack([codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"), seq.astype("<u4"), last
+        seq, free = seq[stay], free[stay]
+        if bound == LEAST and len(places) * WORTH < len(seq):
+            break
+        bound = max(LEAST, bound // STEP)
+    note()
+    _, n, seq, free = min(noted, key=lambda x: x[0])
+    codes = np.concatenate(rules[:n]) if n else np.zeros(0, np.uint64)
+    pairs = np.stack([codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    return terminals, pairs, seq, ~free
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -241,65 +293,92 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return size
 
 
-def pack(rules: np.ndarray, seq: np.ndarray, terminals: int) -> bytes:
-    length = expansion_lengths(rules, terminals).astype("<u4")
-    head = struct.pack("<4sIII", MAGIC, terminals, len(rules), len(seq))
-    return head + rules.tobytes() + length.tobytes() + np.ascontiguousarray(seq.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+def bit_width(values: np.ndarray) -> int:
+    return max(1, int(values.max(initial=0)).bit_length())
+
+
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """Numbers of `width` bits one after the other, filled up to whole bytes."""
+    bits = np.unpackbits(np.ascontiguousarray(values, dtype=">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(bits[:, 32 - width :].ravel()).tobytes()
+
+
+def unpack_bits(data: memoryview, at: int, first: int, n: int, width: int) -> np.ndarray:
+    """n numbers of `width` bits from number `first` on, of those that start at byte `at`."""
+    begin, end = first * width, (first + n) * width
+    bits = np.unpackbits(np.frombuffer(data[at + begin // 8 : at + -(-end // 8)], dtype=np.uint8))[begin % 8 : begin % 8 + n * width]
+    out = np.zeros((n, 32), dtype=np.uint8)
+    out[:, 32 - width :] = bits.reshape(n, width)
+    return np.packbits(out, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
+def pack(terminals: np.ndarray, rules: np.ndarray, seq: np.ndarray) -> bytes:
+    runs = [np.diff(terminals, prepend=np.uint32(0)), rules.ravel(), expansion_lengths(rules, len(terminals)), seq]
+    width = [bit_width(r) for r in runs]
+    head = struct.pack("<4s7I", MAGIC, len(terminals), len(rules), len(seq), *width)
+    return head + b"".join(pack_bits(r, w) for r, w in zip(runs, width))
 
 
 class Grammar:
-    """A block's payload, opened for decoding."""
+    """A block's payload, opened for decoding. opened counts the rules that slice() has opened."""
 
     def __init__(self, payload: bytes) -> None:
-        magic, self.terminals, n_rules, n = struct.unpack_from("<4sIII", payload)
+        magic, terminals, n_rules, self.n, *width = struct.unpack_from("<4s7I", payload)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        at = 16
-        self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, at).reshape(-1, 2)
-        at += 8 * n_rules
-        self.lengths = np.frombuffer(payload, "<u4", n_rules, at).astype(np.int64)
-        at += 4 * n_rules
-        raw = np.zeros((n, 4), dtype=np.uint8)
-        raw[:, :3] = np.frombuffer(payload, np.uint8, 3 * n, at).reshape(n, 3)
-        self.seq = raw.view("<u4").ravel()
+        self.data, at, runs = memoryview(payload), 32, []
+        for n, w in zip((terminals, 2 * n_rules, n_rules), width):
+            runs.append(unpack_bits(self.data, at, 0, n, w))
+            at += -(-n * w // 8)
+        self.terminals = np.cumsum(runs[0], dtype=np.uint32)
+        self.rules = runs[1].reshape(-1, 2)
+        self.lengths = np.concatenate([np.ones(terminals, dtype=np.int64), runs[2].astype(np.int64)])  # of all symbols
+        self.at, self.width, self.opened = at, width[3], 0
         self.table: tuple[np.ndarray, np.ndarray] | None = None
 
-    def size(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids that each symbol stands for."""
-        s = symbols.astype(np.int64)
-        if not len(self.rules):
-            return np.ones(len(s), dtype=np.int64)
-        return np.where(s < self.terminals, 1, self.lengths[np.maximum(s - self.terminals, 0)])
+    def symbols(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Symbols start to stop of the sequence, without reading others."""
+        return unpack_bits(self.data, self.at, start, (self.n if stop is None else stop) - start, self.width)
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a run of symbols, from a table of what each symbol stands for."""
+    def expand(self) -> np.ndarray:
+        """All ids, from a table of what each symbol stands for."""
         if self.table is None:
-            flat = np.concatenate([np.arange(self.terminals, dtype="<u4"), self._opened(np.arange(len(self.rules), dtype="<u4") + np.uint32(self.terminals))])
-            size = np.concatenate([np.ones(self.terminals, dtype=np.int64), self.lengths])
-            self.table = flat, np.r_[0, np.cumsum(size)]
-        return gather(*self.table, symbols.astype(np.int64))
-
-    def _opened(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a run of symbols: rules are opened in place, level by level."""
-        s = symbols
-        while len(s):
-            rule = s >= self.terminals
-            if not rule.any():
-                break
-            width = 1 + rule.astype(np.int64)
-            out = np.repeat(s, width)
-            left = (np.cumsum(width) - width)[rule]
-            pair = self.rules[s[rule] - self.terminals]
-            out[left], out[left + 1] = pair[:, 0], pair[:, 1]
-            s = out
-        return s.astype("<u4")
-
-    def slice(self, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
-        """Ids start to stop of what symbols stand for; only symbols that reach into that range are opened."""
-        end = np.cumsum(self.size(symbols))
-        a, b = int(np.searchsorted(end, start, side="right")), int(np.searchsorted(end, stop, side="left")) + 1
-        base = int(end[a - 1]) if a else 0
-        return self.expand(symbols[a:b])[start - base : stop - base]
+            t = len(self.terminals)
+            flat = np.concatenate([self.terminals, self._ids(np.arange(t, t + len(self.rules), dtype=np.uint32))])
+            self.table = flat, np.r_[0, np.cumsum(self.lengths)]
+        return gather(*self.table, self.symbols().astype(np.int64))
+
+    def _open(self, s: np.ndarray) -> np.ndarray:
+        """Symbols with rules replaced by their two symbols."""
+        rule = s >= len(self.terminals)
+        width = 1 + rule.astype(np.int64)
+        out = np.repeat(s, width)
+        left = (np.cumsum(width) - width)[rule]
+        pair = self.rules[s[rule] - len(self.terminals)]
+        out[left], out[left + 1] = pair[:, 0], pair[:, 1]
+        return out
+
+    def _ids(self, s: np.ndarray) -> np.ndarray:
+        while len(s) and int(s.max()) >= len(self.terminals):
+            s = self._open(s)
+        return self.terminals[s]
+
+    def slice(self, first: int, after: int, start: int, stop: int) -> np.ndarray:
+        """Ids start to stop of what symbols first to after of the sequence stand for.
+
+        Rules are opened level by level, and what lies outside is dropped before it is opened.
+        """
+        s = self.symbols(first, after)
+        while True:
+            end = np.cumsum(self.lengths[s])
+            a, b = int(np.searchsorted(end, start, side="right")), int(np.searchsorted(end, stop, side="left")) + 1
+            base = int(end[a - 1]) if a else 0
+            s, start, stop = s[a:b], start - base, stop - base
+            rules = int((s >= len(self.terminals)).sum())
+            if not rules:
+                return self.terminals[s[start:stop]]
+            self.opened += rules
+            s = self._open(s)
 
 
 def _write_blocks(path: str, end_id: int):
@@ -313,9 +392,9 @@ def _write_blocks(path: str, end_id: int):
             size = np.array([len(i) for i in ids], dtype=np.int64)
             last = np.zeros(int(size.sum()), dtype=bool)
             last[np.cumsum(size) - 1] = True
-            rules, seq, last = repair(np.concatenate(ids), last, encoder.terminals)
+            terminals, rules, seq, last = repair(np.concatenate(ids), last)
             starts = np.r_[0, np.flatnonzero(last)[:-1] + 1]
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": doc_ids, "n_tokens": size.tolist(), "starts": starts.tolist(), "payload": pack(rules, seq, encoder.terminals)}], schema=_arrow)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": doc_ids, "n_tokens": size.tolist(), "starts": starts.tolist(), "payload": pack(terminals, rules, seq)}], schema=_arrow)
 
         for batch in batches:
             for rows in chunks(iter([batch])):
@@ -346,8 +425,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            g = Grammar(row["payload"])
-            ids = g.expand(g.seq)
+            ids = Grammar(row["payload"]).expand()
             size = np.array(row["n_tokens"], dtype=np.int64)
             at = np.cumsum(size) - size
             crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at.tolist(), size.tolist())]

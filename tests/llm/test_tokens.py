@@ -32,24 +32,55 @@ def test_forgetting_changes_nothing(encoder, monkeypatch):
         assert encoder.encode([t])[0].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def grammar(docs):
+    last = np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    terminals, rules, seq, ends = tokens.repair(np.concatenate(docs), last)
+    return tokens.Grammar(tokens.pack(terminals, rules, seq)), np.r_[0, np.flatnonzero(ends) + 1]
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     for n, k in ((1, 2), (5000, 3), (20_000, 300), (3000, 1)):
         docs = [rng.integers(0, k, size=rng.integers(0, 80)).astype(np.uint32) for _ in range(max(1, n // 40))]
-        docs = [np.append(d, np.uint32(1)) for d in docs]
-        last = np.zeros(sum(map(len, docs)), bool)
-        last[np.cumsum([len(d) for d in docs]) - 1] = True
-        rules, seq, ends = tokens.repair(np.concatenate(docs), last, 400)
-        g = tokens.Grammar(tokens.pack(rules, seq, 400))
-        assert (g.expand(g.seq) == np.concatenate(docs)).all()
-        assert not len(rules) or len(seq) < len(last)
-        start = np.r_[0, np.flatnonzero(ends) + 1]
+        docs = [np.append(d, np.uint32(48_999)) for d in docs]
+        g, start = grammar(docs)
+        assert (g.expand() == np.concatenate(docs)).all()
+        assert not len(g.rules) or g.n < sum(map(len, docs))
         assert len(start) == len(docs) + 1  # no rule crosses a document's end
         for j in range(0, len(docs), 7):
-            own = g.seq[start[j] : start[j + 1]]
-            assert (g.expand(own) == docs[j]).all()
-            a, b = len(docs[j]) // 3, len(docs[j])
-            assert (g.slice(own, a, b) == docs[j][a:b]).all()
+            n = len(docs[j])
+            for a, b in ((0, n), (n // 3, n), (n // 2, n // 2 + 1)):
+                assert (g.slice(start[j], start[j + 1], a, b) == docs[j][a:b]).all()
+
+
+def test_slices_open_only_what_they_need():
+    docs = [np.append(np.tile(np.arange(8, dtype=np.uint32), 4096), np.uint32(9)) for _ in range(4)]
+    g, start = grammar(docs)
+    assert g.n < 200 and int(g.lengths.max()) >= 8192  # rules stand for very long repeats
+    assert g.slice(start[2], start[3], 20_001, 20_004).tolist() == [1, 2, 3]
+    assert 0 < g.opened <= 4 * 20  # a path through the grammar, not what stands beside it
+
+
+def test_no_pair_that_pays_is_left():
+    rng = np.random.default_rng(5)
+    pool = [rng.integers(0, 3000, size=rng.integers(2, 6)).astype(np.uint32) for _ in range(500)]
+    docs = [np.concatenate([*(pool[k] for k in rng.integers(0, 500, 300)), [3000]]).astype(np.uint32) for _ in range(60)]
+    last = np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    terminals, rules, seq, ends = tokens.repair(np.concatenate(docs), last)
+    pair = (seq[:-1].astype(np.int64) << 32 | seq[1:])[~ends[:-1] & (seq[:-1] != seq[1:])]
+    room = (1 << int(seq.max()).bit_length()) - len(terminals) - len(rules)
+    assert not room or np.unique(pair, return_counts=True)[1].max() < 2 * tokens.LEAST
+    assert len(tokens.pack(terminals, rules, seq)) < 0.9 * len(zlib.compress(np.concatenate(docs).astype("<u2").tobytes(), 9))
+
+
+def test_bits_come_back():
+    rng = np.random.default_rng(6)
+    for width in (1, 7, 8, 13, 31):
+        v = rng.integers(0, 1 << width, 1001).astype(np.uint32)
+        data = memoryview(b"xyz" + tokens.pack_bits(v, width))
+        assert (tokens.unpack_bits(data, 3, 0, 1001, width) == v).all() and (tokens.unpack_bits(data, 3, 333, 10, width) == v[333:343]).all()
 
 
 def test_digest_against_the_tokenizer(spark, encoder, monkeypatch):
