@@ -55,43 +55,257 @@ def _escapes(context: str) -> list[tuple[str, str]]:
     return [(c, "\\" + c) for c in X.ESCAPED[context]]
 
 
-_of("strip_tags", "pages", "page_id", f"SELECT page_id, {_nested("regexp_replace(html, '<[^>]*(>|$)', '', 'g')", *X.ENTITIES)} AS plain FROM pages", lambda: {"plain": X.strip_tags(F.col("html"))})
+_of(
+    "strip_tags",
+    "pages",
+    "page_id",
+    f"SELECT page_id, {_nested("regexp_replace(html, '<[^>]*(>|$)', '', 'g')", *X.ENTITIES)} AS plain FROM pages",
+    lambda: {"plain": X.strip_tags(F.col("html"))},
+)
 for _c in ("plain", "docx", "html", "text"):
     _of(f"markdown_escape_{_c}", "documents", "doc_id", f"SELECT doc_id, {_nested('text', *_escapes(_c))} AS escaped FROM documents", lambda _c=_c: {"escaped": X.markdown_escape(F.col("text"), _c)})
-_of("markdown_unescape", "documents", "doc_id", "SELECT doc_id, text AS unescaped FROM documents WHERE text NOT LIKE '%\\%' UNION ALL SELECT doc_id, regexp_replace(text, '\\\\([\\\\*_`~<\\[\\]])', '\\1', 'g') FROM documents WHERE text LIKE '%\\%'", lambda: {"unescaped": X.markdown_unescape(F.col("text"))})
-_of("latex_escape", "documents", "doc_id", f"SELECT doc_id, {_nested('text', *[(c, chr(92) + c) for c in chr(92) + '{}'])} AS escaped FROM documents", lambda: {"escaped": X.latex_escape(F.col("text"))})
-_of("latex_escape_inverse", "documents", "doc_id", "SELECT doc_id, text AS same FROM documents", lambda: {"same": X.latex_unescape(X.latex_escape(F.col("text")))})
-_of("xml_escape", "documents", "doc_id", f"SELECT doc_id, {_nested('text', ('&', '&amp;'), ('<', '&lt;'), ('>', '&gt;'))} AS escaped FROM documents", lambda: {"escaped": X.xml_escape(F.col("text"))})
-_of("xml_attribute_escape", "documents", "doc_id", f"SELECT doc_id, {_nested('text', ('&', '&amp;'), ('<', '&lt;'), ('>', '&gt;'), (chr(34), '&quot;'), (chr(39), '&apos;'))} AS escaped FROM documents", lambda: {"escaped": X.xml_attribute_escape(F.col("text"))})
-_of("cell_escape", "documents", "doc_id", "SELECT doc_id, replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(10), '<br>') AS cell FROM documents", lambda: {"cell": X.cell_escape(F.col("text"))})
-_of("collapse_whitespace", "documents", "doc_id", "SELECT doc_id, regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+', ' ', 'g') AS collapsed FROM documents", lambda: {"collapsed": X.collapse_whitespace(F.col("text"))})
-_of("text_layer_usable", "documents", "doc_id", "SELECT doc_id, coalesce(regexp_matches(text, '[^\\s[:cntrl:]]'), false) AS usable FROM documents", lambda: {"usable": X.has_visible_text(F.col("text"))})
-_of("base64_text", "documents", "doc_id", "SELECT doc_id, base64(encode(text)) AS encoded FROM documents", lambda: {"encoded": X.base64_text(F.col("text"))})
-_of("heading_anchor", "pages", "page_id", """SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS anchor
-    FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""", lambda: {"anchor": X.heading_anchor(F.regexp_extract("html", "<title>([^<]*)</title>", 1))})
-_of("slugify", "part", "p_partkey", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_type || '_' || p_brand), '[^\\p{L}\\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part", lambda: {"slug": X.slugify(F.concat("p_name", F.lit(" "), "p_type", F.lit("_"), "p_brand"))})
-_of("link_destination", "pages", "page_id", """SELECT page_id, CASE WHEN regexp_matches(u, '[\\s<>]') THEN '<' || replace(u, '>', '\\>') || '>' ELSE replace(replace(u, '\\', '\\\\'), ')', '\\)') END AS destination
-    FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || ' (a)' ELSE url || '/(b)' END AS u FROM pages)""", lambda: {"destination": X.link_destination(F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit(" (a)"))).otherwise(F.concat("url", F.lit("/(b)"))))})
-_of("bookmark_name", "part", "p_partkey", "SELECT p_partkey, regexp_matches(replace(p_name, ' ', '_'), '^[A-Za-z_][A-Za-z0-9_]{0,39}$') AS valid FROM part", lambda: {"valid": X.is_bookmark_name(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")))})
-_of("safe_uri", "pages", "page_id", "SELECT page_id, contains(url, ':') AND lower(split_part(url, ':', 1)) IN ('http', 'https', 'mailto', 'tel') AS safe FROM pages", lambda: {"safe": X.is_safe_uri(F.col("url"))})
-_of("code_fence", "documents", "doc_id", "SELECT doc_id, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(text || '``', '`+'), lambda x: length(x))), 0), 2) + 1) AS fence FROM documents", lambda: {"fence": X.code_fence(F.concat("text", F.lit("``")))})
-_of("roman_number", "part", "p_partkey", """SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 3999 THEN (['', 'm', 'mm', 'mmm'])[n // 1000 + 1] || (['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'])[n // 100 % 10 + 1]
+_of(
+    "markdown_unescape",
+    "documents",
+    "doc_id",
+    (
+        "SELECT doc_id, text AS unescaped FROM documents WHERE text NOT LIKE '%\\%' UNION ALL SELECT doc_id, "
+        "regexp_replace(text, '\\\\([\\\\*_`~<\\[\\]])', '\\1', 'g') FROM documents WHERE text LIKE '%\\%'"
+    ),
+    lambda: {"unescaped": X.markdown_unescape(F.col("text"))},
+)
+_of(
+    "latex_escape",
+    "documents",
+    "doc_id",
+    f"SELECT doc_id, {_nested('text', *[(c, chr(92) + c) for c in chr(92) + '{}'])} AS escaped FROM documents",
+    lambda: {"escaped": X.latex_escape(F.col("text"))},
+)
+_of(
+    "latex_escape_inverse",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, text AS same FROM documents",
+    lambda: {"same": X.latex_unescape(X.latex_escape(F.col("text")))},
+)
+_of(
+    "xml_escape",
+    "documents",
+    "doc_id",
+    f"SELECT doc_id, {_nested('text', ('&', '&amp;'), ('<', '&lt;'), ('>', '&gt;'))} AS escaped FROM documents",
+    lambda: {"escaped": X.xml_escape(F.col("text"))},
+)
+_of(
+    "xml_attribute_escape",
+    "documents",
+    "doc_id",
+    f"SELECT doc_id, {_nested('text', ('&', '&amp;'), ('<', '&lt;'), ('>', '&gt;'), (chr(34), '&quot;'), (chr(39), '&apos;'))} AS escaped FROM documents",
+    lambda: {"escaped": X.xml_attribute_escape(F.col("text"))},
+)
+_of(
+    "cell_escape",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(10), '<br>') AS cell FROM documents",
+    lambda: {"cell": X.cell_escape(F.col("text"))},
+)
+_of(
+    "collapse_whitespace",
+    "documents",
+    "doc_id",
+    (
+        'SELECT doc_id, regexp_replace(text, '
+        "'[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+', ' ', 'g') AS collapsed FROM "
+        'documents'
+    ),
+    lambda: {"collapsed": X.collapse_whitespace(F.col("text"))},
+)
+_of(
+    "text_layer_usable",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, coalesce(regexp_matches(text, '[^\\s[:cntrl:]]'), false) AS usable FROM documents",
+    lambda: {"usable": X.has_visible_text(F.col("text"))},
+)
+_of(
+    "base64_text",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, base64(encode(text)) AS encoded FROM documents",
+    lambda: {"encoded": X.base64_text(F.col("text"))},
+)
+_of(
+    "heading_anchor",
+    "pages",
+    "page_id",
+    """SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS anchor
+    FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""",
+    lambda: {"anchor": X.heading_anchor(F.regexp_extract("html", "<title>([^<]*)</title>", 1))},
+)
+_of(
+    "slugify",
+    "part",
+    "p_partkey",
+    (
+        "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_type || '_' || p_brand), '[^\\p{L}\\p{N}_]+', "
+        "'-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part"
+    ),
+    lambda: {"slug": X.slugify(F.concat("p_name", F.lit(" "), "p_type", F.lit("_"), "p_brand"))},
+)
+_of(
+    "link_destination",
+    "pages",
+    "page_id",
+    """SELECT page_id, CASE WHEN regexp_matches(u, '[\\s<>]') THEN '<' || replace(u, '>', '\\>') || '>' ELSE replace(replace(u, '\\', '\\\\'), ')', '\\)') END AS destination
+    FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || ' (a)' ELSE url || '/(b)' END AS u FROM pages)""",
+    lambda: {"destination": X.link_destination(F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit(" (a)"))).otherwise(F.concat("url", F.lit("/(b)"))))},
+)
+_of(
+    "bookmark_name",
+    "part",
+    "p_partkey",
+    "SELECT p_partkey, regexp_matches(replace(p_name, ' ', '_'), '^[A-Za-z_][A-Za-z0-9_]{0,39}$') AS valid FROM part",
+    lambda: {"valid": X.is_bookmark_name(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")))},
+)
+_of(
+    "safe_uri",
+    "pages",
+    "page_id",
+    "SELECT page_id, contains(url, ':') AND lower(split_part(url, ':', 1)) IN ('http', 'https', 'mailto', 'tel') AS safe FROM pages",
+    lambda: {"safe": X.is_safe_uri(F.col("url"))},
+)
+_of(
+    "code_fence",
+    "documents",
+    "doc_id",
+    (
+        "SELECT doc_id, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(text || '``', '`+'), lambda "
+        'x: length(x))), 0), 2) + 1) AS fence FROM documents'
+    ),
+    lambda: {"fence": X.code_fence(F.concat("text", F.lit("``")))},
+)
+_of(
+    "roman_number",
+    "part",
+    "p_partkey",
+    """SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 3999 THEN (['', 'm', 'mm', 'mmm'])[n // 1000 + 1] || (['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'])[n // 100 % 10 + 1]
     || (['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'])[n // 10 % 10 + 1] || (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[n % 10 + 1] ELSE n::VARCHAR END AS label
-    FROM (SELECT p_partkey, p_partkey * 3 - 3 AS n FROM part)""", lambda: {"label": X.roman_number(F.col("p_partkey") * 3 - 3)})
-_of("pageref_target", "part", "p_partkey", "SELECT p_partkey, nullif(regexp_extract(CASE p_partkey % 2 WHEN 0 THEN ' pageref ' ELSE ' PAGES ' END || p_name, '(?i)(?:^|\\s)PAGEREF\\s+(\\S+)', 1), '') AS target FROM part", lambda: {"target": X.pageref_target(F.concat(F.when(F.col("p_partkey") % 2 == 0, " pageref ").otherwise(" PAGES "), "p_name"))})
-_of("page_fields", "part", "p_partkey", "SELECT p_partkey, 'Page ' || p_size || ' of ' || p_partkey AS footer FROM part", lambda: {"footer": X.page_fields(F.lit("Page {page} of {pages}"), F.col("p_size"), F.col("p_partkey"))})
-_of("css_string", "part", "p_partkey", "SELECT p_partkey, '\"' || replace(replace(p_name || '\"', '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM part", lambda: {"quoted": X.css_string(F.concat("p_name", F.lit('"')))})
-_of("chart_number", "supplier", "s_suppkey", "SELECT s_suppkey, CASE WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.1f', v) END AS label FROM (SELECT s_suppkey, s_suppkey / 4.0::DOUBLE + 0.01::DOUBLE * (s_suppkey % 2) AS v FROM supplier)", lambda: {"label": X.chart_number(F.col("s_suppkey") / 4.0 + F.lit(0.01) * (F.col("s_suppkey") % 2))})
-_of("pixels_of_emu", "part", "p_partkey", "SELECT p_partkey, CASE WHEN e > 0 THEN least(greatest(e / 9525.0::DOUBLE, 64.0), 960.0) ELSE 320.0 END AS pixels FROM (SELECT p_partkey, ((p_partkey - 5) * 10000)::DOUBLE AS e FROM part)", lambda: {"pixels": X.pixels_of_emu(((F.col("p_partkey") - 5) * 10000).cast("double"), 320.0)})
-_of("tinted_color", "part", "p_partkey", """SELECT p_partkey, printf('#%02X%02X%02X', c, c, c) AS color FROM (SELECT p_partkey, least(greatest(floor(CASE WHEN t < 0 THEN b * (1 + t) ELSE b + (255 - b) * t END + 0.5), 0), 255)::INT AS c
-    FROM (SELECT p_partkey, (p_partkey * 7 % 256)::DOUBLE AS b, (p_size - 25) / 32.0::DOUBLE AS t FROM part))""", lambda: {"color": X.hex_color(*[X.tinted((F.col("p_partkey") * 7 % 256).cast("double"), (F.col("p_size") - 25) / 32.0)] * 3)})
-_of("nearest_page_size", "part", "p_partkey", """SELECT p_partkey, (SELECT name FROM (VALUES (0, 'A3', 841.89::DOUBLE, 1190.55::DOUBLE), (1, 'A4', 595.28, 841.89), (2, 'A5', 419.53, 595.28), (3, 'Letter', 612.0, 792.0), (4, 'Legal', 612.0, 1008.0)) s(k, name, a, b)
-    ORDER BY abs(least(w, h) - a) + abs(greatest(w, h) - b), k LIMIT 1) AS size FROM (SELECT p_partkey, 400.0::DOUBLE + p_size * 9 AS w, 500.0::DOUBLE + p_partkey % 700 AS h FROM part)""", lambda: {"size": X.nearest_page_size(F.lit(400.0) + F.col("p_size") * 9, F.lit(500.0) + F.col("p_partkey") % 700)})
-_of("format_detect", "pages", "page_id", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'markdown' WHEN 1 THEN 'docx' WHEN 2 THEN 'xlsx' WHEN 3 THEN 'yaml' WHEN 4 THEN 'html' END AS format FROM pages""", lambda: {"format": X.file_format(F.concat("url", F.element_at(F.array(*map(F.lit, [".md", ".DOCX", ".xlsm", ".yml", ".htm", ".tsv"])), (F.col("page_id") % 6 + 1).cast("int"))))})
-_of("textual_list_item", "part", "p_partkey", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '    2. ' || p_name WHEN 1 THEN p_partkey || '. ' || p_name WHEN 2 THEN NULL ELSE '3. **' || p_name || '**' END AS item FROM part""", lambda: {"item": X.textual_list_item(F.element_at(F.array(F.concat(F.lit("1.2. "), "p_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(")  "), "p_name"), F.concat(F.lit("7. "), "p_name"), F.concat(F.lit("**3. "), "p_name", F.lit("**"))), (F.col("p_partkey") % 4 + 1).cast("int")))})
-_of("cell_kind", "lineitem", "l_orderkey, l_linenumber".split(", ")[0], "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN 'integer' ELSE 'float' END AS quantity_kind, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN 'integer' ELSE 'float' END AS price_kind FROM lineitem", lambda: {"l_linenumber": F.col("l_linenumber"), "quantity_kind": C.float_kind(F.col("l_quantity")), "price_kind": C.float_kind(F.col("l_extendedprice"))})
-_of("cell_text", "orders", "o_orderkey", "SELECT o_orderkey, CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS cell FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS v FROM orders)", lambda: {"cell": C.float_text(F.when(F.col("o_orderkey") % 5 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice")))})
-_of("json_cell", "events", "event_id", "SELECT event_id, CASE WHEN props IS NULL THEN 'empty' WHEN json_type(props) = 'OBJECT' THEN 'string' ELSE 'other' END AS kind, CASE json_type(props, '$.' || json_keys(props)[1]) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'empty' END AS first_kind FROM events", lambda: {"kind": C.json_kind(F.col("props")), "first_kind": C.json_kind(F.to_json(F.variant_get(F.parse_json("props"), F.concat(F.lit("$."), F.element_at(F.json_object_keys("props"), 1)), "variant")))})
+    FROM (SELECT p_partkey, p_partkey * 3 - 3 AS n FROM part)""",
+    lambda: {"label": X.roman_number(F.col("p_partkey") * 3 - 3)},
+)
+_of(
+    "pageref_target",
+    "part",
+    "p_partkey",
+    (
+        "SELECT p_partkey, nullif(regexp_extract(CASE p_partkey % 2 WHEN 0 THEN ' pageref ' ELSE ' PAGES ' END || p_name, "
+        "'(?i)(?:^|\\s)PAGEREF\\s+(\\S+)', 1), '') AS target FROM part"
+    ),
+    lambda: {"target": X.pageref_target(F.concat(F.when(F.col("p_partkey") % 2 == 0, " pageref ").otherwise(" PAGES "), "p_name"))},
+)
+_of(
+    "page_fields",
+    "part",
+    "p_partkey",
+    "SELECT p_partkey, 'Page ' || p_size || ' of ' || p_partkey AS footer FROM part",
+    lambda: {"footer": X.page_fields(F.lit("Page {page} of {pages}"), F.col("p_size"), F.col("p_partkey"))},
+)
+_of(
+    "css_string",
+    "part",
+    "p_partkey",
+    "SELECT p_partkey, '\"' || replace(replace(p_name || '\"', '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM part",
+    lambda: {"quoted": X.css_string(F.concat("p_name", F.lit('"')))},
+)
+_of(
+    "chart_number",
+    "supplier",
+    "s_suppkey",
+    (
+        "SELECT s_suppkey, CASE WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.1f', v) END AS label FROM (SELECT "
+        's_suppkey, s_suppkey / 4.0::DOUBLE + 0.01::DOUBLE * (s_suppkey % 2) AS v FROM supplier)'
+    ),
+    lambda: {"label": X.chart_number(F.col("s_suppkey") / 4.0 + F.lit(0.01) * (F.col("s_suppkey") % 2))},
+)
+_of(
+    "pixels_of_emu",
+    "part",
+    "p_partkey",
+    (
+        'SELECT p_partkey, CASE WHEN e > 0 THEN least(greatest(e / 9525.0::DOUBLE, 64.0), 960.0) ELSE 320.0 END AS pixels FROM '
+        '(SELECT p_partkey, ((p_partkey - 5) * 10000)::DOUBLE AS e FROM part)'
+    ),
+    lambda: {"pixels": X.pixels_of_emu(((F.col("p_partkey") - 5) * 10000).cast("double"), 320.0)},
+)
+_of(
+    "tinted_color",
+    "part",
+    "p_partkey",
+    """SELECT p_partkey, printf('#%02X%02X%02X', c, c, c) AS color FROM (SELECT p_partkey, least(greatest(floor(CASE WHEN t < 0 THEN b * (1 + t) ELSE b + (255 - b) * t END + 0.5), 0), 255)::INT AS c
+    FROM (SELECT p_partkey, (p_partkey * 7 % 256)::DOUBLE AS b, (p_size - 25) / 32.0::DOUBLE AS t FROM part))""",
+    lambda: {"color": X.hex_color(*[X.tinted((F.col("p_partkey") * 7 % 256).cast("double"), (F.col("p_size") - 25) / 32.0)] * 3)},
+)
+_of(
+    "nearest_page_size",
+    "part",
+    "p_partkey",
+    """SELECT p_partkey, (SELECT name FROM (VALUES (0, 'A3', 841.89::DOUBLE, 1190.55::DOUBLE), (1, 'A4', 595.28, 841.89), (2, 'A5', 419.53, 595.28), (3, 'Letter', 612.0, 792.0), (4, 'Legal', 612.0, 1008.0)) s(k, name, a, b)
+    ORDER BY abs(least(w, h) - a) + abs(greatest(w, h) - b), k LIMIT 1) AS size FROM (SELECT p_partkey, 400.0::DOUBLE + p_size * 9 AS w, 500.0::DOUBLE + p_partkey % 700 AS h FROM part)""",
+    lambda: {"size": X.nearest_page_size(F.lit(400.0) + F.col("p_size") * 9, F.lit(500.0) + F.col("p_partkey") % 700)},
+)
+_of(
+    "format_detect",
+    "pages",
+    "page_id",
+    (
+        "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'markdown' WHEN 1 THEN 'docx' WHEN 2 THEN 'xlsx' WHEN 3 THEN 'yaml' WHEN "
+        "4 THEN 'html' END AS format FROM pages"
+    ),
+    lambda: {"format": X.file_format(F.concat("url", F.element_at(F.array(*map(F.lit, [".md", ".DOCX", ".xlsm", ".yml", ".htm", ".tsv"])), (F.col("page_id") % 6 + 1).cast("int"))))},
+)
+_of(
+    "textual_list_item",
+    "part",
+    "p_partkey",
+    (
+        "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '    2. ' || p_name WHEN 1 THEN p_partkey || '. ' || p_name WHEN 2 "
+        "THEN NULL ELSE '3. **' || p_name || '**' END AS item FROM part"
+    ),
+    lambda: {"item": X.textual_list_item(F.element_at(F.array(F.concat(F.lit("1.2. "), "p_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(")  "), "p_name"), F.concat(F.lit("7. "), "p_name"), F.concat(F.lit("**3. "), "p_name", F.lit("**"))), (F.col("p_partkey") % 4 + 1).cast("int")))},
+)
+_of(
+    "cell_kind",
+    "lineitem",
+    "l_orderkey, l_linenumber".split(", ")[0],
+    (
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN 'integer' ELSE 'float' END AS "
+        "quantity_kind, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN 'integer' ELSE 'float' END AS price_kind FROM "
+        'lineitem'
+    ),
+    lambda: {"l_linenumber": F.col("l_linenumber"), "quantity_kind": C.float_kind(F.col("l_quantity")), "price_kind": C.float_kind(F.col("l_extendedprice"))},
+)
+_of(
+    "cell_text",
+    "orders",
+    "o_orderkey",
+    (
+        'SELECT o_orderkey, CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS cell FROM (SELECT '
+        'o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS v FROM orders)'
+    ),
+    lambda: {"cell": C.float_text(F.when(F.col("o_orderkey") % 5 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice")))},
+)
+_of(
+    "json_cell",
+    "events",
+    "event_id",
+    (
+        "SELECT event_id, CASE WHEN props IS NULL THEN 'empty' WHEN json_type(props) = 'OBJECT' THEN 'string' ELSE 'other' END "
+        "AS kind, CASE json_type(props, '$.' || json_keys(props)[1]) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN "
+        "'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'empty' END AS "
+        'first_kind FROM events'
+    ),
+    lambda: {"kind": C.json_kind(F.col("props")), "first_kind": C.json_kind(F.to_json(F.variant_get(F.parse_json("props"), F.concat(F.lit("$."), F.element_at(F.json_object_keys("props"), 1)), "variant")))},
+)
 
 
 @query("extract_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS target FROM pages")
@@ -108,30 +322,47 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(X.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("markdown_table", "SELECT '| n_nationkey | n_name | n_regionkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation")
+@query("markdown_table", (
+    "SELECT '| n_nationkey | n_name | n_regionkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || "
+    "n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation"
+))
 def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.markdown_tables(_read(spark, sf_dir, "nation"), [], ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
 
 
-@query("sheet_text", "SELECT r_name, '## ' || r_name || chr(10) || chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS sheet FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("sheet_text", (
+    "SELECT r_name, '## ' || r_name || chr(10) || chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || "
+    "chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS sheet FROM "
+    'nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name'
+))
 def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     sheets = T.markdown_tables(both, ["r_name"], ["n_nationkey", "n_name"], ["n_nationkey"])
     return sheets.select("r_name", F.concat(F.lit("## "), "r_name", F.lit("\n\n"), "markdown").alias("sheet"))
 
 
-@query("csv_render", "SELECT doc_id, doc_id || ',' || CASE WHEN regexp_matches(text, '[\",\\r\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END || ',' || coalesce(lang, '') AS record FROM documents")
+@query("csv_render", (
+    'SELECT doc_id, doc_id || \',\' || CASE WHEN regexp_matches(text, \'[",\\r\\n]\') THEN \'"\' || replace(text, \'"\', \'""\') || '
+    '\'"\' ELSE text END || \',\' || coalesce(lang, \'\') AS record FROM documents'
+))
 def csv_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", T.csv_record(["doc_id", "text", "lang"]).alias("record"))
 
 
-@query("column_widths", "SELECT col, greatest(8, least(40, max(length(v)))) AS width FROM (SELECT unnest(['c_custkey', 'c_name', 'c_mktsegment']) AS col, unnest([c_custkey::VARCHAR, c_name, c_mktsegment]) AS v FROM customer) GROUP BY col")
+@query("column_widths", (
+    "SELECT col, greatest(8, least(40, max(length(v)))) AS width FROM (SELECT unnest(['c_custkey', 'c_name', "
+    "'c_mktsegment']) AS col, unnest([c_custkey::VARCHAR, c_name, c_mktsegment]) AS v FROM customer) GROUP BY col"
+))
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _read(spark, sf_dir, "customer").select(F.explode(F.create_map(*[x for c in ("c_custkey", "c_name", "c_mktsegment") for x in (F.lit(c), F.col(c).cast("string"))])).alias("col", "v"))
     return R.column_widths(cells, [], "col", "v")
 
 
-@query("header_union", "SELECT key, row_number() OVER (ORDER BY first_id, first_pos) AS place FROM (SELECT key, min(event_id) AS first_id, arg_min(pos, event_id) AS first_pos FROM (SELECT event_id, unnest(json_keys(props)) AS key, generate_subscripts(json_keys(props), 1) AS pos FROM events) GROUP BY key)")
+@query("header_union", (
+    'SELECT key, row_number() OVER (ORDER BY first_id, first_pos) AS place FROM (SELECT key, min(event_id) AS first_id, '
+    'arg_min(pos, event_id) AS first_pos FROM (SELECT event_id, unnest(json_keys(props)) AS key, '
+    'generate_subscripts(json_keys(props), 1) AS pos FROM events) GROUP BY key)'
+))
 def header_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _read(spark, sf_dir, "events").select("event_id", F.posexplode(F.json_object_keys("props")).alias("pos", "key"))
     return R.first_seen(keys, [], "key", "event_id", "pos")
@@ -152,14 +383,22 @@ def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("user_id", "run", "event_type", F.rtrim("ids", F.lit(",")).alias("ids"), "n")
 
 
-@query("chart_pivot", "SELECT idx, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM (SELECT unnest(generate_series(0, (SELECT max(user_id % 20) FROM events))) AS idx) LEFT JOIN events ON user_id % 20 = idx GROUP BY idx")
+@query("chart_pivot", (
+    "SELECT idx, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) "
+    "FILTER (event_type = 'purchase') AS purchase FROM (SELECT unnest(generate_series(0, (SELECT max(user_id % 20) FROM "
+    'events))) AS idx) LEFT JOIN events ON user_id % 20 = idx GROUP BY idx'
+))
 def chart_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["click", "view", "purchase"]
     points = _read(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("idx"), "event_type").agg(F.count("*").alias("n"))
     return R.chart_table(points, "idx", "event_type", "n", names).na.fill(0, names).select(F.col("idx").cast("bigint").alias("idx"), *names)
 
 
-@query("outline_parent", "SELECT a.p_partkey, max(b.p_partkey) AS parent FROM (SELECT p_partkey, p_partkey // 40 AS doc, p_size % 6 + 1 AS level FROM part) a LEFT JOIN (SELECT p_partkey, p_partkey // 40 AS doc, p_size % 6 + 1 AS level FROM part) b ON a.doc = b.doc AND b.p_partkey < a.p_partkey AND b.level < a.level GROUP BY a.p_partkey")
+@query("outline_parent", (
+    'SELECT a.p_partkey, max(b.p_partkey) AS parent FROM (SELECT p_partkey, p_partkey // 40 AS doc, p_size % 6 + 1 AS '
+    'level FROM part) a LEFT JOIN (SELECT p_partkey, p_partkey // 40 AS doc, p_size % 6 + 1 AS level FROM part) b ON a.doc '
+    '= b.doc AND b.p_partkey < a.p_partkey AND b.level < a.level GROUP BY a.p_partkey'
+))
 def outline_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = _read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 40).alias("doc"), (F.col("p_size") % 6 + 1).alias("level"))
     return R.outline_parents(headings, ["doc"], "p_partkey", "level").select("p_partkey", "parent")
@@ -199,7 +438,10 @@ def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "share_of_max",
-    """SELECT user_id, event_id, round(value / greatest(max(value) OVER (PARTITION BY user_id), 1.0), 9) AS share FROM events WHERE value IS NOT NULL""",
+    (
+        'SELECT user_id, event_id, round(value / greatest(max(value) OVER (PARTITION BY user_id), 1.0), 9) AS share FROM '
+        'events WHERE value IS NOT NULL'
+    ),
 )
 def share_of_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _read(spark, sf_dir, "events").where("value is not null").select("user_id", "event_id", "value")
@@ -210,14 +452,20 @@ _of(
     "unit_conversion",
     "part",
     "p_partkey",
-    """SELECT p_partkey, round(p_retailprice * 20)::BIGINT AS twips, round(p_size / 4.0 * 2)::BIGINT AS half_points, round(p_size / 8.0 * 8)::BIGINT AS eighths FROM part""",
+    (
+        'SELECT p_partkey, round(p_retailprice * 20)::BIGINT AS twips, round(p_size / 4.0 * 2)::BIGINT AS half_points, '
+        'round(p_size / 8.0 * 8)::BIGINT AS eighths FROM part'
+    ),
     lambda: {"twips": X.twips(F.col("p_retailprice")), "half_points": X.half_points(F.col("p_size") / 4.0), "eighths": X.border_eighths(F.col("p_size") / 8.0)},
 )
 _of(
     "css_values",
     "part",
     "p_partkey",
-    """SELECT p_partkey, '"' || replace(p_name, 'a', '') || '"' AS family, '"' || p_brand || '\\3C " counter(page) " / \\26 " counter(pages)' AS content FROM part""",
+    (
+        'SELECT p_partkey, \'"\' || replace(p_name, \'a\', \'\') || \'"\' AS family, \'"\' || p_brand || \'\\3C " counter(page) " / \\26 " '
+        "counter(pages)' AS content FROM part"
+    ),
     lambda: {
         "family": X.css_font_family(F.translate("p_name", "a", '"')),
         "content": X.css_page_content(F.concat("p_brand", F.lit("<{page} / &{pages}"))),
@@ -225,7 +473,10 @@ _of(
 )
 
 
-@query("dominant_style", "SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE k = 1")
+@query("dominant_style", (
+    'SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS '
+    'k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE k = 1'
+))
 def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dominant(_read(spark, sf_dir, "events"), ["user_id"], "event_type")
 
@@ -392,7 +643,10 @@ _workbook("workbook_ods", "json", "ods", "json")
 _workbook("workbook_chain", "json", "xlsx", "ods", "xlsx", "json", "toml", "yaml", "ods", "json")
 
 
-@query("csv_to_markdown", "SELECT n_regionkey, '| id | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+@query("csv_to_markdown", (
+    "SELECT n_regionkey, '| id | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | "
+    "' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey"
+))
 def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name")
     text = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("id;name\n"), T.ordered_lines(line, ["n_nationkey"])).alias("csv"))
@@ -461,6 +715,27 @@ for _f in ("docx", "odt", "pptx", "odp", "html", "json", "yaml", "toml"):
     _cells_through(_f)
 
 
+def _images_through(target: str) -> None:
+    """A query that takes an image for each supplier, inside a document, through a package, and returns its checksum."""
+
+    @query(
+        f"images_through_{target}",
+        "SELECT s_suppkey, s_name AS alt, 'image/gif' AS media_type, md5('GIF89a' || s_name || s_suppkey) AS checksum FROM supplier",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        content = F.concat(F.lit("GIF89a"), "s_name", F.col("s_suppkey").cast("string"))
+        image = F.concat(F.lit("!["), "s_name", F.lit("](data:image/gif;base64,"), X.base64_text(content), F.lit(")"))
+        df = _read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("# Image\n\n"), image, F.lit("\n")).alias("now"))
+        for a, b in (("markdown", target), (target, "markdown")):
+            df = V.convert_column(df, "now", a, b, output="next").drop("now", "error").withColumnRenamed("next", "now")
+        part = lambda k: F.regexp_extract("now", r"!\[([^\]]*)\]\(data:([^;]*);base64,([^)]*)\)", k)
+        return df.select("s_suppkey", part(1).alias("alt"), part(2).alias("media_type"), F.md5(F.unbase64(part(3))).alias("checksum"))
+
+
+for _f in ("docx", "odt", "pptx", "odp"):
+    _images_through(_f)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: its title, Markdown, and what its tree holds."""
     made = N.with_counts(H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"]), ["heading", "link", "list_item", "table"])
