@@ -28,6 +28,13 @@ from .common import map_text, table
 TOKENIZER = "word_bpe_49k.json"
 #: The tokenizer file's own pattern for words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Python takes these for blanks, the pattern does not.
+_ODD = regex.compile("[\x1c-\x1f]")
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between the pattern's blanks."""
+    return [w for w in regex.split(r"\s+", text) if w] if _ODD.search(text) else text.split()
 WORD_END = "</w>"
 
 
@@ -117,7 +124,7 @@ class Automaton:
     def count_texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(words, pieces) of each text."""
         number: dict[str, int] = {}
-        rows = [np.fromiter([number.setdefault(w, len(number)) for w in t.decode("utf-8", "replace").split()] if t else (), dtype=np.int64) for t in texts]
+        rows = [np.fromiter([number.setdefault(w, len(number)) for w in words_of(t.decode("utf-8", "replace"))] if t else (), dtype=np.int64) for t in texts]
         found = [PATTERN.findall(unicodedata.normalize("NFC", w.lower())) for w in number]
         n_words = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         pieces = self.count([w.encode("utf-8", "surrogatepass") for f in found for w in f])

@@ -130,6 +130,13 @@ def test_small_vocabularies():
         assert a.count(made).tolist() == [greedy(w, known, 6) for w in made]
 
 
+def test_words_are_parted_as_the_pattern_says(automaton):
+    _, a = automaton
+    for text in ("a\x1cb c\x1fd", "a\x85b\xa0c\u3000d", "\x1d", "x\x0by"):
+        assert counts.PATTERN.findall(text) == [f for w in counts.words_of(text) for f in counts.PATTERN.findall(w)]
+        assert a.count_texts([text.encode()])[0][0] == len(counts.PATTERN.findall(text))
+
+
 def test_counts_of_odd_rows(spark, automaton):
     pieces, _ = automaton
     df, rows = odd(spark)
