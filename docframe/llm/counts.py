@@ -35,6 +35,8 @@ _ODD = regex.compile("[\x1c-\x1f]")
 def words_of(text: str) -> list[str]:
     """What stands between the pattern's blanks."""
     return [w for w in regex.split(r"\s+", text) if w] if _ODD.search(text) else text.split()
+
+
 WORD_END = "</w>"
 
 
