@@ -17,6 +17,8 @@ score is that label's share (0.5 without labels); an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,8 @@ FIT_STRIDE = 16
 LEAST_TEXTS, SURE = 5, 1.5
 CALIBRATION_SHARE = 0.25
 THRESHOLD = 0.3
-#: Words that are scored at once.
-WORDS_AT_ONCE = 1 << 17
+#: Words that are scored at once, and distinct words whose inputs are made at once.
+WORDS_AT_ONCE, WORDS_MADE = 1 << 17, 1 << 14
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,13 +51,19 @@ def words_of(data: bytes | None) -> list[bytes]:
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row in the word table; rows in the character table, word after word; where each word's rows start)."""
+    parts = [_word_inputs(words[at : at + WORDS_MADE]) for at in range(0, max(len(words), 1), WORDS_MADE)]
+    before = np.cumsum([0, *(len(char) for _, char, _ in parts)])
+    return np.concatenate([w for w, _, _ in parts]), np.concatenate([c for _, c, _ in parts]), np.concatenate([b + n for (_, _, b), n in zip(parts, before)])
+
+
+def _word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bare = [w.strip(_STRIP) or w for w in words]
     hashed = xxhash.xxh32_intdigest
     word = np.fromiter([hashed(w) for w in bare], dtype=np.int64, count=len(bare)) & ((1 << WORD_BITS) - 1)
     text = np.frombuffer(b"".join([b"^%b$" % w for w in bare]), dtype=np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare)) + 2
     start = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(bare)), size)
+    owner = np.repeat(np.arange(len(bare), dtype=np.int32), size)
     left = np.repeat(start + size, size) - np.arange(len(text))  # bytes from here to the word's end
     codes, owners = [], []
     code = text
@@ -65,11 +73,11 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         code = (code[:-1] << np.uint64(8)) | text[n - 1 :]
         if n in CHAR_ORDERS:
             ok = left[: len(code)] >= n
-            codes.append((((code[ok] << np.uint64(3)) + np.uint64(n)) * _MIX >> np.uint64(64 - CHAR_BITS)).astype(np.int64))
+            codes.append((((code[ok] << np.uint64(3)) + np.uint64(n)) * _MIX >> np.uint64(64 - CHAR_BITS)).astype(np.int32))
             owners.append(owner[: len(code)][ok])
     short = np.flatnonzero(size < min(CHAR_ORDERS))  # a word always has an n-gram
-    codes.append(word[short] & ((1 << CHAR_BITS) - 1))
-    owners.append(short)
+    codes.append((word[short] & ((1 << CHAR_BITS) - 1)).astype(np.int32))
+    owners.append(short.astype(np.int32))
     owners_ = np.concatenate(owners)
     order = np.argsort(owners_, kind="stable")
     begin = np.searchsorted(owners_[order], np.arange(len(bare)))
@@ -257,19 +265,15 @@ class Adam:
         p[own] -= self.rate * total / (np.sqrt(v[own]) + 1e-8)
 
 
-def log_ratio(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def log_ratio(rows: Iterable[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """By row of a table: the log ratio of the shares of toxic and other texts that have it, SURE standard errors nearer to
-    zero or zero; and whether LEAST_TEXTS texts have it."""
-    have, share = [], []
-    for label in (1, 0):
-        own = np.flatnonzero(y == label)
-        n = np.full(size, 0.5)
-        for k in own:
-            n[rows[k]] += 1
-        have.append(n)
-        share.append(n / (len(own) + 1))
-    ratio, error = np.log(share[0] / share[1]), np.sqrt(1 / have[0] + 1 / have[1])
-    known = have[0] + have[1] >= LEAST_TEXTS + 1
+    zero or zero; and whether LEAST_TEXTS texts have it. rows: those that each text has, once each."""
+    have = np.full((2, size), 0.5)
+    for own, label in zip(rows, y):
+        have[label, own] += 1
+    share = have / (np.bincount(y, minlength=2)[:, None] + 1)
+    ratio, error = np.log(share[1] / share[0]), np.sqrt((1 / have).sum(axis=0))
+    known = have.sum(axis=0) >= LEAST_TEXTS + 1
     return np.where(known, np.sign(ratio) * np.maximum(np.abs(ratio) - SURE * error, 0.0), 0.0), known
 
 
@@ -286,14 +290,21 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int], passes: int = P
         kept[:] = False
     texts, labels = [t for (t, _), k in zip(sample, kept) if not k], y[~kept]
     number: dict[bytes, int] = {}
-    docs = [np.fromiter([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    docs = [np.fromiter([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts]
     word, char, begin = word_inputs(list(number)) if number else (np.zeros(0, np.int64),) * 3
     ends = np.append(begin[1:], len(char))
-    start_word = [np.unique(word[np.unique(d)]) for d in docs]
-    start_char = [np.unique(np.concatenate([char[begin[w] : ends[w]] for w in np.unique(d)])) if len(d) else np.zeros(0, np.int64) for d in docs]
     learned = {}
-    for name, rows, bits in (("word", start_word, WORD_BITS), ("char", start_char, CHAR_BITS)):
-        ratio, learned[name] = log_ratio(rows, labels, 1 << bits)
+    has = np.zeros(1 << max(WORD_BITS, CHAR_BITS), dtype=bool)
+
+    def rows_of(d: np.ndarray, name: str) -> np.ndarray:
+        """The rows of a table that a text has; one text at a time, as those of all texts are many."""
+        has[:] = False
+        for w in np.unique(d):
+            has[word[w] if name == "word" else char[begin[w] : ends[w]]] = True
+        return np.flatnonzero(has)
+
+    for name, bits in (("word", WORD_BITS), ("char", CHAR_BITS)):
+        ratio, learned[name] = log_ratio((rows_of(d, name) for d in docs), labels, 1 << bits)
         net.p[name][~learned[name]] = 0  # what few texts have tells nothing, and stays so
         net.p[name][:, 0] = ratio
     use = [s for s, k in zip(sample, kept) if k] or sample
