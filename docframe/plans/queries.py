@@ -560,7 +560,7 @@ def part_path(spark: SparkSession, sf_dir: str) -> DataFrame:
       len(regexp_extract_all(html, '<ul>')) AS n_list, len(regexp_extract_all(html, '<table')) AS n_table,
       len(regexp_extract_all(html, '<a href="[^"]')) AS n_link,
       regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&(amp|quot|copy|lt);', ' ', 'g'), '_', ''), '[^\\p{L}\\p{N}]+', '', 'g') AS title,
-      list_transform(regexp_extract_all(html, '<a href="([^"]+)"', 1), lambda t: replace(t, '&amp;', '&')) AS targets
+      replace(array_to_string(regexp_extract_all(html, '<a href="([^"]+)"', 1), ' '), '&amp;', '&') AS targets
     FROM pages""",
 )
 def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,7 +568,7 @@ def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = N.of_markdown(H.markdown_of(_read(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
     n = lambda kind: F.sum((F.col("kind") == kind).cast("long")).alias(f"n_{kind}")
     links = F.array_sort(F.collect_list(F.when(F.col("kind") == "link", F.struct("node_id", "destination"))))
-    counted = nodes.groupBy("page_id").agg(*map(n, ("heading", "list_item", "list", "table", "link")), F.transform(links, lambda x: x["destination"]).alias("targets"))
+    counted = nodes.groupBy("page_id").agg(*map(n, ("heading", "list_item", "list", "table", "link")), F.array_join(F.transform(links, lambda x: x["destination"]), " ").alias("targets"))
     heading = nodes.where("kind = 'heading' and level = 1").select("page_id", F.col("path")[0].alias("at"))
     titles = N.plain_text(nodes.join(heading, "page_id").where("path[0] = at"), ["page_id"]).withColumnRenamed("plain", "title")
     letters = F.regexp_replace("title", r"[^\p{L}\p{N}]+", "").alias("title")
