@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or FALLBACK_SHARED).rstrip("/")
 
 
-#: Folders of the tables that materialize() has written and nothing has deleted.
-WRITTEN: list[str] = []
+#: By thread, so that queries that run side by side in one driver never delete each other's tables.
+_RUN = threading.local()
+
+
+def written() -> list[str]:
+    """Folders of the tables that materialize() has written in this thread and nothing has deleted."""
+    if not hasattr(_RUN, "written"):
+        _RUN.written = []
+    return _RUN.written
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    WRITTEN.append(folder)
+    written().append(folder)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -64,11 +72,12 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def remove_since(spark: SparkSession, begun: int, keep: int = 0) -> None:
-    """Deletes the tables written since WRITTEN had `begun` entries, but for the last `keep`."""
-    end = len(WRITTEN) - keep
-    for folder in WRITTEN[begun:end]:
+    """Deletes the tables of this thread written since written() had `begun` entries, but for the last `keep`."""
+    folders = written()
+    end = len(folders) - keep
+    for folder in folders[begun:end]:
         remove(spark, folder)
-    del WRITTEN[begun:end]
+    del folders[begun:end]
 
 
 def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -236,7 +245,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     are left. A node with very many neighbours is met by aggregates with a partial step and by joins that adaptive
     execution may split, never by one task that holds its neighbourhood. Up to ONE_TASK_EDGES are joined in one task.
     """
-    begun = len(WRITTEN)
+    begun = len(written())
     forest = edges.where("a <> b").select("a", "b").mapInArrow(local_forest, "a long, b long")
     pairs = materialize(forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     few = pairs.count() <= ONE_TASK_EDGES

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, decontaminate, embeddings, language, mixing, quality, sharding, simhash, tokens, toxicity
+from . import articles, centroids, counts, decontaminate, embeddings, itemsets, language, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": embeddings.query,
     "op9_mixing": mixing.query,
     "op10_quality": quality.query,
+    "op11_itemsets": itemsets.query,
+    "op12_articles": articles.query,
+    "op13_centroids": centroids.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_itemsets": itemsets.SQL}

@@ -24,3 +24,16 @@ def test_components_against_union_find(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_threads_keep_their_own_tables(spark):
+    """Components in three threads of one driver: none deletes another's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(k):
+        edges = spark.createDataFrame([(10 * j + k, 10 * j + k + 10) for j in range(30)], "a long, b long")
+        return {r["root"] for r in components(edges).collect()}
+
+    with ThreadPoolExecutor(3) as pool:
+        for _ in range(2):
+            assert list(pool.map(run, range(3))) == [{0}, {1}, {2}]

@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__
 
 DATA = "/root/testdata/sf0.001"
+#: Tables and ids of the queries that return a row for each row of one table, where that is not documents.
+TABLES = {"op8": ("embeddings", "vec_id"), "op12": ("pages", "page_id"), "op13": ("embeddings", "vec_id")}
 SCORED = {"doc_id": "bigint", "held_out": "boolean", "score": "double"}
 COLUMNS = {
     "op1": SCORED | {"predicted": "int"},
@@ -19,6 +21,9 @@ COLUMNS = {
     "op8": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op9": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10": SCORED | {"predicted": "int"},
+    "op11": {"items": "string", "n_items": "bigint", "support": "bigint", "n_rules": "bigint", "best_item": "bigint", "rules_sha256": "string"},
+    "op12": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op13": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
 }
 QUERIES = {n: q for n, q in __spark_entry__.queries().items() if n.startswith("op") and n[2].isdigit()}
 
@@ -29,9 +34,9 @@ def test_columns_and_rows(spark, name):
     kinds = dict(df.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[op]} == COLUMNS[op]
     rows = df.collect()
-    if op != "op4":
-        key = "vec_id" if op == "op8" else "doc_id"
-        given = spark.read.parquet(f"{DATA}/{'embeddings' if op == 'op8' else 'documents'}.parquet").select(key).collect()
+    if op not in ("op4", "op11"):
+        name, key = TABLES.get(op, ("documents", "doc_id"))
+        given = spark.read.parquet(f"{DATA}/{name}.parquet").select(key).collect()
         assert sorted(r[key] for r in rows) == sorted(r[key] for r in given)
     if "held_out" in COLUMNS[op]:
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
