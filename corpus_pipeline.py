@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm import decontaminate, mixing, quality, simhash, tokens
-from docframe.llm.common import WRITTEN, remove, remove_since, shared_dir, table
+from docframe.llm.common import remove, remove_since, shared_dir, table, written
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        begun, folder = len(WRITTEN), f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}"
+        begun, folder = len(written()), f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage")
         remove_since(spark, begun)
         if before:
