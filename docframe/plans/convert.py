@@ -21,7 +21,7 @@ from ..functions.text import FORMATS, TEXT_FORMATS
 from ..operators import html, to_html
 from ..operators import markdown as M
 from ..operators.batches import pieces
-from ..sources import images, packages, payload, slides, structured, wordprocessing
+from ..sources import images, packages, payload, slides, stores, structured, wordprocessing, workbooks
 
 STRUCTURED = ("json", "yaml", "toml")
 #: Need libraries that do not come with Spark: page layout and recognition, and the binary office formats.
@@ -301,29 +301,22 @@ def convert_files(spark: SparkSession, path: str, source: str, target: str, opti
 
 
 def save_files(converted: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
-    """(name, bytes, error): what convert_files gave, each document written below a folder that all executors share.
+    """(name, bytes, error): what convert_files gave, all documents written at once below a folder of a store that all executors see.
 
-    Files appear whole under their names, so a task that runs again does no harm. Unless overwrite is set, nothing is
-    written if one of the outputs is there.
+    Tasks put files aside, and the commit shows them, so a write that fails leaves nothing. Unless overwrite is set, nothing
+    is written if one of the outputs is there.
     """
-    schema = "name string, bytes long, error struct<code string, message string>"
-    kind = pa.struct([("code", pa.string()), ("message", pa.string())])
-
-    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [n for n in batch.column(0).to_pylist() if os.path.exists(os.path.join(folder, n))]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            size = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size.append(None if data is None else _save(os.path.join(folder, name), data.encode() if isinstance(data, str) else bytes(data)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), batch.column(2).cast(kind)], names=["name", "bytes", "error"])
-
-    if not overwrite and (found := converted.select("name").mapInArrow(there, "name string").select(F.min("name")).first()[0]) is not None:
-        raise ConversionError("OutputExists", f"{found} exists")
-    return converted.select("name", "converted", "error").mapInArrow(run, schema)
+    spark = converted.sparkSession
+    workbooks.register(spark)
+    rows = converted.select("name", F.col("converted").alias("content"), "error")
+    try:
+        rows.write.format("document_files").mode("overwrite" if overwrite else "append").save(folder)
+    except Exception as e:
+        if m := re.search(r"FileExistsError: (.*)", str(e)):
+            raise ConversionError("OutputExists", m[1]) from None
+        raise
+    listed = stores.listing(folder)
+    return spark.createDataFrame([(f["name"], f["bytes"], f["error"]) for f in listed], "name string, bytes long, error struct<code string, message string>")
 
 
 def save(place: str, data: bytes, overwrite: bool = False) -> None:

@@ -745,3 +745,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("flagship")(flagship)
+
+from . import source_queries  # noqa: E402, F401  it adds its queries

@@ -5,13 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 from ..operators import markdown as M
 from .images import MIME, Parts, data_uri, extension, size
-from .structured import DataError, Sheets, cell_text, number
+from .structured import Cell, DataError, Sheets, cell_text, number
 
 MAX_ROWS, MAX_COLUMNS = (1 << 32) - 1, (1 << 16) - 1
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -108,7 +108,7 @@ def column_name(k: int) -> str:
     return out
 
 
-def _column(ref: str) -> int:
+def column_index(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", ref).group():
         n = n * 26 + ord(c) - 64
@@ -150,6 +150,32 @@ def write_xlsx(sheets: Sheets) -> bytes:
     return package(files)
 
 
+def date_formats(styles_part: bytes) -> set[str]:
+    """Numbers of the cell formats that show dates or times."""
+    styles = _xml(styles_part)
+    own = {f.get("numFmtId") for f in styles.iter() if local(f) == "numFmt" and re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")), re.I)}
+    return {str(k) for k, x in enumerate(inside(child(styles, "cellXfs"))) if x.get("numFmtId") in own or x.get("numFmtId", "").isdigit() and (14 <= int(x.get("numFmtId")) <= 22 or 45 <= int(x.get("numFmtId")) <= 47)}
+
+
+def xlsx_cell(c: ET.Element, shared: list[str], dates: set[str], text: Callable[[ET.Element], str]) -> Cell:
+    """The value of a cell element."""
+    v, kind = child(c, "v"), c.get("t", "n")
+    value = v.text if v is not None else None
+    if kind == "inlineStr":
+        return text(c)
+    if value is None:
+        return None
+    if kind == "s":
+        return shared[int(value)]
+    if kind == "b":
+        return value == "1"
+    if kind == "str":
+        return value
+    if kind != "n" or c.get("s") in dates:
+        raise DataError(f"cell {c.get('r')} can't be represented without data loss")
+    return int(value) if re.fullmatch("-?[0-9]{1,18}", value) else number(float(value))
+
+
 def read_xlsx(data: bytes) -> Sheets:
     """Typed cells of all sheets. Dates and errors can't be kept and are refused."""
     files = parts(data)
@@ -158,11 +184,7 @@ def read_xlsx(data: bytes) -> Sheets:
     rels = relationships(files, "xl/workbook.xml")
     text = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
     shared = [text(s) for s in _xml(files["xl/sharedStrings.xml"])] if "xl/sharedStrings.xml" in files else []
-    dates = set()
-    if "xl/styles.xml" in files:
-        styles = _xml(files["xl/styles.xml"])
-        own = {f.get("numFmtId") for f in styles.iter() if local(f) == "numFmt" and re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")), re.I)}
-        dates = {str(k) for k, x in enumerate(inside(child(styles, "cellXfs"))) if x.get("numFmtId") in own or x.get("numFmtId", "").isdigit() and (14 <= int(x.get("numFmtId")) <= 22 or 45 <= int(x.get("numFmtId")) <= 47)}
+    dates = date_formats(files["xl/styles.xml"]) if "xl/styles.xml" in files else set()
     out: Sheets = {}
     for s in inside(child(_xml(files["xl/workbook.xml"]), "sheets")):
         rows: list[list] = []
@@ -171,23 +193,8 @@ def read_xlsx(data: bytes) -> Sheets:
             while len(rows) < y:
                 rows.append([])
             for c in row:
-                x = _column(c.get("r")) if c.get("r") else len(rows[y - 1])
-                v, kind = child(c, "v"), c.get("t", "n")
-                value = v.text if v is not None else None
-                if kind == "inlineStr":
-                    cell = text(c)
-                elif value is None:
-                    cell = None
-                elif kind == "s":
-                    cell = shared[int(value)]
-                elif kind == "b":
-                    cell = value == "1"
-                elif kind == "str":
-                    cell = value
-                elif kind != "n" or c.get("s") in dates:
-                    raise DataError(f"cell {c.get('r')} of {s.get('name')} can't be represented without data loss")
-                else:
-                    cell = int(value) if re.fullmatch("-?[0-9]{1,18}", value) else number(float(value))
+                x = column_index(c.get("r")) if c.get("r") else len(rows[y - 1])
+                cell = xlsx_cell(c, shared, dates, text)
                 rows[y - 1] += [None] * (x + 1 - len(rows[y - 1]))
                 rows[y - 1][x] = cell
         width = max(map(len, rows), default=0)
@@ -272,6 +279,23 @@ def write_ods(sheets: Sheets) -> bytes:
     return odf_package("ods", f"<office:spreadsheet>{''.join(out)}</office:spreadsheet>")
 
 
+def ods_row(r: ET.Element) -> list[Cell]:
+    """The cells of a table row; blanks at its end are cut before runs are expanded."""
+    runs: list[tuple[Cell, int]] = []
+    for c in r:
+        if local(c) not in ("table-cell", "covered-table-cell"):
+            continue
+        kind, value = attr(c, "value-type"), attr(c, "value")
+        text = "\n".join(odf_text(p) for p in c if local(p) == "p")
+        cell = number(float(value)) if kind in ("float", "currency", "percentage") and value else attr(c, "boolean-value") == "true" if kind == "boolean" else text.strip() if text or kind == "string" else None
+        if isinstance(cell, float) and re.fullmatch("-?[0-9]+", value or ""):
+            cell = int(value)
+        runs.append((cell, int(attr(c, "number-columns-repeated") or 1)))
+    while runs and runs[-1][0] is None:
+        runs.pop()
+    return [cell for cell, n in runs for _ in range(n)]
+
+
 def read_ods(data: bytes) -> Sheets:
     out: Sheets = {}
     for t in odf_body(data, "ods")[0]:
@@ -279,18 +303,7 @@ def read_ods(data: bytes) -> Sheets:
             continue
         rows: list[list] = []
         for r in (r for r in t.iter() if local(r) == "table-row"):
-            row: list = []
-            for c in r:
-                if local(c) not in ("table-cell", "covered-table-cell"):
-                    continue
-                kind, value = attr(c, "value-type"), attr(c, "value")
-                text = "\n".join(odf_text(p) for p in c if local(p) == "p")
-                cell = number(float(value)) if kind in ("float", "currency", "percentage") and value else attr(c, "boolean-value") == "true" if kind == "boolean" else text.strip() if text or kind == "string" else None
-                if isinstance(cell, float) and re.fullmatch("-?[0-9]+", value or ""):
-                    cell = int(value)
-                row += [cell] * (int(attr(c, "number-columns-repeated") or 1) if cell is not None or len(row) < 1024 else 0)
-            while row and row[-1] is None:
-                row.pop()
+            row = ods_row(r)
             rows += [row] * (int(attr(r, "number-rows-repeated") or 1) if row else 1)
         while rows and not rows[-1]:
             rows.pop()
