@@ -66,30 +66,6 @@ def suffix_duplicates(df: DataFrame, by: list[str], order: list[str], slug: str)
     return df.withColumn("anchor", F.when(n == 0, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string"))))
 
 
-def outline_parents(df: DataFrame, by: list[str], order: str, level: str, most_levels: int = 9) -> DataFrame:
-    """df with `parent`: the order of the last row before that has a smaller level; null at the top.
-
-    One running maximum for each level in place of a join of all pairs.
-    """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = [F.max(F.when(F.col(level) == k, F.col(order))).over(w).alias(f"last_{k}") for k in range(1, most_levels)]
-    seen = df.select("*", *before)
-    lower = F.array_max(F.filter(F.array(*[F.when(F.lit(k) < F.col(level), F.col(f"last_{k}")) for k in range(1, most_levels)]), lambda x: x.isNotNull()))
-    return seen.withColumn("parent", lower).drop(*[f"last_{k}" for k in range(1, most_levels)])
-
-
-def list_numbers(df: DataFrame, by: list[str], order: str, level: str) -> DataFrame:
-    """df with `number`: the item's number in its list; a shallower item starts deeper lists anew."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    deepest = 9
-    marks = df
-    for k in range(deepest):
-        marks = marks.withColumn(f"reset_{k}", F.coalesce(F.max(F.when(F.col(level) < k, F.col(order))).over(w), F.lit(-1)))
-    island = F.element_at(F.array(*[F.col(f"reset_{k}") for k in range(deepest)]), F.col(level) + 1)
-    marked = marks.withColumn("island", island).drop(*[f"reset_{k}" for k in range(deepest)])
-    return marked.withColumn("number", F.row_number().over(Window.partitionBy(*by, level, "island").orderBy(order))).drop("island")
-
-
 def first_seen(df: DataFrame, by: list[str], key: str, *position: str) -> DataFrame:
     """(by, key, place): distinct keys in the order in which they first occur."""
     first = df.groupBy(*by, key).agg(F.min(F.struct(*position)).alias("first"))
@@ -128,27 +104,6 @@ def chart_table(points: DataFrame, index: str, series: str, value: str, names: l
     return frame.join(points.groupBy(index).pivot(series, names).agg(F.first(value)), index, "left")
 
 
-def inherited(styles: DataFrame, view: str, columns: list[str]) -> DataFrame:
-    """(style, columns): each value from the style itself or its nearest ancestor that has one.
-
-    styles has (style, parent, columns). A chain that comes back to itself ends there. A chain of more levels than
-    spark.sql.cteRecursionLevelLimit is an error, never cut.
-    """
-    styles.createOrReplaceTempView(view)
-    own = ", ".join(f"s.{c}" for c in columns)
-    up = ", ".join(f"coalesce(c.{c}, s.{c})" for c in columns)
-    spark = styles.sparkSession
-    chain = spark.sql(
-        f"""WITH RECURSIVE chain(style, up, depth, seen, {", ".join(columns)}) AS (
-              SELECT s.style, s.parent, 0, array(s.style), {own} FROM {view} s
-              UNION ALL
-              SELECT c.style, s.parent, c.depth + 1, array_append(c.seen, s.style), {up}
-              FROM chain c JOIN {view} s ON c.up = s.style WHERE NOT array_contains(c.seen, s.style))
-            SELECT * FROM chain"""
-    )
-    return chain.groupBy("style").agg(*[F.max_by(c, "depth").alias(c) for c in columns], F.max("depth").alias("depth"))
-
-
 def padded(rows: DataFrame, by: list[str], cells: str, fill: str = "") -> DataFrame:
     """rows with each list of cells filled up to the longest of its group."""
     widest = rows.groupBy(*by).agg(F.max(F.size(cells)).alias("__width"))

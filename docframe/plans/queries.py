@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import text as X
 from ..operators import html as H
+from ..operators import inheritance as I
 from ..operators import nodes as N
+from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators import tables as T
 from ..sources import slides as S
@@ -401,14 +403,14 @@ def chart_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def outline_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = _read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 40).alias("doc"), (F.col("p_size") % 6 + 1).alias("level"))
-    return R.outline_parents(headings, ["doc"], "p_partkey", "level").select("p_partkey", "parent")
+    return O.outline_parents(headings, ["doc"], "p_partkey", "level").select("p_partkey", "parent")
 
 
 @query("list_numbers", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, level, island ORDER BY turn) AS number FROM (SELECT conv_id, turn, level, (SELECT coalesce(max(b.turn), -1) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND length(b.text) % 3 < a.level) AS island
     FROM (SELECT conv_id, turn, length(text) % 3 AS level FROM conversations) a)""")
 def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 3).alias("level"))
-    return R.list_numbers(items, ["conv_id"], "turn", "level").select("conv_id", "turn", "number")
+    return O.list_numbers(items, ["conv_id"], "turn", "level").select("conv_id", "turn", "number")
 
 
 @query("style_inheritance", """WITH RECURSIVE s AS (SELECT p_partkey AS style, CASE WHEN p_partkey >= 2 THEN p_partkey // 2 END AS parent, CASE WHEN p_size % 3 = 0 THEN p_size END AS size, CASE WHEN p_size % 4 = 1 THEN p_brand END AS font FROM part),
@@ -417,7 +419,7 @@ def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     styles = _read(spark, sf_dir, "part").select(key.alias("style"), F.when(key >= 2, F.floor(key / 2)).alias("parent"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 4 == 1, F.col("p_brand")).alias("font"))
-    return R.inherited(styles, "styles_of_parts", ["size", "font"]).select("style", F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("font", F.lit("")).alias("font"), "depth")
+    return I.inherited(styles, ["size", "font"]).select("style", F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("font", F.lit("")).alias("font"), "depth")
 
 
 @query("referenced_notes", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -746,4 +748,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("flagship")(flagship)
 
-from . import source_queries  # noqa: E402, F401  it adds its queries
+from . import package_queries, source_queries  # noqa: E402, F401  they add their queries

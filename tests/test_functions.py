@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from docframe.functions import cells as C
 from docframe.functions import text as X
+from docframe.operators import inheritance as I
+from docframe.operators import ordered as O
 from docframe.operators import relational as R
 from docframe.operators import tables as T
 
@@ -55,10 +57,10 @@ def test_row_cells(spark):
 
 def test_inheritance_ends_in_cycles(spark):
     styles = spark.createDataFrame([("a", "b", None), ("b", "a", 7), ("c", None, 1)], "style string, parent string, size int")
-    got = {r["style"]: r["size"] for r in R.inherited(styles, "cycle", ["size"]).collect()}
+    got = {r["style"]: r["size"] for r in I.inherited(styles, ["size"]).collect()}
     assert got == {"a": 7, "b": 7, "c": 1}
 
 
 def test_list_numbers_reset(spark):
     items = spark.createDataFrame([(1, k, l) for k, l in enumerate([0, 1, 1, 0, 1])], "doc int, pos int, level int")
-    assert [r["number"] for r in R.list_numbers(items, ["doc"], "pos", "level").orderBy("pos").collect()] == [1, 1, 2, 2, 1]
+    assert [r["number"] for r in O.list_numbers(items, ["doc"], "pos", "level").orderBy("pos").collect()] == [1, 1, 2, 2, 1]
