@@ -1,4 +1,4 @@
-"""HTML to Markdown: a lexer built from regular expressions and a converter that dispatches on element names.
+"""HTML to Markdown: a lexer built from regular expressions, a tree of the elements that Markdown knows, and a writer of its blocks.
 
 Text counts only inside a heading, paragraph, quote, list item, cell or preformatted block; a block that is never closed is
 lost; an unclosed comment, script or style is an error.
@@ -7,7 +7,8 @@ lost; an unclosed comment, script or style is an error.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,236 +110,268 @@ def table_text(rows: list[list[str]], alignments: list[str | None] | None = None
     return "\n".join([line(rows[0]), "| " + " | ".join(marks) + " |", *map(line, rows[1:])])
 
 
-class Converter:
-    """State of one conversion. buffers: open blocks, innermost last, as lists of pieces."""
+# ---- from tags to a tree
+
+#: Elements whose text is shown; they end by any end tag of these, and are lost if none comes.
+HEADINGS = {f"h{n}": n for n in range(1, 7)}
+SHOWN = frozenset([*HEADINGS, "p", "blockquote", "li", "td", "th", "pre"])
+#: Elements that only arrange others.
+ARRANGING = frozenset(["ul", "ol", "table", "tr"])
+#: What stands around the text of inline elements.
+AROUND = {"strong": ("**", "**"), "b": ("**", "**"), "em": ("*", "*"), "i": ("*", "*"), "del": ("~~", "~~"), "s": ("~~", "~~"), "u": ("<u>", "</u>"), "sup": ("$^{", "}$"), "sub": ("$_{", "}$"), "code": ("`", "`")}
+INLINE = frozenset([*AROUND, "span", "a"])
+EMPTY = frozenset(["br", "hr", "img", "input"])
+NOTE = "note"
+#: Inline elements inside one another, at most.
+DEEPEST = 128
+
+
+class Element:
+    """A node of a page's tree, with what its place in the tree says. ended: the tag that ended it; None while nothing has."""
+
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
+        self.tag, self.attributes, self.parent = tag, attributes, parent
+        self.items: list[Element | str] = []
+        self.ended: str | None = None
+        self.classes = attributes.get("class", "").split()
+        up = parent.tag if parent is not None else ""
+        of = lambda name, default: getattr(parent, name) if parent is not None else default
+        self.list: Element | None = parent if up in ("ul", "ol") else of("list", None)
+        self.lists: int = of("lists", 0) + (up in ("ul", "ol"))
+        self.quotes: int = of("quotes", 0) + (up == "blockquote")
+        self.in_item: bool = of("in_item", False) or up == "li"
+        self.is_shown: bool = of("is_shown", False) or up in SHOWN
+        self.in_mark: bool = of("in_mark", False) or (up == "sup" and "footnote-reference" in parent.classes)
+        self.deep: int = of("deep", 0) + 1 if up in INLINE else 0
+
+    def add(self, tag: str, attributes: dict[str, str]) -> Element:
+        self.items.append(Element(tag, attributes, self))
+        return self.items[-1]
+
+
+def _hides(e: Element) -> bool:
+    """Whether what follows an element's start, up to its end tag, is not shown."""
+    if e.tag == "sup":
+        return "footnote-definition-label" in e.classes
+    return e.tag in ("head", "title") or (e.tag == "a" and ("footnote-backref" in e.classes or _note_mark(e) is not None))
+
+
+def _note_mark(e: Element) -> str | None:
+    """The label of a note that a link in a reference mark leads to."""
+    href = e.attributes.get("href", "")
+    return href[1:] if e.in_mark and href.startswith("#") else None
+
+
+class Tree:
+    """The elements of a page that Markdown knows; other tags leave no trace. done() hears of each element as it ends."""
+
+    def __init__(self, done: Callable[[Element], None], begun: Callable[[Element], None]) -> None:
+        self.at = Element("", {}, None)
+        self.open: Counter[str] = Counter()
+        self.done, self.begun = done, begun
+
+    def read(self, html: str) -> None:
+        hidden: str | None = None
+        for kind, value, attributes in tokens(html):
+            if hidden is not None:
+                hidden = None if kind == "end" and value == hidden else hidden
+            elif kind == "text":
+                self.at.items.append(value)
+            elif kind == "end":
+                self.end(value)
+            else:
+                hidden = value if self.start(value, attributes) else None
+
+    def start(self, name: str, attributes: dict[str, str]) -> bool:
+        """Opens an element; whether it hides what follows."""
+        e = Element(name, attributes, self.at)
+        if name == "p" and (e.in_item or self.at.tag == "li"):
+            return False  # an item's paragraphs are its text
+        if name == "div" and "footnote-definition" in e.classes and "id" in attributes:
+            e.tag = NOTE
+        if e.deep > DEEPEST:
+            raise HtmlError(f"nesting exceeds {DEEPEST}")
+        hides = _hides(e)
+        if e.tag in EMPTY or (hides and e.tag == "a"):
+            self.at.items.append(e)
+            self.done(e)
+        elif not hides and (e.tag in SHOWN or e.tag in ARRANGING or e.tag in INLINE or e.tag == NOTE):
+            self.at.items.append(e)
+            self.open[e.tag] += 1
+            self.at = e
+            self.begun(e)
+        return hides
 
-    wraps = {"strong": "**", "b": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}
+    def end(self, name: str) -> None:
+        if name == "p" and (self.at.in_item or self.at.tag == "li"):
+            return
+        wanted, within = frozenset([NOTE if name == "div" else name]), False
+        if name in SHOWN:
+            wanted = SHOWN  # any of these ends the innermost of these
+        elif name in ("ul", "ol"):
+            wanted = frozenset(["ul", "ol"])
+        elif name in INLINE:
+            within = True  # never beyond the text it stands in
+        if not any(self.open[t] for t in wanted):
+            return
+        e = self.at
+        while e.parent is not None and e.tag not in wanted:
+            if within and e.tag in SHOWN:
+                return
+            e = e.parent
+        if e.parent is None:
+            return
+        while self.at is not e:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[e.tag] -= 1
+        e.ended, self.at = name, e.parent
+        self.done(e)
 
-    def __init__(self) -> None:
-        self.out: list[str] = []
-        self.buffers: list[list[str]] = []
-        self.cells: list[bool] = []
-        self.lists: list[int | None] = []
-        self.links: list[tuple[int, str, str] | None] = []
-        self.math: list[str | None] = []
-        self.quotes = self.items = self.note_marks = 0
-        self.skip: str | None = None
-        self.level: int | None = None
-        self.pre, self.info = False, ""
-        self.in_table, self.rows, self.row, self.alignments = False, [], [], []
-        self.note: tuple[str, int] | None = None
-        self.notes: list[str] = []
 
-    def open(self, cell: bool = False) -> None:
-        self.buffers.append([])
-        self.cells.append(cell)
+# ---- from the tree to Markdown
 
-    def close(self) -> str | None:
-        if not self.buffers:
-            return None
-        self.cells.pop()
-        return "".join(self.buffers.pop())
 
-    def put(self, text: str) -> None:
-        if self.buffers:
-            self.buffers[-1].append(text)
+def inline_text(e: Element, cell: bool, math: bool = False) -> str:
+    """What an element shows itself, without the blocks inside it."""
+    out: list[str] = []
+    for item in e.items:
+        if isinstance(item, Element):
+            out.append(_inline(item, cell))
+        elif math:
+            out.append(item)
+        else:
+            text = re.sub(r"\s+", " ", item)
+            if out and out[-1] in ("[x]", "[ ]") and not text.startswith(" "):
+                text = " " + text
+            out.append(text if cell else escape(text))
+    return "".join(out)
+
+
+def _inline(e: Element, cell: bool) -> str:
+    if e.tag in SHOWN or e.tag in ("hr", NOTE):
+        return ""
+    if e.tag == "br":
+        return "  \n"
+    if e.tag == "img":
+        return _image(e)
+    if e.tag == "input":
+        return "" if e.attributes.get("type") != "checkbox" else "[x]" if "checked" in e.attributes else "[ ]"
+    if e.tag == "a":
+        return _link(e, cell)
+    before, after = AROUND.get(e.tag, ("", ""))
+    if e.tag == "span":
+        before = after = "$" if "math-inline" in e.classes else "$$" if "math-display" in e.classes else ""
+    elif e.tag == "sup" and {"footnote-reference", "footnote-definition-label"} & {*e.classes}:
+        before = after = ""
+    text = inline_text(e, cell, math=e.tag == "span" and bool(before))
+    return before + text + (after if e.ended else "")
+
+
+def _link(e: Element, cell: bool) -> str:
+    label, href, name = _note_mark(e), e.attributes.get("href", ""), e.attributes.get("id", e.attributes.get("name"))
+    if "footnote-backref" in e.classes:
+        return ""
+    if label is not None:
+        return f"[^{label}]"
+    text = inline_text(e, cell)
+    if not href:
+        quoted = None if name is None else name.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&apos;")
+        return text if quoted is None else f'<a id="{quoted}"></a>{text}'
+    return f"[{text}]({destination(href)}{_title(e.attributes)})" if e.ended else text
+
+
+def _image(e: Element) -> str:
+    return f"![{escape(e.attributes.get('alt', ''))}]({destination(e.attributes.get('src', ''))}{_title(e.attributes)})"
+
+
+def _raw(e: Element) -> str:
+    """The text of an element with all its white space."""
+    return "".join(i if isinstance(i, str) else "" if i.tag in SHOWN else _raw(i) for i in e.items)
+
+
+class Writer:
+    """Blocks of a page in the order in which they end, as Markdown; notes come last."""
 
-    def block(self, text: str | None) -> None:
-        text = (text or "").strip()
-        if text:
-            mark = "> " * self.quotes
-            self.out.append("\n".join(mark + l for l in text.split("\n")) + "\n\n")
-
-    def start(self, name: str, a: dict[str, str]) -> None:
-        classes = a.get("class", "").split()
-        if name == "div" and "footnote-definition" in classes and "id" in a:
-            self.note = (a["id"], len(self.out))
-        elif name in ("head", "title"):
-            self.skip = name
-        elif re.fullmatch("h[1-6]", name):
-            self.level = int(name[1])
-            self.open()
-        elif name == "p":
-            if not self.items:
-                self.open()
-        elif name == "blockquote":
-            self.quotes += 1
-            self.open()
-        elif name in ("ul", "ol"):
-            start = a.get("start", "1")
-            self.lists.append(None if name == "ul" else int(start) if start.isdigit() else 1)
-        elif name == "li":
-            self.items += 1
-            self.open()
-        elif name == "table":
-            self.in_table, self.rows, self.row, self.alignments = True, [], [], []
-        elif name == "tr":
-            self.row = []
-        elif name in ("td", "th"):
-            for span in ("colspan", "rowspan"):
-                if span in a and a[span].strip() != "1":
-                    raise HtmlError(f"{span}={a[span]} has no form in Markdown")
-            if name == "th":
-                m = re.search(r"text-align\s*:\s*(left|center|right)", a.get("style", ""), re.I)
-                self.alignments.append(m and m[1].lower())
-            self.open(cell=True)
-        elif name == "pre":
-            self.pre, self.info = True, ""
-            self.open()
-        elif name == "code":
-            if self.pre:
-                self.info = next((c[9:] for c in classes if c.startswith("language-")), "")
-            else:
-                self.put("`")
-        elif name in self.wraps:
-            self.put(self.wraps[name])
-        elif name == "u":
-            self.put("<u>")
-        elif name == "sup":
-            if "footnote-reference" in classes:
-                self.note_marks += 1
-            elif "footnote-definition-label" in classes:
-                self.skip = name
-            else:
-                self.put("$^{")
-        elif name == "sub":
-            self.put("$_{")
-        elif name == "span":
-            mark = "$" if "math-inline" in classes else "$$" if "math-display" in classes else None
-            self.put(mark or "")
-            self.math.append(mark)
-        elif name == "input" and a.get("type") == "checkbox":
-            self.put("[x]" if "checked" in a else "[ ]")
-        elif name == "a":
-            self.anchor(a, classes)
-        elif name == "img":
-            image = f"![{escape(a.get('alt', ''))}]({destination(a.get('src', ''))}{_title(a)})"
-            if self.buffers:
-                self.put(image)
-            else:
-                self.out.append(image + "\n\n")
-        elif name == "br":
-            self.put("  \n")
-        elif name == "hr":
-            self.out.append("---\n\n")
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        self.notes: list[str] = []
+        self.numbers: dict[Element, int] = {}
+        self.starts: dict[Element, int] = {}
 
-    def anchor(self, a: dict[str, str], classes: list[str]) -> None:
-        href = a.get("href", "")
-        name = a.get("id", a.get("name"))
-        if "footnote-backref" in classes:
-            self.skip = "a"
-        elif self.note_marks and href.startswith("#"):
-            self.put(f"[^{href[1:]}]")
-            self.skip = "a"
-        elif name is not None and not href:
-            quoted = name.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&apos;")
-            self.put(f'<a id="{quoted}"></a>')
-            self.links.append(None)
-        else:
-            self.links.append((len(self.buffers[-1]) if self.buffers else 0, href, _title(a)) if href else None)
+    def begun(self, e: Element) -> None:
+        if e.tag == NOTE:
+            self.starts[e] = len(self.out)
 
-    def end(self, name: str) -> None:
-        if name == "div" and self.note:
-            (label, at), self.note = self.note, None
-            body = "".join(self.out[at:]).strip()
-            del self.out[at:]
-            if body:
-                self.notes.append(f"[^{label}]: " + "\n".join("    " + l if k and l else l for k, l in enumerate(body.split("\n"))))
-        elif re.fullmatch("h[1-6]", name):
-            text, level = (self.close() or "").strip(), self.level
-            self.level = None
-            if text and level:
-                self.out.append("#" * level + f" {text}\n\n")
-        elif name == "p":
-            if not self.items:
-                self.block(self.close())
-        elif name == "blockquote":
-            self.block(self.close())
-            self.quotes = max(0, self.quotes - 1)
-        elif name in ("ul", "ol"):
-            if self.lists:
-                self.lists.pop()
-            if not self.lists:
-                self.out.append("\n")
-        elif name == "li":
-            self.items = max(0, self.items - 1)
-            text = (self.close() or "").strip()
-            if text:
-                number = self.lists[-1] if self.lists else None
-                if number is not None:
-                    self.lists[-1] = number + 1
-                self.out.append("    " * max(0, len(self.lists) - 1) + (f"{number}. " if number is not None else "- ") + text + "\n")
-        elif name == "table":
-            self.in_table = False
-            if self.rows:
-                self.out.append(table_text(self.rows, self.alignments) + "\n\n")
-        elif name == "tr":
-            if self.in_table:
-                self.rows.append(self.row)
-                self.row = []
-        elif name in ("td", "th"):
-            text = self.close()
-            if text is not None:
-                self.row.append(text.strip())
-        elif name == "pre":
-            text = self.close()
-            if text is not None:
-                self.out.append(f"```{self.info}\n" + text.strip("\n") + "\n```\n\n")
-            self.pre = False
-        elif name == "code":
-            if not self.pre:
-                self.put("`")
-        elif name in self.wraps:
-            self.put(self.wraps[name])
-        elif name == "u":
-            self.put("</u>")
-        elif name == "sup" and self.note_marks:
-            self.note_marks -= 1
-        elif name in ("sup", "sub"):
-            self.put("}$")
-        elif name == "span":
-            if self.math:
-                self.put(self.math.pop() or "")
-        elif name == "a" and self.links:
-            link = self.links.pop()
-            if link and self.buffers and link[0] <= len(self.buffers[-1]):
-                at, href, title = link
-                text = "".join(self.buffers[-1][at:])
-                self.buffers[-1][at:] = [f"[{text}]({destination(href)}{title})"]
-
-    def text(self, text: str) -> None:
-        if not self.buffers:
-            return
-        if self.pre:
-            self.put(text)
-            return
-        in_math = bool(self.math and self.math[-1])
-        if not in_math:
-            text = re.sub(r"\s+", " ", text)
-            if self.buffers[-1] and self.buffers[-1][-1] in ("[x]", "[ ]") and not text.startswith(" "):
-                self.put(" ")
-        self.put(text if in_math or self.cells[-1] else escape(text))
-
-    def convert(self, html: str) -> str:
-        for kind, value, attributes in tokens(html):
-            if self.skip:
-                if kind == "end" and value == self.skip:
-                    self.skip = None
-            elif kind == "start":
-                self.start(value, attributes)
-            elif kind == "end":
-                self.end(value)
-            else:
-                self.text(value)
-        body = "".join(self.out).rstrip()
-        out = body + "\n" if body else ""
-        if self.notes:
-            out = (body + "\n\n" if body else "") + "\n\n".join(self.notes)
-        return out
+    def done(self, e: Element) -> None:
+        """Adds the block that an element is."""
+        if e.tag == "hr":
+            self.out.append("---\n\n")
+        elif e.tag == "img" and not e.is_shown:
+            self.out.append(_image(e) + "\n\n")
+        elif e.tag == "table":
+            self.table(e)
+        elif e.tag == NOTE:
+            self.note(e)
+        elif e.tag in ("ul", "ol"):
+            self.out += [] if e.lists else ["\n"]
+        elif e.tag == "pre":
+            codes = [c for i in e.items if isinstance(i, Element) and i.tag == "code" for c in i.classes if c.startswith("language-")]
+            self.out.append(f"```{codes[0][9:] if codes else ''}\n" + _raw(e).strip("\n") + "\n```\n\n")
+        elif e.tag in SHOWN and e.tag not in ("td", "th"):
+            self.out += self.block(e)
+
+    def block(self, e: Element) -> list[str]:
+        text = inline_text(e, cell=False).strip()
+        if not text:
+            return []
+        if e.tag in HEADINGS:
+            return ["#" * HEADINGS[e.tag] + f" {text}\n\n"]
+        if e.tag == "li":
+            return ["    " * max(0, e.lists - 1) + self.mark(e) + text + "\n"]
+        mark = "> " * (e.quotes + (e.tag == "blockquote"))
+        return ["\n".join(mark + line for line in text.split("\n")) + "\n\n"]
+
+    def mark(self, e: Element) -> str:
+        if e.list is None or e.list.tag == "ul":
+            return "- "
+        first = e.list.attributes.get("start", "1")
+        number = self.numbers.setdefault(e.list, int(first) if first.isdigit() else 1)
+        self.numbers[e.list] = number + 1
+        return f"{number}. "
+
+    def table(self, e: Element) -> None:
+        """Rows and cells that nothing ended are lost."""
+        rows, sides = [], []
+        for row in (r for r in e.items if isinstance(r, Element) and r.tag == "tr"):
+            cells = [c for c in row.items if isinstance(c, Element) and c.tag in ("td", "th")]
+            for c in cells:
+                for span in ("colspan", "rowspan"):
+                    if c.attributes.get(span, "1").strip() != "1":
+                        raise HtmlError(f"{span}={c.attributes[span]} has no form in Markdown")
+            styles = [re.search(r"text-align\s*:\s*(left|center|right)", c.attributes.get("style", ""), re.I) for c in cells if c.tag == "th"]
+            sides += [m and m[1].lower() for m in styles]
+            if row.ended:
+                rows.append([inline_text(c, cell=True).strip() for c in cells if c.ended])
+        if rows:
+            self.out.append(table_text(rows, sides) + "\n\n")
+
+    def note(self, e: Element) -> None:
+        """A note's blocks are kept for the end."""
+        start = self.starts[e]
+        body = "".join(self.out[start:]).strip()
+        del self.out[start:]
+        if body:
+            self.notes.append(f"[^{e.attributes['id']}]: " + "\n".join("    " + line if k and line else line for k, line in enumerate(body.split("\n"))))
 
 
 def to_markdown(html: str) -> str:
-    return Converter().convert(html)
+    writer = Writer()
+    Tree(writer.done, writer.begun).read(html)
+    body = "".join(writer.out).rstrip()
+    if writer.notes:
+        return "\n\n".join([body, *writer.notes] if body else writer.notes)
+    return body + "\n" if body else ""
 
 
 def markdown_of(df: DataFrame, keys: list[str], html: str = "html", failfast: bool = False) -> DataFrame:

@@ -360,9 +360,9 @@ def convert_file(path: str, output: str, options: Options = Options(), source: s
         _save(place, data)
         source = "json"
     made = data if between and target == "json" else convert_bytes(data, source, target, options)
-    if target in ("markdown", *STRUCTURED) and not between:  # images go to files beside the output
-        text, pictures = images.to_files(made.decode())
-        made = text.encode()
+    if target == "markdown" and b"data:image/" in made:  # images go to files beside the output; structured formats hold them
+        blocks, pictures = images.to_files(M.parse(made.decode()))
+        made = M.render(blocks).encode() if pictures else made
         for name, content in pictures.items():
             _save(os.path.join(os.path.dirname(os.path.abspath(output)), name), content)
     _save(output, made)

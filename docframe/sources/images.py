@@ -67,21 +67,30 @@ def bytes_of(destination: str, assets: Mapping[str, bytes] | None = None) -> byt
     return (assets or {}).get(destination)
 
 
-def to_files(text: str, folder: str = "image") -> tuple[str, dict[str, bytes]]:
-    """A text with its data URIs replaced by paths, and the files by path: image1, image2 and so on, equal ones once."""
+def to_files(blocks: list, folder: str = "image") -> tuple[list, dict[str, bytes]]:
+    """A document's tree whose images with data URIs lead to files, and the files by path: image1, image2 and so on, equal ones once.
+
+    Only destinations of images change; text that looks like a data URI stays text.
+    """
     files: dict[str, bytes] = {}
     names: dict[bytes, str] = {}
 
-    def name(m: re.Match) -> str:
-        data = bytes_of(m[0])
-        if data is None:
-            return m[0]
-        if data not in names:
-            names[data] = f"{folder}/image{len(names) + 1}.{extension(data)}"
-            files[names[data]] = data
-        return names[data]
-
-    return _DATA.sub(name, text), files
+    def moved(x: object) -> object:
+        if isinstance(x, list):
+            return [moved(i) for i in x]
+        if not isinstance(x, dict):
+            return x
+        if x.get("type") == "image":
+            held = f"data:image/{x['format']};base64,{x['data']}" if "data" in x else x.get("destination") or ""
+            data = bytes_of(held) if held.startswith("data:") else None
+            if data is not None:
+                name = names.setdefault(data, f"{folder}/image{len(names) + 1}.{extension(data)}")
+                files[name] = data
+                image = {k: v for k, v in x.items() if k not in ("format", "data")} | {"destination": name}
+                return {"type": "paragraph", "content": [image]} if "data" in x else image
+        return {k: moved(v) for k, v in x.items()}
+
+    return moved(blocks), files
 
 
 class Parts:

@@ -115,6 +115,30 @@ def test_files_take_images_along(tmp_path):
     assert (tmp_path / "out" / "image" / "image1.png").read_bytes() == png(3, 2)
 
 
+@pytest.mark.parametrize("source", ["docx", "odt", "json"])
+def test_image_files_leave_text_alone(tmp_path, source):
+    """Titles, words after an image and text that looks like one come back whole; bytes are equal."""
+    a, b = png(3, 2), png(4, 4)
+    text = f'# Pictures\n\nsee ![a]({images.data_uri(a)}) and more words here ![b]({images.data_uri(b)} "the title") end\n\n- ![a]({images.data_uri(a)})\n\n`{images.data_uri(b)} code` stays\n'
+    (tmp_path / "in.md").write_text(text)
+    V.convert_file(str(tmp_path / "in.md"), str(tmp_path / f"mid.{source}"))
+    V.convert_file(str(tmp_path / f"mid.{source}"), str(tmp_path / "out" / "back.md"))
+    want = text.replace(f"({images.data_uri(a)}", "(image/image1.png").replace(f"({images.data_uri(b)} ", "(image/image2.png ")
+    assert (tmp_path / "out" / "back.md").read_text() == want
+    assert [(tmp_path / "out" / "image" / f"image{k}.png").read_bytes() for k in (1, 2)] == [a, b]
+
+
+@pytest.mark.parametrize("target", ["json", "yaml", "toml"])
+def test_structured_files_hold_their_images(tmp_path, target):
+    data = png(5, 2)
+    (tmp_path / "in.md").write_text(f'x ![a]({images.data_uri(data)} "t") y\n\nnext\n')
+    V.convert_file(str(tmp_path / "in.md"), str(tmp_path / "mid.docx"))
+    V.convert_file(str(tmp_path / "mid.docx"), str(tmp_path / f"out.{target}"))
+    assert not (tmp_path / "image").exists() and images.data_uri(data) in str(structured.load((tmp_path / f"out.{target}").read_text(), target))
+    V.convert_file(str(tmp_path / f"out.{target}"), str(tmp_path / "back.md"))
+    assert (tmp_path / "back.md").read_text() == 'x ![a](image/image1.png "t") y\n\nnext\n'
+
+
 def test_image_sizes():
     assert images.size(png(7, 5)) == (7, 5) and images.size(b"GIF89a\x04\x00\x03\x00") == (4, 3) and images.size(b"junk") is None
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x09\x00\x08\x01\x01\x11\x00"

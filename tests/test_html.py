@@ -63,3 +63,10 @@ def test_errors(source):
 def test_rows_carry_errors(spark):
     df = spark.createDataFrame([(1, "<p>a</p>"), (2, "<!-- open"), (3, None)], "id int, html string")
     assert sorted(map(tuple, H.markdown_of(df, ["id"]).select("id", "markdown", "error").collect())) == [(1, "a\n", None), (2, None, "a comment at 0 is not closed"), (3, None, None)]
+
+
+def test_any_number_of_open_blocks():
+    assert H.to_markdown("<p>lost" * 5000 + "<p>kept</p>") == "kept\n"
+    assert H.to_markdown("<ul><li>a" * 300 + "</li></ul>" * 300).startswith("    " * 299 + "- a\n")
+    with pytest.raises(H.HtmlError, match="nesting"):
+        H.to_markdown("<p>" + "<b>" * 5000 + "x</p>")
