@@ -1,10 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source gets a target of words. A document's copies are target / source size on average: a whole part that it gets for
-certain and a fraction that is rounded so that sums stay. Two documents with fractions meet; words move from one to the
-other, by chance in either direction so that each keeps its mean, until one fraction is 0 or 1. What remains of a bucket is
-one document with a fraction; these meet again in wider buckets, in a tree, until a source has one, which chance decides.
-A source's words so differ from its target by less than the size of one document.
+certain and a fraction that is rounded so that sums stay. Documents with fractions meet; words move from one to the other,
+by chance in either direction so that each keeps its mean, until one fraction is 0 or 1. A larger document meets all smaller
+ones of its bucket at once, as long as these can take or give its words: chance rounds it, and its words are spread over
+their fractions. The few smallest then meet in pairs. What remains of a bucket is one small document with a fraction; these
+meet again in wider buckets, in a tree, until a source has one, which chance decides. A source's words so differ from its
+target by less than the size of one of its small documents.
 
 Buckets and chances hang on hashes of doc_id, source and text, not on how Spark deals rows, so reruns agree.
 
@@ -29,9 +31,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a bucket, about, and buckets that meet at each level of the tree.
-BUCKET_ROWS, LEAST_BUCKETS, FAN = 2000, 32, 64
-_COLUMNS = ("doc_id", "row_mark", "source", "size", "source_size", "target", "bucket", "chance")
+#: Rows of a source's bucket, about, and buckets that meet at each level of the tree.
+BUCKET_ROWS, FAN = 2000, 64
+_COLUMNS = ("doc_id", "row_mark", "source", "size", "source_size", "target", "bucket", "buckets", "chance")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -95,7 +97,33 @@ def pivot(p: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple[np.ndarr
     return np.array(p), held
 
 
-def _round(level: int, last: bool):
+def spread(p: np.ndarray, size: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Rounds the larger of fractions p, sizes in descending order, and spreads the words that each gains or loses over the smaller ones.
+
+    A smaller one takes part by how far it may move either way, so that both ways keep its mean. A document with more words
+    than the smaller ones have room for is left.
+    """
+    p = p.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1) & (size > 0))
+    q, s, u = p[open_], size[open_].astype(np.float64), chance[open_]
+    for k in range(len(open_) - 1):
+        c, t = q[k], s[k]
+        if not 0.0 < c < 1.0:
+            continue
+        rest = q[k + 1 :]
+        room = np.minimum(rest, (1 - rest) * (1 - c) / c)  # what each can give if this one is taken, so that it can take as much for its mean if not
+        words = float(room @ s[k + 1 :])
+        if words < (1 - c) * t:
+            continue
+        up = u[k] < c
+        rest -= (1 if up else -c / (1 - c)) * (1 - c) * t / words * room
+        q[k] = 1.0 if up else 0.0
+        rest[rest < 1e-12], rest[rest > 1 - 1e-12] = 0.0, 1.0
+    p[open_] = q
+    return p
+
+
+def _round(level: int):
     """Rounds each (source, bucket) of a partition, whose rows are adjacent and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +137,10 @@ def _round(level: int, last: bool):
             bucket, size = t.column("bucket").to_numpy(), t.column("size").to_numpy()
             p, chance = t.column("p").to_numpy().copy(), _chances(t.column("chance").to_numpy(), level)
             cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (source[1:] != source[:-1])])
+            buckets = t.column("buckets").to_numpy()
             for a, b in zip(cut, np.r_[cut[1:], n]):
-                p[a:b], held = pivot(p[a:b], size[a:b], chance[a:b])
-                if last and held >= 0:
+                p[a:b], held = pivot(spread(p[a:b], size[a:b], chance[a:b]), size[a:b], _chances(t.column("chance").to_numpy()[a:b], level + 200))
+                if buckets[a] == 1 and held >= 0:
                     p[a + held] = float(_chances(t.column("chance").to_numpy()[a + held : a + held + 1], level + 100)[0] < p[a + held])
             yield from t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).to_batches()
 
@@ -142,23 +171,24 @@ def mix(docs: DataFrame, mark: Column | None = None) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", (own if mark is None else mark).alias("row_mark"), own.alias("own"), "source", size.alias("size"))
     rows = materialize(sized, "sized")
-    wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "name")
-    buckets = max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    wanted = targets(sources).withColumnRenamed("source", "name")
+    own_buckets = sources.select(F.col("source").alias("of"), F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("buckets"))
+    wanted = wanted.join(own_buckets, F.col("name").eqNullSafe(F.col("of"))).drop("of")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    known = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "own"), F.lit(buckets)).cast("long"))
+    known = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "own"), F.col("buckets")))
     known = known.withColumn("chance", F.xxhash64(F.lit("chance"), "own")).withColumn("mean", mean)
     now = known.select(*_COLUMNS, F.floor("mean").cast("long").alias("base"), (F.col("mean") - F.floor("mean")).alias("p"))
     n, level, finished = int(spark.conf.get("spark.sql.shuffle.partitions")), 0, []
     while True:
-        last = buckets == 1
         dealt = now.repartition(n, "source", "bucket").sortWithinPartitions("source", "bucket", F.col("size").desc(), "chance", "doc_id", "row_mark")
-        out = materialize(dealt.mapInArrow(_round(level, last), dealt.schema), f"level{level}")
+        out = materialize(dealt.mapInArrow(_round(level), dealt.schema), f"level{level}")
         whole = (F.col("p") == 0) | (F.col("p") == 1)
         finished.append(out.where(whole))
-        if last:
+        if out.where(~whole).isEmpty():
             break
-        buckets, level = -(-buckets // FAN), level + 1
-        now = out.where(~whole).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
+        level += 1
+        now = out.where(~whole).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long")).withColumn("buckets", F.ceil(F.col("buckets") / FAN).cast("long"))
     result = finished[0]
     for part in finished[1:]:
         result = result.union(part)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docframe.llm import embeddings, mixing, sharding
 from tests.llm.helpers import none, odd, words
@@ -121,6 +122,29 @@ def test_pivot_keeps_the_sum_and_the_mean():
     assert np.abs(total / 4000 - p).max() < 0.04
 
 
+def test_spread_keeps_the_sum_and_the_mean():
+    """Large documents are rounded, small ones take their words; a document larger than what the others have room for is left."""
+    size = np.array([60, 50, 40, 30, *[9] * 20, *[5] * 20, *[2] * 20])
+    rng = np.random.default_rng(1)
+    p = rng.uniform(0.2, 0.8, len(size))
+    p[3] = 1.0
+    total = np.zeros(len(size))
+    for _ in range(4000):
+        out = mixing.spread(p, size, rng.random(len(size)))
+        assert (out * size).sum() == pytest.approx((p * size).sum()) and (out >= 0).all() and (out <= 1).all()
+        assert set(out[:4]) <= {0.0, 1.0} and max(size[(out > 0) & (out < 1)], default=0) <= 5
+        total += out
+    assert np.abs(total / 4000 - p).max() < 0.04
+    alone = np.array([0.5, 0.5])
+    assert (mixing.spread(alone, np.array([100, 1]), np.array([0.1, 0.1])) == alone).all()
+
+
+def test_mix_is_near_its_targets(spark):
+    """Sources of 500 documents, some of thousands of words: words taken are within a thousandth of the target."""
+    rows = mixing.query(spark, "/root/testdata/sf0.1").groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(rows) == 20 and all(abs(r["taken"] - r["target"]) <= r["target"] / 1000 for r in rows)
+
+
 def test_e8_points_are_nearest():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 8)) * 2
