@@ -38,7 +38,7 @@ from .common import CACHES, chunks, materialize, small_batches, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MAGIC = b"RPG2"
-#: Ids of a block, about; a longer document is a block of its own.
+#: Ids from which on a block is closed, after the document that reaches them.
 BLOCK_IDS = 1 << 19
 #: Uses from which a rule pays. The bound of the first pass is the largest count divided by STEP, then the last bound.
 LEAST, STEP = 5, 6
@@ -53,7 +53,7 @@ WORDS, RUNS = 300_000, 300_000
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters below U+0250 without marks that combine: their lower case is the tokenizer's, and normal form C leaves them.
 _SIGNS = ".,!?;:|%&$#*"
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([" + _SIGNS + "]*)")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([" + _SIGNS + "]*) |([^ ]+) ")
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, n_tokens array<int>, starts array<int>, payload binary"
 
 
@@ -104,33 +104,15 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         if len(self.runs) > RUNS:
             self.runs = {}
-        runs, match = self.runs, _PLAIN.fullmatch
-        first: list[str] = []
-        signs: list[str] = []
-        letters: dict[str, None] = {}
-        other: dict[str, None] = {}
-        for w in words:
-            run = w.rstrip(_SIGNS)
-            if run.isascii() and run.isalpha():  # what the pattern says, for most words and faster
-                sign, run = w[len(run) :], run.lower()
-                if sign and sign not in runs:
-                    other[sign] = None
-            elif m := match(w):
-                run, sign = m[1].lower(), m[2]
-                if sign and sign not in runs:
-                    other[sign] = None
-            else:
-                run, sign = w, ""
-                if run not in runs:
-                    other[run] = None
-                first.append(run)
-                signs.append(sign)
-                continue
-            if run not in runs:
-                letters[run] = None
-            first.append(run)
-            signs.append(sign)
-        letters, other = list(letters), list(other)
+        runs = self.runs
+        # all words at once: letters and signs, or a word of another kind, each before its blank
+        found = _PLAIN.findall(" ".join([*words, ""]))
+        first = " ".join([f[0] for f in found]).lower().split(" ")
+        signs = [f[1] for f in found]
+        letters = [x for x in dict.fromkeys(first) if x and x not in runs]
+        rest = [f[2] for f in found]
+        other = [x for x in dict.fromkeys([*signs, *rest]) if x and x not in runs]
+        first = [x or r for x, r in zip(first, rest)]
         for at in range(0, len(letters), 128):
             part = letters[at : at + 128]
             ids = np.array(self.letters([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -198,8 +180,9 @@ def _pairs(seq: np.ndarray, free: np.ndarray, turn: int, bound: int | None) -> t
     """
     size, shift = 1 << COUNT_BITS, np.uint64(64 - COUNT_BITS)
     places = np.flatnonzero(free[:-1])
-    pair = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
-    cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> shift).astype(np.int32)
+    wide = seq.astype(np.uint64)
+    pair = ((wide[:-1] << np.uint64(32)) | wide[1:])[places]
+    cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> shift).astype(np.int64)  # as bincount takes them
     count = np.bincount(cell, minlength=size)
     bound = max(LEAST, int(count.max(initial=0)) // STEP) if bound is None else bound
     full = np.flatnonzero((count >= bound)[cell])
