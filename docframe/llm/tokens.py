@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,34 +48,49 @@ COUNT_BITS = 18
 #: The last pass is the first one at LEAST that shortens the sequence by less than one symbol in so many.
 WORTH = 300
 _MIX = 0x9E3779B97F4A7C15
-#: Words, and runs of letters or signs, whose ids a Python worker remembers, over its tasks, before it starts anew.
-WORDS, RUNS = 300_000, 300_000
-#: Python splits words at these too, the tokenizer does not: such texts go to it whole.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Words, and runs of letters, whose ids a Python worker remembers, over its tasks, before it starts anew.
+WORDS = 300_000
+#: Words are split at these too, the tokenizer does not: such texts go to it whole.
+_ODD = "[\x1c-\x1f]"
 #: Letters below U+0250 without marks that combine: their lower case is the tokenizer's, and normal form C leaves them.
-_SIGNS = ".,!?;:|%&$#*"
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([" + _SIGNS + "]*) |([^ ]+) ")
+_PLAIN = "^(?P<run>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<signs>[.,!?;:|%&$#*]*)$"
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, n_tokens array<int>, starts array<int>, payload binary"
 
 
-class _Numbers(dict):
-    """Numbers of words; a word that is asked for and not there gets the next one, and is noted as new."""
+def numbered(known: dict[str, int], distinct: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The number of each of distinct texts, and those that were not known: they get the next numbers."""
+    found = np.fromiter(map(known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+    fresh = found < 0
+    new = list(compress(distinct, fresh.tolist()))
+    numbers = range(len(known), len(known) + len(new))
+    found[fresh] = numbers
+    known.update(zip(new, numbers))
+    return found, new
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """A column as Python's strings, faster than one by one."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Memory:
+    """Ids of distinct texts by their numbers, one after the other."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
+        self.number: dict[str, int] = {}
+        self.flat, self.at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
+    def add(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        self.flat = np.concatenate([self.flat, *ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each distinct run of letters once.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order. It also parts
-    letters from signs: a word of plain letters with signs behind is its letters, in lower case, and its signs.
+    letters from signs: a word of plain letters with signs behind is its letters, in lower case, and its signs. Words are
+    split, told apart and cut column by column; only distinct ones become Python's.
     """
 
     def __init__(self, path: str) -> None:
@@ -94,63 +110,74 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)  # ids of tokens that end a run of letters
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[k] = token.endswith("</w>")
-        self.runs: dict[str, bytes] = {}  # ids as they lie in memory
         self._forget()
 
     def _forget(self) -> None:
-        self.number = _Numbers()
-        self.flat, self.at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.words, self.runs = _Memory(), _Memory()
+
+    def _one_by_one(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.batch(texts, add_special_tokens=False)] if texts else []
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        ids, sizes = [], []
+        for at in range(0, len(runs), 128):
+            part = runs[at : at + 128]
+            found = np.array(self.letters([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) == len(part):
+                ids.append(found)
+                sizes.append(np.diff(stops, prepend=0))
+            else:  # not as the tokenizer's pattern has it
+                each = self._one_by_one(part)
+                ids += each
+                sizes.append(np.array([len(e) for e in each], dtype=np.int64))
+        if ids:
+            self.runs.add(ids, sizes)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.runs) > RUNS:
-            self.runs = {}
-        runs = self.runs
-        # all words at once: letters and signs, or a word of another kind, each before its blank
-        found = _PLAIN.findall(" ".join([*words, ""]))
-        first = " ".join([f[0] for f in found]).lower().split(" ")
-        signs = [f[1] for f in found]
-        letters = [x for x in dict.fromkeys(first) if x and x not in runs]
-        rest = [f[2] for f in found]
-        other = [x for x in dict.fromkeys([*signs, *rest]) if x and x not in runs]
-        first = [x or r for x, r in zip(first, rest)]
-        for at in range(0, len(letters), 128):
-            part = letters[at : at + 128]
-            ids = np.array(self.letters([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # not as the tokenizer's pattern has it: one by one
-                ids_of = [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.batch(part, add_special_tokens=False)]
-            else:
-                data = ids.tobytes()
-                ids_of = [data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
-            self.runs.update(zip(part, ids_of))
-        self.runs.update(zip(other, (np.array(e.ids, dtype=np.uint32).tobytes() for e in self.batch(other, add_special_tokens=False))) if other else ())
-        pieces = [runs[a] + runs[b] if b else runs[a] for a, b in zip(first, signs)]
-        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(pieces), dtype=np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without an end id."""
-        if len(self.number) > WORDS:
-            self._forget()
+        given = pa.array(words, pa.string())
+        cut = pc.extract_regex(given, _PLAIN)
+        plain = cut.is_valid()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        runs = pc.utf8_lower(cut.filter(plain).field("run")).dictionary_encode()
+        rest = pa.concat_arrays([given.filter(pc.invert(plain)), cut.filter(plain).field("signs")]).dictionary_encode()
+        numbers, new = numbered(self.runs.number, _strings(runs.dictionary))
+        self._learn_runs(new)
+        # for these words: the runs, then what is tokenized by itself, then an empty text
+        other, base = self._one_by_one(_strings(rest.dictionary)), len(self.runs.at) - 1
+        flat = np.concatenate([self.runs.flat, *other])
+        at = np.concatenate([self.runs.at, self.runs.at[-1] + np.cumsum(np.array([len(o) for o in other] + [0], dtype=np.int64))])
+        codes = np.full((len(words), 2), base + len(other), dtype=np.int64)
+        codes[is_plain, 0] = numbers[runs.indices.to_numpy()]
+        codes[~is_plain, 0], codes[is_plain, 1] = np.split(rest.indices.to_numpy().astype(np.int64) + base, [len(words) - int(is_plain.sum())])
+        self.words.add([gather(flat, at, codes.ravel())], [np.diff(at)[codes].sum(axis=1)])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text, without an end id. A null text has none."""
+        if len(self.words.number) > WORDS:
+            self.words = _Memory()
+        if len(self.runs.number) > WORDS:
+            self.runs = _Memory()
         gc.disable()  # nothing here has cycles, and collections would go through millions of words
         try:
-            return self._encode(texts)
+            return self._encode(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        number, rows = self.number.__getitem__, []
-        for t in texts:
-            if _ODD.search(t):
-                rows.append(None)
-            else:
-                words = t.split()
-                rows.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-        new, self.number.new = self.number.new, []
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+        words = lists.flatten().dictionary_encode()
+        numbers, new = numbered(self.words.number, _strings(words.dictionary))
         if new:
             self._learn(new)
-        return [gather(self.flat, self.at, r) if r is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t, r in zip(texts, rows)]
+        rows, known = numbers[words.indices.to_numpy()], self.words
+        upto = np.r_[0, np.cumsum(known.at[rows + 1] - known.at[rows])]
+        out = np.split(gather(known.flat, known.at, rows), upto[ends][:-1]) if len(ends) else []
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,14 +212,16 @@ def _pairs(seq: np.ndarray, free: np.ndarray, turn: int, bound: int | None) -> t
     cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> shift).astype(np.int64)  # as bincount takes them
     count = np.bincount(cell, minlength=size)
     bound = max(LEAST, int(count.max(initial=0)) // STEP) if bound is None else bound
-    full = np.flatnonzero((count >= bound)[cell])
-    places, pair, cell = places[full], pair[full], cell[full]
-    stands = np.zeros(size, dtype=np.uint64)
+    often = count >= bound
+    full = np.flatnonzero(often[cell])
+    places, pair, cell = places[full], pair[full], (np.cumsum(often) - 1)[cell[full]]  # from here on, cells are the frequent ones
+    count = count[often]
+    stands = np.zeros(len(count), dtype=np.uint64)
     stands[cell] = pair
     same = stands[cell] == pair
     if not same.all():
         places, cell = places[same], cell[same]
-        count = np.bincount(cell, minlength=size)
+        count = np.bincount(cell, minlength=len(count))
         full = np.flatnonzero((count >= bound)[cell])
         places, cell = places[full], cell[full]
     return places, cell, stands, count, bound
@@ -200,9 +229,8 @@ def _pairs(seq: np.ndarray, free: np.ndarray, turn: int, bound: int | None) -> t
 
 def _disjoint(places: np.ndarray, cell: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The places whose pair is the most frequent one of those it overlaps with; of a run of one pair, every second place."""
-    cells = np.flatnonzero(np.bincount(cell, minlength=1 << COUNT_BITS))
-    rank = np.zeros(1 << COUNT_BITS, dtype=np.int32)
-    rank[cells[np.argsort(count[cells], kind="stable")]] = np.arange(1, len(cells) + 1)
+    rank = np.zeros(len(count), dtype=np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(1, len(count) + 1)
     own, around = rank[cell], np.zeros(n + 2, dtype=np.int32)
     around[places + 1] = own
     top = np.flatnonzero((own >= around[places]) & (own >= around[places + 2]))
@@ -235,7 +263,7 @@ def repair(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         turn += 1
         places, cell, stands, count, bound = _pairs(seq, free, turn, bound)
         places, cell = _disjoint(places, cell, count, len(seq))
-        used = np.bincount(cell, minlength=1 << COUNT_BITS)
+        used = np.bincount(cell, minlength=len(count))
         kept = np.flatnonzero(used >= LEAST)
         room = (1 << bits) - symbols
         if not room and len(kept):
@@ -243,7 +271,7 @@ def repair(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             bits, room = bits + 1, symbols
         if len(kept) > room:  # the best that need no other bit
             kept = np.sort(kept[np.argsort(-used[kept], kind="stable")[:room]])
-        number = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+        number = np.zeros(len(count), dtype=np.uint32)
         number[kept] = np.arange(symbols, symbols + len(kept), dtype=np.uint32)
         new = number[cell]
         places, new = places[new > 0], new[new > 0]
@@ -381,8 +409,8 @@ def _write_blocks(path: str, end_id: int):
 
         for batch in batches:
             for rows in chunks(iter([batch])):
-                texts = [t or "" for t in rows.column(rows.schema.get_field_index("text")).to_pylist()]
-                for d, i in zip(rows.column(rows.schema.get_field_index("doc_id")).to_pylist(), encoder.encode(texts)):
+                ids_of = encoder.encode(rows.column(rows.schema.get_field_index("text")))
+                for d, i in zip(rows.column(rows.schema.get_field_index("doc_id")).to_pylist(), ids_of):
                     doc_ids.append(d)
                     ids.append(np.append(i, np.uint32(end_id)).astype(np.uint32))
                     held += len(ids[-1])

@@ -25,7 +25,6 @@ def test_words_encode_like_whole_texts(encoder):
 
 def test_forgetting_changes_nothing(encoder, monkeypatch):
     monkeypatch.setattr(tokens, "WORDS", 10)
-    monkeypatch.setattr(tokens, "RUNS", 10)
     rng = random.Random(2)
     for _ in range(5):
         t = words(rng, 50)
