@@ -205,16 +205,17 @@ def _pairs(seq: np.ndarray, free: np.ndarray, turn: int, bound: int | None) -> t
     Pairs are counted in cells of a hash table, which differs from turn to turn. A cell stands for one pair; another one
     that shares the cell waits for a later turn.
     """
-    size, shift = 1 << COUNT_BITS, np.uint64(64 - COUNT_BITS)
+    size, mix = 1 << COUNT_BITS, _MIX * (2 * turn + 1) % (1 << 64)
     places = np.flatnonzero(free[:-1])
-    wide = seq.astype(np.uint64)
-    pair = ((wide[:-1] << np.uint64(32)) | wide[1:])[places]
-    cell = ((pair * np.uint64(_MIX * (2 * turn + 1) % (1 << 64))) >> shift).astype(np.int64)  # as bincount takes them
+    # a hash of 32 bits; what overflows is dropped
+    left, right = np.uint32(mix >> 32 | 1), np.uint32(mix & 0xFFFFFFFF | 1)
+    cell = ((seq[:-1] * left + (seq[1:] ^ (seq[1:] >> np.uint32(7))) * right) >> np.uint32(32 - COUNT_BITS))[places].astype(np.int64)  # as bincount takes them
     count = np.bincount(cell, minlength=size)
     bound = max(LEAST, int(count.max(initial=0)) // STEP) if bound is None else bound
     often = count >= bound
     full = np.flatnonzero(often[cell])
-    places, pair, cell = places[full], pair[full], (np.cumsum(often) - 1)[cell[full]]  # from here on, cells are the frequent ones
+    places, cell = places[full], (np.cumsum(often) - 1)[cell[full]]  # from here on, cells are the frequent ones
+    pair = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
     count = count[often]
     stands = np.zeros(len(count), dtype=np.uint64)
     stands[cell] = pair
