@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docframe.plans.queries import QUERIES, SQL
+from docframe.plans.queries import QUERIES, ROUTES_SQL, SQL, routes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,3 +29,8 @@ def test_query(spark, duck, name):
         want = duck.sql(SQL[name])
         assert sorted(want.columns) == columns
         assert sorted(want.select(*[f'"{c}"' for c in columns]).fetchall(), key=str) == rows
+
+
+def test_routes(spark, duck):
+    want = duck.sql(ROUTES_SQL)
+    assert sorted(map(tuple, routes(spark).select(*want.columns).collect())) == sorted(want.fetchall())
