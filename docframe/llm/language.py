@@ -1,11 +1,11 @@
 """Language identification by language-bitmask n-gram filters.
 
 A Bloom filter whose cells are bit masks over languages: bit l of a cell belongs to language l's filter. One lookup of an
-n-gram (the AND of its cells) gives all languages that have it. A text's n-grams are counted per language bit, the counts
-are corrected for the filters' false positives, and the largest decides.
+n-gram (the AND of its cells) gives all languages that have it. A text's n-grams are counted per language bit and number
+of languages in the mask, the counts are corrected for the filters' false positives, and the largest weighted sum decides:
+an n-gram of p among n languages weighs log((n + 1) / p), so that what all languages have hardly counts.
 
-A language's filter takes the n-grams whose share among that language's n-grams is at least KEEP of their largest share in
-any language, so that a common n-gram of one language does not count for a language that hardly uses it.
+A language's filter takes every n-gram of that language's sampled texts.
 
 Defined results: texts that are null or without a letter get `und` and score 0; texts none of whose n-grams is known get
 the language with most sampled rows and score 0; ties go to the smaller name by code point; very long texts are read
@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from .common import held_out, map_text, table
 from .samples import own_labelled
 
-ORDERS = (2, 3)
+ORDERS = (2, 3, 4)
 CELL_BITS = 19
 HASHES = 3
-KEEP = 0.5
-LEAST_COUNT = 3
 MOST_PER_LANGUAGE = 600
 PIECE = 1 << 19
 
@@ -81,27 +79,31 @@ class Model:
         self.false_rate = np.array(fill) ** HASHES
 
     def counts(self, data: bytes) -> tuple[np.ndarray, int]:
-        """For each language how many n-grams of the text its filter holds, corrected; and the number of n-grams."""
-        found, total = np.zeros(len(self.names)), 0
+        """For each language the corrected, weighted number of n-grams of the text that its filter holds; and the number of n-grams."""
+        n = len(self.names)
+        found, every, total = np.zeros((n, n + 1)), np.zeros(n + 1), 0  # by the number of languages in the mask
         c = cleaned(data)
         reach = max(ORDERS) - 1
         for at in range(0, max(len(c) - 1, 0), PIECE):
             h = grams(c[at : at + PIECE + reach])
             total += len(h)
             at_cells = [cells(h, k) for k in range(HASHES)]
-            for word in range(len(self.masks)):
-                hit = self.masks[word][at_cells[0]]
-                for k in range(1, HASHES):
-                    hit = hit & self.masks[word][at_cells[k]]
-                own = range(64 * word, min(64 * word + 64, len(self.names)))
-                if len(own) <= 8:  # population counts of all masks at once
-                    by_mask = np.bincount(hit.astype(np.int64), minlength=1 << len(own))
-                    for l in own:
-                        found[l] += by_mask[(np.arange(len(by_mask)) >> (l % 64)) & 1 == 1].sum()
-                else:
-                    for l in own:
-                        found[l] += int(np.count_nonzero(hit & np.uint64(1 << (l % 64))))
-        return np.maximum((found - total * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0.0), total
+            hits = [np.bitwise_and.reduce([mask[k] for k in at_cells]) for mask in self.masks]
+            if n <= 8:  # population counts of all masks at once
+                by_mask = np.bincount(hits[0].astype(np.int64), minlength=1 << n)
+                sizes = np.bitwise_count(np.arange(1 << n))
+                every += np.bincount(sizes, by_mask, n + 1)
+                for l in range(n):
+                    own = np.arange(1 << n) >> l & 1 == 1
+                    found[l] += np.bincount(sizes[own], by_mask[own], n + 1)
+            else:
+                size = np.sum([np.bitwise_count(hit) for hit in hits], axis=0, dtype=np.int64)
+                every += np.bincount(size, minlength=n + 1)
+                for l in range(n):
+                    found[l] += np.bincount(size[hits[l // 64] & np.uint64(1 << (l % 64)) != 0], minlength=n + 1)
+        # a false positive makes an n-gram of p - 1 languages, without this one, an n-gram of p languages with it
+        false = self.false_rate[:, None] * (every - found)[:, :-1]
+        return np.maximum(found[:, 1:] - false, 0.0) @ np.log((n + 1) / np.arange(1, n + 1)), total
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         names, score = [], np.zeros(len(texts))
@@ -128,16 +130,8 @@ def fit(sample: list[tuple[bytes, str]]) -> Model:
     parts: list[list[np.ndarray]] = [[] for _ in names]
     for t, l in sample:
         parts[at[l]].append(grams(cleaned(t)))
-    seen = [np.unique(np.concatenate(p), return_counts=True) for p in parts]
-    every = np.unique(np.concatenate([h for h, _ in seen]))
-    best = np.zeros(len(every))
-    shares = []
-    for h, n in seen:
-        shares.append(n / max(n.sum(), 1))
-        k = np.searchsorted(every, h)
-        best[k] = np.maximum(best[k], shares[-1])
-    for l, ((h, n), share) in enumerate(zip(seen, shares)):
-        own = h[(n >= min(LEAST_COUNT, max(len(parts[l]), 1))) & (share >= KEEP * best[np.searchsorted(every, h)])]
+    for l, part in enumerate(parts):
+        own = np.unique(np.concatenate(part))
         for k in range(HASHES):
             masks[l // 64][cells(own, k)] |= np.uint64(1 << (l % 64))
     return Model(names, masks, int(np.argmax([len(p) for p in parts])))

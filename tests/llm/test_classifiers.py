@@ -1,6 +1,6 @@
+import math
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -207,16 +207,24 @@ def test_language_counts_against_sets_of_ngrams():
     rows = [(make("aeioklmn", 200), "xx") for _ in range(8)] + [(make("uybdgpaek", 200), "yy") for _ in range(8)]
     model = language.fit(rows)
     ngrams = lambda t: [c[k : k + n] for c in [tuple(language.cleaned(t).tolist())] for n in language.ORDERS for k in range(len(c) - n + 1)]
-    n = {name: Counter(g for t, l in rows if l == name for g in ngrams(t)) for name in ("xx", "yy")}
-    share = {name: {g: k / sum(c.values()) for g, k in c.items()} for name, c in n.items()}
-    best = lambda g: max(s.get(g, 0) for s in share.values())
-    known = {name: {g for g, k in n[name].items() if k >= language.LEAST_COUNT and share[name][g] >= language.KEEP * best(g)} for name in n}
+    known = {name: {g for t, l in rows if l == name for g in ngrams(t)} for name in ("xx", "yy")}
+    weight = lambda g: math.log(3 / max(sum(g in k for k in known.values()), 1))
     for text in (make("aeioklmn", 60), make("uybdgpaek", 60), make("aekqrs", 60)):
         count, total = model.counts(text)
         grams = ngrams(text)
         assert total == len(grams)
         for k, name in enumerate(model.names):
-            assert abs(count[k] - sum(g in known[name] for g in grams)) <= 0.02 * total + 2
+            assert abs(count[k] - sum(weight(g) for g in grams if g in known[name])) <= 0.02 * total + 2
+
+
+def test_language_of_many_languages():
+    """Masks of more than 8 and of more than 64 languages give what masks of few give: each language's own letters decide."""
+    rng = random.Random(8)
+    make = lambda k, n: " ".join("".join(chr(0x4E00 + 10 * k + rng.randrange(10)) for _ in range(4)) for _ in range(n)).encode()
+    for n in (9, 70):
+        model = language.fit([(make(k, 60), f"l{k:02d}") for k in range(n) for _ in range(2)])
+        names, score = model.predict([make(k, 20) for k in range(n)])
+        assert names == [f"l{k:02d}" for k in range(n)] and (score > 0.9).all()
 
 
 def test_bloom_counts_are_corrected():
@@ -224,7 +232,7 @@ def test_bloom_counts_are_corrected():
     model.false_rate = np.array([0.25])
     model.masks[0][:] = 1
     count, total = model.counts(b"some text here")
-    assert count[0] == pytest.approx(total)
+    assert count[0] == pytest.approx(total * math.log(2))
 
 
 @pytest.mark.parametrize("model", ["toxicity", "quality", "language"])
