@@ -54,10 +54,10 @@ def relationships(parts: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "part", F.col("r._Id").alias("rel_id"), F.element_at(F.split("r._Type", "/"), -1).alias("type"), target.alias("target"), external.alias("external"))
 
 
-def elements(parts: DataFrame, keys: list[str]) -> DataFrame:
+def elements(parts: DataFrame, keys: list[str], names: tuple[str, ...] = ()) -> DataFrame:
     """(keys, part, element, parent, name, attributes, text): the elements of XML parts in document order, by local names.
 
-    text is an element's own, before its first child. A part that is cut off or broken ends the query with an error.
+    text is an element's own, before its first child. Where names are given, only elements of these become rows. A part that is cut off or broken ends the query with an error.
     """
     schema = T.StructType([*parts.select(*keys).schema, *T._parse_datatype_string("part string, element int, parent int, name string, attributes map<string,string>, text string")])
     local = lambda name: name.rpartition("}")[2]
@@ -72,7 +72,8 @@ def elements(parts: DataFrame, keys: list[str]) -> DataFrame:
                     n += 1
                 else:
                     me, up = stack.pop()
-                    yield me, up, local(e.tag), [(local(k), v) for k, v in e.attrib.items()], e.text
+                    if not names or local(e.tag) in names:
+                        yield me, up, local(e.tag), [(local(k), v) for k, v in e.attrib.items()], e.text
                     e.clear()
         except ET.ParseError as x:
             raise ValueError(f"{part}: {x}") from None
@@ -190,7 +191,7 @@ def color_of(color: Column, theme: Column) -> Column:
     rgb = F.coalesce(own, F.when(color["_theme"].isNotNull(), F.get(theme, color["_theme"])), indexed)
     tint = F.coalesce(color["_tint"], F.lit(0.0))
     tint = F.when(tint.between(-1, 1), tint).otherwise(F.raise_error(F.lit("a tint must be between -1 and 1")).cast("double"))
-    return F.format_string("#%02X%02X%02X", *[_channel(rgb, k, tint) for k in range(3)])
+    return F.when(rgb.isNotNull(), F.format_string("#%02X%02X%02X", *[_channel(rgb, k, tint) for k in range(3)]))
 
 
 def cell_formats(parts: DataFrame, keys: list[str]) -> DataFrame:
