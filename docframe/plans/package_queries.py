@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import inheritance as I
 from ..operators import ordered as O
 from ..operators import parts as P
+from ..operators import taken_themes as K
 from . import convert as V
 from .queries import _read, query
 
@@ -233,6 +234,98 @@ def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.merged_cells(cells, ["doc"], "r", "c", "span", "merge")
 
 
+_WORD = '<w:%s xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'
+_DRAWING = '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:themeElements>%s</a:themeElements></a:theme>'
+
+
+@query(
+    "word_themes",
+    """WITH c AS (SELECT c_custkey AS c, c_nationkey AS n, c_custkey % 3 <> 0 AS normal, c_custkey % 4 <> 1 AS mid, c_custkey % 2000 AS margin FROM customer)
+    SELECT c AS c_custkey, 'Minor' || n AS font, (20 + c % 5) / 2.0::DOUBLE AS size, CASE WHEN normal THEN printf('#0000%02X', n) END AS color, CASE WHEN normal THEN (c % 7)::DOUBLE END AS after,
+      CASE c % 2 WHEN 1 THEN 'Major' ELSE 'Minor' END || n AS heading_font, CASE WHEN mid THEN 30 + n ELSE 20 + c % 5 END / 2.0::DOUBLE AS heading_size,
+      CASE WHEN c % 5 = 0 THEN '#AB00CD' WHEN mid AND normal THEN printf('#0000%02X', n) END AS heading_color, CASE c % 2 WHEN 0 THEN true END AS heading_bold,
+      CASE c % 2 WHEN 0 THEN 'A4' ELSE 'Letter' END AS page, CASE c % 2 WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation,
+      CASE WHEN margin + 42 < CASE c % 2 WHEN 0 THEN 595.28 ELSE 792 END - 72 THEN margin::DOUBLE END AS margin_left
+    FROM c""",
+)
+def word_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word package for each customer: default style, headings based on it through another style, or on one that is not there."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    style = lambda id_, more, *inner: F.concat(F.lit(f'<w:style w:type="paragraph" w:styleId="{id_}"{more}>'), *[F.lit(x) if isinstance(x, str) else x for x in inner], F.lit("</w:style>"))
+    defaults = F.format_string('<w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:asciiTheme="minorHAnsi"/><w:sz w:val="%d"/></w:rPr></w:rPrDefault></w:docDefaults>', 20 + c % 5)
+    normal = style("Body", ' w:default="1"', F.format_string('<w:pPr><w:spacing w:after="%d"/></w:pPr><w:rPr><w:color w:val="0000%02x"/></w:rPr>', 20 * (c % 7), n))
+    mid = style("Mid", "", '<w:basedOn w:val="Body"/>', F.format_string('<w:rPr><w:sz w:val="%d"/></w:rPr>', 30 + n))
+    own = F.concat(F.when(c % 2 == 1, '<w:rFonts w:asciiTheme="majorHAnsi"/>').otherwise("<w:b/>"), F.when(c % 5 == 0, '<w:color w:val="AB00CD"/>').otherwise(""))
+    heading = style("T1", "", '<w:name w:val="heading 1"/><w:basedOn w:val="Mid"/><w:rPr>', own, "</w:rPr>")
+    styles = F.concat(F.lit(_WORD % "styles"), defaults, F.when(c % 3 != 0, normal).otherwise(""), F.when(c % 4 != 1, mid).otherwise(""), heading, F.lit("</w:styles>"))
+    size = F.when(c % 2 == 0, 'w:w="11906" w:h="16838"').otherwise('w:w="15840" w:h="12240" w:orient="landscape"')
+    page = F.concat(F.lit(_WORD % "document" + "<w:body><w:p/><w:sectPr><w:pgSz "), size, F.format_string('/><w:pgMar w:left="%d"/></w:sectPr></w:body></w:document>', 20 * (c % 2000)))
+    fonts = F.format_string(_DRAWING % '<a:fontScheme><a:majorFont><a:latin typeface="Major%d"/></a:majorFont><a:minorFont><a:latin typeface="Minor%d"/></a:minorFont></a:fontScheme>', n, n)
+    packages = F.array(*[F.struct(*_part(name, xml)) for name, xml in (("word/styles.xml", styles), ("word/document.xml", page), ("word/theme/theme1.xml", fonts))])
+    parts = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(packages).alias("p")).select("c_custkey", "p.*")
+    d, h, p = (f"theme.{x}." for x in ("document", "headings", "page"))
+    return K.word_themes(parts, ["c_custkey"]).select(
+        "c_custkey", F.col(d + "font_family").alias("font"), F.col(d + "font_size_pt").alias("size"), F.col(d + "text_color").alias("color"), F.col(d + "paragraph_spacing_after_pt").alias("after"),
+        F.col(h + "font_family").alias("heading_font"), F.get(h + "sizes_pt", F.lit(0)).alias("heading_size"), F.col(h + "color").alias("heading_color"), F.col(h + "bold").alias("heading_bold"),
+        F.col(p + "size").alias("page"), p + "orientation", F.col(p + "margin_left_pt").alias("margin_left"),
+    )
+
+
+@query(
+    "workbook_themes",
+    """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) AS row FROM l),
+      c AS (SELECT o, row, unnest([(q + n) % 4, (o + n) % 4, CASE WHEN q % 2 = 1 THEN q % 4 ELSE 0 END]) AS s FROM r WHERE row <= 6),
+      b AS (SELECT o, list(s ORDER BY k DESC, s)[1] AS body FROM (SELECT o, s, count(*) AS k FROM c WHERE row > 1 GROUP BY ALL) GROUP BY o),
+      d AS (SELECT o, row, list(s ORDER BY k DESC, s)[1] AS s FROM (SELECT o, row, s, count(*) AS k FROM c GROUP BY ALL) GROUP BY o, row),
+      x AS (SELECT d.o, coalesce(any_value(body), 0) AS body, any_value(d.s) FILTER (row = 1) AS head, (list(d.s ORDER BY row) FILTER (row > 1 AND d.s <> body))[1] AS stripe FROM d LEFT JOIN b USING (o) GROUP BY d.o)
+    SELECT o AS l_orderkey, 'F' || body AS font, (10 + body)::DOUBLE AS size, CASE WHEN head <> body THEN '#0000A' || head END AS header, CASE WHEN body = 1 OR head = 1 THEN 0.5::DOUBLE END AS border, '#0000A' || stripe AS stripe
+    FROM x""",
+)
+def workbook_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each order, with a row for each line: cells with a format of their own, of their row, or none."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+    o, n, q = (F.col(x) for x in ("l_orderkey", "n", "q"))
+    row = F.concat(F.lit("<row"), F.when(q % 2 == 1, F.format_string(' s="%d"', q % 4)).otherwise(""), F.format_string('><c s="%d"/><c s="%d"><v>1</v></c><c/></row>', (q + n) % 4, (o + n) % 4))
+    sheet = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", row.alias("x")))), lambda r: r["x"]), "")  # a line number once, so seven at most
+    main = '<%s xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+    fonts = "".join(f'<font><name val="F{k}"/><sz val="{10 + k}"/></font>' for k in range(4))
+    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF0000A{k}"/></patternFill></fill>' for k in range(4))
+    formats = "".join(f'<xf fontId="{k}" fillId="{k}" borderId="{int(k == 1)}"/>' for k in range(4))
+    fixed = {
+        "xl/styles.xml": main % "styleSheet" + f'<fonts>{fonts}</fonts><fills>{fills}</fills><borders><border/><border><left style="thin"/></border></borders><cellXfs>{formats}</cellXfs></styleSheet>',
+        "xl/workbook.xml": main % "workbook" + '<sheets><sheet name="A" r:id="rId7"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId7" Type="x/worksheet" Target="worksheets/first.xml"/></Relationships>',
+    }
+    body = F.concat(F.lit(main % "worksheet" + "<sheetData>"), F.col("sheet"), F.lit("</sheetData></worksheet>"))
+    packages = F.array(F.struct(*_part("xl/worksheets/first.xml", body)), *[F.struct(*_part(name, F.lit(xml))) for name, xml in fixed.items()])
+    parts = lines.groupBy("l_orderkey").agg(sheet.alias("sheet")).select("l_orderkey", F.explode(packages).alias("p")).select("l_orderkey", "p.*")
+    d, t = "theme.document.", "theme.table."
+    return K.workbook_themes(parts, ["l_orderkey"]).select(
+        "l_orderkey", F.col(d + "font_family").alias("font"), F.col(d + "font_size_pt").alias("size"), F.col(t + "header_background").alias("header"), F.col(t + "border_width_pt").alias("border"), F.col(t + "stripe_background").alias("stripe")
+    )
+
+
+@query(
+    "slide_themes",
+    """SELECT s_suppkey, 'Minor' || s_nationkey AS font, CASE s_suppkey % 2 WHEN 0 THEN 'Major' ELSE 'Minor' || s_nationkey END AS heading_font, printf('#%02X00%02X', s_suppkey % 256, s_nationkey) AS heading_color,
+      printf('#%02X00%02X', s_suppkey % 256, s_nationkey) AS level_1, CASE s_suppkey % 3 WHEN 0 THEN '#0B0B0B' ELSE printf('#%02X00%02X', s_suppkey % 256, s_nationkey) END AS level_2, '#1A1A1A' AS color FROM supplier""",
+)
+def slide_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slide package for each supplier: its theme's fonts and colours."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    colors = F.concat(F.format_string('<a:clrScheme><a:dk1><a:sysClr lastClr="1a1a1a"/></a:dk1><a:accent1><a:srgbClr val="%02x00%02x"/></a:accent1>', s % 256, n), F.when(s % 3 == 0, '<a:accent2><a:srgbClr val="0b0b0b"/></a:accent2>').otherwise(""), F.lit("</a:clrScheme>"))
+    fonts = F.concat(F.lit('<a:fontScheme><a:majorFont><a:latin typeface="'), F.when(s % 2 == 0, "Major").otherwise(" "), F.format_string('"/></a:majorFont><a:minorFont><a:latin typeface="Minor%d"/></a:minorFont></a:fontScheme>', n))
+    before, after = _DRAWING.split("%s")
+    packages = F.array(F.struct(*_part("ppt/presentation.xml", F.lit("<p/>"))), F.struct(*_part("ppt/theme/theme1.xml", F.concat(F.lit(before), colors, fonts, F.lit(after)))))
+    parts = _read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(packages).alias("p")).select("s_suppkey", "p.*")
+    h = "theme.headings."
+    return K.slide_themes(parts, ["s_suppkey"]).select(
+        "s_suppkey", F.col("theme.document.font_family").alias("font"), F.col(h + "font_family").alias("heading_font"), F.col(h + "color").alias("heading_color"), F.get(h + "level_colors", F.lit(0)).alias("level_1"),
+        F.get(h + "level_colors", F.lit(1)).alias("level_2"), F.col("theme.document.text_color").alias("color"),
+    )
+
+
 @query(
     "ragged_union",
     """WITH c AS (SELECT event_id, 'id' AS key, 'integer' AS kind, event_id::VARCHAR AS text FROM events
