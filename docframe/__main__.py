@@ -1,9 +1,16 @@
-"""Command line: convert one file or standard input, convert the files of a glob with Spark, or write the standard theme."""
+"""Command line: convert one file or standard input, convert the files of a glob with Spark, write the standard theme, or one taken from a package.
+
+A settings file (--config, or the variable DOCFRAME_CONFIG) is TOML with a table for each command, whose keys are the names of
+its options; an option on the command line wins over the file, and the file over the option's default.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
+import tomllib
 
 from .functions import themes
 from .plans import convert as V
@@ -50,27 +57,77 @@ def _batch(a: argparse.Namespace, options: V.Options) -> int:
     return int(failed > 0)
 
 
+def _settings(path: str | None, command: str, options: dict[str, argparse.Action]) -> dict[str, object]:
+    """What the settings file says on a command, by the options' places in its arguments."""
+    if not path:
+        return {}
+    try:
+        with open(path, "rb") as f:
+            tables = tomllib.load(f)
+    except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
+        raise V.ConversionError("InvalidOption", f"{path}: {e}") from None
+    found = {}
+    for key, value in tables.get(command, {}).items():
+        option = options.get(key.replace("_", "-"))
+        if option is None or not isinstance(value, bool if option.nargs == 0 else str):
+            raise V.ConversionError("InvalidOption", f"{path}: {command}.{key} is no option, or not its kind of value")
+        found[option.dest] = value
+    return found
+
+
+def _save(path: str, text: str, overwrite: bool) -> None:
+    with open(path, "w" if overwrite else "x", encoding="utf-8") as f:
+        f.write(text)
+
+
+def _style_import(a: argparse.Namespace) -> None:
+    from pyspark.sql import SparkSession
+
+    from .operators import taken_themes
+
+    kind = V.detect(a.input)
+    if kind not in taken_themes.TAKEN:
+        raise V.ConversionError("InvalidOption", f"themes can be taken from {', '.join(taken_themes.TAKEN)}, not from {kind}")
+    if os.path.exists(a.output) and (not a.overwrite or os.path.samefile(a.input, a.output)):
+        raise V.ConversionError("OutputExists", a.output)
+    spark = SparkSession.builder.appName("docframe").getOrCreate()
+    found = taken_themes.of_files(spark, os.path.abspath(a.input), kind).first()
+    _save(a.output, themes.dump(themes.resolve(json.loads(found["theme"]))), a.overwrite)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="docframe")
+    parser.add_argument("--config", default=os.environ.get("DOCFRAME_CONFIG"), help="a settings file")
     commands = parser.add_subparsers(dest="command", required=True)
+    made = {}
     for name in ("convert", "batch"):
-        c = commands.add_parser(name)
+        made[name] = c = commands.add_parser(name)
         c.add_argument("input", help="a file, or - for standard input" if name == "convert" else "a glob")
         c.add_argument("output", help="a file, or - for standard output" if name == "convert" else "a folder")
         c.add_argument("--from", dest="source")
         c.add_argument("--to", dest="target")
         c.add_argument("--delimiter", default=",")
-        c.add_argument("--tables-only", action="store_true")
-        c.add_argument("--overwrite", action="store_true")
+        c.add_argument("--tables-only", action=argparse.BooleanOptionalAction, default=False)
+        c.add_argument("--overwrite", action=argparse.BooleanOptionalAction, default=False)
         c.add_argument("--style")
         if name == "convert":
-            c.add_argument("--keep-intermediate", action="store_true", help="keep the document as JSON beside the output")
-    commands.add_parser("style-template").add_argument("output")
+            c.add_argument("--keep-intermediate", action=argparse.BooleanOptionalAction, default=False, help="keep the document as JSON beside the output")
+    for name in ("style-template", "style-import"):
+        made[name] = c = commands.add_parser(name)
+        if name == "style-import":
+            c.add_argument("input", help="a word, workbook or slide package")
+        c.add_argument("output", help="the theme's file")
+        c.add_argument("--overwrite", action=argparse.BooleanOptionalAction, default=False)
     a = parser.parse_args(argv)
     try:
+        options = {o.lstrip("-"): action for o, action in made[a.command]._option_string_actions.items() if not o.startswith("--no-") and o not in ("-h", "--help")}
+        made[a.command].set_defaults(**_settings(a.config, a.command, options))
+        a = parser.parse_args(argv)
         if a.command == "style-template":
-            with open(a.output, "x", encoding="utf-8") as f:
-                f.write(themes.dump(themes.default()))
+            _save(a.output, themes.dump(themes.default()), a.overwrite)
+            return 0
+        if a.command == "style-import":
+            _style_import(a)
             return 0
         css = ""
         if a.style:

@@ -6,7 +6,7 @@ where the package says nothing; `to_json(theme)` is then the sparse theme that `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -250,3 +250,15 @@ def slide_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 #: How themes are taken, by format.
 TAKEN = {"docx": word_themes, "xlsx": workbook_themes, "pptx": slide_themes}
+
+
+def of_files(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
+    """(path, theme): the theme of each file as sparse JSON. What is no package, or lacks its main part, is an error."""
+    if kind not in TAKEN:
+        raise ValueError(f"themes can be taken from {', '.join(TAKEN)}, not from {kind}")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    parts = P.package_parts(files, ["path"])
+    parts = parts.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")).cast("boolean"))).drop("error")
+    found = files.select("path").join(TAKEN[kind](parts, ["path"]), "path", "left")
+    whole = found.where(F.when(F.col("theme").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat("path", F.lit(": the main part is missing"))).cast("boolean")))
+    return whole.select("path", F.to_json("theme").alias("theme"))

@@ -5,6 +5,7 @@ import sys
 import pytest
 
 from docframe import __main__ as cli
+from docframe.functions import themes
 from docframe.plans import convert as V
 from tests.test_convert import png
 
@@ -75,3 +76,36 @@ def test_batch_refuses_equal_names(spark, tmp_path):
     (tmp_path / "a.markdown").write_text("x\n")
     with pytest.raises(V.ConversionError, match="several files"):
         V.convert_files(spark, f"{tmp_path}/a.*", "markdown", "json")
+
+
+def test_settings_file(monkeypatch, tmp_path):
+    settings = tmp_path / "s.toml"
+    settings.write_text('[convert]\nfrom = "csv"\nto = "json"\ndelimiter = ";"\n[batch]\noverwrite = true\n')
+    given = ("--config", str(settings), "convert", "-", "-")
+    assert json.loads(run(monkeypatch, *given, given=b"a;b\n1;2\n")[1]) == [{"a": "1", "b": "2"}]
+    assert run(monkeypatch, *given, "--to", "md", "--delimiter", ",", given=b"a,b\n")[1].startswith(b"| a | b |")
+    monkeypatch.setenv("DOCFRAME_CONFIG", str(settings))
+    assert json.loads(run(monkeypatch, "convert", "-", "-", given=b"a\n3\n")[1]) == [{"a": "3"}]
+    settings.write_text("[convert]\noverwrite = true\n")
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "a.md").write_text("old")
+    assert run(monkeypatch, "convert", str(tmp_path / "a.csv"), str(tmp_path / "a.md"), "--no-overwrite")[0] == 1
+    assert run(monkeypatch, "convert", str(tmp_path / "a.csv"), str(tmp_path / "a.md"))[0] == 0 and (tmp_path / "a.md").read_text() != "old"
+
+
+@pytest.mark.parametrize("text", ["[convert]\nwhat = 1\n", '[convert]\noverwrite = "yes"\n', "[convert]\nstyle = 3\n", "[convert"])
+def test_wrong_settings(monkeypatch, tmp_path, text):
+    (tmp_path / "s.toml").write_text(text)
+    assert run(monkeypatch, "--config", str(tmp_path / "s.toml"), "convert", "-", "-", "--from", "csv", "--to", "json", given=b"a\n")[0] == 1
+
+
+def test_style_import(spark, monkeypatch, tmp_path):
+    (tmp_path / "a.md").write_text("# T\n\nwords\n")
+    V.convert_file(str(tmp_path / "a.md"), str(tmp_path / "a.docx"))
+    V.convert_file(str(tmp_path / "a.md"), str(tmp_path / "a.pptx"))
+    for name in ("a.docx", "a.pptx"):
+        out = tmp_path / f"{name}.toml"
+        assert run(monkeypatch, "style-import", str(tmp_path / name), str(out))[0] == 0
+        themes.load(out.read_text())
+        assert run(monkeypatch, "style-import", str(tmp_path / name), str(out))[0] == 1
+    assert run(monkeypatch, "style-import", str(tmp_path / "a.md"), str(tmp_path / "x.toml"))[0] == 1
