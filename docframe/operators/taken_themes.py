@@ -83,6 +83,15 @@ def _properties(run: str, paragraph: str) -> list[Column]:
     ]
 
 
+def _with_ancestors(styles: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, id, open, columns) of styles (keys, id, up, columns): what each has or takes from those it is based on."""
+    there = styles.select(*keys, F.col("id").alias("up"), F.lit(True).alias("__there"))
+    chained = styles.join(there, [*keys, "up"], "left").withColumn("__ends", F.when(F.col("__there").isNull(), True))
+    name = lambda id_: F.to_json(F.struct(*keys, F.col(id_).alias("id")))
+    found = I.inherited(chained.select(name("id").alias("style"), F.when(F.col("__there"), name("up")).alias("parent"), *columns, "__ends"), [*columns, "__ends"])
+    return styles.select(*keys, "id", name("id").alias("style")).join(found, "style").select(*keys, "id", F.col("__ends").isNull().alias("open"), *columns)
+
+
 def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, name, default, open, font, size, ...): paragraph styles with what they take from their ancestors and the defaults.
 
@@ -93,14 +102,9 @@ def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
     own = each.select(*keys, "at", F.col("s._styleId").alias("id"), F.col("s.name._val").alias("name"), F.coalesce(_on("s._default"), F.lit(False)).alias("default"), F.col("s.basedOn._val").alias("up"), *_properties("s.rPr", "s.pPr"))
     rest = [c for c in own.columns if c not in (*keys, "at", "id")]
     last = own.groupBy(*keys, "id").agg(F.max_by(F.struct(*rest), "at").alias("s")).select(*keys, "id", "s.*")
-    there = last.select(*keys, F.col("id").alias("up"), F.lit(True).alias("__there"))
-    chained = last.join(there, [*keys, "up"], "left").withColumn("__ends", F.when(F.col("__there").isNull(), True))
-    name = lambda id_: F.to_json(F.struct(*keys, F.col(id_).alias("id")))
-    known = chained.select(name("id").alias("style"), F.when(F.col("__there"), name("up")).alias("parent"), *_TAKEN, "__ends")
-    found = I.inherited(known, [*_TAKEN, "__ends"])
     defaults = read.select(*keys, F.struct(*_properties("x.docDefaults.rPrDefault.rPr", "x.docDefaults.pPrDefault.pPr")).alias("d"))
-    full = last.select(*keys, "id", "name", "default", name("id").alias("style")).join(found, "style").join(defaults, keys)
-    return full.select(*keys, "id", "name", "default", F.col("__ends").isNull().alias("open"), *[F.coalesce(c, f"d.{c}").alias(c) for c in _TAKEN])
+    full = last.select(*keys, "id", "name", "default").join(_with_ancestors(last, keys, _TAKEN), [*keys, "id"]).join(defaults, keys)
+    return full.select(*keys, "id", "name", "default", "open", *[F.coalesce(c, f"d.{c}").alias(c) for c in _TAKEN])
 
 
 def theme_fonts(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
@@ -199,6 +203,25 @@ def _commonest(counts: DataFrame, by: list[str]) -> DataFrame:
     return sums.groupBy(*by).agg(F.min_by("style", F.struct(-F.col("n"), "style")).alias("style"))
 
 
+def _of_table(books: DataFrame, formats: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, theme) of the looks of rows: row 0 is the body, 1 the first row of the sheet, others those below it."""
+    look = F.struct("style", "font", "size", "color", "fill", "border", "border_color", "align")
+    rows = formats.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("row", look.alias("look"))))).alias("r"))  # TABLE_ROWS and one at most
+    of = lambda k: F.try_element_at("r", F.lit(k))
+    body, head = of(0), of(1)
+    other = lambda c: F.when(~head["style"].eqNullSafe(body["style"]), head[c])
+    fills = F.array(*[F.struct(of(k)["style"].alias("style"), of(k)["fill"].alias("fill")) for k in range(2, TABLE_ROWS + 1)])
+    stripe = F.get(F.filter(fills, lambda f: ~f["style"].eqNullSafe(body["style"]) & f["fill"].isNotNull() & ~f["fill"].eqNullSafe(body["fill"])), F.lit(0))["fill"]
+    theme = F.struct(
+        F.struct(body["font"].alias("font_family"), body["size"].alias("font_size_pt"), body["color"].alias("text_color"), body["align"].alias("text_align")).alias("document"),
+        F.struct(
+            body["size"].alias("font_size_pt"), other("fill").alias("header_background"), other("color").alias("header_color"), F.coalesce(body["border_color"], other("border_color")).alias("border_color"),
+            F.coalesce(body["border"], other("border")).alias("border_width_pt"), stripe.alias("stripe_background"),
+        ).alias("table"),
+    )
+    return books.join(rows, keys, "left").select(*keys, theme.alias("theme"))
+
+
 def workbook_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Themes of workbooks: the commonest format below the first row, that of the first row, and the first other fill below it.
 
@@ -214,20 +237,7 @@ def workbook_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     needed = books.select(*keys, F.lit(0).alias("row"), F.col("body").alias("style")).unionByName(by_row)
     needed = needed.join(styled, keys, "left_semi").withColumn("kind", F.lit("cell format"))
     formats = P.resolved(needed, P.cell_formats(used, keys), [*keys, "style"], "kind", {"cell format": "error"})
-    look = F.struct("style", "font", "size", "color", "fill", "border", "border_color", "align")
-    rows = formats.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("row", look.alias("look"))))).alias("r"))  # TABLE_ROWS and one at most
-    body, head = F.try_element_at("r", F.lit(0)), F.try_element_at("r", F.lit(1))
-    other = lambda c: F.when(head["style"] != body["style"], head[c])
-    fills = F.array(*[F.struct(F.try_element_at("r", F.lit(k))["style"].alias("style"), F.try_element_at("r", F.lit(k))["fill"].alias("fill")) for k in range(2, TABLE_ROWS + 1)])
-    stripe = F.get(F.filter(fills, lambda f: (f["style"] != body["style"]) & f["fill"].isNotNull() & ~f["fill"].eqNullSafe(body["fill"])), F.lit(0))["fill"]
-    theme = F.struct(
-        F.struct(body["font"].alias("font_family"), body["size"].alias("font_size_pt"), body["color"].alias("text_color"), body["align"].alias("text_align")).alias("document"),
-        F.struct(
-            body["size"].alias("font_size_pt"), other("fill").alias("header_background"), other("color").alias("header_color"), F.coalesce(body["border_color"], other("border_color")).alias("border_color"),
-            F.coalesce(body["border"], other("border")).alias("border_width_pt"), stripe.alias("stripe_background"),
-        ).alias("table"),
-    )
-    return books.select(*keys).join(rows, keys, "left").select(*keys, theme.alias("theme"))
+    return _of_table(books.select(*keys), formats, keys)
 
 
 def slide_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -248,8 +258,51 @@ def slide_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     return every.select(*keys, theme.alias("theme"))
 
 
+#: Columns of cell styles of open spreadsheets, and how many repeats of a cell count.
+_CELL, MOST_REPEATED = ["font", "size", "color", "fill", "border", "border_color", "align"], 16_384
+
+
+def sheet_styles(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, id, open, font, ...) of cell styles with what they take from their ancestors, and (keys, font, ...) of default styles.
+
+    A style of several definitions has each property from the last that has it; those of content.xml follow those of styles.xml.
+    """
+    found = P.elements(parts.where(F.col("part").isin("styles.xml", "content.xml")), keys, ("style", "default-style", "text-properties", "table-cell-properties", "paragraph-properties"))
+    at = F.struct((F.col("part") == "content.xml").alias("late"), "element")
+    a, is_ = F.col("attributes"), F.col("name")
+    own = found.where(is_.isin("style", "default-style") & (a["family"] == "table-cell") & ((is_ == "default-style") | a["name"].isNotNull()))
+    own = own.select(*keys, "part", "element", F.when(is_ == "style", a["name"]).alias("id"), a["parent-style-name"].alias("up"), at.alias("at"))
+    border = lambda pattern: F.coalesce(*[F.when(F.regexp_extract(a[side], pattern, 1) != "", F.regexp_extract(a[side], pattern, 1)) for side in ("border", "border-left", "border-right", "border-top", "border-bottom")])
+    jc = F.lower(a["text-align"])
+    text, cell = is_ == "text-properties", is_ == "table-cell-properties"
+    said = found.where(is_.endswith("-properties")).select(
+        *keys, "part", F.col("parent").alias("element"), F.when(text, _not_blank(a["font-name"])).alias("font"), F.when(text, _number(F.regexp_replace(F.trim(a["font-size"]), "pt$", ""))).alias("size"),
+        F.when(text, _rgb(a["color"])).alias("color"), F.when(cell, _rgb(a["background-color"])).alias("fill"), F.when(cell, _number(border(r"(?:^|\s)([0-9]*\.?[0-9]+)(?:pt)?(?=\s|$)"))).alias("border"),
+        F.when(cell, _rgb(border(r"(?:^|\s)(#[0-9A-Fa-f]{6,8})(?=\s|$)"))).alias("border_color"),
+        F.when(is_ == "paragraph-properties", F.when(jc.isin("start", "left"), "left").when(jc == "center", "center").when(jc.isin("end", "right"), "right").when(jc == "justify", "justify")).alias("align"),
+    )
+    each = own.join(said, [*keys, "part", "element"], "left")
+    last = each.groupBy(*keys, "id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("up", *_CELL)])
+    return _with_ancestors(last.where("id is not null"), keys, _CELL), last.where("id is null").select(*keys, *_CELL)
+
+
+def sheet_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Themes of open spreadsheets: as of workbooks, with styles by name; a name that is not there stands for the default style."""
+    books = parts.where(F.col("part") == "content.xml")
+    cells = P.elements(books, keys, ("table-cell", "covered-table-cell"))
+    repeat = F.greatest(F.least(F.coalesce(F.col("attributes")["number-columns-repeated"].cast("long"), F.lit(1)), F.lit(MOST_REPEATED)), F.lit(1))
+    counts = cells.groupBy(*keys, "parent", F.coalesce(F.col("attributes")["style-name"], F.lit("")).alias("style")).agg(F.sum(repeat).alias("n"))
+    counts = counts.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("parent"))).where(F.col("row") <= TABLE_ROWS)
+    body = books.select(*keys).join(_commonest(counts.where("row > 1"), keys), keys, "left").select(*keys, F.lit(0).alias("row"), "style")
+    named, default = sheet_styles(parts, keys)
+    own = body.unionByName(_commonest(counts, [*keys, "row"])).withColumn("id", F.col("style")).join(named, [*keys, "id"], "left")
+    own = own.where(F.when(F.coalesce("open", F.lit(False)), F.raise_error(F.concat(F.lit("styles based on themselves: "), "id")).cast("boolean")).otherwise(F.lit(True)))
+    both = own.join(default.select(*keys, F.struct(*_CELL).alias("d")), keys, "left")
+    return _of_table(books.select(*keys), both.select(*keys, "row", "style", *[F.coalesce(c, f"d.{c}").alias(c) for c in _CELL]), keys)
+
+
 #: How themes are taken, by format.
-TAKEN = {"docx": word_themes, "xlsx": workbook_themes, "pptx": slide_themes}
+TAKEN = {"docx": word_themes, "xlsx": workbook_themes, "ods": sheet_themes, "pptx": slide_themes}
 
 
 def of_files(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:

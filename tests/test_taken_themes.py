@@ -97,6 +97,31 @@ def test_workbook(spark):
         taken(spark, "xlsx", {"a": book(rows, 2)})
 
 
+def sheet(rows, styles=""):
+    spaces = " ".join(f'xmlns:{p}="urn:{p}"' for p in ("office", "style", "table", "text", "fo"))
+    cell = lambda s, n: f'<table:table-cell table:style-name="{s}" table:number-columns-repeated="{n}"/>' if s else "<table:covered-table-cell/>"
+    body = "".join("<table:table-row>" + "".join(cell(*c) for c in row) + "</table:table-row>" for row in rows)
+    look = lambda name, up, inner: f'<style:style style:name="{name}" style:family="table-cell"' + (f' style:parent-style-name="{up}"' if up else "") + f">{inner}</style:style>"
+    own = look("a", "base", '<style:table-cell-properties fo:background-color="#0000a1" fo:border-left="0.75pt solid #00ff00"/>') + look("b", "base", '<style:table-cell-properties fo:background-color="#0000a2"/>') + look("c", "gone", '<style:paragraph-properties fo:text-align="end"/>')
+    default = '<style:default-style style:family="table-cell"><style:text-properties style:font-name="D" fo:font-size="10pt"/></style:default-style>'
+    common = default + look("base", "", '<style:text-properties fo:font-size="12pt" fo:color="#111111"/>') + look("b", "", '<style:text-properties fo:color="#222222"/>') + '<style:style style:name="a" style:family="paragraph"><style:text-properties fo:color="#999999"/></style:style>'
+    return {
+        "content.xml": f"<office:document-content {spaces}><office:automatic-styles>{own}{styles}</office:automatic-styles><office:body><table:table>{body}</table:table></office:body></office:document-content>",
+        "styles.xml": f"<office:document-styles {spaces}><office:styles>{common}</office:styles></office:document-styles>",
+    }
+
+
+def test_open_spreadsheet(spark):
+    ring = '<style:style style:name="r" style:family="table-cell" style:parent-style-name="r"/>'
+    rows = [[("a", 3), ("b", 1)], [], [("c", 5), ("b", 1)], [("b", 2), (None, 1)], [("b", 2), ("c", 9)]]
+    got = taken(spark, "ods", {"a": sheet(rows), "one": sheet([[("b", 1)]]), "none": sheet([], ring)})
+    assert got["a"]["document"] == {"font_family": "D", "font_size_pt": 10.0, "text_align": "right"}
+    assert got["a"]["table"] == {"font_size_pt": 10.0, "header_background": "#0000A1", "header_color": "#111111", "border_color": "#00FF00", "border_width_pt": 0.75, "stripe_background": "#0000A2"}
+    assert got["one"]["table"] == {"font_size_pt": 10.0, "header_background": "#0000A2", "header_color": "#222222"} and got["none"]["document"] == {"font_family": "D", "font_size_pt": 10.0}
+    with pytest.raises(Exception, match="styles based on themselves: r"):
+        taken(spark, "ods", {"a": sheet([[("r", 1)]], ring)})
+
+
 def test_slides(spark):
     colors = "".join(f'<a:{n}><a:srgbClr val="{v}"/></a:{n}>' for n, v in {"dk1": "010101", "lt1": "fefefe", "accent1": "a10000", "accent3": "a30000", "hlink": "0000ff"}.items())
     theme = FONTS.replace("<a:themeElements>", f"<a:themeElements><a:clrScheme>{colors}</a:clrScheme>")
