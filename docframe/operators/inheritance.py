@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import stores
 
 
-def _table(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, and lost executors cost no earlier round."""
     folder = stores.scratch(df.sparkSession)
     df.write.parquet(folder)
@@ -22,14 +22,14 @@ def _doubled(rows: DataFrame, columns: list[str], rounds: int) -> DataFrame:
 
     Ends when nothing jumps any more, or after `rounds`.
     """
-    rows = _table(rows)
+    rows = written(rows)
     for _ in range(rounds):
         if rows.where("jump is not null").isEmpty():
             break
         far = rows.select(F.col("style").alias("__style"), F.col("jump").alias("__jump"), F.col("depth").alias("__depth"), F.col("least").alias("__least"), *[F.col(c).alias(f"__{c}") for c in columns])
         met = rows.join(far, F.col("jump") == F.col("__style"), "left")
         own = [F.coalesce(c, f"__{c}").alias(c) for c in columns]
-        rows = _table(met.select("style", F.col("__jump").alias("jump"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.least("least", "__least").alias("least"), *own))
+        rows = written(met.select("style", F.col("__jump").alias("jump"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.least("least", "__least").alias("least"), *own))
     return rows
 
 
@@ -48,7 +48,7 @@ def inherited(styles: DataFrame, columns: list[str]) -> DataFrame:
     ring = full.where("jump is not null").select(F.col("jump").alias("on")).distinct()
     if ring.isEmpty():
         return full.select("style", *columns, "depth")
-    ring = _table(ring.join(full, F.col("on") == F.col("style")).select("on", F.col("least").alias("ring")))
+    ring = written(ring.join(full, F.col("on") == F.col("style")).select("on", F.col("least").alias("ring")))
     sizes = ring.groupBy("ring").agg(F.count("*").alias("size"))
     member = ring.join(sizes, "ring").select("on", F.col("size"))
     cut = start.select("style", "jump", "depth", "least").join(member, F.col("style") == F.col("on"), "left")

@@ -81,16 +81,25 @@ def elements(parts: DataFrame, keys: list[str], names: tuple[str, ...] = ()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
         for batch in pieces(batches, -1):
-            names = batch.column(batch.num_columns - 2).to_pylist()
+            part = batch.column(batch.num_columns - 2).to_pylist()
+            rows: list[tuple] = []
+            owners: list[int] = []
+
+            def out(batch: pa.RecordBatch = batch, rows: list[tuple] = rows, owners: list[int] = owners) -> pa.RecordBatch:
+                owner = pa.array(owners, pa.int32())
+                made = pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *[pa.array([r[x] for r in rows], t) for x, t in enumerate(types)]], names=schema.names)
+                rows.clear()
+                owners.clear()
+                return made
+
             for k, data in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                rows: list[tuple] = []
-                for row in (*of(data, names[k]), None):
-                    if row is not None:
-                        rows.append(row)
-                    if rows and (row is None or len(rows) == most):
-                        owner = pa.array([k] * len(rows), pa.int32())
-                        yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *[pa.array([r[x] for r in rows], t) for x, t in enumerate(types)]], names=schema.names)
-                        rows = []
+                for row in of(data, part[k]):
+                    rows.append(row)
+                    owners.append(k)
+                    if len(rows) == most:
+                        yield out()
+            if rows:
+                yield out()
 
     xml = parts.where(F.col("bytes").isNotNull() & (F.col("part").endswith(".xml") | F.col("part").endswith(".rels")))
     return xml.select(*keys, "part", "bytes").mapInArrow(run, schema)

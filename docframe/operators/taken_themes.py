@@ -101,7 +101,7 @@ def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
     each = read.select(*keys, F.posexplode("x.style").alias("at", "s")).where("s._type = 'paragraph' and s._styleId <> ''")
     own = each.select(*keys, "at", F.col("s._styleId").alias("id"), F.col("s.name._val").alias("name"), F.coalesce(_on("s._default"), F.lit(False)).alias("default"), F.col("s.basedOn._val").alias("up"), *_properties("s.rPr", "s.pPr"))
     rest = [c for c in own.columns if c not in (*keys, "at", "id")]
-    last = own.groupBy(*keys, "id").agg(F.max_by(F.struct(*rest), "at").alias("s")).select(*keys, "id", "s.*")
+    last = I.written(own.groupBy(*keys, "id").agg(F.max_by(F.struct(*rest), "at").alias("s")).select(*keys, "id", "s.*"))
     defaults = read.select(*keys, F.struct(*_properties("x.docDefaults.rPrDefault.rPr", "x.docDefaults.pPrDefault.pPr")).alias("d"))
     full = last.select(*keys, "id", "name", "default").join(_with_ancestors(last, keys, _TAKEN), [*keys, "id"]).join(defaults, keys)
     return full.select(*keys, "id", "name", "default", "open", *[F.coalesce(c, f"d.{c}").alias(c) for c in _TAKEN])
@@ -229,7 +229,7 @@ def workbook_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     formats says nothing.
     """
     used = parts.where(~F.col("part").contains("theme/") | (F.col("part") == "xl/theme/theme1.xml"))
-    counts = _row_styles(used, keys)
+    counts = I.written(_row_styles(used, keys))
     main = _commonest(counts.where("row > 1"), keys).withColumnRenamed("style", "body")
     by_row = _commonest(counts, [*keys, "row"])
     books = used.where(F.col("part") == "xl/workbook.xml").select(*keys).join(main, keys, "left").withColumn("body", F.coalesce("body", F.lit(0)))
@@ -282,7 +282,7 @@ def sheet_styles(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
         F.when(is_ == "paragraph-properties", F.when(jc.isin("start", "left"), "left").when(jc == "center", "center").when(jc.isin("end", "right"), "right").when(jc == "justify", "justify")).alias("align"),
     )
     each = own.join(said, [*keys, "part", "element"], "left")
-    last = each.groupBy(*keys, "id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("up", *_CELL)])
+    last = I.written(each.groupBy(*keys, "id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("up", *_CELL)]))
     return _with_ancestors(last.where("id is not null"), keys, _CELL), last.where("id is null").select(*keys, *_CELL)
 
 
@@ -292,7 +292,7 @@ def sheet_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     cells = P.elements(books, keys, ("table-cell", "covered-table-cell"))
     repeat = F.greatest(F.least(F.coalesce(F.col("attributes")["number-columns-repeated"].cast("long"), F.lit(1)), F.lit(MOST_REPEATED)), F.lit(1))
     counts = cells.groupBy(*keys, "parent", F.coalesce(F.col("attributes")["style-name"], F.lit("")).alias("style")).agg(F.sum(repeat).alias("n"))
-    counts = counts.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("parent"))).where(F.col("row") <= TABLE_ROWS)
+    counts = I.written(counts.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("parent"))).where(F.col("row") <= TABLE_ROWS))
     body = books.select(*keys).join(_commonest(counts.where("row > 1"), keys), keys, "left").select(*keys, F.lit(0).alias("row"), "style")
     named, default = sheet_styles(parts, keys)
     own = body.unionByName(_commonest(counts, [*keys, "row"])).withColumn("id", F.col("style")).join(named, [*keys, "id"], "left")

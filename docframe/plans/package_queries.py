@@ -306,6 +306,42 @@ def workbook_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SHEET_FILL = "CASE %s WHEN 's0' THEN '#0000A0' WHEN 's1' THEN '#0000A0' WHEN 's2' THEN '#0000A2' WHEN 's3' THEN '#0000A3' END"
+
+
+@query(
+    "sheet_themes",
+    f"""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) AS row FROM l),
+      c AS (SELECT o, row, unnest([{{'s': 's' || (q + n) % 4, 'k': 1 + q % 3}}, {{'s': 's' || (o + n) % 4, 'k': 1}}, {{'s': '', 'k': 1}}], recursive := true) FROM r WHERE row <= 6),
+      b AS (SELECT o, list(s ORDER BY k DESC, s)[1] AS body FROM (SELECT o, s, sum(k) AS k FROM c WHERE row > 1 GROUP BY ALL) GROUP BY o),
+      d AS (SELECT o, row, list(s ORDER BY k DESC, s)[1] AS s FROM (SELECT o, row, s, sum(k) AS k FROM c GROUP BY ALL) GROUP BY o, row),
+      f AS (SELECT d.*, body, {_SHEET_FILL % "d.s"} AS fill, {_SHEET_FILL % "body"} AS body_fill FROM d LEFT JOIN b USING (o)),
+      x AS (SELECT o, any_value(body) AS body, any_value(s) FILTER (row = 1) AS head, any_value(fill) FILTER (row = 1) AS head_fill,
+        (list(fill ORDER BY row) FILTER (row > 1 AND s IS DISTINCT FROM body AND fill IS NOT NULL AND fill IS DISTINCT FROM body_fill))[1] AS stripe FROM f GROUP BY o)
+    SELECT o AS l_orderkey, CASE WHEN body IN ('s1', 's2') THEN 11.0 ELSE 10.0 END::DOUBLE AS size, CASE WHEN head IS DISTINCT FROM body THEN head_fill END AS header,
+      CASE WHEN body IN ('s1', 's2') OR head IN ('s1', 's2') THEN 0.5::DOUBLE END AS border, stripe FROM x""",
+)
+def sheet_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An open spreadsheet for each order, with a row for each line: repeated, plain and covered cells, styles based on others."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+    o, n, q = (F.col(x) for x in ("l_orderkey", "n", "q"))
+    cells = '<x:table-row><x:table-cell x:style-name="s%d" x:number-columns-repeated="%d"/><x:table-cell x:style-name="s%d"><x:p>1</x:p></x:table-cell><x:covered-table-cell/></x:table-row>'
+    row = F.format_string(cells, (q + n) % 4, 1 + q % 3, (o + n) % 4)
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", row.alias("x")))), lambda r: r["x"]), "")  # a line number once, so seven at most
+    style = lambda k, up, inner: f'<x:style x:name="s{k}" x:family="table-cell" x:parent-style-name="{up}">{inner}</x:style>'
+    fill = lambda k: f'<x:table-cell-properties x:background-color="#0000a{k}"/>'
+    own = style(1, "s0", '<x:text-properties x:font-size="11pt"/><x:table-cell-properties x:border="0.5pt solid #0000ff"/>') + style(2, "s1", fill(2)) + style(3, "gone", fill(3))
+    common = '<x:styles xmlns:x="urn:x"><x:default-style x:family="table-cell"><x:text-properties x:font-size="10pt"/></x:default-style>' + style(0, "none", fill(0)) + "</x:styles>"
+    content = F.concat(F.lit(f'<x:content xmlns:x="urn:x">{own}<x:table>'), F.col("rows"), F.lit("</x:table></x:content>"))
+    packages = F.array(F.struct(*_part("content.xml", content)), F.struct(*_part("styles.xml", F.lit(common))))
+    parts = lines.groupBy("l_orderkey").agg(rows.alias("rows")).select("l_orderkey", F.explode(packages).alias("p")).select("l_orderkey", "p.*")
+    t = "theme.table."
+    return K.sheet_themes(parts, ["l_orderkey"]).select(
+        "l_orderkey", F.col("theme.document.font_size_pt").alias("size"), F.col(t + "header_background").alias("header"), F.col(t + "border_width_pt").alias("border"), F.col(t + "stripe_background").alias("stripe")
+    )
+
+
 @query(
     "slide_themes",
     """SELECT s_suppkey, 'Minor' || s_nationkey AS font, CASE s_suppkey % 2 WHEN 0 THEN 'Major' ELSE 'Minor' || s_nationkey END AS heading_font, printf('#%02X00%02X', s_suppkey % 256, s_nationkey) AS heading_color,
