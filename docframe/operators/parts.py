@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import pieces
+from .inheritance import written
 from .relational import resolve_part
 
 #: Rows of a lookup's smaller side that are broadcast at most.
 MOST_BROADCAST = 100_000
-#: How built-in XML functions read parts: names without their prefixes.
-XML = {"ignoreNamespace": "true", "attributePrefix": "_", "ignoreSurroundingSpaces": "false"}
 
 
 def package_parts(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
@@ -41,12 +41,74 @@ def package_parts(files: DataFrame, keys: list[str], content: str = "content") -
     return files.select(*keys, content).mapInArrow(run, schema)
 
 
+def _local(name: str) -> str:
+    return name.rpartition("}")[2]
+
+
+def _cast(t: T.DataType) -> Callable[[str], object]:
+    def number(text: str) -> object:
+        try:
+            n = int(text) if isinstance(t, T.IntegerType) else float(text)
+        except ValueError:
+            return None
+        return n if isinstance(n, float) or -(1 << 31) <= n < 1 << 31 else None
+
+    return str if isinstance(t, T.StringType) else number
+
+
+def _reader(t: T.StructType) -> Callable[[ET.Element], dict]:
+    """From an XML element to a struct: fields `_name` are attributes, others child elements, arrays of all or structs of the last."""
+    attributes = {f.name[1:]: (f.name, _cast(f.dataType)) for f in t if f.name.startswith("_")}
+    children = {f.name: (isinstance(f.dataType, T.ArrayType), _reader(f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType)) for f in t if not f.name.startswith("_")}
+
+    def read(e: ET.Element) -> dict:
+        out: dict[str, object] = {}
+        for k, v in e.attrib.items():
+            if a := attributes.get(_local(k)):
+                out[a[0]] = a[1](v)
+        for c in e if children else ():
+            name = _local(c.tag)
+            if found := children.get(name):
+                if found[0]:
+                    out.setdefault(name, []).append(found[1](c))
+                else:
+                    out[name] = found[1](c)
+        return out
+
+    return read
+
+
+def read_xml(parts: DataFrame, keys: list[str], shape: str) -> DataFrame:
+    """(keys, x): each part as a struct of the shape, by local names; null for a part that is no XML.
+
+    Spark's from_xml sets up a parser for each row, which takes milliseconds; this takes tens of microseconds. Parts of a
+    batch that are alike are read once.
+    """
+    kind = T._parse_datatype_string(shape)
+    schema = T.StructType([*parts.select(*keys).schema, T.StructField("x", kind)])
+    into = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(kind)
+        for batch in pieces(batches, -1):
+            seen: dict[bytes | None, dict | None] = {None: None}
+            for data in (content := batch.column(batch.num_columns - 1).to_pylist()):
+                if data not in seen:
+                    try:
+                        seen[data] = read(ET.fromstring(data))
+                    except ET.ParseError:
+                        seen[data] = None
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([seen[data] for data in content], into)], names=schema.names)
+
+    return parts.select(*keys, "bytes").mapInArrow(run, schema)
+
+
 def relationships(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, part, rel_id, type, target, external): what each part refers to; targets inside the package are parts' names."""
     shape = "struct<Relationship: array<struct<_Id: string, _Type: string, _Target: string, _TargetMode: string>>>"
     rels = parts.where(F.col("part").endswith(".rels"))
     owner = F.regexp_replace(F.regexp_replace("part", r"_rels/([^/]*)$", "$1"), r"\.rels$", "")
-    each = rels.select(*keys, owner.alias("part"), F.explode(F.from_xml(F.col("bytes").cast("string"), shape, XML)["Relationship"]).alias("r"))
+    each = read_xml(rels.withColumn("part", owner), [*keys, "part"], shape).select(*keys, "part", F.explode("x.Relationship").alias("r"))
     external = F.coalesce(F.col("r._TargetMode") == "External", F.lit(False))
     folder = F.regexp_replace("part", "[^/]*$", "")
     path = F.when(F.col("r._Target").startswith("/"), F.col("r._Target")).otherwise(F.concat(folder, "r._Target"))
@@ -113,7 +175,8 @@ def children(nodes: DataFrame, keys: list[str], parent: str, child: str) -> Data
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small."""
+    """df, written once, and marked for broadcast if a count shows that it is small."""
+    df = written(df)
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
@@ -127,7 +190,7 @@ def numbering(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame,
         f"struct<abstractNum: array<struct<_abstractNumId: string, lvl: array<struct<_ilvl: int, start: {val}, numFmt: {val}>>>>, "
         f"num: array<struct<_numId: string, abstractNumId: {val}, lvlOverride: array<struct<_ilvl: int, startOverride: {val}>>>>>"
     )
-    read = parts.where(F.col("part").endswith("numbering.xml")).select(*keys, F.from_xml(F.col("bytes").cast("string"), shape, XML).alias("x"))
+    read = written(read_xml(parts.where(F.col("part").endswith("numbering.xml")), keys, shape))
     num = read.select(*keys, F.explode("x.num").alias("n"))
     numbers = num.select(*keys, F.col("n._numId").alias("num_id"), F.col("n.abstractNumId._val").alias("abstract_id"))
     overrides = num.select(*keys, F.col("n._numId").alias("num_id"), F.explode("n.lvlOverride").alias("o")).select(*keys, "num_id", F.col("o._ilvl").alias("level"), F.col("o.startOverride._val").cast("long").alias("start"))
@@ -183,7 +246,7 @@ def theme_colors(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, theme): the colours of a workbook's theme by slot, six digits each or null."""
     color = "struct<srgbClr: struct<_val: string>, sysClr: struct<_lastClr: string>>"
     shape = "struct<themeElements: struct<clrScheme: struct<" + ", ".join(f"{s}: {color}" for s in THEME_SLOTS) + ">>>"
-    read = parts.where(F.col("part").rlike("theme/theme[0-9]*[.]xml$")).select(*keys, F.from_xml(F.col("bytes").cast("string"), shape, XML)["themeElements"]["clrScheme"].alias("c"))
+    read = read_xml(parts.where(F.col("part").rlike("theme/theme[0-9]*[.]xml$")), keys, shape).select(*keys, F.col("x.themeElements.clrScheme").alias("c"))
     return read.select(*keys, F.array(*[F.upper(F.coalesce(f"c.{s}.srgbClr._val", f"c.{s}.sysClr._lastClr")) for s in THEME_SLOTS]).alias("theme"))
 
 
@@ -208,23 +271,21 @@ def cell_formats(parts: DataFrame, keys: list[str]) -> DataFrame:
 
     Fonts, fills and borders are met by their places: format to font, fill and border. A place that is not there is an error.
     """
-    read = parts.where(F.col("part").endswith("styles.xml")).select(*keys, F.from_xml(F.col("bytes").cast("string"), _STYLES, XML).alias("x"))
-    with_theme = read.join(theme_colors(parts, keys), keys, "left")
-    of = lambda path, name: with_theme.select(*keys, "theme", F.posexplode(path).alias(name, "v"))
+    read = read_xml(parts.where(F.col("part").endswith("styles.xml")), keys, _STYLES).join(theme_colors(parts, keys), keys, "left")
+    each = read.select(*keys, "theme", "x.fonts.font", "x.fills.fill", "x.borders.border", F.posexplode("x.cellXfs.xf").alias("style", "v"))
+    own = each.select(*keys, "style", "theme", "v", *[F.struct(F.coalesce(f"v._{n}Id", F.lit(0)).alias("id"), F.get(n, F.coalesce(f"v._{n}Id", F.lit(0))).alias("of")).alias(n) for n in ("font", "fill", "border")])
+    missing = lambda n: F.raise_error(F.concat_ws(" ", F.lit(f"missing {n}"), *[F.col(k).cast("string") for k in keys], F.col(f"{n}.id").cast("string"))).cast("boolean")
+    for n in ("font", "fill", "border"):
+        own = own.where(F.when(F.col(f"{n}.of").isNull(), missing(n)).otherwise(F.lit(True)))
     on = lambda v: v.isNotNull() & ~F.coalesce(v["_val"], F.lit("1")).isin("0", "false")
-    fonts = of("x.fonts.font", "font_id").select(*keys, "font_id", F.struct(F.col("v.name._val").alias("font"), F.col("v.sz._val").alias("size"), on(F.col("v.b")).alias("bold"), on(F.col("v.i")).alias("italic"), color_of(F.col("v.color"), F.col("theme")).alias("color")).alias("f"))
-    solid = F.when(F.lower("v.patternFill._patternType") == "solid", color_of(F.col("v.patternFill.fgColor"), F.col("theme")))
-    fills = of("x.fills.fill", "fill_id").select(*keys, "fill_id", F.struct(solid.alias("fill")).alias("l"))
-    width = F.try_element_at(F.create_map(*[F.lit(x) for pair in BORDERS.items() for x in pair]), F.lower("v.left._style"))
-    borders = of("x.borders.border", "border_id").select(*keys, "border_id", F.struct(width.alias("border"), F.when(width.isNotNull(), color_of(F.col("v.left.color"), F.col("theme"))).alias("border_color")).alias("b"))
+    f, l, b, theme = F.col("font.of"), F.col("fill.of.patternFill"), F.col("border.of.left"), F.col("theme")
+    width = F.try_element_at(F.create_map(*[F.lit(x) for pair in BORDERS.items() for x in pair]), F.lower(b["_style"]))
     h = F.lower("v.alignment._horizontal")
     align = F.when(h.isin("left", "general"), "left").when(h.isin("center", "centercontinuous"), "center").when(h == "right", "right").when(h.isin("justify", "distributed"), "justify")
-    formats = of("x.cellXfs.xf", "style").select(
-        *keys, "style", *[F.coalesce(f"v._{n}Id", F.lit(0)).alias(f"{n}_id") for n in ("font", "fill", "border")], F.lit("font").alias("font_kind"), F.lit("fill").alias("fill_kind"), F.lit("border").alias("border_kind"), align.alias("align")
+    return own.select(
+        *keys, "style", f["name"]["_val"].alias("font"), f["sz"]["_val"].alias("size"), on(f["b"]).alias("bold"), on(f["i"]).alias("italic"), color_of(f["color"], theme).alias("color"),
+        F.when(F.lower(l["_patternType"]) == "solid", color_of(l["fgColor"], theme)).alias("fill"), width.alias("border"), F.when(width.isNotNull(), color_of(b["color"], theme)).alias("border_color"), align.alias("align"),
     )
-    for n, side in (("font", fonts), ("fill", fills), ("border", borders)):
-        formats = resolved(formats, side, [*keys, f"{n}_id"], f"{n}_kind", {n: "error"})
-    return formats.select(*keys, "style", "f.*", "l.*", "b.*", "align")
 
 
 def styled_cells(cells: DataFrame, rows: DataFrame, formats: DataFrame, keys: list[str]) -> DataFrame:

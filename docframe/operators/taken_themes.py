@@ -97,7 +97,7 @@ def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
 
     Of styles with one id the last holds. open: the chain does not end, as it comes back to itself.
     """
-    read = parts.where(F.col("part") == "word/styles.xml").select(*keys, F.from_xml(F.col("bytes").cast("string"), _STYLES, P.XML).alias("x"))
+    read = P.read_xml(parts.where(F.col("part") == "word/styles.xml"), keys, _STYLES)
     each = read.select(*keys, F.posexplode("x.style").alias("at", "s")).where("s._type = 'paragraph' and s._styleId <> ''")
     own = each.select(*keys, "at", F.col("s._styleId").alias("id"), F.col("s.name._val").alias("name"), F.coalesce(_on("s._default"), F.lit(False)).alias("default"), F.col("s.basedOn._val").alias("up"), *_properties("s.rPr", "s.pPr"))
     rest = [c for c in own.columns if c not in (*keys, "at", "id")]
@@ -109,7 +109,7 @@ def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def theme_fonts(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
     """(keys, major, minor): the fonts of a theme part."""
-    read = parts.where(F.col("part") == part).select(*keys, F.from_xml(F.col("bytes").cast("string"), _FONTS, P.XML)["themeElements"]["fontScheme"].alias("f"))
+    read = P.read_xml(parts.where(F.col("part") == part), keys, _FONTS).select(*keys, F.col("x.themeElements.fontScheme").alias("f"))
     return read.select(*keys, _not_blank("f.majorFont.latin._typeface").alias("major"), _not_blank("f.minorFont.latin._typeface").alias("minor"))
 
 
@@ -145,7 +145,7 @@ def word_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     role = lambda rank: F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "id", "open", *_TAKEN)))
     levels = [role(F.when((plain("id") == f"heading{k}") | (plain("name") == f"heading{k}"), 0)).alias(f"h{k}") for k in LEVELS]
     styles = word_styles(parts, keys).groupBy(*keys).agg(role(normal).alias("n"), *levels)
-    read = parts.where(F.col("part") == "word/styles.xml").select(*keys, F.from_xml(F.col("bytes").cast("string"), _STYLES, P.XML)["docDefaults"].alias("d"))
+    read = P.read_xml(parts.where(F.col("part") == "word/styles.xml"), keys, _STYLES).select(*keys, F.col("x.docDefaults").alias("d"))
     defaults = read.select(*keys, F.struct(*_properties("d.rPrDefault.rPr", "d.pPrDefault.pPr")).alias("d"))
     every = parts.where(F.col("part") == "word/document.xml").select(*keys)
     for side in (styles, defaults, theme_fonts(parts, keys, "word/theme/theme1.xml"), _pages(parts, keys)):
@@ -181,7 +181,7 @@ def word_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
 def _first_sheets(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, part): the part of each workbook's first sheet."""
     shape = "struct<sheets: struct<sheet: array<struct<_id: string>>>>"
-    books = parts.where(F.col("part") == "xl/workbook.xml").select(*keys, F.col("part").alias("book"), F.from_xml(F.col("bytes").cast("string"), shape, P.XML)["sheets"]["sheet"].alias("s"))
+    books = P.read_xml(parts.where(F.col("part") == "xl/workbook.xml"), keys, shape).select(*keys, F.lit("xl/workbook.xml").alias("book"), F.col("x.sheets.sheet").alias("s"))
     named = books.select(*keys, "book", F.coalesce(F.get("s", F.lit(0))["_id"], F.lit("")).alias("rel_id"), F.lit("sheet").alias("kind"))
     targets = P.relationships(parts, keys).select(*keys, F.col("part").alias("book"), "rel_id", "target")
     return P.resolved(named, targets, [*keys, "book", "rel_id"], "kind", {"sheet": "error"}).select(*keys, F.col("target").alias("part"))
