@@ -13,10 +13,15 @@ from . import convert as V
 from .queries import _read, query
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """df by its key in as many parts as shuffles have: few bytes that become large packages would else be put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_custkey, part, bytes) of a workbook for each customer, with the customer's orders."""
     row = F.struct("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"))
-    books = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
+    books = _spread(_read(spark, sf_dir, "orders"), "o_custkey").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
     made = V.convert_column(books, "json", "json", "xlsx", output="content", failfast=True)
     return P.package_parts(made.select("o_custkey", "content"), ["o_custkey"])
 
@@ -87,7 +92,7 @@ def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nums = [F.concat(F.format_string('<w:num w:numId="%d"><w:abstractNumId w:val="%d"/>', F.lit(n), (F.lit(n) + key) % 3), own.get(n, F.lit("")), F.lit("</w:num>")) for n in range(5)]
     xml = F.concat(F.lit('<w:numbering xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'), *abstract, *nums, F.lit("</w:numbering>"))
     orders = _read(spark, sf_dir, "orders")
-    parts = orders.select("o_custkey").distinct().select("o_custkey", *_part("word/numbering.xml", xml))
+    parts = _spread(orders.select("o_custkey"), "o_custkey").distinct().select("o_custkey", *_part("word/numbering.xml", xml))
     items = orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 6).cast("string").alias("num_id"), (F.floor(F.col("o_orderkey") / 6) % 4).cast("int").alias("level"))
     return P.list_levels(items, ["o_custkey"], *P.numbering(parts, ["o_custkey"])).select("o_orderkey", "format", "start")
 
@@ -147,7 +152,7 @@ def workbook_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     accent = F.when(b % 2 == 0, "<a:accent1><a:srgbClr val='010101'/></a:accent1>").otherwise("<a:accent1><a:sysClr val='x' lastClr='010180'/></a:accent1>")
     theme = F.concat(F.lit("<a:theme xmlns:a='http://schemas.openxmlformats.org/drawingml/2006/main'><a:themeElements><a:clrScheme>"), accent, F.lit("</a:clrScheme></a:themeElements></a:theme>"))
     orders = _read(spark, sf_dir, "orders")
-    books = orders.select("o_custkey").distinct()
+    books = _spread(orders.select("o_custkey"), "o_custkey").distinct()
     parts = books.select("o_custkey", *_part("xl/styles.xml", styles)).union(books.select("o_custkey", *_part("xl/theme/theme1.xml", theme)))
     own = F.when(F.col("o_orderkey") % 8 < 5, F.col("o_orderkey") % 8).cast("int")
     cells = orders.select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("sheet_row"), own.alias("style"))
@@ -284,7 +289,7 @@ def word_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def workbook_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for each order, with a row for each line: cells with a format of their own, of their row, or none."""
-    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+    lines = _spread(_read(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
     o, n, q = (F.col(x) for x in ("l_orderkey", "n", "q"))
     row = F.concat(F.lit("<row"), F.when(q % 2 == 1, F.format_string(' s="%d"', q % 4)).otherwise(""), F.format_string('><c s="%d"/><c s="%d"><v>1</v></c><c/></row>', (q + n) % 4, (o + n) % 4))
     sheet = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", row.alias("x")))), lambda r: r["x"]), "")  # a line number once, so seven at most
@@ -324,7 +329,7 @@ _SHEET_FILL = "CASE %s WHEN 's0' THEN '#0000A0' WHEN 's1' THEN '#0000A0' WHEN 's
 )
 def sheet_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An open spreadsheet for each order, with a row for each line: repeated, plain and covered cells, styles based on others."""
-    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+    lines = _spread(_read(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
     o, n, q = (F.col(x) for x in ("l_orderkey", "n", "q"))
     cells = '<x:table-row><x:table-cell x:style-name="s%d" x:number-columns-repeated="%d"/><x:table-cell x:style-name="s%d"><x:p>1</x:p></x:table-cell><x:covered-table-cell/></x:table-row>'
     row = F.format_string(cells, (q + n) % 4, 1 + q % 3, (o + n) % 4)
