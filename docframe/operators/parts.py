@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .batches import pieces
+from .batches import pieces, small_batches
 from .inheritance import written
 from .relational import resolve_part
 
@@ -38,6 +38,7 @@ def package_parts(files: DataFrame, keys: list[str], content: str = "content") -
                 made = [pa.array([r[x] for r in rows], t) for x, t in enumerate((pa.string(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *made], names=schema.names)
 
+    small_batches(files.sparkSession)
     return files.select(*keys, content).mapInArrow(run, schema)
 
 
@@ -130,13 +131,14 @@ def elements(parts: DataFrame, keys: list[str], names: tuple[str, ...] = ()) ->
         try:
             for event, e in ET.iterparse(io.BytesIO(data), ("start", "end")):
                 if event == "start":
-                    stack.append((n, stack[-1][0] if stack else None))
+                    stack.append((n, stack[-1][0] if stack else None, e))
                     n += 1
                 else:
-                    me, up = stack.pop()
+                    me, up, _ = stack.pop()
                     if not names or local(e.tag) in names:
                         yield me, up, local(e.tag), [(local(k), v) for k, v in e.attrib.items()], e.text
-                    e.clear()
+                    if stack:
+                        del stack[-1][2][:]  # else every element stays until the part ends
         except ET.ParseError as x:
             raise ValueError(f"{part}: {x}") from None
 
@@ -167,6 +169,57 @@ def elements(parts: DataFrame, keys: list[str], names: tuple[str, ...] = ()) ->
     return xml.select(*keys, "part", "bytes").mapInArrow(run, schema)
 
 
+def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str, ...], style: str, repeat: str, most_repeated: int) -> DataFrame:
+    """(keys, row, style, of_row, n): how many cells of each style the first rows with cells have, rows from 1, counted as a part is read.
+
+    style, of_row: the attribute of the cell, and that of its row; repeat: the attribute that says for how many a cell stands. Only counts of `most` rows are kept.
+    """
+    schema = T.StructType([*parts.select(*keys).schema, *T._parse_datatype_string("row int, style string, of_row string, n long")])
+    said = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
+
+    def of(data: bytes, part: str) -> dict[int, tuple[str | None, dict[str | None, int]]]:
+        stack: list[tuple[int, ET.Element]] = []
+        rows: dict[int, tuple[str | None, dict[str | None, int]]] = {}
+        n = 0
+        try:
+            for event, e in ET.iterparse(io.BytesIO(data), ("start", "end")):
+                if event == "start":
+                    stack.append((n, e))
+                    n += 1
+                    continue
+                stack.pop()
+                if stack:
+                    up, parent = stack[-1]
+                    if _local(e.tag) in cells and (up in rows or len(rows) < most or up < max(rows)):
+                        if up not in rows:
+                            rows[up] = (said(parent, style), {})
+                            if len(rows) > most:
+                                del rows[max(rows)]
+                        own = rows[up][1]
+                        text = (said(e, repeat) or "").strip() if repeat else ""
+                        name = said(e, style)
+                        own[name] = own.get(name, 0) + (max(min(int(text), most_repeated), 1) if text.lstrip("+-").isdecimal() else 1)
+                    del parent[:]
+        except ET.ParseError as x:
+            raise ValueError(f"{part}: {x}") from None
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, -1):
+            part = batch.column(batch.num_columns - 2).to_pylist()
+            out = [
+                (k, at, name, by_row, count)
+                for k, data in enumerate(batch.column(batch.num_columns - 1).to_pylist())
+                for at, (_, (by_row, own)) in enumerate(sorted(of(data, part[k]).items()), 1)
+                for name, count in own.items()
+            ]
+            owner = pa.array([o[0] for o in out], pa.int32())
+            made = [pa.array([o[x] for o in out], t) for x, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()), 1)]
+            yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-2]], *made], names=schema.names)
+
+    return parts.where("bytes is not null").select(*keys, "part", "bytes").mapInArrow(run, schema)
+
+
 def children(nodes: DataFrame, keys: list[str], parent: str, child: str) -> DataFrame:
     """(keys, part, parent's element and attributes, child's attributes and text): each child of a name with its parent."""
     up = nodes.where(F.col("name") == parent).select(*keys, "part", "element", F.col("attributes").alias("parent_attributes"))

@@ -6,8 +6,13 @@ where the package says nothing; `to_json(theme)` is then the sparse theme that `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions import themes
@@ -83,13 +88,48 @@ def _properties(run: str, paragraph: str) -> list[Column]:
     ]
 
 
+def _walked(styles: list[dict], columns: list[str]) -> list[dict]:
+    """One package's styles (id, up, columns), each with what it takes from those above it; open: the chain comes back to itself."""
+    own = {s["id"]: s for s in styles}
+    done: dict[str, dict] = {}
+    for first in own:
+        path: dict[str, None] = {}
+        at = first
+        while at in own and at not in done and at not in path:
+            path[at] = None
+            at = own[at]["up"]
+        way = list(path)
+        taken = done.get(at) or {c: None for c in columns} | {"open": False}
+        if at in path:  # twice around the ring, so that each has what all others say
+            ring = way[way.index(at) :]
+            way, taken = way[: -len(ring)], taken | {"open": True}
+            for s in [*reversed(ring), *reversed(ring)]:
+                taken = done[s] = taken | {c: own[s][c] for c in columns if own[s][c] is not None} | {"id": s}
+        for s in reversed(way):
+            taken = done[s] = taken | {c: own[s][c] for c in columns if own[s][c] is not None} | {"id": s}
+    return list(done.values())
+
+
 def _with_ancestors(styles: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, id, open, columns) of styles (keys, id, up, columns): what each has or takes from those it is based on."""
-    there = styles.select(*keys, F.col("id").alias("up"), F.lit(True).alias("__there"))
-    chained = styles.join(there, [*keys, "up"], "left").withColumn("__ends", F.when(F.col("__there").isNull(), True))
-    name = lambda id_: F.to_json(F.struct(*keys, F.col(id_).alias("id")))
-    found = I.inherited(chained.select(name("id").alias("style"), F.when(F.col("__there"), name("up")).alias("parent"), *columns, "__ends"), [*columns, "__ends"])
-    return styles.select(*keys, "id", name("id").alias("style")).join(found, "style").select(*keys, "id", F.col("__ends").isNull().alias("open"), *columns)
+    """(keys, id, open, columns) of styles (keys, id, up, columns): what each has or takes from those it is based on.
+
+    A package's styles come from one or two parts, which a task holds anyway, so their chains are walked where they lie; chains
+    over whole tables are `inheritance`'s.
+    """
+    kinds = {f.name: f.dataType for f in styles.schema}
+    out = T.StructType([T.StructField("id", T.StringType()), T.StructField("open", T.BooleanType()), *[T.StructField(c, kinds[c]) for c in columns]])
+    packages = styles.groupBy(*keys).agg(F.collect_list(F.struct("id", "up", *columns)).alias("s"))
+    schema = T.StructType([*packages.select(*keys).schema, *out])
+    into = [to_arrow_type(f.dataType) for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                made = [(k, s) for k, styles in enumerate(batch.column(batch.num_columns - 1).to_pylist()) for s in _walked(styles, columns)]
+                owner = pa.array([k for k, _ in made], pa.int32())
+                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *[pa.array([s[f.name] for _, s in made], t) for f, t in zip(out, into)]], names=schema.names)
+
+    return packages.mapInArrow(run, schema)
 
 
 def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,11 +230,9 @@ def _first_sheets(parts: DataFrame, keys: list[str]) -> DataFrame:
 def _row_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, style, n): how many cells of each style the first rows with cells of the first sheets have."""
     sheets = parts.join(_first_sheets(parts, keys), [*keys, "part"])
-    nodes = P.elements(sheets, keys, ("row", "c"))
-    rows = nodes.where("name = 'row'").select(*keys, F.col("element").alias("parent"), F.col("attributes")["s"].cast("int").alias("of_row"))
-    cells = nodes.where("name = 'c'").groupBy(*keys, "parent", F.col("attributes")["s"].cast("int").alias("own")).agg(F.count("*").alias("n"))
-    ranked = cells.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("parent"))).where(F.col("row") <= TABLE_ROWS)
-    return ranked.join(rows, [*keys, "parent"]).groupBy(*keys, "row", F.coalesce("own", "of_row", F.lit(0)).alias("style")).agg(F.sum("n").alias("n"))
+    cells = P.first_cells(sheets, keys, TABLE_ROWS, ("c",), "s", "", 1)
+    style = F.coalesce(F.col("style").cast("int"), F.col("of_row").cast("int"), F.lit(0))
+    return cells.groupBy(*keys, "row", style.alias("style")).agg(F.sum("n").alias("n"))
 
 
 def _commonest(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -289,10 +327,8 @@ def sheet_styles(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 def sheet_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Themes of open spreadsheets: as of workbooks, with styles by name; a name that is not there stands for the default style."""
     books = parts.where(F.col("part") == "content.xml")
-    cells = P.elements(books, keys, ("table-cell", "covered-table-cell"))
-    repeat = F.greatest(F.least(F.coalesce(F.col("attributes")["number-columns-repeated"].cast("long"), F.lit(1)), F.lit(MOST_REPEATED)), F.lit(1))
-    counts = cells.groupBy(*keys, "parent", F.coalesce(F.col("attributes")["style-name"], F.lit("")).alias("style")).agg(F.sum(repeat).alias("n"))
-    counts = I.written(counts.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("parent"))).where(F.col("row") <= TABLE_ROWS))
+    cells = P.first_cells(books, keys, TABLE_ROWS, ("table-cell", "covered-table-cell"), "style-name", "number-columns-repeated", MOST_REPEATED)
+    counts = I.written(cells.select(*keys, "row", F.coalesce("style", F.lit("")).alias("style"), "n"))
     body = books.select(*keys).join(_commonest(counts.where("row > 1"), keys), keys, "left").select(*keys, F.lit(0).alias("row"), "style")
     named, default = sheet_styles(parts, keys)
     own = body.unionByName(_commonest(counts, [*keys, "row"])).withColumn("id", F.col("style")).join(named, [*keys, "id"], "left")

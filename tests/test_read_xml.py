@@ -26,3 +26,21 @@ def test_no_parser_by_row(spark, made):
     """from_xml takes milliseconds a part, so lookups over a million parts never end with it."""
     parts = spark.createDataFrame([(1, "a/numbering.xml", b"<x/>")], "k int, part string, bytes binary")
     assert "xml" not in _plan(made(parts)).lower().replace("run(", "").replace(".xml", "").replace("[.]xml", "")
+
+
+def test_walked():
+    """Chains of any length, one that ends nowhere, and rings: each style has the nearest value above it, its own first."""
+    styles = [{"id": f"s{k}", "up": f"s{k - 1}", "a": k if k % 1000 == 0 else None, "b": None} for k in range(5000)]
+    styles += [{"id": n, "up": up, "a": a, "b": b} for n, up, a, b in (("x", "y", None, 1), ("y", "z", 2, None), ("z", "x", 3, None), ("t", "x", None, None), ("u", "gone", None, 5))]
+    got = {s["id"]: (s["open"], s["a"], s["b"]) for s in K._walked(styles, ["a", "b"])}
+    assert all(got[f"s{k}"] == (False, k // 1000 * 1000, None) for k in range(5000))
+    assert {k: got[k] for k in "xyztu"} == {"x": (True, 2, 1), "y": (True, 2, 1), "z": (True, 3, 1), "t": (True, 2, 1), "u": (False, None, 5)}
+
+
+def test_first_cells(spark):
+    """Only the first rows with cells are kept, whatever their order of ends; repeats count, and rows lend their style."""
+    rows = "".join(f"<r s='{k}'>" + ("" if k == 1 else "<c/><c s='9' n='3'/><c s='9' n='x'/>") + "</r>" for k in range(40))
+    parts = spark.createDataFrame([(1, "a.xml", f"<t>{rows}</t>".encode()), (2, "b.xml", b"<t><r/></t>")], "k int, part string, bytes binary")
+    got = sorted(map(tuple, P.first_cells(parts, ["k"], 3, ("c",), "s", "n", 100).collect()), key=str)
+    assert got == [(1, row, s, of_row, n) for row, of_row in ((1, "0"), (2, "2"), (3, "3")) for s, n in (("9", 4), (None, 1))]
+    assert P.elements(parts, ["k"], ("c",)).count() == 39 * 3
