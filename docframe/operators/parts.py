@@ -221,7 +221,11 @@ def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str,
 
 
 def children(nodes: DataFrame, keys: list[str], parent: str, child: str) -> DataFrame:
-    """(keys, part, parent's element and attributes, child's attributes and text): each child of a name with its parent."""
+    """(keys, part, parent's element and attributes, child's attributes and text): each child of a name with its parent.
+
+    Both sides are written in one pass, as what nodes are made of would else be made for each side.
+    """
+    nodes = written(nodes.where(F.col("name").isin(parent, child)))
     up = nodes.where(F.col("name") == parent).select(*keys, "part", "element", F.col("attributes").alias("parent_attributes"))
     down = nodes.where(F.col("name") == child).select(*keys, "part", F.col("parent").alias("element"), "attributes", "text")
     return up.join(down, [*keys, "part", "element"])

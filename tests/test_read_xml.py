@@ -44,3 +44,11 @@ def test_first_cells(spark):
     got = sorted(map(tuple, P.first_cells(parts, ["k"], 3, ("c",), "s", "n", 100).collect()), key=str)
     assert got == [(1, row, s, of_row, n) for row, of_row in ((1, "0"), (2, "2"), (3, "3")) for s, n in (("9", 4), (None, 1))]
     assert P.elements(parts, ["k"], ("c",)).count() == 39 * 3
+
+
+def test_children_once(spark):
+    """Parts are read once for both sides of the join."""
+    parts = spark.createDataFrame([(1, "a.xml", b"<t><c r='A1'><v>5</v></c><c r='A2'/></t>")], "k int, part string, bytes binary")
+    found = P.children(P.elements(parts, ["k"]), ["k"], "c", "v")
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["parent_attributes"], r["text"]) for r in found.collect()] == [({"r": "A1"}, "5")]
