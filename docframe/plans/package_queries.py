@@ -186,9 +186,7 @@ def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as one chain of styles, each based on the one before: as many levels as rows."""
     events = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 7, F.col("user_id")).alias("size"))
-    ordered = events.withColumn("group", F.lit(0))
-    before = O.last_known(ordered, ["group"], "event_id", F.col("event_id"), "me")
-    chain = before.select(F.col("event_id").alias("style"), F.when(F.col("event_id") > 0, F.col("event_id") - 1).alias("parent"), "size")
+    chain = events.select(F.col("event_id").alias("style"), F.when(F.col("event_id") > 0, F.col("event_id") - 1).alias("parent"), "size")
     return I.cascaded(chain, ["size"], {"size": F.lit(-1).cast("long")})
 
 
