@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .batches import pieces, small_batches
+from .batches import Run, Step, picking, pieces, small_batches, through
 from .inheritance import written
 from .relational import resolve_part
 
@@ -23,7 +24,12 @@ MOST_BROADCAST = 100_000
 
 def package_parts(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, part, bytes, error): a row for each part of each package; one with an error for what is no package."""
-    schema = T.StructType([*files.select(*keys).schema, *T._parse_datatype_string("part string, bytes binary, error string")])
+    return through(files.select(*keys, content), opening)
+
+
+def opening(given: T.StructType) -> tuple[Run, T.StructType]:
+    """package_parts() as a step of batches whose last column is the package."""
+    schema = T.StructType([*given[:-1], *T._parse_datatype_string("part string, bytes binary, error string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, -1):
@@ -38,8 +44,7 @@ def package_parts(files: DataFrame, keys: list[str], content: str = "content") -
                 made = [pa.array([r[x] for r in rows], t) for x, t in enumerate((pa.string(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *made], names=schema.names)
 
-    small_batches(files.sparkSession)
-    return files.select(*keys, content).mapInArrow(run, schema)
+    return run, schema
 
 
 def _local(name: str) -> str:
@@ -122,7 +127,19 @@ def elements(parts: DataFrame, keys: list[str], names: tuple[str, ...] = ()) ->
 
     text is an element's own, before its first child. Where names are given, only elements of these become rows. A part that is cut off or broken ends the query with an error.
     """
-    schema = T.StructType([*parts.select(*keys).schema, *T._parse_datatype_string("part string, element int, parent int, name string, attributes map<string,string>, text string")])
+    xml = parts.where(F.col("bytes").isNotNull() & (F.col("part").endswith(".xml") | F.col("part").endswith(".rels")))
+    return through(xml.select(*keys, "part", "bytes"), lambda schema: _parsing(schema, names))
+
+
+def package_elements(files: DataFrame, keys: list[str], content: str, names: tuple[str, ...] = (), before: tuple[Step, ...] = ()) -> DataFrame:
+    """elements() of the parts of packages, which are opened and parsed in one worker; before: steps that make the packages from content, as a column `content`."""
+    xml = lambda b: pc.and_(pc.is_valid(b["bytes"]), pc.fill_null(pc.or_(pc.ends_with(b["part"], ".xml"), pc.ends_with(b["part"], ".rels")), False))
+    own = picking([*keys, "content" if before else content])
+    return through(files.select(*keys, content), *before, own, opening, picking([*keys, "part", "bytes"], xml), lambda schema: _parsing(schema, names))
+
+
+def _parsing(given: T.StructType, names: tuple[str, ...]) -> tuple[Run, T.StructType]:
+    schema = T.StructType([*given[:-1], *T._parse_datatype_string("element int, parent int, name string, attributes map<string,string>, text string")])
     local = lambda name: name.rpartition("}")[2]
     most = 20_000
 
@@ -165,8 +182,7 @@ def elements(parts: DataFrame, keys: list[str], names: tuple[str, ...] = ()) ->
             if rows:
                 yield out()
 
-    xml = parts.where(F.col("bytes").isNotNull() & (F.col("part").endswith(".xml") | F.col("part").endswith(".rels")))
-    return xml.select(*keys, "part", "bytes").mapInArrow(run, schema)
+    return run, schema
 
 
 def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str, ...], style: str, repeat: str, most_repeated: int) -> DataFrame:

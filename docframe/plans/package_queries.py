@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import batches as B
 from ..operators import inheritance as I
 from ..operators import ordered as O
 from ..operators import parts as P
@@ -19,11 +20,17 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def _order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_custkey, part, bytes) of a workbook for each customer, with the customer's orders."""
+    """(o_custkey, json) of each customer's orders, of which _BOOK makes a workbook."""
     row = F.struct("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"))
-    books = _spread(_read(spark, sf_dir, "orders"), "o_custkey").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
-    made = V.convert_column(books, "json", "json", "xlsx", output="content", failfast=True)
-    return P.package_parts(made.select("o_custkey", "content"), ["o_custkey"])
+    return _spread(_read(spark, sf_dir, "orders"), "o_custkey").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
+
+
+_BOOK = V.converting("json", ["json", "xlsx"], {1: "content"}, failfast=True)
+
+
+def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, part, bytes, error) of a workbook for each customer, made and opened in one worker."""
+    return B.through(_order_books(spark, sf_dir), _BOOK, B.picking(["o_custkey", "content"]), P.opening)
 
 
 @query(
@@ -32,7 +39,7 @@ def _order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT DISTINCT o_custkey FROM orders)""",
 )
 def package_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_books(spark, sf_dir).select("o_custkey", "part")
+    return _order_parts(spark, sf_dir).select("o_custkey", "part")
 
 
 @query(
@@ -41,7 +48,7 @@ def package_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
       unnest(['xl/workbook.xml', 'xl/worksheets/sheet1.xml']) AS target, false AS external FROM (SELECT DISTINCT o_custkey FROM orders)""",
 )
 def package_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.relationships(_order_books(spark, sf_dir), ["o_custkey"])
+    return P.relationships(_order_parts(spark, sf_dir), ["o_custkey"])
 
 
 @query(
@@ -52,7 +59,7 @@ def package_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def package_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each element stands in a workbook's sheet, and which attributes it has."""
-    nodes = P.elements(_order_books(spark, sf_dir), ["o_custkey"]).where("part = 'xl/worksheets/sheet1.xml'")
+    nodes = P.package_elements(_order_books(spark, sf_dir), ["o_custkey"], "json", before=(_BOOK,)).where("part = 'xl/worksheets/sheet1.xml'")
     some = nodes.where(F.col("name").isin("row", "c", "v", "t", "pane"))
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("attributes")))))
     return some.groupBy("o_custkey", "name").agg(F.count("*").alias("n"), F.array_join(names, ",").alias("attributes"))
@@ -65,7 +72,7 @@ def package_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def package_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of the cells: each cell element joined to its value element."""
-    nodes = P.elements(_order_books(spark, sf_dir), ["o_custkey"])
+    nodes = P.package_elements(_order_books(spark, sf_dir), ["o_custkey"], "json", before=(_BOOK,))
     cells = P.children(nodes, ["o_custkey"], "c", "v")
     return cells.select("o_custkey", F.col("parent_attributes")["r"].alias("ref"), F.col("text").cast("double").alias("number"))
 

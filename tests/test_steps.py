@@ -35,3 +35,9 @@ def test_volumes(spark, monkeypatch):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{DATA}/customer.parquet'")
     want = con.sql(Q.SQL["cells_through_json"]).select(*[f'"{c}"' for c in df.columns]).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize(("name", "workers"), [("package_elements", 1), ("package_parts", 1), ("package_relationships", 2)])
+def test_packages_use_one_worker(spark, name, workers):
+    """Packages are made, opened and parsed in one Python worker a task, which is what bounds an executor's memory."""
+    assert Q.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == workers
