@@ -41,3 +41,9 @@ def test_volumes(spark, monkeypatch):
 def test_packages_use_one_worker(spark, name, workers):
     """Packages are made, opened and parsed in one Python worker a task, which is what bounds an executor's memory."""
     assert Q.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == workers
+
+
+@pytest.mark.parametrize("name", ["flagship", "markdown_nodes", "markdown_plain_text"])
+def test_pages_use_one_worker(spark, name):
+    """Pages become Markdown, trees and rows in one Python worker a task."""
+    assert Q.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
