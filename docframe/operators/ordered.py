@@ -6,16 +6,23 @@ so what is gathered by group is bounded by that, and no task holds a group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .batches import Run, through
+from .inheritance import written
 from .relational import numbered, ranged
 
+#: Rows of a group that is not cut into ranges.
+WHOLE_ROWS = 20_000
+
 
 def with_border(df: DataFrame, borders: DataFrame, by: list[str]) -> DataFrame:
     """df with the other columns of borders, by equal `by` and range; nulls are equal."""
@@ -48,50 +55,158 @@ def sum_before(df: DataFrame, by: list[str], order: str, value: Column, name: st
     ).drop("__value")
 
 
-def _nearest(by: list[str], order: str, level: str, schema: T.StructType) -> Callable[[pa.Table], pa.Table]:
-    """The last row before with a smaller level, among the rows of one range, by a stack."""
+def _keys(columns: list[pa.Array]) -> Iterator[tuple]:
+    """Rows of columns as tuples that are equal where a grouping takes them for equal."""
+    return zip(*[["nan" if v != v else v for v in c.to_pylist()] for c in columns], strict=True)
+
+
+def _stacked(by: list[str], order: str, level: str) -> Callable[[T.StructType], tuple[Run, T.StructType]]:
+    """Parents and numbers of rows inside ranges, by a stack of (level, order, number), as a step of sorted batches.
+
+    The last row of a range also has what is left: the stack as `__ends`, and the levels of rows without a parent there as
+    `__open`. Rows without a level have no parent, and are numbered by themselves.
+    """
+
+    def step(given: T.StructType) -> tuple[Run, T.StructType]:
+        lv, at = given[level].dataType, given[order].dataType
+        end = T.StructType([T.StructField("level", lv), T.StructField("at", at), T.StructField("number", T.LongType())])
+        schema = T.StructType([*given, T.StructField("parent", at), T.StructField("number", T.LongType()), T.StructField("__ends", T.ArrayType(end)), T.StructField("__open", T.ArrayType(lv))])
+        types = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before, stack, open_, blank = None, [], {}, 0
+
+            def left() -> tuple[list[dict], list[object]]:
+                ends = [{"level": lv, "at": at, "number": n} for lv, at, n in stack]
+                return (ends + [{"level": None, "at": None, "number": blank}] if blank else ends), list(open_) + [None] * (blank > 0)
+
+            held: pa.RecordBatch | None = None  # a range's last row is known by the next batch's first
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                parents, numbers, ends, opens = [], [], [None] * batch.num_rows, [None] * batch.num_rows
+                for k, (key, at, lv) in enumerate(zip(_keys([batch[c] for c in [*by, "__part"]]), batch[order].to_pylist(), batch[level].to_pylist(), strict=True)):
+                    if key != before:
+                        if k:
+                            ends[k - 1], opens[k - 1] = left()
+                        elif held is not None:
+                            yield _closed(held, *left())
+                            held = None
+                        before, stack, open_, blank = key, [], {}, 0
+                    if lv is None:
+                        blank += 1
+                        parents.append(None)
+                        numbers.append(blank)
+                        continue
+                    n = 1
+                    while stack and stack[-1][0] >= lv:
+                        last, _, m = stack.pop()
+                        if last == lv:
+                            n = m + 1
+                    parents.append(stack[-1][1] if stack else None)
+                    numbers.append(n)
+                    if not stack:
+                        open_[lv] = None
+                    stack.append((lv, at, n))
+                if held is not None:
+                    yield held
+                made = [pa.array(v, types.field(c).type) for c, v in (("parent", parents), ("number", numbers), ("__ends", ends), ("__open", opens))]
+                held = pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+            if held is not None:
+                yield _closed(held, *left())
+
+        return run, schema
+
+    return step
+
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        stack: list[tuple[object, object]] = []
-        out = []
-        for at, lv in zip(rows[order].to_pylist(), rows[level].to_pylist(), strict=True):
-            while stack and lv is not None and stack[-1][0] >= lv:
-                stack.pop()
-            out.append(stack[-1][1] if stack and lv is not None else None)
-            if lv is not None:
-                stack.append((lv, at))
-        return rows.append_column("parent", pa.array(out, rows[order].type))
+def _closed(batch: pa.RecordBatch, ends: list[dict], opens: list[object]) -> pa.RecordBatch:
+    """batch with what is left of its last row's range."""
+    columns = [pa.array([*c.to_pylist()[:-1], v], c.type) for c, v in zip(batch.columns[-2:], (ends, opens), strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=batch.schema.names)
 
-    return run
+
+def _carried(by: list[str]) -> Callable[[T.StructType], tuple[Run, T.StructType]]:
+    """(by, __part, level, __up, __more): what ranges before say to a range's rows without a parent, from sorted rows of ranges."""
+
+    def step(given: T.StructType) -> tuple[Run, T.StructType]:
+        end = given["__ends"].dataType.elementType
+        schema = T.StructType([*[given[c] for c in [*by, "__part"]], T.StructField("__level", end["level"].dataType), T.StructField("__up", end["at"].dataType), T.StructField("__more", T.LongType())])
+        types = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before, stack, blank = None, [], 0
+            for batch in batches:
+                rows: list[int] = []
+                out: list[tuple] = []
+                for k, (key, ends, opens) in enumerate(zip(_keys([batch[c] for c in by]) if by else [()] * batch.num_rows, batch["__ends"].to_pylist(), batch["__open"].to_pylist(), strict=True)):
+                    if key != before:
+                        before, stack, blank = key, [], 0
+                    for lv in opens if stack or blank else ():
+                        if lv is None:
+                            answer = (None, None, blank)
+                        else:
+                            place = bisect_left(stack, lv, key=lambda s: s[0])
+                            more = stack[place][2] if place < len(stack) and stack[place][0] == lv else 0
+                            answer = (lv, stack[place - 1][1] if place else None, more)
+                        rows.append(k)
+                        out.append(answer)
+                    own = [(e["level"], e["at"], e["number"]) for e in ends if e["level"] is not None]
+                    blank += sum(e["number"] for e in ends if e["level"] is None)
+                    if own:  # its least level ends what is not less, and goes on counting in the list of that level
+                        place = bisect_left(stack, own[0][0], key=lambda s: s[0])
+                        more = stack[place][2] if place < len(stack) and stack[place][0] == own[0][0] else 0
+                        stack = [*stack[:place], (own[0][0], own[0][1], own[0][2] + more), *own[1:]]
+                if rows:
+                    made = [pa.array([o[x] for o in out], types.field(c).type) for x, c in enumerate(("__level", "__up", "__more"))]
+                    yield pa.RecordBatch.from_arrays([*[batch[c].take(pa.array(rows)) for c in [*by, "__part"]], *made], names=schema.names)
+
+        return run, schema
+
+    return step
+
+
+def _outlined(df: DataFrame, by: list[str], order: str, level: str) -> DataFrame:
+    """df with `parent` and `number`.
+
+    Groups of up to WHOLE_ROWS rows stay whole. Larger ones are cut into ranges: a stack finds what is inside a range, is
+    written once, and what stacks have left at the ends of ranges answers rows whose parent or list began before.
+    """
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > WHOLE_ROWS)
+    large = written(sizes.select(*[F.col(c).alias(f"__l_{c}") for c in by], F.lit(True).alias("__large")))
+    cut = not large.isEmpty()
+    if cut:
+        parts = ranged(df.join(large, [F.col(c).eqNullSafe(F.col(f"__l_{c}")) for c in by] or F.lit(True), "left").drop(*[f"__l_{c}" for c in by]), [order])
+        parts = parts.withColumn("__part", F.when(F.col("__large"), F.col("__part")).otherwise(F.lit(0))).drop("__large")
+    else:
+        parts = df.withColumn("__part", F.lit(0))
+    sorted_ = parts.repartition(*by, "__part").sortWithinPartitions(*by, "__part", F.col(order).asc_nulls_last())
+    inside = through(sorted_, _stacked(by, order, level))
+    if not cut:
+        return inside.select(*df.columns, "parent", "number")
+    inside = written(inside)
+    ends = inside.where("__ends is not null").select(*by, "__part", "__ends", "__open")
+    near = ends.repartition(*by) if by else ends.repartition(1)  # a row for each range, of which there are at most MOST_RANGES
+    answers = written(through(near.sortWithinPartitions(*by, "__part"), _carried(by)))
+    named = answers.select(*[F.col(c).alias(f"__a_{c}") for c in [*by, "__part"]], "__level", "__up", "__more")
+    same = [F.col(c).eqNullSafe(F.col(f"__a_{c}")) for c in [*by, "__part"]] + [F.col(level).eqNullSafe(F.col("__level")), F.col("parent").isNull()]
+    return inside.join(named, same, "left").select(*df.columns, F.coalesce("parent", "__up").alias("parent"), (F.col("number") + F.coalesce("__more", F.lit(0))).alias("number"))
 
 
 def outline_parents(df: DataFrame, by: list[str], order: str, level: str) -> DataFrame:
     """df with `parent`: the order of the last row before that has a smaller level; null at the top, and for a null level.
 
-    A stack finds it inside a range. What it doesn't find is the last such row of the ranges before, and that is one after
-    which its range has no smaller or equal level: there are as many of these as a range has levels.
+    A stack finds it inside a range, and the stacks that ranges before have left, each as long as a range has levels, tell the rest.
     """
-    parts = ranged(df, [order])
-    schema = T.StructType([*parts.schema, T.StructField("parent", parts.schema[order].dataType)])
-    inside = parts.groupBy(*by, "__part").applyInArrow(_nearest(by, order, level, schema), schema)
-    after = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    last = parts.where(F.col(level).isNotNull()).withColumn("__least", F.min(level).over(after)).where(F.col("__least").isNull() | (F.col(level) < F.col("__least")))
-    ends = last.groupBy(*by).agg(F.collect_list(F.struct(F.col("__part").alias("part"), F.col(level).alias("level"), F.col(order).alias("at"))).alias("__ends"))
-    open_ = inside.where(F.col("parent").isNull() & F.col(level).isNotNull()).select(*by, "__part", level).distinct()
-    named = ends.select(*[F.col(c).alias(f"__e_{c}") for c in by], "__ends")
-    met = open_.join(named, [F.col(c).eqNullSafe(F.col(f"__e_{c}")) for c in by] or F.lit(True))
-    up = F.array_max(F.transform(F.filter("__ends", lambda e: (e["part"] < F.col("__part")) & (e["level"] < F.col(level))), lambda e: e["at"]))
-    answers = met.select(*[F.col(c).alias(f"__a_{c}") for c in [*by, "__part", level]], up.alias("__up")).where("__up is not null")
-    same = [F.col(c).eqNullSafe(F.col(f"__a_{c}")) for c in [*by, "__part", level]]
-    found = inside.join(answers, same, "left")
-    return found.select(*[F.col(c) for c in df.columns], F.coalesce("parent", "__up").alias("parent"))
+    return _outlined(df, by, order, level).drop("number")
 
 
 def list_numbers(df: DataFrame, by: list[str], order: str, level: str) -> DataFrame:
-    """df with `number`: the item's number in its list; a shallower item starts deeper lists anew. Items of one list have one parent and level."""
-    placed = outline_parents(df, by, order, level).withColumnRenamed("parent", "__list")
-    return numbered(placed, [*by, level, "__list"], [order]).drop("__list")
+    """df with `number`: the item's number in its list; a shallower item starts deeper lists anew. Items of one list have one parent and level.
+
+    The item before in a list is the one of its level that a stack gives up for it, so parents and numbers take one pass.
+    """
+    return _outlined(df, by, order, level).drop("parent")
 
 
 def expand_runs(rows: DataFrame, by: list[str], order: str, repeat: str = "repeat", cells: str = "cells") -> DataFrame:
