@@ -18,6 +18,7 @@ _sheet leave out partitions. (Spark's own pushdown is not used: it keeps a filte
 
 from __future__ import annotations
 
+import io
 import json
 import operator
 import posixpath
@@ -28,6 +29,7 @@ from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import islice
+from typing import IO
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -50,8 +52,55 @@ Row = tuple[int, list[Cell]]
 # ---- rows of sheets, one by one
 
 
-def _xlsx_rows(z: zipfile.ZipFile, part: str) -> Iterator[Row]:
-    """(row number, cells) of a sheet's part, in order, with one row in memory."""
+_ROW = re.compile(rb"""<(?:\w+:)?row(?=[\s/>])((?:[^<>"']|"[^<"]*"|'[^<']*')*)>""")
+_NUMBER = re.compile(rb"""\sr\s*=\s*["']([0-9]+)["']""")
+
+
+class _Joined:
+    """Bytes and what a file still holds, to read."""
+
+    def __init__(self, head: bytes, f: IO[bytes]) -> None:
+        self.head, self.f = io.BytesIO(head), f
+
+    def read(self, n: int) -> bytes:
+        return self.head.read(n) or self.f.read(n)
+
+
+def _skipping(f: IO[bytes], start: int) -> tuple[IO[bytes] | _Joined, int | None]:
+    """A sheet's part without the rows between its first and the row `start`, and the number of the last row left out.
+
+    Rows to leave out are known by their tags and not parsed, so a range of rows costs little more than its own rows. Where
+    comments, literal sections or instructions come before, what looks like a tag may be none, and the part stays whole.
+    """
+    whole = lambda: (f.seek(0), (f, None))[1]
+    odd = lambda data, at: data.find(b"<!", at) >= 0 or data.find(b"<?", at) >= 0
+    held = b""
+    while len(first := list(islice(_ROW.finditer(held), 2))) < 2:
+        block = f.read(1 << 20)
+        if not block or odd(held, 1):
+            return whole()
+        held += block
+    kept, held = held[: first[1].start()], held[first[1].start() :]
+    number = _NUMBER.search(first[0][1])
+    y, skipped = int(number[1]) if number else 1, None
+    if odd(kept, 1):
+        return whole()
+    while True:
+        end = 0
+        for m in _ROW.finditer(held):
+            number = _NUMBER.search(m[1])
+            y = int(number[1]) if number else y + 1
+            if y >= start:
+                return (_Joined(kept + held[m.start() :], f), skipped) if not odd(held[: m.start()], 0) else whole()
+            skipped, end = y, m.end()
+        block = f.read(1 << 20)
+        if not block or odd(held, 0):
+            return whole()
+        held = held[max(end, held.rfind(b"<")) :] + block  # the last tag may be cut off
+
+
+def _xlsx_rows(z: zipfile.ZipFile, part: str, start: int = 1) -> Iterator[Row]:
+    """(row number, cells) of a sheet's part, in order, with one row in memory: the first row, and rows from `start` on at least."""
     names = set(z.namelist())
     text = lambda e: "".join(t.text or "" for t in e.iter() if packages.local(t) == "t")
     shared = []
@@ -64,11 +113,12 @@ def _xlsx_rows(z: zipfile.ZipFile, part: str) -> Iterator[Row]:
     dates = packages.date_formats(z.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
     y, holder = 0, None
     with z.open(part) as f:
-        for event, e in ET.iterparse(f, ("start", "end")):
-            kind = packages.local(e)
-            if kind == "sheetData":
-                holder = e
-            if event == "end" and kind == "row":
+        source, skipped = _skipping(f, start) if start > 2 else (f, None)
+        for event, e in ET.iterparse(source, ("start", "end")):
+            if event == "start":
+                if holder is None and packages.local(e) == "sheetData":
+                    holder = e
+            elif e.tag.endswith("row") and packages.local(e) == "row":
                 y = int(e.get("r", y + 1))
                 cells: list[Cell] = []
                 for c in e:
@@ -76,6 +126,8 @@ def _xlsx_rows(z: zipfile.ZipFile, part: str) -> Iterator[Row]:
                     cells += [None] * (x + 1 - len(cells))
                     cells[x] = packages.xlsx_cell(c, shared, dates, text)
                 yield y, cells
+                if skipped is not None:
+                    y, skipped = skipped, None
                 if holder is not None:
                     holder.clear()
 
@@ -119,8 +171,8 @@ def _sheets(z: zipfile.ZipFile, kind: str) -> list[tuple[str, str]]:
     return out
 
 
-def _rows(z: zipfile.ZipFile, kind: str, what: str) -> Iterator[Row]:
-    return _xlsx_rows(z, what) if kind == "xlsx" else _ods_rows(z, what)
+def _rows(z: zipfile.ZipFile, kind: str, what: str, start: int = 1) -> Iterator[Row]:
+    return _xlsx_rows(z, what, start) if kind == "xlsx" else _ods_rows(z, what)
 
 
 def _count(z: zipfile.ZipFile, kind: str, what: str) -> int:
@@ -129,6 +181,12 @@ def _count(z: zipfile.ZipFile, kind: str, what: str) -> int:
         head, n, last = f.read(4096), 0, b""
         if kind == "xlsx" and (m := re.search(rb'<(?:\w+:)?dimension ref="[A-Z]+[0-9]+:[A-Z]+([0-9]+)"', head)):
             return int(m[1])
+        if kind == "xlsx" and re.search(rb"<worksheet[\s>]", head):  # tags without a prefix
+            while head:
+                joined = last + head
+                n += sum(joined.count(t) for t in (b"<row ", b"<row>", b"<row/"))
+                last, head = joined[-4:], f.read(1 << 20)
+            return n
         tag, block = (rb"<(?:\w+:)?row[ />]" if kind == "xlsx" else rb"<(?:\w+:)?table-row[ />]"), head
         while block:
             joined = last + block
@@ -265,7 +323,7 @@ class WorkbookReader(D.DataSourceReader):
             return
         store, _ = stores.opened(self.options["path"])
         with _package(store, piece.file) as (z, kind):
-            rows = self._records(_rows(z, kind, piece.what), piece)
+            rows = self._records(_rows(z, kind, piece.what, piece.start), piece)
             while many := list(islice(rows, BATCH_ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*many, strict=True), schema, strict=True)], schema=schema)
 
