@@ -47,3 +47,28 @@ def test_packages_use_one_worker(spark, name, workers):
 def test_pages_use_one_worker(spark, name):
     """Pages become Markdown, trees and rows in one Python worker a task."""
     assert Q.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def _page(spark, tmp_path, html):
+    spark.createDataFrame([(1, "u", "<p>fine</p>"), (2, "u", html)], "page_id int, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["document_chain", "markdown_docx_roundtrip", "markdown_html_roundtrip", "markdown_odt_roundtrip", "markdown_yaml_roundtrip", "slides_odp"])
+def test_failed_page_is_no_result(spark, tmp_path, name):
+    """A page that has no Markdown was null before and after its way, and so counted as kept."""
+    folder = _page(spark, tmp_path, '<table><tr><td colspan="2">a</td></tr><tr><td>b</td><td>c</td></tr></table>')
+    with pytest.raises(Exception, match="html to json: InvalidInput: colspan=2"):
+        Q.QUERIES[name](spark, folder).collect()
+
+
+@pytest.mark.parametrize("name", ["document_chain", "markdown_docx_roundtrip", "markdown_odt_roundtrip"])
+def test_failed_step_is_no_loss(spark, tmp_path, name):
+    """A page whose package can't be read again counted as one that lost something."""
+    with pytest.raises(Exception, match="InvalidInput"):
+        Q.QUERIES[name](spark, _page(spark, tmp_path, "<p>a\x01b</p>")).collect()
+
+
+def test_missing_page_is_kept(spark, tmp_path):
+    rows = Q.QUERIES["markdown_yaml_roundtrip"](spark, _page(spark, tmp_path, None)).collect()
+    assert {r["page_id"]: r["same"] for r in rows} == {1: True, 2: True}
