@@ -247,10 +247,16 @@ def children(nodes: DataFrame, keys: list[str], parent: str, child: str) -> Data
     return up.join(down, [*keys, "part", "element"])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffle. Spark takes a table for small by its bytes: millions of like rows are few when written, and parts
+    few before they are parsed, but not in the driver that would broadcast them."""
+    return df.hint("merge")
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """df, written once, and marked for broadcast if a count shows that it is small."""
+    """df, written once, and marked for broadcast if a count shows that it is small, else for a shuffle."""
     df = written(df)
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else shuffled(df)
 
 
 # ---- lookups
@@ -277,7 +283,7 @@ def list_levels(items: DataFrame, keys: list[str], numbers: DataFrame, levels: D
 
     A number's override wins over the level's start; bullets have no start; a number or level that is not there gives null.
     """
-    own = numbers.join(levels, [*keys, "abstract_id"]).join(overrides.withColumnRenamed("start", "__own"), [*keys, "num_id", "level"], "left")
+    own = numbers.join(shuffled(levels), [*keys, "abstract_id"]).join(shuffled(overrides.withColumnRenamed("start", "__own")), [*keys, "num_id", "level"], "left")
     start = F.when(F.col("format") != "bullet", F.coalesce("__own", "start", F.lit(1)))
     return items.join(sized(own.select(*keys, "num_id", "level", "format", start.alias("start"))), [*keys, "num_id", "level"], "left")
 
@@ -344,7 +350,7 @@ def cell_formats(parts: DataFrame, keys: list[str]) -> DataFrame:
 
     Fonts, fills and borders are met by their places: format to font, fill and border. A place that is not there is an error.
     """
-    read = read_xml(parts.where(F.col("part").endswith("styles.xml")), keys, _STYLES).join(theme_colors(parts, keys), keys, "left")
+    read = read_xml(parts.where(F.col("part").endswith("styles.xml")), keys, _STYLES).join(shuffled(theme_colors(parts, keys)), keys, "left")
     each = read.select(*keys, "theme", "x.fonts.font", "x.fills.fill", "x.borders.border", F.posexplode("x.cellXfs.xf").alias("style", "v"))
     own = each.select(*keys, "style", "theme", "v", *[F.struct(F.coalesce(f"v._{n}Id", F.lit(0)).alias("id"), F.get(n, F.coalesce(f"v._{n}Id", F.lit(0))).alias("of")).alias(n) for n in ("font", "fill", "border")])
     missing = lambda n: F.raise_error(F.concat_ws(" ", F.lit(f"missing {n}"), *[F.col(k).cast("string") for k in keys], F.col(f"{n}.id").cast("string"))).cast("boolean")
@@ -363,7 +369,7 @@ def cell_formats(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def styled_cells(cells: DataFrame, rows: DataFrame, formats: DataFrame, keys: list[str]) -> DataFrame:
     """cells (keys, sheet_row, style, ...) with their format: the cell's own, else its row's, else the first. A format that is not there is an error."""
-    own = cells.join(rows.select(*keys, "sheet_row", F.col("style").alias("__row")), [*keys, "sheet_row"], "left")
+    own = cells.join(shuffled(rows.select(*keys, "sheet_row", F.col("style").alias("__row"))), [*keys, "sheet_row"], "left")
     chosen = own.withColumn("style", F.coalesce("style", "__row", F.lit(0))).drop("__row").withColumn("__kind", F.lit("cell format"))
     return resolved(chosen, sized(formats), [*keys, "style"], "__kind", {"cell format": "error"}).drop("__kind")
 
