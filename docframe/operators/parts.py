@@ -97,14 +97,15 @@ def read_xml(parts: DataFrame, keys: list[str], shape: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _reader(kind)
         for batch in pieces(batches, -1):
-            seen: dict[bytes | None, dict | None] = {None: None}
-            for data in (content := batch.column(batch.num_columns - 1).to_pylist()):
-                if data not in seen:
-                    try:
-                        seen[data] = read(ET.fromstring(data))
-                    except ET.ParseError:
-                        seen[data] = None
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([seen[data] for data in content], into)], names=schema.names)
+            place: dict[bytes | None, int] = {}
+            of = [place.setdefault(data, len(place)) for data in batch.column(batch.num_columns - 1).to_pylist()]
+            found: list[dict | None] = []
+            for data in place:
+                try:
+                    found.append(None if data is None else read(ET.fromstring(data)))
+                except ET.ParseError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, into).take(pa.array(of, pa.int32()))], names=schema.names)
 
     return parts.select(*keys, "bytes").mapInArrow(run, schema)
 

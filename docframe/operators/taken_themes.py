@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -110,41 +110,44 @@ def _walked(styles: list[dict], columns: list[str]) -> list[dict]:
     return list(done.values())
 
 
-def _with_ancestors(styles: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, id, open, columns) of styles (keys, id, up, columns): what each has or takes from those it is based on.
+def _with_ancestors(styles: DataFrame, keys: list[str], columns: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, open, kept, columns) of styles (keys, at, id, up, kept, columns): what each has or takes from those it is based on.
 
-    A package's styles come from one or two parts, which a task holds anyway, so their chains are walked where they lie; chains
-    over whole tables are `inheritance`'s.
+    Of styles with one id the last by `at` holds. A package's styles come from one or two parts, which a task holds anyway, so
+    their chains are walked where they lie; chains over whole tables are `inheritance`'s.
     """
     kinds = {f.name: f.dataType for f in styles.schema}
-    out = T.StructType([T.StructField("id", T.StringType()), T.StructField("open", T.BooleanType()), *[T.StructField(c, kinds[c]) for c in columns]])
-    packages = styles.groupBy(*keys).agg(F.collect_list(F.struct("id", "up", *columns)).alias("s"))
+    out = T.StructType([T.StructField("id", T.StringType()), T.StructField("open", T.BooleanType()), *[T.StructField(c, kinds[c]) for c in (*kept, *columns)]])
+    packages = styles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "id", "up", *kept, *columns))).alias("s"))
     schema = T.StructType([*packages.select(*keys).schema, *out])
     into = [to_arrow_type(f.dataType) for f in out]
 
+    def of(styles: list[dict]) -> Iterator[dict]:
+        own = {s["id"]: s for s in styles}
+        for s in _walked(styles, columns):
+            yield s | {c: own[s["id"]][c] for c in kept}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                made = [(k, s) for k, styles in enumerate(batch.column(batch.num_columns - 1).to_pylist()) for s in _walked(styles, columns)]
+                made = [(k, s) for k, styles in enumerate(batch.column(batch.num_columns - 1).to_pylist()) for s in of(styles)]
                 owner = pa.array([k for k, _ in made], pa.int32())
                 yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *[pa.array([s[f.name] for _, s in made], t) for f, t in zip(out, into)]], names=schema.names)
 
     return packages.mapInArrow(run, schema)
 
 
-def word_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, name, default, open, font, size, ...): paragraph styles with what they take from their ancestors and the defaults.
+def word_styles(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, id, name, default, open, font, size, ...): paragraph styles with what they take from their ancestors, and (keys, d) of the defaults.
 
     Of styles with one id the last holds. open: the chain does not end, as it comes back to itself.
     """
-    read = P.read_xml(parts.where(F.col("part") == "word/styles.xml"), keys, _STYLES)
+    read = I.written(P.read_xml(parts.where(F.col("part") == "word/styles.xml"), keys, _STYLES))
     each = read.select(*keys, F.posexplode("x.style").alias("at", "s")).where("s._type = 'paragraph' and s._styleId <> ''")
     own = each.select(*keys, "at", F.col("s._styleId").alias("id"), F.col("s.name._val").alias("name"), F.coalesce(_on("s._default"), F.lit(False)).alias("default"), F.col("s.basedOn._val").alias("up"), *_properties("s.rPr", "s.pPr"))
-    rest = [c for c in own.columns if c not in (*keys, "at", "id")]
-    last = I.written(own.groupBy(*keys, "id").agg(F.max_by(F.struct(*rest), "at").alias("s")).select(*keys, "id", "s.*"))
     defaults = read.select(*keys, F.struct(*_properties("x.docDefaults.rPrDefault.rPr", "x.docDefaults.pPrDefault.pPr")).alias("d"))
-    full = last.select(*keys, "id", "name", "default").join(_with_ancestors(last, keys, _TAKEN), [*keys, "id"]).join(defaults, keys)
-    return full.select(*keys, "id", "name", "default", "open", *[F.coalesce(c, f"d.{c}").alias(c) for c in _TAKEN])
+    full = _with_ancestors(own, keys, _TAKEN, ("name", "default")).join(P.shuffled(defaults), keys)
+    return full.select(*keys, "id", "name", "default", "open", *[F.coalesce(c, f"d.{c}").alias(c) for c in _TAKEN]), defaults
 
 
 def theme_fonts(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
@@ -156,10 +159,10 @@ def theme_fonts(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
 def _pages(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page): size, orientation and margins of each document's first section; margins that leave no room are dropped."""
     nodes = P.elements(parts.where(F.col("part") == "word/document.xml"), keys, ("sectPr", "pgSz", "pgMar"))
-    first = nodes.where("name = 'sectPr'").groupBy(*keys).agg(F.min("element").alias("parent"))
-    inside = first.join(nodes.where("name <> 'sectPr'"), [*keys, "parent"])
-    of = lambda name: F.first(F.when(F.col("name") == name, F.col("attributes")), True).alias(name)
-    both = first.select(*keys).join(inside.groupBy(*keys).agg(of("pgSz"), of("pgMar")), keys, "left")
+    section = F.min(F.when(F.col("name") == "sectPr", F.col("element"))).over(Window.partitionBy(*keys))
+    inside = nodes.withColumn("__first", section).where("__first = if(name = 'sectPr', element, parent)")
+    of = lambda name: F.min_by("attributes", F.when(F.col("name") == name, F.col("element"))).alias(name)
+    both = inside.groupBy(*keys).agg(of("pgSz"), of("pgMar"))
     width, height = (_number(F.col("pgSz")[n]) / 20 for n in "wh")
     wide = F.coalesce(F.lower(F.col("pgSz")["orient"]) == "landscape", F.lit(False)) | (width > height)
     said = both.withColumn("__known", width.isNotNull() & height.isNotNull())
@@ -184,12 +187,11 @@ def word_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     normal = F.when(F.col("default"), 0).when((F.lower("id") == "normal") | (F.lower("name") == "normal"), 1)
     role = lambda rank: F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "id", "open", *_TAKEN)))
     levels = [role(F.when((plain("id") == f"heading{k}") | (plain("name") == f"heading{k}"), 0)).alias(f"h{k}") for k in LEVELS]
-    styles = word_styles(parts, keys).groupBy(*keys).agg(role(normal).alias("n"), *levels)
-    read = P.read_xml(parts.where(F.col("part") == "word/styles.xml"), keys, _STYLES).select(*keys, F.col("x.docDefaults").alias("d"))
-    defaults = read.select(*keys, F.struct(*_properties("d.rPrDefault.rPr", "d.pPrDefault.pPr")).alias("d"))
+    styles, defaults = word_styles(parts, keys)
+    styles = styles.groupBy(*keys).agg(role(normal).alias("n"), *levels)
     every = parts.where(F.col("part") == "word/document.xml").select(*keys)
     for side in (styles, defaults, theme_fonts(parts, keys, "word/theme/theme1.xml"), _pages(parts, keys)):
-        every = every.join(side, keys, "left")
+        every = every.join(P.shuffled(side), keys, "left")
     ring = F.concat_ws(", ", *[F.when(F.col(f"{r}.open"), F.col(f"{r}.id")) for r in ("n", *[f"h{k}" for k in LEVELS])])
     every = every.where(F.when(ring != "", F.raise_error(F.concat(F.lit("styles based on themselves: "), ring)).cast("boolean")).otherwise(F.lit(True)))
 
@@ -282,7 +284,8 @@ def slide_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Themes of slide packages: fonts and colours of their first theme part; a package without one says nothing."""
     name = "ppt/theme/theme1.xml"
     every = parts.where(F.col("part") == "ppt/presentation.xml").select(*keys)
-    every = every.join(theme_fonts(parts, keys, name), keys, "left").join(P.theme_colors(parts.where(F.col("part") == name), keys), keys, "left")
+    for side in (theme_fonts(parts, keys, name), P.theme_colors(parts.where(F.col("part") == name), keys)):
+        every = every.join(P.shuffled(side), keys, "left")
     color = lambda slot: F.concat(F.lit("#"), F.get("theme", F.lit(P.THEME_SLOTS.index(slot))))
     first = P.THEME_SLOTS.index("accent1")
     accent = F.coalesce(color("accent1"), _default("headings", "color"))
@@ -321,7 +324,7 @@ def sheet_styles(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     )
     each = own.join(said, [*keys, "part", "element"], "left")
     last = I.written(each.groupBy(*keys, "id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("up", *_CELL)]))
-    return _with_ancestors(last.where("id is not null"), keys, _CELL), last.where("id is null").select(*keys, *_CELL)
+    return _with_ancestors(last.where("id is not null").withColumn("at", F.lit(0)), keys, _CELL), last.where("id is null").select(*keys, *_CELL)
 
 
 def sheet_themes(parts: DataFrame, keys: list[str]) -> DataFrame:

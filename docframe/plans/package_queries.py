@@ -272,7 +272,7 @@ def word_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit(_WORD % "document" + "<w:body><w:p/><w:sectPr><w:pgSz "), size, F.format_string('/><w:pgMar w:left="%d"/></w:sectPr></w:body></w:document>', 20 * (c % 2000)))
     fonts = F.format_string(_DRAWING % '<a:fontScheme><a:majorFont><a:latin typeface="Major%d"/></a:majorFont><a:minorFont><a:latin typeface="Minor%d"/></a:minorFont></a:fontScheme>', n, n)
     packages = F.array(*[F.struct(*_part(name, xml)) for name, xml in (("word/styles.xml", styles), ("word/document.xml", page), ("word/theme/theme1.xml", fonts))])
-    parts = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(packages).alias("p")).select("c_custkey", "p.*")
+    parts = _spread(_read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.explode(packages).alias("p")).select("c_custkey", "p.*")
     d, h, p = (f"theme.{x}." for x in ("document", "headings", "page"))
     return K.word_themes(parts, ["c_custkey"]).select(
         "c_custkey", F.col(d + "font_family").alias("font"), F.col(d + "font_size_pt").alias("size"), F.col(d + "text_color").alias("color"), F.col(d + "paragraph_spacing_after_pt").alias("after"),
@@ -364,7 +364,7 @@ def slide_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fonts = F.concat(F.lit('<a:fontScheme><a:majorFont><a:latin typeface="'), F.when(s % 2 == 0, "Major").otherwise(" "), F.format_string('"/></a:majorFont><a:minorFont><a:latin typeface="Minor%d"/></a:minorFont></a:fontScheme>', n))
     before, after = _DRAWING.split("%s")
     packages = F.array(F.struct(*_part("ppt/presentation.xml", F.lit("<p/>"))), F.struct(*_part("ppt/theme/theme1.xml", F.concat(F.lit(before), colors, fonts, F.lit(after)))))
-    parts = _read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(packages).alias("p")).select("s_suppkey", "p.*")
+    parts = _spread(_read(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", F.explode(packages).alias("p")).select("s_suppkey", "p.*")
     h = "theme.headings."
     return K.slide_themes(parts, ["s_suppkey"]).select(
         "s_suppkey", F.col("theme.document.font_family").alias("font"), F.col(h + "font_family").alias("heading_font"), F.col(h + "color").alias("heading_color"), F.get(h + "level_colors", F.lit(0)).alias("level_1"),
