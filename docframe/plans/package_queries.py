@@ -11,12 +11,7 @@ from ..operators import ordered as O
 from ..operators import parts as P
 from ..operators import taken_themes as K
 from . import convert as V
-from .queries import _read, query
-
-
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """df by its key in as many parts as shuffles have: few bytes that become large packages would else be put into one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+from .queries import _read, _spread, query
 
 
 def _order_books(spark: SparkSession, sf_dir: str) -> DataFrame:

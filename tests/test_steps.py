@@ -1,8 +1,12 @@
 """Documents that go through several formats in one pass, and tables in documents of bounded size."""
 
+import json
+import time
+
 import duckdb
 import pytest
 
+from docframe.operators import markdown as M
 from docframe.plans import convert as V
 from docframe.plans import queries as Q
 
@@ -72,3 +76,25 @@ def test_failed_step_is_no_loss(spark, tmp_path, name):
 def test_missing_page_is_kept(spark, tmp_path):
     rows = Q.QUERIES["markdown_yaml_roundtrip"](spark, _page(spark, tmp_path, None)).collect()
     assert {r["page_id"]: r["same"] for r in rows} == {1: True, 2: True}
+
+
+def test_next_line_stays_in_yaml():
+    """The writer in Python folded U+0085 into a blank."""
+    text = '["a\\u0085", {"b\\u0085c": "\\ud83d\\ude00 \\u0085"}]'
+    assert json.loads(V.convert_bytes(V.convert_bytes(text.encode(), "json", "yaml"), "yaml", "json")) == json.loads(text)
+
+
+@pytest.mark.parametrize("name", ["document_chain", "markdown_yaml_roundtrip"])
+def test_pages_are_spread(spark, name):
+    """A table of pages in one group of rows went through all formats in one task."""
+    assert Q.QUERIES[name](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_long_paragraph_takes_no_square():
+    """Each blank copied what followed it."""
+    seconds = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        assert M.parse_inlines("word " * n) == [{"type": "text", "text": "word " * n}]
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 30 * max(seconds[0], 0.01)
