@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ from .relational import resolve_part
 
 #: Rows of a lookup's smaller side that are broadcast at most.
 MOST_BROADCAST = 100_000
+#: Bytes of a part whose tree is held whole, which is a few times faster; a larger one is read element by element.
+WHOLE_BYTES = 1 << 18
 
 
 def package_parts(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
@@ -47,6 +50,7 @@ def opening(given: T.StructType) -> tuple[Run, T.StructType]:
     return run, schema
 
 
+@functools.lru_cache(4096)
 def _local(name: str) -> str:
     return name.rpartition("}")[2]
 
@@ -194,11 +198,29 @@ def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str,
     schema = T.StructType([*parts.select(*keys).schema, *T._parse_datatype_string("row int, style string, of_row string, n long")])
     said = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
 
+    def count(own: dict[str | None, int], e: ET.Element) -> None:
+        text = (said(e, repeat) or "").strip() if repeat else ""
+        name = said(e, style)
+        own[name] = own.get(name, 0) + (max(min(int(text), most_repeated), 1) if text.lstrip("+-").isdecimal() else 1)
+
+    def whole(root: ET.Element) -> dict[int, tuple[str | None, dict[str | None, int]]]:
+        rows: dict[int, tuple[str | None, dict[str | None, int]]] = {}
+        for up, parent in enumerate(root.iter()):
+            if found := [e for e in parent if _local(e.tag) in cells]:
+                rows[up] = (said(parent, style), {})
+                for e in found:
+                    count(rows[up][1], e)
+                if len(rows) == most:
+                    break
+        return rows
+
     def of(data: bytes, part: str) -> dict[int, tuple[str | None, dict[str | None, int]]]:
         stack: list[tuple[int, ET.Element]] = []
         rows: dict[int, tuple[str | None, dict[str | None, int]]] = {}
         n = 0
         try:
+            if len(data) <= WHOLE_BYTES:
+                return whole(ET.fromstring(data))
             for event, e in ET.iterparse(io.BytesIO(data), ("start", "end")):
                 if event == "start":
                     stack.append((n, e))
@@ -212,10 +234,7 @@ def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str,
                             rows[up] = (said(parent, style), {})
                             if len(rows) > most:
                                 del rows[max(rows)]
-                        own = rows[up][1]
-                        text = (said(e, repeat) or "").strip() if repeat else ""
-                        name = said(e, style)
-                        own[name] = own.get(name, 0) + (max(min(int(text), most_repeated), 1) if text.lstrip("+-").isdecimal() else 1)
+                        count(rows[up][1], e)
                     del parent[:]
         except ET.ParseError as x:
             raise ValueError(f"{part}: {x}") from None
@@ -237,6 +256,60 @@ def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str,
     return parts.where("bytes is not null").select(*keys, "part", "bytes").mapInArrow(run, schema)
 
 
+def definitions(parts: DataFrame, keys: list[str], names: tuple[str, ...], own: tuple[str, ...], inside: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(keys, part, element, tag, a, b_c): the elements of these names, in document order, with their attributes and those of their children.
+
+    own: attributes, a column each; inside: attributes by the child that has them, a column `child_attribute` each, of several
+    children the last that has it. A part that is cut off or broken ends the query with an error.
+    """
+    column = {(None, a): a for a in own} | {(child, a): f"{child}_{a}" for child, some in inside.items() for a in some}
+    schema = T.StructType([*parts.select(*keys, "part").schema, T.StructField("element", T.IntegerType()), T.StructField("tag", T.StringType()), *[T.StructField(c, T.StringType()) for c in column.values()]])
+    wanted = list(column)
+
+    def of(n: int, e: ET.Element) -> tuple:
+        said: dict[tuple[str | None, str], str] = {(None, _local(k)): v for k, v in e.attrib.items()}
+        for c in e:
+            child = _local(c.tag)
+            if child in inside:
+                said.update({(child, _local(k)): v for k, v in c.attrib.items()})
+        return n, _local(e.tag), *[said.get(w) for w in wanted]
+
+    def read(data: bytes, part: str) -> list[tuple]:
+        try:
+            if len(data) <= WHOLE_BYTES:
+                return [of(n, e) for n, e in enumerate(ET.fromstring(data).iter()) if _local(e.tag) in names]
+            stack, found, n = [], [], 0
+            for event, e in ET.iterparse(io.BytesIO(data), ("start", "end")):
+                if event == "start":
+                    stack.append((n, e))
+                    n += 1
+                    continue
+                me, _ = stack.pop()
+                if _local(e.tag) in names:
+                    found.append(of(me, e))
+                if stack and _local(stack[-1][1].tag) not in names:
+                    del stack[-1][1][:]  # else every element stays until the part ends
+            return found
+        except ET.ParseError as x:
+            raise ValueError(f"{part}: {x}") from None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in schema[-2 - len(wanted) :]]
+        for batch in pieces(batches, -1):
+            part, seen = batch.column(batch.num_columns - 2).to_pylist(), {}
+            owners, rows = [], []
+            for k, data in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if data not in seen:
+                    seen[data] = read(data, part[k])
+                rows += seen[data]
+                owners += [k] * len(seen[data])
+            owner = pa.array(owners, pa.int32())
+            made = [pa.array(values, t) for values, t in zip(zip(*rows) if rows else [[]] * len(types), types)]
+            yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *made], names=schema.names)
+
+    return parts.where("bytes is not null").select(*keys, "part", "bytes").mapInArrow(run, schema)
+
+
 def children(nodes: DataFrame, keys: list[str], parent: str, child: str) -> DataFrame:
     """(keys, part, parent's element and attributes, child's attributes and text): each child of a name with its parent.
 

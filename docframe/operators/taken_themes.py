@@ -110,29 +110,46 @@ def _walked(styles: list[dict], columns: list[str]) -> list[dict]:
     return list(done.values())
 
 
-def _with_ancestors(styles: DataFrame, keys: list[str], columns: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+def _with_ancestors(styles: DataFrame, keys: list[str], columns: list[str], kept: tuple[str, ...] = (), merged: bool = False) -> DataFrame:
     """(keys, id, open, kept, columns) of styles (keys, at, id, up, kept, columns): what each has or takes from those it is based on.
 
-    Of styles with one id the last by `at` holds. A package's styles come from one or two parts, which a task holds anyway, so
-    their chains are walked where they lie; chains over whole tables are `inheritance`'s.
+    Of styles with one id the last by `at` holds; merged: the last that has a column holds for it. One
+    without id is above no other. A package's styles come from one or two parts, which a task holds anyway, so
+    their chains are walked where they lie, once for alike packages; chains over whole tables are `inheritance`'s.
     """
     kinds = {f.name: f.dataType for f in styles.schema}
     out = T.StructType([T.StructField("id", T.StringType()), T.StructField("open", T.BooleanType()), *[T.StructField(c, kinds[c]) for c in (*kept, *columns)]])
-    packages = styles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "id", "up", *kept, *columns))).alias("s"))
+    # styles are few bytes where packages are alike, by which Spark would put most packages into few tasks
+    spread = styles.repartition(int(styles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    packages = spread.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "id", "up", *kept, *columns))).alias("s"))
+    packages = packages.select(*keys, F.xxhash64("s").alias("hash"), "s")
     schema = T.StructType([*packages.select(*keys).schema, *out])
     into = [to_arrow_type(f.dataType) for f in out]
 
     def of(styles: list[dict]) -> Iterator[dict]:
-        own = {s["id"]: s for s in styles}
-        for s in _walked(styles, columns):
-            yield s | {c: own[s["id"]][c] for c in kept}
+        own: dict[str | None, dict] = {}
+        for s in styles:
+            own[s["id"]] = own.get(s["id"], s) | {c: v for c, v in s.items() if v is not None} if merged else s
+        if None in own:
+            yield own.pop(None) | {"open": False}
+        for s in _walked(list(own.values()), columns):
+            yield s | {c: own[s["id"]][c] for c in kept} if kept else s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                made = [(k, s) for k, styles in enumerate(batch.column(batch.num_columns - 1).to_pylist()) for s in of(styles)]
-                owner = pa.array([k for k, _ in made], pa.int32())
-                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], *[pa.array([s[f.name] for _, s in made], t) for f, t in zip(out, into)]], names=schema.names)
+                all_styles = batch.column(batch.num_columns - 1)
+                first: dict[int, int] = {}
+                rows, place, made = [], {}, []
+                for k, h in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
+                    alike = first.setdefault(h, k)
+                    if alike not in place or not all_styles[k].equals(all_styles[alike]):
+                        alike, found = k, list(of(all_styles[k].as_py()))
+                        place[k] = range(len(made), len(made) + len(found))
+                        made += found
+                    rows.append(place[alike])
+                owner, row = (pa.array([x for k, r in enumerate(rows) for x in pick(k, r)], pa.int32()) for pick in (lambda k, r: [k] * len(r), lambda k, r: r))
+                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-2]], *[pa.array([s[f.name] for s in made], t).take(row) for f, t in zip(out, into)]], names=schema.names)
 
     return packages.mapInArrow(run, schema)
 
@@ -259,7 +276,7 @@ def _of_table(books: DataFrame, formats: DataFrame, keys: list[str]) -> DataFram
             F.coalesce(body["border"], other("border")).alias("border_width_pt"), stripe.alias("stripe_background"),
         ).alias("table"),
     )
-    return books.join(rows, keys, "left").select(*keys, theme.alias("theme"))
+    return books.join(P.shuffled(rows), keys, "left").select(*keys, theme.alias("theme"))
 
 
 def workbook_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -308,23 +325,21 @@ def sheet_styles(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 
     A style of several definitions has each property from the last that has it; those of content.xml follow those of styles.xml.
     """
-    found = P.elements(parts.where(F.col("part").isin("styles.xml", "content.xml")), keys, ("style", "default-style", "text-properties", "table-cell-properties", "paragraph-properties"))
+    sides = ("border", "border-left", "border-right", "border-top", "border-bottom")
+    inside = {"text-properties": ("font-name", "font-size", "color"), "table-cell-properties": ("background-color", *sides), "paragraph-properties": ("text-align",)}
+    found = P.definitions(parts.where(F.col("part").isin("styles.xml", "content.xml")), keys, ("style", "default-style"), ("family", "name", "parent-style-name"), inside)
     at = F.struct((F.col("part") == "content.xml").alias("late"), "element")
-    a, is_ = F.col("attributes"), F.col("name")
-    own = found.where(is_.isin("style", "default-style") & (a["family"] == "table-cell") & ((is_ == "default-style") | a["name"].isNotNull()))
-    own = own.select(*keys, "part", "element", F.when(is_ == "style", a["name"]).alias("id"), a["parent-style-name"].alias("up"), at.alias("at"))
-    border = lambda pattern: F.coalesce(*[F.when(F.regexp_extract(a[side], pattern, 1) != "", F.regexp_extract(a[side], pattern, 1)) for side in ("border", "border-left", "border-right", "border-top", "border-bottom")])
-    jc = F.lower(a["text-align"])
-    text, cell = is_ == "text-properties", is_ == "table-cell-properties"
-    said = found.where(is_.endswith("-properties")).select(
-        *keys, "part", F.col("parent").alias("element"), F.when(text, _not_blank(a["font-name"])).alias("font"), F.when(text, _number(F.regexp_replace(F.trim(a["font-size"]), "pt$", ""))).alias("size"),
-        F.when(text, _rgb(a["color"])).alias("color"), F.when(cell, _rgb(a["background-color"])).alias("fill"), F.when(cell, _number(border(r"(?:^|\s)([0-9]*\.?[0-9]+)(?:pt)?(?=\s|$)"))).alias("border"),
-        F.when(cell, _rgb(border(r"(?:^|\s)(#[0-9A-Fa-f]{6,8})(?=\s|$)"))).alias("border_color"),
-        F.when(is_ == "paragraph-properties", F.when(jc.isin("start", "left"), "left").when(jc == "center", "center").when(jc.isin("end", "right"), "right").when(jc == "justify", "justify")).alias("align"),
+    t, c = (lambda name: F.col(f"text-properties_{name}")), (lambda name: F.col(f"table-cell-properties_{name}"))
+    border = lambda pattern: F.coalesce(*[F.when(F.regexp_extract(c(side), pattern, 1) != "", F.regexp_extract(c(side), pattern, 1)) for side in sides])
+    jc = F.lower("paragraph-properties_text-align")
+    own = found.where((F.col("family") == "table-cell") & ((F.col("tag") == "default-style") | F.col("name").isNotNull())).select(
+        *keys, at.alias("at"), F.when(F.col("tag") == "style", F.col("name")).alias("id"), F.col("parent-style-name").alias("up"), _not_blank(t("font-name")).alias("font"),
+        _number(F.regexp_replace(F.trim(t("font-size")), "pt$", "")).alias("size"), _rgb(t("color")).alias("color"), _rgb(c("background-color")).alias("fill"),
+        _number(border(r"(?:^|\s)([0-9]*\.?[0-9]+)(?:pt)?(?=\s|$)")).alias("border"), _rgb(border(r"(?:^|\s)(#[0-9A-Fa-f]{6,8})(?=\s|$)")).alias("border_color"),
+        F.when(jc.isin("start", "left"), "left").when(jc == "center", "center").when(jc.isin("end", "right"), "right").when(jc == "justify", "justify").alias("align"),
     )
-    each = own.join(said, [*keys, "part", "element"], "left")
-    last = I.written(each.groupBy(*keys, "id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("up", *_CELL)]))
-    return _with_ancestors(last.where("id is not null").withColumn("at", F.lit(0)), keys, _CELL), last.where("id is null").select(*keys, *_CELL)
+    every = I.written(_with_ancestors(own, keys, _CELL, merged=True))
+    return every.where("id is not null"), every.where("id is null").select(*keys, *_CELL)
 
 
 def sheet_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -332,11 +347,11 @@ def sheet_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     books = parts.where(F.col("part") == "content.xml")
     cells = P.first_cells(books, keys, TABLE_ROWS, ("table-cell", "covered-table-cell"), "style-name", "number-columns-repeated", MOST_REPEATED)
     counts = I.written(cells.select(*keys, "row", F.coalesce("style", F.lit("")).alias("style"), "n"))
-    body = books.select(*keys).join(_commonest(counts.where("row > 1"), keys), keys, "left").select(*keys, F.lit(0).alias("row"), "style")
+    body = books.select(*keys).join(P.shuffled(_commonest(counts.where("row > 1"), keys)), keys, "left").select(*keys, F.lit(0).alias("row"), "style")
     named, default = sheet_styles(parts, keys)
-    own = body.unionByName(_commonest(counts, [*keys, "row"])).withColumn("id", F.col("style")).join(named, [*keys, "id"], "left")
+    own = body.unionByName(_commonest(counts, [*keys, "row"])).withColumn("id", F.col("style")).join(P.shuffled(named), [*keys, "id"], "left")
     own = own.where(F.when(F.coalesce("open", F.lit(False)), F.raise_error(F.concat(F.lit("styles based on themselves: "), "id")).cast("boolean")).otherwise(F.lit(True)))
-    both = own.join(default.select(*keys, F.struct(*_CELL).alias("d")), keys, "left")
+    both = own.join(P.shuffled(default.select(*keys, F.struct(*_CELL).alias("d"))), keys, "left")
     return _of_table(books.select(*keys), both.select(*keys, "row", "style", *[F.coalesce(c, f"d.{c}").alias(c) for c in _CELL]), keys)
 
 

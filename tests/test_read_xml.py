@@ -52,3 +52,27 @@ def test_children_once(spark):
     found = P.children(P.elements(parts, ["k"]), ["k"], "c", "v")
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["parent_attributes"], r["text"]) for r in found.collect()] == [({"r": "A1"}, "5")]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_definitions_and_first_cells_of_large_parts(spark, monkeypatch, most):
+    """Parts read element by element give what those whose tree is held whole do."""
+    monkeypatch.setattr(P, "WHOLE_BYTES", most)
+    style = "<x:style x:name='a' x:family='f'><x:t x:size='1'><x:t x:size='9'/></x:t><x:c x:fill='2' x:other='3'/><x:t x:color='4'/></x:style>"
+    rows = "<x:r/><x:r s='q'><y/><x:c s='p'/></x:r><x:r><x:c/><x:c s='p' n='3'/></x:r><x:r><x:c s='z'/></x:r>"
+    xml = f"<x:root xmlns:x='urn:x'><x:late><x:style x:name='b'/></x:late>{style}<x:t x:size='7'/>{rows}</x:root>"
+    parts = spark.createDataFrame([(1, "a.xml", xml.encode()), (2, "a.xml", xml.encode()), (3, "a.xml", b"<r/>")], "k int, part string, bytes binary")
+    got = sorted(map(tuple, P.definitions(parts, ["k"], ("style",), ("name", "gone"), {"t": ("size", "color"), "c": ("fill",)}).collect()))
+    want = [("a.xml", 2, "style", "b", None, None, None, None), ("a.xml", 3, "style", "a", None, "1", "4", "2")]
+    assert got == [(k, *w) for k in (1, 2) for w in want]
+    cells = sorted(map(tuple, P.first_cells(parts, ["k"], 2, ("c",), "s", "n", 100).where("k = 2 and row > 0").collect()), key=str)
+    assert (2, 1, None, None, 1) in cells and (2, 2, "p", "q", 1) in cells
+    with pytest.raises(Exception, match="a.xml: "):
+        P.definitions(spark.createDataFrame([(1, "a.xml", b"<r><s>")], parts.schema), ["k"], ("s",), (), {}).collect()
+
+
+def test_alike_packages_and_merged_definitions(spark):
+    """Packages with the same styles are walked once and keep their own keys; a later definition takes the place of what it says."""
+    rows = [(k, n, i, u, a, b) for k in range(600) for n, i, u, a, b in [(0, "x", None, "1", None), (1, "y", "x", None, "2"), (2, "x", None, None, str(k % 3)), (3, None, "y", "d", None)]]
+    got = K._with_ancestors(spark.createDataFrame(rows, "k int, at int, id string, up string, a string, b string"), ["k"], ["a", "b"], merged=True).collect()
+    assert sorted(((r["k"], r["id"] or "", r["a"], r["b"]) for r in got)) == sorted(x for k in range(600) for x in [(k, "", "d", None), (k, "x", "1", str(k % 3)), (k, "y", "1", "2")])
