@@ -196,7 +196,14 @@ def first_cells(parts: DataFrame, keys: list[str], most: int, cells: tuple[str,
     style, of_row: the attribute of the cell, and that of its row; repeat: the attribute that says for how many a cell stands. Only counts of `most` rows are kept.
     """
     schema = T.StructType([*parts.select(*keys).schema, *T._parse_datatype_string("row int, style string, of_row string, n long")])
-    said = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
+
+    def said(e: ET.Element, name: str) -> str | None:
+        if name in e.attrib:
+            return e.attrib[name]
+        for k, v in e.attrib.items():
+            if _local(k) == name:
+                return v
+        return None
 
     def count(own: dict[str | None, int], e: ET.Element) -> None:
         text = (said(e, repeat) or "").strip() if repeat else ""
@@ -310,6 +317,19 @@ def definitions(parts: DataFrame, keys: list[str], names: tuple[str, ...], own:
     return parts.where("bytes is not null").select(*keys, "part", "bytes").mapInArrow(run, schema)
 
 
+def alike(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, group) of the packages, and (group, part, bytes): packages whose parts are the same, byte for byte, make a group.
+
+    What these parts say can then be found once for each group. Bytes are told apart by their SHA-256, so that only this is
+    shuffled for each package.
+    """
+    said = F.concat_ws(" ", F.sha2("bytes", 256), "part")
+    owners = written(parts.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("files")).select(*keys, F.sha2("files", 256).alias("group"), "files"))
+    files = owners.select("group", "files").distinct().select("group", F.explode(F.split("files", "\n")).alias("file"))
+    known = parts.select("part", "bytes").distinct().select(said.alias("file"), "part", "bytes")
+    return owners.select(*keys, "group"), written(files.join(shuffled(known), "file").select("group", "part", "bytes"))
+
+
 def children(nodes: DataFrame, keys: list[str], parent: str, child: str) -> DataFrame:
     """(keys, part, parent's element and attributes, child's attributes and text): each child of a name with its parent.
 
@@ -362,10 +382,10 @@ def list_levels(items: DataFrame, keys: list[str], numbers: DataFrame, levels: D
     return items.join(sized(own.select(*keys, "num_id", "level", "format", start.alias("start"))), [*keys, "num_id", "level"], "left")
 
 
-def resolved(references: DataFrame, targets: DataFrame, on: list[str], kind: str, policies: dict[str, str]) -> DataFrame:
+def resolved(references: DataFrame, targets: DataFrame, on: list[str], kind: str, policies: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """references with the columns of targets; what becomes of one without a target is said by its kind: drop, keep or error.
 
-    An error names the reference. It is part of the filter, so no choice of columns skips it. Other kinds are kept.
+    An error names the reference, by the columns of `by` or else those it is joined on. It is part of the filter, so no choice of columns skips it. Other kinds are kept.
     """
     if unknown := set(policies.values()) - {"drop", "keep", "error"}:
         raise ValueError(f"no policy {min(unknown)}")
@@ -373,7 +393,7 @@ def resolved(references: DataFrame, targets: DataFrame, on: list[str], kind: str
     missing, policy = F.col("__found").isNull(), F.lit("keep")
     for name, what in policies.items():
         policy = F.when(F.col(kind) == name, what).otherwise(policy)
-    named = F.concat_ws(" ", F.lit("missing"), F.col(kind), *[F.col(c).cast("string") for c in on])
+    named = F.concat_ws(" ", F.lit("missing"), F.col(kind), *[F.col(c).cast("string") for c in by or on])
     keep = F.when(missing & (policy == "error"), F.raise_error(named).cast("boolean")).otherwise(~(missing & (policy == "drop")))
     return found.where(keep).drop("__found")
 

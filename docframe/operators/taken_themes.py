@@ -237,18 +237,22 @@ def word_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     return every.select(*keys, theme.alias("theme"))
 
 
-def _first_sheets(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, part): the part of each workbook's first sheet."""
+def _first_sheets(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rel_id, target): the relationship and the part of each workbook's first sheet; null where it leads nowhere."""
     shape = "struct<sheets: struct<sheet: array<struct<_id: string>>>>"
-    books = P.read_xml(parts.where(F.col("part") == "xl/workbook.xml"), keys, shape).select(*keys, F.lit("xl/workbook.xml").alias("book"), F.col("x.sheets.sheet").alias("s"))
-    named = books.select(*keys, "book", F.coalesce(F.get("s", F.lit(0))["_id"], F.lit("")).alias("rel_id"), F.lit("sheet").alias("kind"))
-    targets = P.relationships(parts, keys).select(*keys, F.col("part").alias("book"), "rel_id", "target")
-    return P.resolved(named, targets, [*keys, "book", "rel_id"], "kind", {"sheet": "error"}).select(*keys, F.col("target").alias("part"))
+    first = P.read_xml(parts.where(F.col("part") == "xl/workbook.xml"), by, shape).select(*by, F.coalesce(F.get("x.sheets.sheet", F.lit(0))["_id"], F.lit("")).alias("rel_id"))
+    targets = P.relationships(parts, by).where("part = 'xl/workbook.xml'").select(*by, "rel_id", "target")
+    return P.sized(first.join(P.shuffled(targets), [*by, "rel_id"], "left").select(*by, "rel_id", "target"))
 
 
-def _row_styles(parts: DataFrame, keys: list[str]) -> DataFrame:
+def _row_styles(parts: DataFrame, books: DataFrame, common: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, style, n): how many cells of each style the first rows with cells of the first sheets have."""
-    sheets = parts.join(_first_sheets(parts, keys), [*keys, "part"])
+    first = _first_sheets(common, ["group"])
+    named = F.concat_ws(" ", F.lit("missing sheet"), *[F.col(k).cast("string") for k in keys], F.lit("xl/workbook.xml"), "rel_id")
+    there = F.when(F.col("target").isNull(), F.raise_error(named).cast("boolean")).otherwise(F.lit(True))
+    firsts = books.join(first, "group").where(there).select(*keys, F.col("target").alias("part"))
+    some = parts.join(P.sized(first.select(F.col("target").alias("part")).distinct()), "part", "left_semi")  # few paths, so few other parts are shuffled
+    sheets = some.join(P.shuffled(firsts), [*keys, "part"])
     cells = P.first_cells(sheets, keys, TABLE_ROWS, ("c",), "s", "", 1)
     style = F.coalesce(F.col("style").cast("int"), F.col("of_row").cast("int"), F.lit(0))
     return cells.groupBy(*keys, "row", style.alias("style")).agg(F.sum("n").alias("n"))
@@ -283,17 +287,20 @@ def workbook_themes(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Themes of workbooks: the commonest format below the first row, that of the first row, and the first other fill below it.
 
     Rows are the first TABLE_ROWS of the first sheet that have cells. A format that is not there is an error; a workbook without
-    formats says nothing.
+    formats says nothing. Formats are found once for all workbooks whose parts but for the sheets are the same.
     """
     used = parts.where(~F.col("part").contains("theme/") | (F.col("part") == "xl/theme/theme1.xml"))
-    counts = I.written(_row_styles(used, keys))
+    part = F.col("part")
+    fixed = part.isin("xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/theme/theme1.xml") | part.endswith("styles.xml")
+    groups, common = P.alike(used.where(fixed), keys)
+    books = groups.join(P.sized(common.where(part == "xl/workbook.xml").select("group")), "group", "left_semi").select(*keys, "group")
+    counts = I.written(_row_styles(used, books, common, keys))
     main = _commonest(counts.where("row > 1"), keys).withColumnRenamed("style", "body")
     by_row = _commonest(counts, [*keys, "row"])
-    books = used.where(F.col("part") == "xl/workbook.xml").select(*keys).join(main, keys, "left").withColumn("body", F.coalesce("body", F.lit(0)))
-    styled = used.where(F.col("part") == "xl/styles.xml").select(*keys)
-    needed = books.select(*keys, F.lit(0).alias("row"), F.col("body").alias("style")).unionByName(by_row)
-    needed = needed.join(styled, keys, "left_semi").withColumn("kind", F.lit("cell format"))
-    formats = P.resolved(needed, P.cell_formats(used, keys), [*keys, "style"], "kind", {"cell format": "error"})
+    body = books.select(*keys).join(P.shuffled(main), keys, "left").select(*keys, F.lit(0).alias("row"), F.coalesce("body", F.lit(0)).alias("style"))
+    needed = body.unionByName(by_row).join(P.shuffled(books), keys).withColumn("kind", F.lit("cell format"))
+    needed = needed.join(P.sized(common.where(part == "xl/styles.xml").select("group")), "group", "left_semi")
+    formats = P.resolved(needed, P.sized(P.cell_formats(common, ["group"])), ["group", "style"], "kind", {"cell format": "error"}, [*keys, "style"])
     return _of_table(books.select(*keys), formats, keys)
 
 

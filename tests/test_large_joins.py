@@ -9,7 +9,7 @@ from docframe.plans.queries import QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["list_levels", "workbook_styles", "word_themes", "slide_themes", "sheet_themes"])
+@pytest.mark.parametrize("name", ["list_levels", "workbook_styles", "word_themes", "slide_themes", "sheet_themes", "workbook_themes"])
 def test_no_broadcast_beyond_the_count(spark, monkeypatch, name):
     """Counted tables over the bound are shuffled, and so is what is joined before it is counted, though a few kilobytes."""
     for module in (P, I):
